@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from govlens.llm import ring, streamdedup, urls
+from govlens.llm import minhash, ring, streamdedup, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op8_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_url_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"), urls.rule_table(spark))
 
@@ -26,12 +30,26 @@ def op10_url_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_streaming_exact_dedup": op4_streaming_exact_dedup,
     "op8_bounded_load_ring": op8_bounded_load_ring,
+    "op9_circulant_minhash": op9_circulant_minhash,
     "op10_url_expressions": op10_url_expressions,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE = {
+    "op9_circulant_minhash": f"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        s AS (
+          SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                 ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)),
+        r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach),
+        c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN c USING (doc_id) LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op4_streaming_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
