@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from govlens.llm import minhash, packing, ring, streamdedup, urls
+from govlens.llm import ctw, minhash, packing, ring, streamdedup, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamdedup.dedup(read(spark, sf_dir, "documents")).drop("keep_file", "keep_block")
 
 
+def op6_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(read(spark, sf_dir, "documents"))
+
+
 def op8_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(read(spark, sf_dir, "documents"), shards=24)
 
@@ -41,6 +45,7 @@ def op10_url_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_certified_best_fit": op1_certified_best_fit,
     "op4_streaming_exact_dedup": op4_streaming_exact_dedup,
+    "op6_context_tree_weighting": op6_context_tree_weighting,
     "op8_bounded_load_ring": op8_bounded_load_ring,
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_url_expressions": op10_url_expressions,
