@@ -103,7 +103,7 @@ def evidence(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_ordinal(rows: np.ndarray, features: np.ndarray, grade: np.ndarray, grades: int, size: int, steps: int = 200, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, features: np.ndarray, grade: np.ndarray, grades: int, size: int, steps: int = 300, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by Adam over the whole sample; rows and features hold the pairs that are present."""
     n = len(grade)
     w, share = np.zeros(size), np.array([(grade > k).mean() for k in range(grades - 1)])

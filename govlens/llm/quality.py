@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 Features are hashed: words without punctuation, and word shapes (runs of capitals, small letters, digits, other letters and each
-punctuation mark) at how many times a text has them, by powers of four. One weight vector and ordered thresholds give the
+punctuation mark) and words that follow themselves, at how many times a text has them, by powers of four. One weight vector and ordered thresholds give the
 expected grade and the probability of each tail.
 """
 
@@ -42,6 +42,11 @@ def featurise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = [(doc, words)]
     for k, least in enumerate(LEVELS):
         out.append((rows[n >= least], linear.slot(own[n >= least].astype(np.uint64), 3 + k)))
+    # a word that follows itself, by how often
+    again = np.bincount(doc[1:][(words[1:] == words[:-1]) & (doc[1:] == doc[:-1])], minlength=len(off) - 1)
+    for k, least in enumerate(LEVELS):
+        rows = np.flatnonzero(again >= least)
+        out.append((rows, linear.slot(np.zeros(len(rows), np.uint64), 8 + k)))
     return np.concatenate([r for r, _ in out]), np.concatenate([f for _, f in out])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from govlens.llm import ctw, minhash, packing, ring, streamdedup, urls
+from govlens.llm import ctw, minhash, packing, quality, ring, streamdedup, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,21 @@ def op1_certified_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model, characters = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, characters)
+
+
 def op4_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamdedup.dedup(read(spark, sf_dir, "documents")).drop("keep_file", "keep_block")
 
 
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(read(spark, sf_dir, "documents"))
 
@@ -44,7 +55,9 @@ def op10_url_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_certified_best_fit": op1_certified_best_fit,
+    "op2_noisy_channel_toxicity": op2_noisy_channel_toxicity,
     "op4_streaming_exact_dedup": op4_streaming_exact_dedup,
+    "op5_ordinal_quality": op5_ordinal_quality,
     "op6_context_tree_weighting": op6_context_tree_weighting,
     "op8_bounded_load_ring": op8_bounded_load_ring,
     "op9_circulant_minhash": op9_circulant_minhash,

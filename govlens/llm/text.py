@@ -77,7 +77,12 @@ def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word; worked through in pieces that stay in cache and keep the powers short."""
-    out = np.empty(len(starts), np.uint64)
+    return hashes_to(data, starts, ends)[0]
+
+
+def hashes_to(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *nearer: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the words, and of their beginnings up to each array of nearer ends."""
+    out = [np.empty(len(starts), np.uint64) for _ in (ends, *nearer)]
     piece, i = 1 << 16, 0
     while i < len(starts):
         lo = starts[i]
@@ -87,8 +92,10 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         sums = np.empty(hi - lo + 1, np.uint64)
         sums[0] = 0
         np.cumsum(_TABLE[data[lo:hi]] * p[: hi - lo], out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64))
+        s = starts[i:j] - lo
+        for to, ends_ in zip(out, (ends, *nearer), strict=True):
+            e = ends_[i:j] - lo
+            to[i:j] = mix((sums[e] - sums[s]) * inv[s] + (e - s).astype(np.uint64))
         i = j
     return out
 
