@@ -218,3 +218,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     out = rows.select("doc_id", "n_shingles", "node").join(nodes.select("node", "least"), "node", "left").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def survivors(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of docs that carry their component's doc_id, with all their columns; of rows that repeat it, one."""
+    kept = table(near_duplicates(docs, percent).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
+    few = kept.count() <= BROADCAST_IDS
+    single = kept.filter("n = 1")
+    out = docs.join(F.broadcast(single) if few else single, docs["doc_id"].eqNullSafe(single["doc_id"]), "left_semi")
+    several = kept.filter("n > 1")
+    if not several.isEmpty():
+        more = docs.join(several, docs["doc_id"].eqNullSafe(several["doc_id"]), "left_semi")
+        out = out.unionByName(more.dropDuplicates(["doc_id"]))
+    return out

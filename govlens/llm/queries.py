@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from govlens.llm import ctw, minhash, packing, quality, ring, streamdedup, toxicity, urls
+from govlens.llm import ctw, decontam, linededup, minhash, packing, quality, ring, streamdedup, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op2_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, characters)
 
 
+def op3_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamdedup.dedup(read(spark, sf_dir, "documents")).drop("keep_file", "keep_block")
 
@@ -41,6 +46,11 @@ def op6_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(read(spark, sf_dir, "documents"))
 
 
+def op7_content_defined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = linededup.dedup(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op8_bounded_load_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(read(spark, sf_dir, "documents"), shards=24)
 
@@ -56,9 +66,11 @@ def op10_url_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_certified_best_fit": op1_certified_best_fit,
     "op2_noisy_channel_toxicity": op2_noisy_channel_toxicity,
+    "op3_wand_decontamination": op3_wand_decontamination,
     "op4_streaming_exact_dedup": op4_streaming_exact_dedup,
     "op5_ordinal_quality": op5_ordinal_quality,
     "op6_context_tree_weighting": op6_context_tree_weighting,
+    "op7_content_defined_lines": op7_content_defined_lines,
     "op8_bounded_load_ring": op8_bounded_load_ring,
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_url_expressions": op10_url_expressions,
