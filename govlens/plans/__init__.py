@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-REGISTRIES: list = []
+from govlens.plans import quality
+
+REGISTRIES: list = [(m.QUERIES, m.ORACLE) for m in (quality,)]
