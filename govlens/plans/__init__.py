@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from govlens.plans import quality
+from govlens.plans import catalogue, lineage, quality
 
-REGISTRIES: list = [(m.QUERIES, m.ORACLE) for m in (quality,)]
+REGISTRIES: list = [(m.QUERIES, m.ORACLE) for m in (quality, catalogue, lineage)]
