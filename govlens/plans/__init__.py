@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from govlens.plans import catalogue, lineage, quality, value
+from govlens.plans import catalogue, discovery, governance, jobs, lineage, quality, value
 
-REGISTRIES: list = [(m.QUERIES, m.ORACLE) for m in (quality, catalogue, lineage, value)]
+REGISTRIES: list = [(m.QUERIES, m.ORACLE) for m in (quality, catalogue, lineage, value, governance, discovery, jobs)]
