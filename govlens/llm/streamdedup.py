@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from govlens.llm.common import ascii_lower, drop, scratch, table
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state store lies on disk; it sets no space aside in advance, which each of many small stores would.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: What the stream carries of a row; the text itself never enters state. uid tells rows apart that are the same.
 ENTRY = "digest binary, doc_id long, uid long, file string, block long"
 BEST = "struct<doc_id:long,uid:long,file:string,block:long>"
@@ -40,8 +43,9 @@ def entries(docs: DataFrame) -> DataFrame:
 
 def keep_state(spark: SparkSession, source: str, checkpoint: str, sink: str, files_a_batch: int = 1000) -> DataFrame:
     """Runs what is new in ``source`` through the keyed state; the state's latest row per digest, by way of ``sink``."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", files_a_batch).parquet(source)
         best = F.max(F.struct("doc_id", "uid", "file", "block")).alias("best")
@@ -55,10 +59,8 @@ def keep_state(spark: SparkSession, source: str, checkpoint: str, sink: str, fil
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     changes = spark.read.schema(f"digest binary, best {BEST}, seen long, epoch int").parquet(sink)
     return changes.groupBy("digest").agg(F.max_by("best", "epoch").alias("best"), F.max("seen").alias("seen"))
 
