@@ -32,6 +32,9 @@ def run_to_table(spark: SparkSession, path: str, schema, plan: Callable[[DataFra
     import uuid
 
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        path = f"{path[:-1]}[{path[-1]}]"  # a stream takes a folder or a pattern
     source = spark.readStream.schema(schema).parquet(path)
     query = (
         plan(source)
