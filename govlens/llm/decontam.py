@@ -23,21 +23,25 @@ K1, B = 1.2, 0.75
 #: Share of shingles that a leak holds.
 OVERLAP = 0.8
 WIDTH = 5
-#: Postings of a block, whose greatest weight is known.
-BLOCK = 32
-#: Test items of one index (some 30 MB); more are worked through one index after the other.
-INDEX_ITEMS = 50_000
+#: Neighbouring items of a block, for which each term's greatest weight is known. Items lie in order of their own greatest weight, so that
+#: a block's bound is near to its items' scores.
+BLOCK = 4
+#: Test items of one index (some 2 MB); more are worked through one index after the other.
+INDEX_ITEMS = 2_000
 
 
 @dataclass
 class Index:
-    """Postings by term: items in order, weights, greatest weight of each block and of the list."""
+    """Postings by term: items in order and weights, the list's greatest weight, and the blocks that it reaches with their greatest."""
 
     terms: np.ndarray
     items: list[np.ndarray]
     weights: list[np.ndarray]
-    blocks: list[np.ndarray]
     most: np.ndarray
+    reach: np.ndarray
+    block: np.ndarray
+    bound: np.ndarray
+    n_blocks: int
     ids: list
     words: list[np.ndarray]
     answers: list[int]
@@ -76,61 +80,82 @@ def build(ids: list, texts: list[str | None]) -> Index:
         lacking = int((1 - OVERLAP) * shingles + 1e-9)
         least[i] = max(own[i] - by_item[i][:lacking].sum(), 1e-9) * (1 - 1e-9)
     w = w / least[item]
+    greatest = np.zeros(len(words))
+    np.maximum.at(greatest, item, w)
+    order = np.argsort(greatest, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    by = np.lexsort((rank[item], term))
+    term, item, w = term[by], rank[item][by], w[by]
     at_term = np.searchsorted(term, np.arange(len(terms) + 1))
     lists = list(zip(at_term[:-1], at_term[1:], strict=True))
+    n_blocks = max(1, -(-len(words) // BLOCK))
+    block, inverse = np.unique(term * n_blocks + item // BLOCK, return_inverse=True)
+    bound = np.zeros(len(block))
+    np.maximum.at(bound, inverse, w)
     return Index(
         terms,
         [item[a:z] for a, z in lists],
         [w[a:z] for a, z in lists],
-        [np.maximum.reduceat(w[a:z], np.arange(0, z - a, BLOCK)) for a, z in lists],
         np.array([w[a:z].max() for a, z in lists]) if lists else np.zeros(0),
-        ids,
-        words,
-        answers,
+        np.searchsorted(block // n_blocks, np.arange(len(terms) + 1)),
+        block % n_blocks,
+        bound,
+        n_blocks,
+        [ids[i] for i in order],
+        [words[i] for i in order],
+        [answers[i] for i in order],
         max((len(x) for x in words), default=0),
     )
 
 
+def bounds(index: Index, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """For n passages the greatest sum of block bounds over their distinct (passage, term) pairs."""
+    out = np.zeros(n)
+    step = max(1, 4_000_000 // index.n_blocks)
+    for lo in range(0, n, step):
+        a, z = np.searchsorted(passage, (lo, lo + step))
+        size = index.reach[term[a:z] + 1] - index.reach[term[a:z]]
+        entry = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(index.reach[term[a:z]], size)
+        key = np.repeat(passage[a:z] - lo, size) * index.n_blocks + index.block[entry]
+        own = min(step, n - lo)
+        out[lo : lo + own] = np.bincount(key, index.bound[entry], own * index.n_blocks).reshape(own, -1).max(1)
+    return out
+
+
 def search(index: Index, terms: list[int], threshold: float = 1.0) -> list[tuple[int, float]]:
     """All items whose score for these distinct terms reaches the threshold, by block-max WAND."""
-    cursors = [[t, 0] for t in terms]
-    items, weights, blocks = index.items, index.weights, index.blocks
+    items, weights = index.items, index.weights
+    best = {t: dict(zip(index.block[index.reach[t] : index.reach[t + 1]].tolist(), index.bound[index.reach[t] : index.reach[t + 1]].tolist(), strict=True)) for t in terms}
+    cursors = [[t, 0, items[t].tolist()] for t in terms]
     found = []
     while True:
-        cursors = [c for c in cursors if c[1] < len(items[c[0]])]
-        cursors.sort(key=lambda c: items[c[0]][c[1]])
+        cursors = sorted((c for c in cursors if c[1] < len(c[2])), key=lambda c: c[2][c[1]])
         total, pivot = 0.0, -1
-        for i, (t, _) in enumerate(cursors):
+        for i, (t, _, _) in enumerate(cursors):
             total += index.most[t]
             if total >= threshold:
                 pivot = i
                 break
         if pivot < 0:
             return found
-        at = int(items[cursors[pivot][0]][cursors[pivot][1]])
-        while pivot + 1 < len(cursors) and items[cursors[pivot + 1][0]][cursors[pivot + 1][1]] == at:
-            pivot += 1
-        upper, following = 0.0, int(items[cursors[pivot + 1][0]][cursors[pivot + 1][1]]) if pivot + 1 < len(cursors) else 2**62
-        for t, p in cursors[: pivot + 1]:  # the blocks in which the pivot lies
-            q = p + bisect_left(items[t][p:], at)
-            if q < len(items[t]):
-                b = q // BLOCK
-                upper += blocks[t][b]
-                end = min((b + 1) * BLOCK, len(items[t])) - 1
-                following = min(following, int(items[t][end]) + 1)
-        if upper < threshold:  # nothing before the end of the nearest block can reach it
-            goal = max(following, at + 1)
+        at = cursors[pivot][2][cursors[pivot][1]]
+        block = at // BLOCK
+        upper = sum(best[t].get(block, 0.0) for t, _, _ in cursors)
+        if upper < threshold:  # nothing in the pivot's block can reach it
+            goal = (block + 1) * BLOCK
         else:
             score = 0.0
-            for c in cursors[: pivot + 1]:
-                q = c[1] + bisect_left(items[c[0]][c[1] :], at)
-                if q < len(items[c[0]]) and items[c[0]][q] == at:
-                    score += float(weights[c[0]][q])
+            for t, p, own in cursors:
+                q = bisect_left(own, at, p)
+                if q < len(own) and own[q] == at:
+                    score += float(weights[t][q])
             if score >= threshold:
                 found.append((at, score))
             goal = at + 1
-        for c in cursors[: pivot + 1]:
-            c[1] += bisect_left(items[c[0]][c[1] :], goal)
+        for c in cursors:
+            if c[2][c[1]] < goal:
+                c[1] = bisect_left(c[2], goal, c[1])
 
 
 def shingles(words: np.ndarray, width: int = WIDTH) -> set[bytes]:
@@ -156,16 +181,20 @@ def _scan(index: Index):
             h = T.hashes(data, starts, ends)
             place = np.minimum(np.searchsorted(index.terms, h), max(0, len(index.terms) - 1))
             known = index.terms[place] == h if len(index.terms) else np.zeros(len(h), bool)
-            reach = np.concatenate(([0.0], np.cumsum(np.where(known, index.most[place] if len(index.most) else 0.0, 0.0))))
             n = np.diff(at)
             passages = np.maximum(1, -(-(n - window) // stride) + 1) * (n > 0)
             doc = np.repeat(np.arange(len(n)), passages)
             first = at[doc] + stride * (np.arange(len(doc)) - np.repeat(np.cumsum(passages) - passages, passages))
             last = np.minimum(first + window, at[doc + 1])
             best: dict[tuple[int, int], tuple] = {}
-            for p in np.flatnonzero(reach[last] - reach[first] >= 1.0).tolist():
+            size = last - first
+            word = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+            of = np.repeat(np.arange(len(doc)), size)[known[word]]
+            pairs = np.unique((of << 32) | place[word[known[word]]])
+            of, term = pairs >> 32, pairs & 0xFFFFFFFF
+            for p in np.flatnonzero(bounds(index, of, term, len(doc)) >= 1.0).tolist():
                 a, z = int(first[p]), int(last[p])
-                terms = np.unique(place[a:z][known[a:z]]).tolist()
+                terms = term[np.searchsorted(of, p) : np.searchsorted(of, p, "right")].tolist()
                 for item, score in search(index, terms):
                     words, answer = index.words[item], index.answers[item]
                     whole, question, reply = (overlap(h[a:z], x) for x in (words, words[:answer], words[answer:]))
