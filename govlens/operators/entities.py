@@ -1,0 +1,114 @@
+"""Sensitive text: pattern counts, spans with confidence, risk, action, redaction and the prompt guardrail.
+
+Counts and single-pattern redaction are native. Spans need offsets, priorities and claims, so they come from one Python function per Arrow batch.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from govlens.functions import checks
+
+#: (name, category, pattern, priority); a pattern with a validator in ``checks.VALIDATORS`` is validated.
+PATTERNS = (
+    ("credit_card", "pci", r"\b(?:\d{4}[ -]?){3}\d{4}\b", 3),
+    ("aws_access_key", "credentials", r"\bAKIA[0-9A-Z]{16}\b", 3),
+    ("github_token", "credentials", r"\bgh[pousr]_[A-Za-z0-9]{36}\b", 3),
+    ("private_key", "credentials", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 3),
+    ("jwt_token", "credentials", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 3),
+    ("password_config", "credentials", r"\b(?:password|senha|passwd|pwd)\s*[=:]\s*[^\s]{6,}", 3),
+    ("hex_secret", "credentials", r"\b[0-9a-f]{40}\b", 2),
+    ("email", "pii", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 2),
+    ("cpf", "pii", r"\b\d{3}\.?\d{3}\.?\d{3}[-.]?\d{2}\b", 2),
+    ("ssn", "pii", r"\b\d{3}-\d{2}-\d{4}\b", 2),
+    ("ip_address", "pii", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", 2),
+    ("phone", "pii", r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}", 1),
+    ("iban", "financial", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", 2),
+)
+WEIGHT = {"pii": 0.6, "phi": 0.9, "pci": 0.95, "financial": 0.7, "business": 0.8, "credentials": 0.99}
+ACTION = {"pii": "anonymize", "phi": "block", "pci": "block", "financial": "anonymize", "business": "block", "credentials": "block"}
+LABEL = {"pii": "[PII]", "phi": "[PHI]", "pci": "[CARD]", "financial": "[FINANCIAL]", "business": "[CONFIDENTIAL]", "credentials": "[CREDENTIAL]"}
+NEGATION = re.compile(r"\b(?:example|sample|test|fake|mock|dummy|placeholder|invalid|exemplo|teste)\b", re.I)
+KEYWORDS = {"pii": ("email", "phone", "address", "contact"), "pci": ("card", "visa", "credit"), "credentials": ("key", "token", "secret", "password"), "financial": ("bank", "account", "iban")}
+CONTEXT = 100
+
+
+def pattern_counts(docs: DataFrame, key: Sequence[str], text: str = "text", terms: Sequence[str] = ()) -> DataFrame:
+    """key, pattern, n of every pattern and whole-word term that a text has."""
+    all_ = [(n, p) for n, _, p, _ in PATTERNS] + [(f"term:{t}", rf"\b{t}\b") for t in terms]
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = [F.struct(F.lit(n).alias("pattern"), F.regexp_count(body, F.lit("(?i)" + p)).alias("n")) for n, p in all_]
+    return docs.select(*key, F.inline(F.array(*rows))).filter("n > 0")
+
+
+def _spans_of(text: str, compiled: list) -> list[tuple]:
+    """Non-overlapping spans by priority: a match that begins or ends inside a taken span is passed over."""
+    taken: list[tuple] = []
+    for name, category, rx, _ in compiled:
+        for m in rx.finditer(text):
+            s, e = m.span()
+            if not any(a <= s < b or a < e <= b for _, _, a, b, _ in taken):
+                around = text[max(0, s - CONTEXT) : e + CONTEXT].lower()
+                boost = min(0.4, 0.15 * sum(w in around for w in KEYWORDS.get(category, ())))
+                taken.append((name, category, s, e, round(max(0.0, min(1.0, 0.5 + boost - (0.3 if NEGATION.search(around) else 0.0))), 6)))
+    return sorted(taken, key=lambda x: (x[2], x[3]))
+
+
+def spans(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, seq, entity, category, start, stop, value, base confidence; then validated and confidence (a third more if valid, less if not)."""
+    kind = dict(docs.dtypes)[key]
+    ordered = sorted(PATTERNS, key=lambda p: -p[3])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled = [(n, c, re.compile(p, re.I | re.A), k) for n, c, p, k in ordered]
+        for pdf in batches:
+            rows = [(k, i, n, c, s, e, t[s:e], conf) for k, t in zip(pdf[key], pdf[text], strict=True) if t for i, (n, c, s, e, conf) in enumerate(_spans_of(t, compiled))]
+            yield pd.DataFrame(rows, columns=[key, "seq", "entity", "category", "start", "stop", "value", "base"])
+
+    found = docs.select(key, text).mapInPandas(run, f"{key} {kind}, seq int, entity string, category string, start int, stop int, value string, base double")
+    valid = F.lit(None).cast("boolean")
+    for n, f in checks.VALIDATORS.items():
+        valid = F.when(F.col("entity") == n, f(F.col("value"))).otherwise(valid)
+    found = found.withColumn("valid", valid)
+    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("base") + F.when(F.col("valid"), 0.35).when(~F.col("valid"), -0.15).otherwise(0.0)))
+    return found.select(key, "seq", "entity", "category", "start", "stop", "value", F.coalesce("valid", F.lit(False)).alias("validated"), conf.alias("confidence"))
+
+
+def risk(found: DataFrame, key: str, least: float = 0.5, block_at: float = 0.8, block_count: int = 10) -> DataFrame:
+    """key, entities, validated, strong, risk, action per document with an entity of at least ``least`` confidence."""
+    w = F.create_map(*[F.lit(x) for kv in WEIGHT.items() for x in kv])[F.col("category")]
+    a = F.create_map(*[F.lit(x) for kv in ACTION.items() for x in kv])[F.col("category")]
+    own = found.filter(F.col("confidence") >= least)
+    per = own.groupBy(key).agg(
+        F.count(F.lit(1)).alias("entities"), F.count_if("validated").alias("validated"), F.count_if(F.col("confidence") >= 0.8).alias("strong"),
+        F.sum(w * F.col("confidence") * F.when(F.col("validated"), 1.2).otherwise(1.0)).alias("x"), F.max((a == "block").cast("int")).alias("b"), F.max((a == "anonymize").cast("int")).alias("m"),
+    )
+    score = F.col("x") / (F.col("x") + 5)
+    action = F.when(score >= block_at, "block").when(F.col("entities") >= block_count, "block").when(F.col("b") == 1, "block").when(F.col("m") == 1, "anonymize").otherwise("warn")
+    return per.select(key, "entities", "validated", "strong", score.alias("risk"), action.alias("action"))
+
+
+def redact(c: Column, patterns: Sequence[tuple] = PATTERNS) -> Column:
+    """Text with every pattern, the stronger first, replaced by its category's label."""
+    for _, category, p, _ in sorted(patterns, key=lambda x: -x[3]):
+        c = F.regexp_replace(c, "(?i)" + p, LABEL[category].replace("[", "\\[").replace("]", "\\]"))
+    return c
+
+
+def guardrail(prompts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, action, text to send on: none where blocked, redacted where anonymised, else as it is."""
+    acted = risk(spans(prompts, key, text), key).select(key, "action")
+    out = prompts.select(key, text).join(acted, key, "left").withColumn("action", F.coalesce("action", F.lit("allow")))
+    return out.select(key, "action", F.when(F.col("action") == "anonymize", redact(F.col(text))).when(F.col("action") != "block", F.col(text)).alias("sent"))
+
+
+def retention(sessions: DataFrame, now: str, days: int = 30) -> DataFrame:
+    """Sessions with their outcome: delete_now, expires (with days left) or forever."""
+    age = F.datediff(F.lit(now).cast("date"), F.col("created").cast("date"))
+    keep = F.when(F.col("policy") == "forever", "forever").when(age >= days, "delete_now").otherwise("expires")
+    return sessions.withColumn("outcome", keep).withColumn("days_left", F.when(F.col("outcome") == "expires", days - age))
