@@ -25,16 +25,16 @@ CAPACITY = 2048
 PART = 20_000
 ROUNDS = 6
 #: Chunks whose ids a Python worker remembers.
-REMEMBERED = 400_000
-#: A run of white space with the run of other characters behind it: the tokenizer's own pattern never crosses from the
-#: second kind to the first, so a text's ids are those of its chunks, one after the other.
-_CHUNK = re.compile(r"\s*\S+|\s+")
+REMEMBERED = 800_000
+#: Chunks of a text whose ids, one after the other, are the text's: the tokenizer's own pattern never goes on from a mark to white
+#: space or from a letter to an ASCII mark, takes a single line end before a mark by itself, and looks ahead in white space only.
+_CHUNK = re.compile(r"\n(?=\S)|\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\s!-@\[-`{-~])|\s*\S+|\s+")
 
 _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """(tokenizer, remembered ids by chunk) of this Python worker."""
+    """(tokenizer, bytes of each id, remembered ids by chunk) of this Python worker."""
     if path not in _tokenizers:
         import os
 
@@ -43,23 +43,54 @@ def _tokenizer(path: str) -> tuple:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _tokenizers[path] = (t, {})
+        vocabulary = t.get_vocab(with_added_tokens=False)
+        size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            size[i] = len(token)  # a byte is a character of the token's name
+        _tokenizers[path] = (t, size, {})
     return _tokenizers[path]
 
 
+def _learn(chunks: list[str], tokenizer, size: np.ndarray, known: dict[str, bytes]) -> None:
+    """Remembers the ids of new chunks; those that begin with a space go through the tokenizer a hundred at a time."""
+    joined = [c for c in chunks if c[0] == " " and c[-1] > " "]
+    alone = [c for c in chunks if c[0] != " " or c[-1] <= " "]
+    groups = [joined[i : i + 100] for i in range(0, len(joined), 100)]
+    for group, e in zip(groups, tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, "<u4")
+        ends, reach = np.cumsum([len(c.encode()) for c in group]), np.cumsum(size[ids])
+        at = np.searchsorted(reach, ends) + 1
+        if not np.array_equal(reach[np.minimum(at, len(reach)) - 1], ends):
+            alone += group
+            continue
+        raw, a = ids.tobytes(), 0
+        for c, z in zip(group, (4 * at).tolist(), strict=True):
+            known[c] = raw[a:z]
+            a = z
+    for c, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+        known[c] = np.array(e.ids, "<u4").tobytes()
+
+
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit, with the closing id 0."""
-    tokenizer, known = _tokenizer(path)
+    tokenizer, size, known = _tokenizer(path)
     if len(known) > REMEMBERED:
         known.clear()
-    chunks = [_CHUNK.findall(t) for t in texts]
-    new = list({c for cs in chunks for c in cs if c not in known})
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for c, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-    get = known.__getitem__
-    return [b"".join(map(get, cs)) + b"\0\0\0\0" for cs in chunks]
+    out: list[bytes] = []
+    for i in range(0, len(texts), 200):
+        waiting, new = [], set()
+        for text in texts[i : i + 200]:
+            chunks = _CHUNK.findall(text)
+            parts = list(map(known.get, chunks))
+            gaps = [(k, chunks[k]) for k, p in enumerate(parts) if p is None]
+            new.update([c for _, c in gaps])
+            waiting.append((parts, gaps))
+        _learn(list(new), tokenizer, size, known)
+        for parts, gaps in waiting:
+            for k, c in gaps:
+                parts[k] = known[c]
+            out.append(b"".join(parts) + b"\0\0\0\0")
+    return out
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
