@@ -23,10 +23,10 @@ ENTRY = "digest binary, doc_id long, uid long, file string, block long"
 BEST = "struct<doc_id:long,uid:long,file:string,block:long>"
 
 
-def with_digest(docs: DataFrame) -> DataFrame:
+def with_digest(docs: DataFrame, norm: str = "norm", digest: str = "digest") -> DataFrame:
     """Adds ``norm`` (the text with A-Z lower-cased, null as empty) and its SHA-256."""
-    docs = docs.withColumn("norm", ascii_lower(F.coalesce(F.col("text"), F.lit(""))))
-    return docs.withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    docs = docs.withColumn(norm, ascii_lower(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn(digest, F.unhex(F.sha2(norm, 256)))
 
 
 def entries(docs: DataFrame) -> DataFrame:
@@ -116,11 +116,12 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs that ``dedup`` keeps, with all their columns."""
-    decided = table(dedup(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias("digest")), "dedup-kept")
-    rows = with_digest(docs).drop("norm")
-    match = rows["doc_id"].eqNullSafe(decided["doc_id"]) & (rows["digest"] == decided["digest"])
+    own = "__dedup_digest"
+    decided = table(dedup(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias(own)), "dedup-kept")
+    rows = with_digest(docs, "__dedup_norm", own).drop("__dedup_norm")
+    match = rows["doc_id"].eqNullSafe(decided["doc_id"]) & (rows[own] == decided[own])
     kept = rows.join(decided, match, "left_semi")
-    again = table(kept.groupBy("doc_id", "digest").count().filter("count > 1").select("digest"), "dedup-again")
+    again = table(kept.groupBy("doc_id", own).count().filter("count > 1").select(own), "dedup-again")
     if not again.isEmpty():  # the same row several times over
-        kept = kept.join(again, "digest", "left_anti").unionByName(kept.join(again, "digest", "left_semi").dropDuplicates(["digest", "doc_id"]))
+        kept = kept.join(again, own, "left_anti").unionByName(kept.join(again, own, "left_semi").dropDuplicates([own, "doc_id"]))
     return kept.select(*docs.columns)
