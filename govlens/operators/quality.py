@@ -205,18 +205,19 @@ def as_metric(df: DataFrame, dimension: str, column: str | None, value: str, thr
     return df.select(F.lit(dimension).alias("dimension"), name.alias("column_name"), F.col(value).cast("double").alias("value"), F.lit(float(threshold)).alias("threshold"), F.col("status"))
 
 
-_RANK = F.create_map(*[F.lit(x) for kv in (("failed", 3), ("warning", 2), ("passed", 1), ("skipped", 0)) for x in kv])
+def _rank(c: Column) -> Column:
+    return F.when(c == "failed", 3).when(c == "warning", 2).when(c == "passed", 1).otherwise(0)
 
 
 def dimension_scores(metrics: DataFrame) -> DataFrame:
     """dimension, checks, score (mean without skipped), worst status."""
-    worst = F.max(F.struct(_RANK[F.col("status")].alias("r"), F.col("status").alias("s")))
+    worst = F.max(F.struct(_rank(F.col("status")).alias("r"), F.col("status").alias("s")))
     return metrics.groupBy("dimension").agg(F.count(F.lit(1)).alias("checks"), F.avg(F.when(F.col("status") != "skipped", F.col("value"))).alias("score"), worst["s"].alias("worst_status"))
 
 
 def summary(metrics: DataFrame) -> DataFrame:
     """checks, passed, warning, failed, skipped, score and the worst status of all."""
-    worst = F.max(F.struct(_RANK[F.col("status")].alias("r"), F.col("status").alias("s")))
+    worst = F.max(F.struct(_rank(F.col("status")).alias("r"), F.col("status").alias("s")))
     counts = [F.count_if(F.col("status") == s).alias(s) for s in ("passed", "warning", "failed", "skipped")]
     return metrics.agg(F.count(F.lit(1)).alias("checks"), *counts, F.avg(F.when(F.col("status") != "skipped", F.col("value"))).alias("score"), worst["s"].alias("worst_status"))
 
