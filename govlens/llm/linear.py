@@ -1,7 +1,7 @@
 """Cumulative-link (ordinal) regression over hashed text features, fitted on bounded and scored on all data.
 
-P(grade > k) = sigmoid(weights . features - threshold_k) with one weight vector and ordered thresholds. Features are selected on
-counts over all labelled rows; the fit then runs on a bounded sample of them.
+P(grade > k) = sigmoid(weights . features - threshold_k) with one weight vector and ordered thresholds. Features are selected and weights fitted
+on a bounded sample of the labelled rows, which a hash of their ids picks; so the labels are small enough to broadcast, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govlens.llm import text as T
 from govlens.llm.common import small_batches
 
 BITS = 18
-#: Labelled rows that a fit takes at most, and features that a model has at most.
+#: Labelled rows that a model learns from at most (16 bytes each, broadcast), and features that it has at most.
 FIT_ROWS = 20_000
 FEATURES = 4096
 #: Least likelihood-ratio statistic of a feature against the grades.
@@ -61,18 +61,20 @@ def _count(featurise: Featurise, grades: list[int], ranges: int):
             r, f = pairs_once(*featurise(b.column("text")))
             sums += np.bincount(f * len(grades) + grade[r], minlength=sums.size).reshape(sums.shape)
         for i, part in enumerate(np.split(sums, ranges)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["range", "sums"])
+            flat = part.ravel()
+            there = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.stack((there, flat[there])).astype(np.int32).tobytes()], pa.binary())], ["range", "sums"])
 
     return run
 
 
-def _add(shape: tuple[int, int]):
+def _add(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for b in batches:
             for i, s in zip(b.column("range").to_pylist(), b.column("sums").to_pylist(), strict=True):
-                part = np.frombuffer(s, np.int64)
-                found[i] = found[i] + part if i in found else part
+                there, n = np.frombuffer(s, np.int32).reshape(2, -1)
+                found.setdefault(i, np.zeros(size, np.int64))[there] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["range", "sums"])
 
     return run
@@ -130,28 +132,33 @@ def fit_ordinal(rows: np.ndarray, features: np.ndarray, grade: np.ndarray, grade
     return w, first + np.concatenate(([0.0], np.cumsum(np.exp(gap))))
 
 
-def train(labelled: DataFrame, featurise: Featurise, fit_rows: int = FIT_ROWS, ranges: int = 16) -> Model:
-    """A model from rows of text and integer grade: features from all of them, weights from at most ``fit_rows``."""
-    spark = labelled.sparkSession
-    small_batches(spark)
-    labelled = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("grade").cast("int").alias("grade"), F.col("order"))
+def sample(docs: DataFrame, labels: DataFrame, grade: str, keep: Column, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Text and grade of at most ``fit_rows`` labelled documents for which ``keep`` holds; of several labels of a document the highest counts.
+
+    A label without doc_id or grade is passed over.
+    """
+    known = labels.select("doc_id", F.col(grade).cast("int").alias("grade")).dropna().filter(keep)
+    known = known.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("text", "grade")
+
+
+def train(labelled: DataFrame, featurise: Featurise, ranges: int = 16) -> Model:
+    """A model from a bounded number of rows of text and integer grade."""
+    small_batches(labelled.sparkSession)
     sizes = {r.grade: r["count"] for r in labelled.groupBy("grade").count().collect()}
     grades = sorted(sizes)
     weights = np.zeros(1 << BITS, np.float32)
     if len(grades) < 2:
         return Model(grades or [0, 1], weights, np.zeros(max(0, len(grades or [0, 1]) - 1)))
-    counted = labelled.select("text", "grade").mapInArrow(_count(featurise, grades, ranges), "range int, sums binary")
-    counted = counted.repartition(ranges, "range").mapInArrow(_add((1 << BITS, len(grades))), "range int, sums binary")
+    counted = labelled.mapInArrow(_count(featurise, grades, ranges), "range int, sums binary")
+    counted = counted.repartition(ranges, "range").mapInArrow(_add((1 << BITS) // ranges * len(grades)), "range int, sums binary")
     parts = {r["range"]: np.frombuffer(r["sums"], np.int64).reshape(-1, len(grades)) for r in counted.collect()}
     counts = np.concatenate([parts[i] for i in range(ranges)])
     told = evidence(counts, np.array([sizes[g] for g in grades]))
     told[counts.sum(1) < 3] = 0
     chosen = np.argsort(-told, kind="stable")[:FEATURES]
     chosen = np.sort(chosen[told[chosen] >= EVIDENCE])
-    if sum(sizes.values()) > fit_rows:
-        cut = labelled.approxQuantile("order", [fit_rows / sum(sizes.values())], 0.001)[0]
-        labelled = labelled.filter(F.col("order") <= cut)
-    taken = labelled.select("text", "grade").mapInArrow(_pick(featurise, chosen), "grade int, features array<int>").limit(2 * fit_rows).toPandas()
+    taken = labelled.mapInArrow(_pick(featurise, chosen), "grade int, features array<int>").toPandas()
     number = np.full(1 << BITS, -1)
     number[chosen] = np.arange(len(chosen))
     rows = np.repeat(np.arange(len(taken)), [len(f) for f in taken["features"]])

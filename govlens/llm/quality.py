@@ -51,11 +51,9 @@ def featurise(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, ratings: DataFrame, grade: str = "quality", fit_rows: int = linear.FIT_ROWS) -> linear.Model:
-    """A model from the rated documents whose crc32(doc_id as text) mod 5 is not 0; a rating without doc_id or grade is passed over."""
-    rated = ratings.select("doc_id", F.col(grade).cast("int").alias("grade")).dropna().groupBy("doc_id").agg(F.max("grade").alias("grade"))
-    rated = rated.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    labelled = docs.select("doc_id", "text").join(rated, "doc_id")
-    return linear.train(labelled.withColumn("order", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))), featurise, fit_rows)
+    """A model from at most ``fit_rows`` of the rated documents whose crc32(doc_id as text) mod 5 is not 0."""
+    learns = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    return linear.train(linear.sample(docs, ratings, grade, learns, fit_rows), featurise)
 
 
 def score(docs: DataFrame, model: linear.Model, accept: int | None = None) -> DataFrame:
