@@ -225,12 +225,9 @@ def held_out(doc_id: str = "doc_id", mod: int = 5):
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 5, fit_rows: int = linear.FIT_ROWS) -> tuple[linear.Model, np.ndarray]:
-    """(classifier, character model); labels come from rows that aren't held out, a label without doc_id or mark is passed over."""
+    """(classifier, character model); labels come from at most ``fit_rows`` rows that aren't held out."""
     characters = character_model(docs)
-    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("grade")).dropna().groupBy("doc_id").agg(F.max("grade").alias("grade"))
-    marks = marks.filter(~held_out(mod=mod))
-    labelled = docs.select("doc_id", "text").join(marks, "doc_id").withColumn("order", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)))
-    return linear.train(labelled, featuriser(characters), fit_rows), characters
+    return linear.train(linear.sample(docs, labels, "toxic", ~held_out(mod=mod), fit_rows), featuriser(characters)), characters
 
 
 def score(docs: DataFrame, model: linear.Model, characters: np.ndarray, mod: int = 5) -> DataFrame:
