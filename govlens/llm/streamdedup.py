@@ -20,6 +20,8 @@ STATE = {
 }
 #: What the stream carries of a row; the text itself never enters state. uid tells rows apart that are the same.
 ENTRY = "digest binary, doc_id long, uid long, file string, block long"
+#: Digests or dropped rows up to this many are broadcast (some 40 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 BEST = "struct<doc_id:long,uid:long,file:string,block:long>"
 
 
@@ -77,6 +79,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = table(keep_state(spark, narrow.scratch_path, checkpoint, sink), "dedup-groups")
     drop(spark, checkpoint, sink)
     hits = state.filter("seen > 1").select("digest")
+    hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
     # full bytes of everything that hit, summed up where it lies before it moves
     texts = with_digest(docs.select("doc_id", "text")).join(hits, "digest", "left_semi")
     texts = texts.groupBy("digest", "norm").agg(F.max(F.col("doc_id").cast("long")).alias("top"), F.count(F.lit(1)).alias("n"))
@@ -116,12 +119,18 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs that ``dedup`` keeps, with all their columns."""
-    own = "__dedup_digest"
-    decided = table(dedup(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias(own)), "dedup-kept")
-    rows = with_digest(docs, "__dedup_norm", own).drop("__dedup_norm")
-    match = rows["doc_id"].eqNullSafe(decided["doc_id"]) & (rows[own] == decided[own])
-    kept = rows.join(decided, match, "left_semi")
-    again = table(kept.groupBy("doc_id", own).count().filter("count > 1").select(own), "dedup-again")
-    if not again.isEmpty():  # the same row several times over
-        kept = kept.join(again, own, "left_anti").unionByName(kept.join(again, own, "left_semi").dropDuplicates([own, "doc_id"]))
+    own, mark = "__dedup_digest", "__dedup_norm"
+    decided = table(dedup(docs).select("doc_id", F.unhex("text_sha256").alias(own), "kept"), "dedup-decided")
+    pairs = decided.groupBy("doc_id", own).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    pairs = table(pairs.filter("not kept or n > 1"), "dedup-odd")
+    rows = with_digest(docs, mark, own).drop(mark)
+
+    def match(few: DataFrame):
+        return rows["doc_id"].eqNullSafe(few["doc_id"]) & (rows[own] == few[own])
+
+    odd = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+    kept = rows.join(odd, match(odd), "left_anti")  # what is neither dropped nor there several times
+    several = pairs.filter("kept")
+    if not several.isEmpty():
+        kept = kept.unionByName(rows.join(several, match(several), "left_semi").dropDuplicates([own, "doc_id"]))
     return kept.select(*docs.columns)
