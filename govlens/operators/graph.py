@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -373,10 +373,58 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, most: int =
     return sources.mapInPandas(run, "id string, score double").groupBy("id").agg(F.sum("score").alias("score"))
 
 
-def complexity_band(nodes: Column, density: Column, cyclic: Column, parts: Column) -> Column:
-    """simple, moderate, complex or very complex by points: nodes over 20, 50, 100; cycles 2; density over .15, .3; over 3 components."""
-    points = F.when(nodes > 100, 3).when(nodes > 50, 2).when(nodes > 20, 1).otherwise(0) + F.when(cyclic, 2).otherwise(0) + F.when(density > 0.3, 2).when(density > 0.15, 1).otherwise(0) + F.when(parts > 3, 1).otherwise(0)
-    return F.when(points >= 5, "very complex").when(points >= 3, "complex").when(points >= 1, "moderate").otherwise("simple")
+def complexity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, density, cyclic, components, complexity band and parallel share in percent.
+
+    Points: nodes over 20, 50, 100; cycles 2; density over .15, .3; more than 3 components. The share starts at 30 with several sources or sinks, else 10, and
+    grows with low density and several components, to 90 at most.
+    """
+    m = metrics(nodes, edges).join(cycle_summary(nodes, edges)).join(weak_components(nodes, edges).agg(F.countDistinct("component").alias("components")))
+    ends = roles(nodes, edges).agg(F.count_if("source").alias("sources"), F.count_if("sink").alias("sinks"))
+    m = m.join(ends)
+    n, dens, parts = F.col("nodes"), F.col("density"), F.col("components")
+    points = F.when(n > 100, 3).when(n > 50, 2).when(n > 20, 1).otherwise(0) + F.when(F.col("has_cycle"), 2).otherwise(0) + F.when(dens > 0.3, 2).when(dens > 0.15, 1).otherwise(0) + F.when(parts > 3, 1).otherwise(0)
+    band = F.when(points >= 6, "very high").when(points >= 4, "high").when(points >= 2, "moderate").otherwise("low")
+    share = F.when((F.col("sources") > 1) | (F.col("sinks") > 1), 30).otherwise(10) + F.when(dens < 0.1, 40).when(dens < 0.2, 20).otherwise(0) + F.when(parts > 1, 20).otherwise(0)
+    return m.select("nodes", "density", F.col("has_cycle").alias("cyclic"), "components", band.alias("band"), F.when(n == 0, 0).otherwise(F.least(share, F.lit(90))).alias("parallel_percent"))
+
+
+def task_metrics(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """dag, tasks, width (most tasks with equally many dependencies), bottlenecks (over 3 in or out), sources, sinks of tables of tasks and edges per dag."""
+    e = edges.select("dag", "src", "dst").distinct()
+    fan_in = e.groupBy("dag", F.col("dst").alias("task")).agg(F.count(F.lit(1)).alias("i"))
+    fan_out = e.groupBy("dag", F.col("src").alias("task")).agg(F.count(F.lit(1)).alias("o"))
+    t = tasks.select("dag", "task").distinct().join(fan_in, ["dag", "task"], "left").join(fan_out, ["dag", "task"], "left").select("dag", "task", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("o", F.lit(0)).alias("o"))
+    width = t.groupBy("dag", "i").count().groupBy("dag").agg(F.max("count").alias("width"))
+    per = t.groupBy("dag").agg(F.count(F.lit(1)).alias("tasks"), F.count_if((F.col("i") > 3) | (F.col("o") > 3)).alias("bottlenecks"), F.count_if(F.col("i") == 0).alias("sources"), F.count_if(F.col("o") == 0).alias("sinks"))
+    return per.join(width, "dag")
+
+
+def clusters(nodes: DataFrame, parts: int = 1) -> DataFrame:
+    """cluster, nodes: nodes grouped by the first parts of their dotted (or colon) names."""
+    name = F.array_join(F.slice(F.split("id", "[.:]"), 1, parts), ".")
+    return nodes.groupBy(name.alias("cluster")).agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def component_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """component and the longest common beginning of its nodes' names: that of the least and the greatest name."""
+    per = weak_components(nodes, edges).groupBy("component").agg(F.min("id").alias("a"), F.max("id").alias("z"))
+    prefix = F.expr("array_max(transform(filter(sequence(0, least(length(a), length(z))), k -> substring(a, 1, k) = substring(z, 1, k)), k -> k))")
+    return per.select("component", F.expr("a").substr(F.lit(1), prefix).alias("prefix"))
+
+
+def code_references(files: DataFrame, text: str = "text") -> DataFrame:
+    """file, kind, name of tables that code reads and writes: spark.table and saveAsTable calls, CREATE, INSERT and MERGE targets, resources."""
+    kinds = {
+        "read": r"""spark\.(?:read\.)?table\(\s*["']([\w.]+)["']""", "save": r"""saveAsTable\(\s*["']([\w.]+)["']""", "create": r"(?i)create\s+(?:or\s+replace\s+)?table\s+([\w.]+)",
+        "insert": r"(?i)insert\s+(?:into|overwrite)\s+(?:table\s+)?([\w.]+)", "merge": r"(?i)merge\s+into\s+([\w.]+)", "resource": r'resource\s+"[\w-]+"\s+"([\w-]+)"',
+    }
+
+    def hits(kind: str, pattern: str):
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), F.lower(x).alias("name")))
+
+    each = [hits(k, p) for k, p in kinds.items()]
+    return files.select("file", F.inline(F.flatten(F.array(*each)))).distinct()
 
 
 def top_nodes(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from govlens.plans import catalogue, discovery, entities, governance, jobs, lineage, quality, value
+from govlens.plans import catalogue, discovery, entities, extras, governance, jobs, lineage, quality, value
 
-REGISTRIES: list = [(m.QUERIES, m.ORACLE) for m in (quality, catalogue, lineage, value, governance, discovery, entities, jobs)]
+REGISTRIES: list = [(m.QUERIES, m.ORACLE) for m in (quality, catalogue, lineage, value, governance, discovery, entities, jobs, extras)]
