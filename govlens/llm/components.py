@@ -1,37 +1,12 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of a link table: the engine's alternating stars, under the names that near dedup uses."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from govlens.llm.common import gone, table
+from govlens.operators import graph
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) of every node of an edge; component is its component's least id.
-
-    Each round moves every node to the least of its neighbours, first from its larger neighbours' side, then from its
-    smaller ones'; rounds are written to the shared folder, so a lost executor costs one round.
-    """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v")).distinct()
-    now = table(pairs, "cc-edges")
-    before = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == before or mark["n"] == 0:
-            break
-        before = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = table(large.filter(F.col("u") != F.col("v")).distinct(), "cc-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        following = table(small.filter(F.col("u") != F.col("v")).distinct(), "cc-edges")
-        gone(now, large)
-        now = following
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
+    """(id, component) of every node of an edge; component is its component's least id."""
+    return graph.components(edges, a, b)
