@@ -148,3 +148,60 @@ def teams_of(text: Column) -> Column:
     low = F.lower(text)
     hit = lambda words: F.array_max(F.array(*[low.contains(w) for w in words]))
     return F.array_compact(F.array(*[F.when(hit(ws), k) for k, ws in TEAMS.items()]))
+
+
+def runtime_denials(requests: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Requests to an external provider whose text holds personal data, by an equi join with the entities found in it."""
+    personal = found.filter("category = 'pii'").select(key).distinct()
+    hit = requests.filter("provider = 'external_llm'").join(personal, key, "left_semi")
+    return hit.select(key, F.lit("personal data to an external provider").alias("reason"))
+
+
+def suggested_dimensions(columns: DataFrame) -> DataFrame:
+    """table_name and the quality dimensions that its columns' names call for."""
+    low = F.lower("column_name")
+    kinds = F.array_compact(F.array(F.lit("completeness"), F.when(low.contains("id") | low.endswith("key"), "uniqueness"), F.when(low.contains("date") | low.contains("ts"), "freshness"), F.when(low.contains("status") | low.contains("type"), "validity")))
+    return columns.select("table_name", F.explode(kinds).alias("dimension")).groupBy("table_name").agg(F.sort_array(F.collect_set("dimension")).alias("dimensions"))
+
+
+def evidence(requests: DataFrame, quality: DataFrame, classes: DataFrame) -> DataFrame:
+    """Requests with what is known of their dataset: quality score, class, and whether anything is missing."""
+    out = requests.join(quality.select("dataset", "score"), "dataset", "left").join(classes.select("dataset", "level"), "dataset", "left")
+    return out.select("request_id", "dataset", "score", "level", (F.col("score").isNotNull() & F.col("level").isNotNull()).alias("complete"))
+
+
+def compared(scored: DataFrame, ids: Sequence, key: str, score: str) -> DataFrame:
+    """The given items, the best first, with their distance to it."""
+    own = scored.filter(F.col(key).isin(list(ids)))
+    top = own.agg(F.max(score).alias("top"))
+    return own.join(F.broadcast(top)).select(key, score, (F.col("top") - F.col(score)).alias("behind")).orderBy(F.desc(score), key)
+
+
+def flat_concepts(groups: DataFrame) -> DataFrame:
+    """taxonomy, concepts, aliases of nested groups of concepts."""
+    each = groups.select("taxonomy", F.explode("concepts").alias("c"))
+    return each.groupBy("taxonomy").agg(F.count(F.lit(1)).alias("concepts"), F.sum(F.size("c.aliases")).alias("aliases"))
+
+
+def snippets(ranked: DataFrame, docs: DataFrame, key: str, text: str = "text", length: int = 300) -> DataFrame:
+    """Ranked rows with the beginning of their text."""
+    return ranked.join(docs.select(key, F.substring(text, 1, length).alias("snippet")), key)
+
+
+def contexts(found: DataFrame, key: str, category: str, text: str, n: int = 3) -> DataFrame:
+    """key and the n best texts of each category, joined; found: key, category, rank, text."""
+    best = found.filter(F.col("rank") <= n)
+    each = F.struct(category, "rank", F.col(text).alias("t"))
+    return best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["t"]), "\n").alias("context"))
+
+
+def insights(measures: DataFrame) -> DataFrame:
+    """kind, severity, value rows of graph measures over their limits, the gravest first; measures: kind, value, limit, severity."""
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    return measures.filter("value > limit").select("kind", "severity", "value").orderBy(rank, "kind")
+
+
+def graph_risk(failure_points: Column, cyclic: Column, bottlenecks: Column) -> Column:
+    """high over 10 points, medium over 5: two for a point of failure, five for a cycle, one for a bottleneck."""
+    points = 2 * failure_points + F.when(cyclic, 5).otherwise(0) + bottlenecks
+    return F.when(points > 10, "high").when(points > 5, "medium").otherwise("low")

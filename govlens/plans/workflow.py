@@ -155,13 +155,52 @@ def stream_guardrail(spark, d):
     return stream.run_to_table(spark, path, spark.read.parquet(path).schema, plan, "stream-guardrail", mode="append")
 
 
+def runtime_denials(spark, d):
+    prompts = read(spark, d, "documents").selectExpr("doc_id", "text", "IF(doc_id % 2 = 0, 'external_llm', 'internal') AS provider")
+    return w.runtime_denials(prompts, entities.spans(prompts, "doc_id"), "doc_id")
+
+
+def suggested_dimensions(spark, d):
+    return w.suggested_dimensions(_columns(spark, d))
+
+
+def evidence(spark, d):
+    requests = read(spark, d, "orders").selectExpr("o_orderkey AS request_id", "'d' || (o_custkey % 40) AS dataset")
+    quality = read(spark, d, "nation").selectExpr("'d' || n_nationkey AS dataset", "n_nationkey / 25 AS score")
+    classes = read(spark, d, "supplier").filter("s_suppkey < 30").selectExpr("'d' || s_suppkey AS dataset", "IF(s_suppkey % 2 = 0, 'internal', 'public') AS level")
+    return w.evidence(requests, quality, classes).withColumn("score", F.round("score", 6))
+
+
+def flat_concepts(spark, d):
+    each = read(spark, d, "part").select(F.col("p_brand").alias("taxonomy"), "p_type", F.struct(F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array()).alias("aliases")).alias("c"))
+    return w.flat_concepts(each.groupBy("taxonomy", "p_type").agg(F.collect_list("c").alias("concepts")))
+
+
+def snippets(spark, d):
+    ranked, _ = _hybrid(spark, d)
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return w.snippets(ranked.filter("rank <= 5"), docs, "vec_id").select("query_id", "vec_id", "rank", "snippet")
+
+
+def scoring_snapshot(spark, d):
+    """The projection that a scoring job reads."""
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("subscriber"), F.col("c_mktsegment").alias("plan"), F.round(F.col("c_acctbal") / 10000, 6).alias("score"), (F.col("c_acctbal") < 0).alias("at_risk"))
+
+
 QUERIES = {
+    "policy_runtime_denials": runtime_denials, "govern_suggested_dimensions": suggested_dimensions, "govern_evidence": evidence, "taxonomy_flat_concepts": flat_concepts, "discovery_snippets": snippets, "etl_scoring_snapshot": scoring_snapshot,
     "catalog_search": catalog_search, "catalog_naming_violations": naming_violations, "classify_merged_labels": merged_labels, "govern_term_conflicts": term_conflicts, "govern_impacted_rules": impacted_rules, "lineage_reference_types": reference_types,
     "catalog_table_text": table_text, "govern_escalated": escalated, "govern_approvers": approvers, "govern_pending": pending, "lineage_task_flags": task_flags, "lineage_task_edges": task_edges, "discovery_confidence": confidence,
     "discovery_guided_plan": guided_plan, "portfolio_cost_totals": cost_totals, "govern_concerned_teams": concerned_teams, "stream_guardrail": stream_guardrail,
 }
 
 ORACLE = {
+    "govern_suggested_dimensions": f"""WITH {_C}, k AS (SELECT table_name, unnest(['completeness', CASE WHEN contains(lower(column_name), 'id') OR ends_with(lower(column_name), 'key') THEN 'uniqueness' END, CASE WHEN contains(lower(column_name), 'date') OR contains(lower(column_name), 'ts') THEN 'freshness' END,
+      CASE WHEN contains(lower(column_name), 'status') OR contains(lower(column_name), 'type') THEN 'validity' END]) AS dimension FROM c) SELECT table_name, list_sort(list(DISTINCT dimension)) AS dimensions FROM k WHERE dimension IS NOT NULL GROUP BY 1""",
+    "govern_evidence": """SELECT o_orderkey AS request_id, 'd' || (o_custkey % 40) AS dataset, round(n_nationkey / 25, 6) AS score, CASE WHEN s_suppkey % 2 = 0 THEN 'internal' WHEN s_suppkey IS NOT NULL THEN 'public' END AS level, n_nationkey IS NOT NULL AND s_suppkey IS NOT NULL AS complete
+      FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 40 LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 30) ON s_suppkey = o_custkey % 40""",
+    "taxonomy_flat_concepts": "SELECT p_brand AS taxonomy, count(*) AS concepts, sum(CASE WHEN p_size % 3 = 0 THEN 2 ELSE 0 END)::BIGINT AS aliases FROM part GROUP BY 1",
+    "etl_scoring_snapshot": "SELECT c_custkey AS subscriber, c_mktsegment AS plan, round(c_acctbal / 10000, 6) AS score, c_acctbal < 0 AS at_risk FROM customer",
     "catalog_search": f"WITH {_C} SELECT table_name, column_name FROM c WHERE contains(lower(column_name), 'key') ORDER BY column_name, table_name LIMIT 20",
     "catalog_naming_violations": f"WITH {_C} SELECT 'column' AS scope, column_name AS name, 'prefix' AS rule FROM c WHERE NOT regexp_matches(column_name, '^[a-z]_[a-z]+$') OR contains(lower(column_name), 'type') UNION ALL SELECT 'column', column_name, 'short' FROM c WHERE length(column_name) > 12",
     "classify_merged_labels": _MERGED,
