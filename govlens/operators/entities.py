@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from govlens.functions import checks
 
+# Patterns of entities, weights and actions of categories.
 #: (name, category, pattern, priority); a pattern with a validator in ``checks.VALIDATORS`` is validated.
 PATTERNS = (
     ("credit_card", "pci", r"\b(?:\d{4}[ -]?){3}\d{4}\b", 3),
