@@ -19,12 +19,16 @@ def _clean(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r'["`\[\]]', ""))
 
 
-def references(log: DataFrame, query: str = "query") -> DataFrame:
-    """log_id, seq, keyword, asset of every table that follows FROM, JOIN, INTO or UPDATE; a regex job over the log, no parser."""
+def _spread(log: DataFrame, query: str) -> DataFrame:
+    """log with seq, keyword and asset of every table that follows FROM, JOIN, INTO or UPDATE."""
     found = F.regexp_extract_all(F.col(query), F.lit(rf"(?i)\b(from|join|into|update)\s+({_NAME})"), F.lit(0))
-    each = log.select("log_id", F.posexplode(found).alias("seq", "hit"))
     parts = F.split(F.trim("hit"), r"\s+")
-    return each.select("log_id", "seq", F.lower(parts[0]).alias("keyword"), _clean(parts[1]).alias("asset"))
+    return log.select("*", F.posexplode(found).alias("seq", "hit")).withColumns({"keyword": F.lower(parts[0]), "asset": _clean(parts[1])}).drop("hit")
+
+
+def references(log: DataFrame, query: str = "query") -> DataFrame:
+    """log_id, seq, keyword, asset of every table reference; a regex job over the log, no parser."""
+    return _spread(log, query).select("log_id", "seq", "keyword", "asset")
 
 
 def usages(log: DataFrame) -> DataFrame:
@@ -36,7 +40,7 @@ def usages(log: DataFrame) -> DataFrame:
         .when(q.startswith("UPDATE") | q.startswith("DELETE"), "etl_target")
         .when(grouped, "aggregation").when(F.col("seq") == 0, "direct_query").otherwise("join_source")
     )
-    return log.join(references(log), "log_id").select("log_id", "asset", kind.alias("usage_type"), F.substring(F.md5(F.col("query").cast("binary")), 1, 12).alias("query_hash"), "ts", "user", "data_product")
+    return _spread(log, "query").select("log_id", "asset", kind.alias("usage_type"), F.substring(F.md5(F.col("query").cast("binary")), 1, 12).alias("query_hash"), "ts", "user", "data_product")
 
 
 def join_pairs(log: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from govlens.functions.scratch import table
 from govlens.operators import portfolio, usage
 from govlens.operators.graph import ranked
 from govlens.sources.tables import read
@@ -74,8 +75,8 @@ def usage_trend(spark, d):
     return usage.trend(usages(spark, d), REFERENCE, days=365)
 
 
-def _lineage(spark, d):
-    e = usages(spark, d).filter("usage_type like 'etl%'")
+def _lineage(spark, d, used=None):
+    e = (used if used is not None else usages(spark, d)).filter("usage_type like 'etl%'")
     moves = e.filter("usage_type = 'etl_source'").select("log_id", F.col("asset").alias("src")).join(e.filter("usage_type = 'etl_target'").select("log_id", F.col("asset").alias("dst")), "log_id").select("src", "dst").distinct()
     ends = moves.select(F.col("src").alias("asset"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(moves.select(F.col("dst").alias("asset"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     return ends.groupBy("asset").agg(F.sum("o").alias("downstream"), F.sum("i").alias("upstream")).withColumn("critical", F.col("downstream") >= 3)
@@ -99,8 +100,8 @@ def product_asset_scores(spark, d):
 
 
 def _value(spark, d):
-    used = usages(spark, d)
-    parts = [usage.usage_scores(used, REFERENCE, days=365), usage.join_scores(usage.join_pairs(log(spark, d))), usage.lineage_scores(_lineage(spark, d)), usage.product_scores(usage.product_impacts(_products(spark, d), used))]
+    used = table(usages(spark, d), "usages")  # four scores read it
+    parts = [usage.usage_scores(used, REFERENCE, days=365), usage.join_scores(usage.join_pairs(log(spark, d))), usage.lineage_scores(_lineage(spark, d, used)), usage.product_scores(usage.product_impacts(_products(spark, d), used))]
     meta = read(spark, d, "nation").selectExpr("'sales.t' || n_nationkey AS asset", "CASE n_nationkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS criticality", "CASE n_nationkey % 2 WHEN 0 THEN 'high' ELSE 'low' END AS risk_level", "n_nationkey % 4 = 0 AS has_pii", "n_nationkey AS sla_count")
     return usage.asset_value(parts, meta)
 
