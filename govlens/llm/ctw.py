@@ -100,7 +100,7 @@ class _Counter:
         self.keys.append(k)
         self.counts.append(c)
         self.waiting += len(k)
-        if self.waiting > 4 << 20:
+        if self.waiting > 1 << 20:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
