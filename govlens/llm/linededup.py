@@ -15,6 +15,8 @@ from govlens.llm.common import table
 #: One line in so many closes a chunk.
 DIVISOR = 2
 LEAST_LINES = 2
+#: Digests or removed chunks up to this many are broadcast (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def lines_of(text: Column) -> Column:
@@ -41,19 +43,18 @@ def repeated(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST_LINES)
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), lines_of(F.col("text")).alias("own"))
     chunk = F.explode(F.filter(_chunks(F.col("own"), divisor), lambda c: c["lines"] >= least))
     cut = keyed.select("doc_id", "mark", "own", chunk.alias("chunk"))
-    cut = cut.select("doc_id", "mark", "chunk.first", "chunk.lines", F.unhex(F.sha2(_piece(F.col("own"), F.col("chunk")), 256)).alias("digest"))
-    places = table(cut.distinct(), "lines-chunks")
+    cut = cut.select("doc_id", "mark", "chunk.first", "chunk.lines", _piece(F.col("own"), F.col("chunk")).alias("piece"))
+    cut = cut.withColumn("digest", F.unhex(F.sha2("piece", 256)))
+    places = table(cut.drop("piece").distinct(), "lines-chunks")
     order = F.struct("doc_id", "mark", "first")
     twice = table(places.groupBy("digest").agg(F.min(order).alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "stays"), "lines-twice")
+    few = twice.count() <= BROADCAST_ROWS
     # bytes: a digest stands for one text only if all its chunks' texts are the same
-    again = places.join(twice, "digest")
-    wanted = again.select("doc_id", "mark", "digest", "first", "lines").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("digest", "first", "lines")).alias("wanted"))
-    same = (keyed["doc_id"].eqNullSafe(wanted["doc_id"])) & (keyed["mark"] == wanted["mark"])
-    texts = keyed.join(wanted, same).select("own", F.explode("wanted").alias("w"))
-    texts = texts.select("w.digest", _piece(F.col("own"), F.col("w")).alias("piece")).groupBy("digest", "piece").agg(F.count(F.lit(1)).alias("n"))
+    hit = twice.select("digest")
+    texts = cut.select("digest", "piece").join(F.broadcast(hit) if few else hit, "digest", "left_semi").groupBy("digest", "piece").agg(F.count(F.lit(1)).alias("n"))
     unlike = table(texts.select("digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "lines-unlike")
-    gone = again.filter(~F.struct("doc_id", "mark", "first").eqNullSafe(F.col("stays")))
-    return gone.join(F.broadcast(unlike) if unlike.isEmpty() else unlike, "digest", "left_anti").select("doc_id", "mark", "first", "lines")
+    gone = places.join(F.broadcast(twice) if few else twice, "digest").filter(~order.eqNullSafe(F.col("stays")))
+    return gone.join(unlike, "digest", "left_anti").select("doc_id", "mark", "first", "lines")
 
 
 def dedup(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
@@ -65,6 +66,7 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST_LINES) ->
     """
     gone = table(repeated(docs, divisor, least), "lines-gone")
     ranges = gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("first", "lines"))).alias("gone"))
+    ranges = F.broadcast(ranges) if gone.count() <= BROADCAST_ROWS else ranges
     own = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     match = own["doc_id"].eqNullSafe(ranges["doc_id"]) & (own["mark"] == ranges["mark"])
     joined = own.join(ranges, match, "left").select(own["doc_id"], own["text"], "gone")
