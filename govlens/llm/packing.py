@@ -25,7 +25,7 @@ CAPACITY = 2048
 PART = 20_000
 ROUNDS = 6
 #: Chunks whose ids a Python worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Chunks of a text whose ids, one after the other, are the text's: the tokenizer's own pattern never goes on from a mark to white
 #: space or from a letter to an ASCII mark, takes a single line end before a mark by itself, and looks ahead in white space only.
 _CHUNK = re.compile(r"\n(?=\S)|\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\s!-@\[-`{-~])|\s*\S+|\s+")
