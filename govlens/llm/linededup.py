@@ -1,8 +1,8 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by windows of lines.
 
-A rolling hash over the hashes of a line and the line before it closes a chunk where it is divisible by ``divisor``; so boundaries move with the
-lines and a passage is cut alike wherever it stands. Chunks of two lines or more that come more than once, over all documents, are compared
-byte by byte; all but the first are removed.
+Every window of two adjacent lines is looked up, and so is every line of many words. So a window is met wherever its lines stand, whatever
+stands beside them, and a passage that comes again is covered from its first line to its last by the windows within it. Windows that come more
+than once, over all documents, are compared byte by byte; the lines of all but the first are removed.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govlens.llm.common import table
+from govlens.llm.common import WORD, table
 
-#: One line in so many closes a chunk.
-DIVISOR = 2
-LEAST_LINES = 2
-#: Digests or removed chunks up to this many are broadcast (some 50 bytes each); more are joined by a shuffle.
+#: A line of so many words is looked up by itself.
+LONG_LINE = 50
+#: Digests or removed runs up to this many are broadcast (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 250_000
 
 
@@ -23,56 +22,71 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _chunks(lines: Column, divisor: int) -> Column:
-    """Array of (first line from 0, lines) of a text's chunks."""
+def _windows(lines: Column, words: int) -> Column:
+    """Array of (first line from 0, lines, piece) of a text's pairs of adjacent lines and of its long lines."""
     n = F.size(lines)
-    hashed = F.transform(lines, lambda x: F.xxhash64(x))
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice(hashed, 1, n - 1))
-    closes = F.transform(F.zip_with(hashed, before, lambda a, b: F.xxhash64(a, b)), lambda r, i: F.when((F.pmod(r, F.lit(divisor)) == 0) | (i == n - 1), i))
-    last = F.filter(closes, lambda i: i.isNotNull())
-    first = F.concat(F.array(F.lit(0)), F.transform(F.slice(last, 1, F.size(last) - 1), lambda i: i + 1))
-    return F.zip_with(first, last, lambda a, z: F.struct(a.alias("first"), (z - a + 1).alias("lines")))
+    pairs = F.zip_with(F.slice(lines, 1, n - 1), F.slice(lines, 2, n - 1), lambda a, b: F.concat(a, F.lit("\n"), b))
+    pairs = F.transform(pairs, lambda x, i: F.struct(i.alias("first"), F.lit(2).alias("lines"), x.alias("piece")))
+    single = F.transform(lines, lambda x, i: F.struct(i.alias("first"), F.lit(1).alias("lines"), x.alias("piece")))
+    # words have a byte each and one between
+    long = F.filter(single, lambda s: (F.length(s["piece"]) >= 2 * words - 1) & (F.regexp_count(s["piece"], F.lit(WORD)) >= words))
+    return F.concat(pairs, long)
 
 
-def _piece(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["first"] + 1, chunk["lines"]), "\n", "")
+def _digest(piece: Column) -> Column:
+    return F.unhex(F.sha2(piece, 256))
 
 
-def repeated(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
-    """doc_id, mark, first, lines of every chunk to remove; mark is the hash of the document's text."""
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), lines_of(F.col("text")).alias("own"))
-    chunk = F.explode(F.filter(_chunks(F.col("own"), divisor), lambda c: c["lines"] >= least))
-    cut = keyed.select("doc_id", "mark", "own", chunk.alias("chunk"))
-    cut = cut.select("doc_id", "mark", "chunk.first", "chunk.lines", _piece(F.col("own"), F.col("chunk")).alias("piece"))
-    cut = cut.withColumn("digest", F.unhex(F.sha2("piece", 256)))
-    places = table(cut.drop("piece").distinct(), "lines-chunks")
+def repeated(docs: DataFrame, words: int = LONG_LINE) -> DataFrame:
+    """doc_id, mark, first, lines of every window to remove; mark is the hash of the document's text. Windows of a text may overlap."""
+    windows = _windows(lines_of(F.col("text")), words)
+    brief = F.transform(windows, lambda w: F.struct(w["first"].alias("first"), w["lines"].alias("lines"), _digest(w["piece"]).alias("digest")))
+    places = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.explode(brief).alias("w")).select("doc_id", "mark", "w.*")
+    places = table(places.distinct(), "lines-windows")
     order = F.struct("doc_id", "mark", "first")
     twice = table(places.groupBy("digest").agg(F.min(order).alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "stays"), "lines-twice")
     few = twice.count() <= BROADCAST_ROWS
-    # bytes: a digest stands for one text only if all its chunks' texts are the same
+    # bytes: a digest stands for one text only if all its windows' texts are the same
     hit = twice.select("digest")
-    texts = cut.select("digest", "piece").join(F.broadcast(hit) if few else hit, "digest", "left_semi").groupBy("digest", "piece").agg(F.count(F.lit(1)).alias("n"))
+    texts = docs.select(F.explode(F.transform(windows, lambda w: w["piece"])).alias("piece")).select(_digest(F.col("piece")).alias("digest"), "piece")
+    texts = texts.join(F.broadcast(hit) if few else hit, "digest", "left_semi").groupBy("digest", "piece").agg(F.count(F.lit(1)).alias("n"))
     unlike = table(texts.select("digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "lines-unlike")
-    gone = places.join(F.broadcast(twice) if few else twice, "digest").filter(~order.eqNullSafe(F.col("stays")))
+    gone = places.join(F.broadcast(twice) if few else twice, "digest")
+    # neither the window that stays nor one that shares a line with it
+    same = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("mark") == F.col("stays.mark"))
+    gone = gone.filter(~(same & (F.col("first") < F.col("stays.first") + F.col("lines"))))
     return gone.join(unlike, "digest", "left_anti").select("doc_id", "mark", "first", "lines")
 
 
-def dedup(docs: DataFrame, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
+def _runs(at: Column) -> Column:
+    """Array of (first, lines) of the runs of sorted line numbers."""
+    n = F.size(at)
+    before = F.concat(F.array(F.lit(-2)), F.slice(at, 1, n - 1))
+    after = F.concat(F.slice(at, 2, n - 1), F.array(F.lit(-2)))
+    first = F.filter(F.zip_with(at, before, lambda x, b: F.when(x != b + 1, x)), lambda x: x.isNotNull())
+    last = F.filter(F.zip_with(at, after, lambda x, a: F.when(a != x + 1, x)), lambda x: x.isNotNull())
+    return F.zip_with(first, last, lambda a, z: F.struct(a.alias("first"), (z - a + 1).alias("lines")))
+
+
+def dedup(docs: DataFrame, words: int = LONG_LINE) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, removed_chunks, removed_lines, text (what is left of it).
 
-    Lines end at a line feed. Of equal chunks the one with the smallest (doc_id, hash of the text, line) stays; rows that repeat doc_id and text
-    count as one document and are treated alike. A null text is one empty line and stays null; an empty text has no chunk of two lines. A chunk whose digest
-    stands for unlike texts stays. Other columns aren't read. An empty table gives no rows.
+    Lines end at a line feed. A window is two adjacent lines, or one line of ``words`` words or more. Of equal windows the one with the smallest
+    (doc_id, hash of the text, line) stays; the lines of the others go, but for those that overlap it. So every line that goes stays in another
+    place. removed_chunks counts the runs of removed lines. Rows that repeat doc_id and text count as one document and are treated alike. A null
+    text is one empty line and stays null. A window whose digest stands for unlike texts stays. Other columns aren't read. An empty table gives no rows.
     """
-    gone = table(repeated(docs, divisor, least), "lines-gone")
-    ranges = gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("first", "lines"))).alias("gone"))
-    ranges = F.broadcast(ranges) if gone.count() <= BROADCAST_ROWS else ranges
+    line = F.explode(F.sequence("first", F.col("first") + F.col("lines") - 1)).alias("line")
+    lines_gone = repeated(docs, words).select("doc_id", "mark", line).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line")).alias("at"))
+    ranges = table(lines_gone.select("doc_id", "mark", _runs(F.col("at")).alias("gone")), "lines-gone")
+    few = (ranges.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_ROWS
+    ranges = F.broadcast(ranges) if few else ranges
     own = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     match = own["doc_id"].eqNullSafe(ranges["doc_id"]) & (own["mark"] == ranges["mark"])
     joined = own.join(ranges, match, "left").select(own["doc_id"], own["text"], "gone")
     lines = lines_of(F.col("text"))
     dropped = F.coalesce(F.flatten(F.transform("gone", lambda g: F.sequence(g["first"], g["first"] + g["lines"] - 1))), F.array().cast("array<int>"))
-    # what stays lies between the removed chunks
+    # what stays lies between the removed runs
     ends = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["first"] + g["lines"]))
     starts = F.concat(F.transform("gone", lambda g: g["first"]), F.array(F.size(lines)))
     kept = F.flatten(F.zip_with(ends, starts, lambda a, z: F.slice(lines, a + 1, z - a)))

@@ -342,6 +342,23 @@ def test_line_chunks(spark, empty):
     assert linededup.dedup(empty).count() == 0
 
 
+def test_planted_passages_go_whole(spark):
+    rng = random.Random(11)
+    line = lambda n=6: sentence(rng, n)
+    passages = [[line() for _ in range(n)] for n in range(2, 7) for _ in range(8)] + [[line(n)] for n in (50, 51, 120, 49)]
+    hosts = [(p, copy, [line() for _ in range(rng.randint(1, 3))], [line() for _ in range(rng.randint(1, 3))]) for p in passages for copy in range(3)]
+    docs = [(i, "\n".join([*a, *p, *z])) for i, (p, _, a, z) in enumerate(hosts)]
+    tight = [line(), line()]  # a text that repeats itself: no line is left that stands nowhere else
+    docs += [(900, "\n".join([tight[0]] * 3)), (901, "\n".join(tight * 3)), (902, "\n".join([tight[1], tight[0], line()]))]
+    left = {r.doc_id: r for r in linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, (p, copy, a, z) in enumerate(hosts):
+        goes = copy > 0 and (len(p) > 1 or len(words(p[0])) >= 50)
+        assert left[i].text.split("\n") == [*a, *([] if goes else p), *z]
+        assert (left[i].removed_chunks, left[i].removed_lines) == ((1, len(p)) if goes else (0, 0))
+    assert left[900].removed_lines == 0 and left[901].text.split("\n") == tight and left[902].removed_lines == 2
+    assert {x for _, t in docs for x in t.split("\n")} == {x for r in left.values() for x in r.text.split("\n")}
+
+
 def _labelled(spark, n=300, grades=3):
     rng = random.Random(8)
     marks = ["plain", "fine", "great"]
