@@ -22,8 +22,8 @@ from govlens.llm.components import components
 
 BANDS, ROWS = 20, 4
 BLOCK = 256
-#: Share of equal coordinates below which a pair isn't looked at: a pair at 0.85 falls below it once in 100,000.
-LIKELY = 0.68
+#: Share of equal coordinates below which a pair isn't looked at: a pair at 0.85 falls below it once in 70 million, so that bands alone set the recall.
+LIKELY = 0.6
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

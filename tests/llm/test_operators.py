@@ -119,6 +119,12 @@ def test_circulant_signature_estimates_jaccard():
     assert abs(same - 0.6) < 0.07
 
 
+def test_signature_floor_loses_less_than_the_bands():
+    size = minhash.BANDS * minhash.ROWS
+    below = sum(math.comb(size, k) * 0.85**k * 0.15 ** (size - k) for k in range(math.ceil(minhash.LIKELY * size - 1e-9)))
+    assert below < (1 - 0.85**minhash.ROWS) ** minhash.BANDS / 10
+
+
 def test_ring(docs, rows, empty, spark):
     got = ring.assign(docs, shards=5).collect()
     assert len(got) == len(rows)
