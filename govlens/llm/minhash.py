@@ -9,6 +9,7 @@ names the nodes with a likely partner; only their sets are brought, and only lin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,10 @@ from govlens.llm import text as T
 from govlens.llm.common import small_batches, table
 from govlens.llm.components import components
 
+#: Bands of a signature at 85 %; ``bands`` gives those of another bound.
 BANDS, ROWS = 20, 4
+#: Share of pairs at the bound that may share no band.
+MISS = 4e-7
 BLOCK = 256
 #: Share of equal coordinates below which a pair isn't looked at: a pair at 0.85 falls below it once in 70 million, so that bands alone set the recall.
 LIKELY = 0.6
@@ -30,6 +34,25 @@ BROADCAST_IDS = 1_000_000
 _STEP = np.uint64(0x9E3779B1)
 
 
+def bands(percent: int) -> int:
+    """Bands so that a pair at the bound shares none with probability MISS at most."""
+    share = percent / 100
+    if share >= 1:
+        return BANDS
+    return max(BANDS, math.ceil(math.log(MISS) / math.log1p(-(share**ROWS))))
+
+
+def floor(percent: int) -> float:
+    """Share of equal coordinates below which a pair isn't looked at: at most LIKELY, and a pair at the bound falls below it a tenth as often as it may miss the bands."""
+    n, share, below, k = bands(percent) * ROWS, percent / 100, 0.0, 0
+    while k < n:
+        below += math.comb(n, k) * share**k * (1 - share) ** (n - k)
+        if below > MISS / 10:
+            break
+        k += 1
+    return min(LIKELY, k / n)
+
+
 def _scatter(x: np.ndarray) -> np.ndarray:
     """First permutation's place of each 64-bit shingle hash on the 32-bit ring."""
     return (x >> np.uint64(32)).astype(np.uint32)
@@ -61,18 +84,21 @@ def node_of(shingles: np.ndarray) -> bytes:
         return np.array([shingles.sum(dtype=np.uint64), T.mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = T.shingle_sets(*T.buffers(b.column("text")))
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column("doc_id"),
-                pa.array([len(x) for x in sets], pa.int64()),
-                pa.array([node_of(x) if len(x) else None for x in sets], pa.binary()),
-                pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary()),
-            ],
-            ["doc_id", "n_shingles", "node", "sig"],
-        )
+def _sketch(size: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = T.shingle_sets(*T.buffers(b.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([node_of(x) if len(x) else None for x in sets], pa.binary()),
+                    pa.array([signature(x, size).tobytes() if len(x) else None for x in sets], pa.binary()),
+                ],
+                ["doc_id", "n_shingles", "node", "sig"],
+            )
+
+    return sketch
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +133,7 @@ def _flush(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 def _first_shared(sig: np.ndarray, i: int, band: int) -> np.ndarray:
     """Which later rows share ``band``, the group's own, with row i and none before it."""
-    same = (sig[i + 1 :] == sig[i]).reshape(len(sig) - i - 1, BANDS, ROWS).all(2)
+    same = (sig[i + 1 :] == sig[i]).reshape(len(sig) - i - 1, -1, ROWS).all(2)
     return ~same[:, :band].any(1)
 
 
@@ -186,12 +212,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = table(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, node binary, sig binary"), "near-rows")
+    rows = table(docs.mapInArrow(_sketch(ROWS * bands(percent)), "doc_id long, n_shingles long, node binary, sig binary"), "near-rows")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig"))
     nodes = table(nodes, "near-nodes")
     # buckets of more than one node
     width = 4 * ROWS
-    values = F.array(*[F.xxhash64(F.substring("sig", 1 + b * width, width), F.lit(b)) for b in range(BANDS)])
+    values = F.array(*[F.xxhash64(F.substring("sig", 1 + b * width, width), F.lit(b)) for b in range(bands(percent))])
     banded = nodes.select("node", F.posexplode(values).alias("band", "bucket"))
     crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = table(banded.join(crowded, "bucket"), "near-buckets")
@@ -202,7 +228,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     met = met.withColumn("apart", F.col("side") != F.col("other"))
     ends = [F.least("side", "other"), F.greatest("side", "other")]
     met = met.select(F.xxhash64("bucket", *ends).alias("group"), "node", "band", "side", "apart")
-    likely = _by_group(met.join(nodes.select("node", "sig"), "node")).mapInArrow(_likely, "group long, node binary, band int, side int, apart boolean")
+    least_equal = floor(percent)
+    likely = _by_group(met.join(nodes.select("node", "sig"), "node")).mapInArrow(lambda batches: _likely(batches, least_equal), "group long, node binary, band int, side int, apart boolean")
     likely = table(likely, "near-likely")
     # whole sets of those nodes, one document each
     ids = table(likely.select("node").distinct().join(nodes.select("node", "least"), "node").select(F.col("least").alias("doc_id")).distinct(), "near-ids")

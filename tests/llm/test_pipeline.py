@@ -1,12 +1,13 @@
 """The corpus pipeline stage by stage against brute force on a small folder of tables."""
 
+import math
 import random
 import zlib
 
 import pytest
 
 import corpus_pipeline
-from govlens.llm import packing
+from govlens.llm import minhash, packing
 from govlens.llm.queries import ORACLE, QUERIES, tokenizer_path
 
 
@@ -54,6 +55,20 @@ def test_stages(spark, folder):
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in packed} == {(i, k, zlib.crc32(raw[4 * s : 4 * (s + n)])) for i, raw in want.items() for k, (s, n) in enumerate(packing.cuts(len(raw) // 4))}
 
 
+def test_near_dedup_links_from_080(spark, folder):
+    rng = random.Random(12)
+    w = sentence(rng, 104).split()  # 100 shingles
+    pairs = {tail: " ".join([*w[: 104 - tail], *sentence(rng, tail).split()]) for tail in (10, 11, 12)}  # 90, 89, 88 of them are shared
+    share = {t: (100 - t) / (100 + t) for t in pairs}
+    assert 0.8 <= share[10] < 0.85 and 0.8 <= share[11] < 0.85 and share[12] < 0.8
+    for tail, other in pairs.items():
+        docs = spark.createDataFrame([(1, " ".join(w)), (2, other)], "doc_id long, text string")
+        assert corpus_pipeline.near_dedup(spark, docs, folder[0]).count() == (2 if tail == 12 else 1)
+    assert minhash.bands(85) == 20 and minhash.bands(80) == 28
+    n, k = 112, round(112 * minhash.floor(80))
+    assert sum(math.comb(n, i) * 0.8**i * 0.2 ** (n - i) for i in range(k)) < (1 - 0.8**4) ** 28 / 5
+
+
 def test_run_gives_the_last_stage(spark, folder):
     d, _ = folder
     out = corpus_pipeline.run(spark, d)
