@@ -167,7 +167,7 @@ def run_events(spark, d):
 
 
 def articulation(spark, d):
-    return graph.articulation_points(dag(spark, d).filter("src not like 'part:%'"))
+    return graph.articulation_points(dag(spark, d))
 
 
 def betweenness(spark, d):
@@ -175,7 +175,7 @@ def betweenness(spark, d):
 
 
 def communities(spark, d):
-    return graph.label_groups(dag(spark, d).filter("src not like 'part:%'"))
+    return graph.label_groups(dag(spark, d))
 
 
 QUERIES = {

@@ -1,10 +1,13 @@
 """Edge cases of operators on hand-made tables."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from govlens.functions import checks
 from govlens.operators import discovery, drift, entities, governance, graph, portfolio, quality, usage
+from govlens.plans import lineage
 
 
 def one(df):
@@ -126,6 +129,34 @@ def test_cycles_and_isolated(spark):
     assert {r.id for r in graph.roles(nodes, e).filter("isolated").collect()} == {"z"}
 
 
+def test_cut_points_and_labels_of_the_whole_dag(spark):
+    d = "/root/testdata/sf0.001"
+    near: dict = {}
+    for r in lineage.dag(spark, d).collect():
+        near.setdefault(r.src, set()).add(r.dst)
+        near.setdefault(r.dst, set()).add(r.src)
+
+    def parts(without):
+        seen, n = {without}, 0
+        for root in near:
+            if root not in seen:
+                seen.add(root)
+                n, todo = n + 1, [root]
+                while todo:
+                    new = near[todo.pop()] - seen
+                    seen |= new
+                    todo += new
+        return n
+
+    whole = parts(None)
+    assert {r.id for r in lineage.articulation(spark, d).collect()} == {x for x in near if parts(x) > whole}
+    label = {x: x for x in near}
+    for _ in range(5):
+        votes = {x: Counter(label[y] for y in near[x]) for x in near}
+        label = {x: min(v, key=lambda k: (-v[k], k)) for x, v in votes.items()}
+    assert {r.id: r.community for r in lineage.communities(spark, d).collect()} == label
+
+
 def test_betweenness_of_a_path(spark):
     got = {r.id: r.score for r in graph.betweenness(edges(spark, ("a", "b"), ("b", "c"), ("c", "d"))).collect()}
     assert got == {"b": 2.0, "c": 2.0}
