@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from govlens.functions.scratch import table
+
 #: English and Portuguese words that carry no subject.
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "de", "do", "e", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
@@ -62,13 +65,19 @@ def unit(vectors: DataFrame, column: str) -> DataFrame:
 def nearest(queries: DataFrame, docs: DataFrame, k: int, q: str = "query_id", key: str = "vec_id", column: str = "embedding", keep: Column | None = None, most: int = 100_000) -> DataFrame:
     """q, key, distance (cosine), rank of the k nearest documents of each query; a filter on documents holds before the cut.
 
-    The query set is given and bounded (``most``): it is broadcast against one pass over the documents. Each document's partition keeps its own best
-    k of a query before anything is shuffled.
+    Queries are broadcast against one pass over the documents; more than ``most`` are split by hash into parts of about so many, one pass and one
+    written table each. Each document's partition keeps its own best k of a query before anything is shuffled.
     """
     if keep is not None:
         docs = docs.filter(keep)
-    if queries.count() > most:
-        raise ValueError("more queries than one pass takes; give them in blocks")
+    parts = -(-queries.count() // most)
+    if parts > 1:
+        part = F.pmod(F.xxhash64(q), F.lit(parts))
+        return reduce(DataFrame.unionByName, [table(_nearest(queries.filter(part == i), docs, k, q, key, column), "nearest") for i in range(parts)])
+    return _nearest(queries, docs, k, q, key, column)
+
+
+def _nearest(queries: DataFrame, docs: DataFrame, k: int, q: str, key: str, column: str) -> DataFrame:
     own = unit(queries.select(F.col(q), F.col(column).alias("qv")), "qv")
     pairs = unit(docs.select(key, column), column).join(F.broadcast(own)).select(q, key, (1 - dot(F.col("qv"), F.col(column))).alias("distance"), F.spark_partition_id().alias("p"))
     local = pairs.withColumn("r", F.row_number().over(W.partitionBy(q, "p").orderBy("distance", key))).filter(F.col("r") <= k)

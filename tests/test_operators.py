@@ -180,6 +180,15 @@ def test_zero_vector_and_unknown_term(spark):
     assert query.count() == 0
 
 
+def test_nearest_takes_any_number_of_queries(spark):
+    rows = [(i, [float(i % 7), float(i % 5) + 1, float(i)]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asks = docs.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    want = {tuple(r) for r in discovery.nearest(asks, docs, 4).select("query_id", "vec_id", "rank").collect()}
+    got = [tuple(r) for r in discovery.nearest(asks, docs, 4, most=6).select("query_id", "vec_id", "rank").collect()]
+    assert len(got) == len(want) == 80 and set(got) == want
+
+
 def test_spans_overlap_and_action(spark):
     df = spark.createDataFrame([(1, "mail a@b.org now"), (2, "card 4111 1111 1111 1111"), (3, None), (4, "nothing"), (5, "203.0.113.9")], "id long, text string")
     found = entities.spans(df, "id")
