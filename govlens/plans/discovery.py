@@ -23,7 +23,7 @@ def idf_terms(spark, d):
 
 def document_frequencies(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
-    return r.idf(r.terms(docs), docs.count()).filter("df >= 20").select("term", "df", F.round("idf", 9).alias("idf"))
+    return r.idf(r.terms(docs), docs.count()).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def lexical(spark, d):

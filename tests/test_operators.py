@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from govlens.functions import checks
 from govlens.operators import discovery, drift, entities, governance, graph, portfolio, quality, usage
 from govlens.plans import lineage
+from govlens.plans.discovery import document_frequencies
 
 
 def one(df):
@@ -180,6 +181,12 @@ def test_zero_vector_and_unknown_term(spark):
     assert query.count() == 0
 
 
+def test_document_frequencies_have_rare_terms(spark, tmp_path):
+    spark.createDataFrame([(1, "alpha beta"), (2, "gamma beta"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.term: r.df for r in document_frequencies(spark, str(tmp_path)).collect()}
+    assert got == {"alpha": 1, "beta": 2, "gamma": 1, "alpha beta": 1, "gamma beta": 1}
+
+
 def test_nearest_takes_any_number_of_queries(spark):
     rows = [(i, [float(i % 7), float(i % 5) + 1, float(i)]) for i in range(60)]
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
