@@ -1,9 +1,10 @@
 """Toxicity after noisy-channel deobfuscation.
 
-A word that may be disguised (digits and signs for letters, marks between letters, letters drawn out, letters spaced apart) becomes a
-lattice of characters: each sign may stand for itself or for letters, a mark may be dropped, a run of equal letters may be one or two.
-Viterbi decoding under a character trigram model, learnt from all texts, picks the reading. All other words have a single reading and
-stay as they are. The restored text is scored by a logistic model over its hashed words and word beginnings.
+A word that may be disguised (digits and signs for letters, marks between letters, letters drawn out or doubled, letters spaced apart)
+becomes a lattice of characters: each sign may stand for itself or for letters, a mark may be dropped, a run of equal letters or signs may be
+shortened, a space between single characters may be dropped or kept. A run is one step of the lattice, however long, so a word of any length is
+decoded in time that grows with its runs. Viterbi decoding under a character trigram model, learnt from all texts, picks the reading. All other
+words have a single reading and stay as they are. The restored text is scored by a logistic model over its hashed words and word beginnings.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ SIGNS = {
 }
 #: Marks that may stand between the letters of a word.
 MARKS = ".-_*"
-#: Costs (natural log) of reading a sign as a letter, of dropping a mark or a space, of shortening a run.
-SIGN_COST, MARK_COST, RUN_COST = 1.5, 1.0, 0.5
+#: Costs (natural log) of reading a sign as a letter, of dropping a mark, of shortening a run, of a space that stays between single characters.
+SIGN_COST, MARK_COST, RUN_COST, SPACE_COST = 1.5, 1.0, 0.5, 1.0
 #: Words of one character in a row, from which on they may be one word spaced apart.
 SPACED = 4
 #: Lengths in bytes of the word beginnings that are features.
@@ -45,6 +46,10 @@ _SIGN, _MARK, _LETTER = (np.zeros(256, np.int32) for _ in range(3))
 _SIGN[[ord(c) for c in SIGNS]] = 1
 _MARK[[ord(c) for c in MARKS]] = 1
 _LETTER[97:123] = _LETTER[65:91] = _LETTER[128:] = 1
+_FIRST = np.ones(256, np.int32)  # bytes that begin a character
+_FIRST[0x80:0xC0] = 0
+_DIGIT = np.zeros(256, np.int32)
+_DIGIT[48:58] = 1
 _HEAD, _TAIL = np.zeros(256, bool), np.zeros(256, bool)
 _HEAD[[ord(c) for c in "\"'([{"]] = True
 _TAIL[[ord(c) for c in "\"')]}.,;:!?"]] = True
@@ -68,47 +73,83 @@ def character_model(docs: DataFrame) -> np.ndarray:
     for r in found:
         counts[r["code"]] += r["n"]
     counts = counts.reshape(_N, _N, _N)
+    counts[0, 0] = counts[:, 0].sum(0)  # the start of a word, whatever stands before it
     # a character that is no letter says nothing of which one it is: it shares its probability among many
     model = np.log(counts / counts.sum(2, keepdims=True))
     model[:, :, 27] -= math.log(40)
     return model
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """Per step the readings and their costs; a reading is a string of no, one or two characters."""
-    steps: list[list[tuple[str, float]]] = []
-    for c, run in groupby(word):
-        n = len(list(run))
+Step = list[tuple[str, float]]
+
+
+def _drawn(runs: list[tuple[str, int]]) -> bool:
+    """Whether a word's letters are doubled throughout: two runs and more, and more than half of all."""
+    sizes = [n for c, n in runs if c not in SIGNS and c not in MARKS]
+    return 2 <= sum(n > 1 for n in sizes) > len(sizes) / 2
+
+
+def lattice(word: str) -> list[Step]:
+    """Per run of equal characters the readings and their costs; a reading is a string of any length."""
+    runs = [(c, len(list(run))) for c, run in groupby(word)]
+    drawn = _drawn(runs)
+    steps: list[Step] = []
+    for i, (c, n) in enumerate(runs):
         if c in SIGNS or c in MARKS:
-            for _ in range(n):
-                readings = [(c, 0.0), *((x, SIGN_COST) for x in SIGNS.get(c, ""))]
-                if c in MARKS:
-                    readings.append(("", MARK_COST))
-                steps.append(readings)
-        elif n >= 3:
+            readings = [(c * n, 0.0)]
+            for x in SIGNS.get(c, ""):
+                readings.append((x, SIGN_COST + (RUN_COST if n > 1 else 0.0)))
+                if n > 1:
+                    readings.append((x * 2, SIGN_COST + (RUN_COST if n > 2 else 0.0)))
+            if c in MARKS:
+                readings.append(("", MARK_COST))
+            elif n > 2 and 0 < i < len(runs) - 1:  # a sign over and over between letters is a mark
+                readings.append(("", 2 * MARK_COST))
+            steps.append(readings)
+        elif n > 2:
             steps.append([(c, RUN_COST), (c * 2, RUN_COST), *([(c * n, 0.0)] if n == 3 else [])])
+        elif n == 2 and drawn:
+            steps.append([(c * 2, 0.0), (c, RUN_COST)])
         else:
             steps.append([(c * n, 0.0)])
     return steps
 
 
-def decode(word: str, model: np.ndarray) -> tuple[str, float]:
-    """The likeliest reading of a lower-cased word and its cost, by Viterbi over the last two characters."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for step in lattice(word):
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+def apart(letters: list[str], gaps: list[int]) -> list[Step]:
+    """Lattice of single characters with white space of these widths between them; what is wider than the narrowest is a space."""
+    steps = lattice(letters[0])
+    for c, gap in zip(letters[1:], gaps, strict=True):
+        steps.append([(" ", 0.0)] if gap > min(gaps) else [("", 0.0), (" ", SPACE_COST)])
+        steps += lattice(c)
+    return steps
+
+
+def best_reading(steps: list[Step], model: np.ndarray) -> tuple[str, float]:
+    """The likeliest reading of a lattice and its cost, by Viterbi over the last two characters; readings are kept as links."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for step in steps:
+        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, link) in best.items():
             for reading, own in step:
                 x, y, total = a, b, cost + own
                 for c in reading:
-                    s = ord(c) - 96 if "a" <= c <= "z" else 27
+                    s = ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
                     total -= model[x, y, s]
                     x, y = y, s
                 if (x, y) not in following or total < following[x, y][0]:
-                    following[x, y] = (total, text + reading)
+                    following[x, y] = (total, (link, reading))
         best = following
-    cost, text = min((cost - model[x, y, 0], text) for (x, y), (cost, text) in best.items())
-    return text, cost
+    cost, _, link = min(((cost - model[x, y, 0], (x, y), link) for (x, y), (cost, link) in best.items()), key=lambda r: r[:2])
+    parts = []
+    while link:
+        link, reading = link
+        parts.append(reading)
+    return "".join(reversed(parts)), float(cost)
+
+
+def decode(word: str, model: np.ndarray) -> tuple[str, float]:
+    """The likeliest reading of a lower-cased word and its cost."""
+    return best_reading(lattice(word), model)
 
 
 class Restorer:
@@ -119,18 +160,21 @@ class Restorer:
         self.known: dict[str, str] = {}
 
     def read(self, word: str) -> str:
+        """A word's likeliest reading; those of ordinary length are remembered."""
+        if len(word) > 64:
+            return decode(word, self.model)[0]
         if word not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            # a very long run of signs is no word: it has the one reading
-            self.known[word] = decode(word, self.model)[0] if len(word) <= 64 else word
+            self.known[word] = decode(word, self.model)[0]
         return self.known[word]
 
-    def joined(self, letters: list[str]) -> str | None:
-        """The word that spaced letters make, if that is likelier than the letters by themselves."""
-        apart = sum(decode(c, self.model)[1] for c in letters)
-        text, cost = decode("".join(letters), self.model)
-        return text if cost + MARK_COST * (len(letters) - 1) < apart and len(set(letters)) > 1 else None
+    def joined(self, letters: list[str], gaps: list[int]) -> str | None:
+        """The words that spaced characters make, if any space is to go; characters that are one over and over, or mostly digits, stay."""
+        if len(set(letters)) < 2 or 2 * sum(c not in SIGNS for c in letters) < len(letters):
+            return None
+        text, _ = best_reading(apart(letters, gaps), self.model)
+        return text if text.split() != letters else None
 
     def find(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, str]]]:
         """(starts, ends, first words) of the trimmed words, and (first word, words, reading) of what is read otherwise."""
@@ -142,13 +186,22 @@ class Restorer:
         if not len(s):
             return s, e, at, []
         low = T.lowered(data)
-        run = np.zeros(len(data), np.int32)
-        run[2:] = (low[2:] == low[1:-1]) & (low[2:] == low[:-2]) & (_LETTER[low[2:]] > 0)
-        count = [np.concatenate(([0], np.cumsum(x))) for x in (_SIGN[data], _MARK[data], _LETTER[data], run)]
-        signs, marks, letters = (c[e] - c[s] for c in count[:3])
-        runs = count[3][e] - count[3][np.minimum(s + 2, e)]
-        single = (e - s == 1) & (signs + letters > 0)
-        doubtful = (((signs + marks > 0) & (letters > 0)) | (runs > 0)) & ~single
+        same = np.zeros(len(data), bool)
+        same[1:] = low[1:] == low[:-1]
+        same[s] = False
+        again = np.concatenate(([False], same[:-1]))  # the byte before is like the one before it
+        letter = _LETTER[low] > 0
+
+        def within(flags: np.ndarray) -> np.ndarray:
+            total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
+            return total[e] - total[s]
+
+        signs, marks, letters, chars, digits = (within(x[data]) for x in (_SIGN, _MARK, _LETTER, _FIRST, _DIGIT))
+        runs, doubles, equal, kinds = (within(x) for x in (same & again & letter, same & ~again & letter, same & letter, ~same))
+        single = (chars == 1) & (signs + letters > 0)
+        drawn = (doubles > 1) & (2 * doubles > letters - equal)
+        only_signs = (letters == 0) & (digits == 0) & (signs == chars) & (signs > 2) & (kinds > 1)
+        doubtful = (((signs + marks > 0) & (letters > 0)) | (runs > 0) | drawn | only_signs) & ~single
         out: list[tuple[int, int, str]] = []
         text = low.tobytes()
         for i in np.flatnonzero(doubtful).tolist():
@@ -161,10 +214,9 @@ class Restorer:
         cut = np.flatnonzero(edge)
         for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if single[a] and z - a >= SPACED:
-                for b in range(a, z, 32):  # no word has more letters
-                    own = [chr(text[s[i]]) for i in range(b, min(z, b + 32))]
-                    if len(own) >= SPACED and all(ord(c) < 128 for c in own) and (word := self.joined(own)):
-                        out.append((b, len(own), word))
+                own = [text[s[i] : e[i]].decode("utf-8", "ignore") for i in range(a, z)]
+                if words := self.joined(own, (s[a + 1 : z] - e[a : z - 1]).tolist()):
+                    out.append((a, z - a, words))
         return s, e, at, out
 
     def restore(self, texts: pa.Array) -> list[str]:
@@ -199,9 +251,10 @@ def featuriser(model: np.ndarray) -> linear.Featurise:
             keep[first : first + n] = False
         out = [(doc[keep], data, s[keep], e[keep])]
         if found:
-            words = [r.encode() for _, _, r in found if r]
-            z = np.cumsum([len(w) for w in words]).astype(np.int64)
-            out.append((doc[[i for i, _, r in found if r]], np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], z[:-1])).astype(np.int64), z))
+            read = [(i, w.encode()) for i, _, r in found for w in r.split()]
+            z = np.cumsum([len(w) for _, w in read]).astype(np.int64)
+            if read:
+                out.append((doc[[i for i, _ in read]], np.frombuffer(b"".join(w for _, w in read), np.uint8), np.concatenate(([0], z[:-1])).astype(np.int64), z))
         rows, features = [], []
         for d, bytes_, a, b in out:
             if not len(a):

@@ -398,11 +398,37 @@ def test_ordinal_fit_orders_thresholds():
     assert abs(w[0] - 2) < 0.4 and abs(w[1] + 1) < 0.4 and abs(w[2]) < 0.3 and theta[0] < theta[1]
 
 
-def test_lattice_decoding(spark):
-    base = "you are an idiot and stupid loser what a moron trash pathetic scum worthless clown disgusting words here "
+@pytest.fixture(scope="module")
+def characters(spark):
+    base = "you are an idiot and stupid loser what a moron trash pathetic scum worthless clown disgusting words here good letter committee "
     docs = spark.createDataFrame([(i, base) for i in range(50)], "doc_id long, text string")
+    return toxicity.character_model(docs)
+
+
+def test_lattice_decoding(characters):
+    read = {
+        "You 1d10t, $tup1d m0r0n!": "You idiot, stupid moron!", "i d i o t": "idiot", "stuuuupid l.o.s.e.r": "stupid loser", "plain words here": "plain words here", None: "", "": "",
+        "2024-01-02 3.14 $100 1 2 3 4 5": "2024-01-02 3.14 $100 1 2 3 4 5", "idi" + "o" * 70 + "t": "idiot", "idi" + "o" * 5000 + "t": "idiot", "i$$$$d10t": "idiot", "iddiiott": "idiot", "ssttuuppiidd": "stupid",
+        "y o u a r e a n i d i o t": "you are an idiot", "y o u  a r e  s c u m": "you are scum", "good letter committee": "good letter committee",
+    }
+    texts = list(read)
+    assert toxicity.Restorer(characters).restore(pa.array(texts)) == [read[t] for t in texts]
+    spaced = " ".join("you are an idiot and stupid loser what a moron trash".replace(" ", ""))  # far more than 32 letters
+    assert toxicity.Restorer(characters).restore(pa.array([spaced])) == ["you are an idiot and stupid loser what a moron trash"]
+
+
+def test_long_words_and_spaced_accents_are_read(spark):
+    docs = spark.createDataFrame([(i, "la crème brûlée est stupide et l'élève aussi ") for i in range(40)], "doc_id long, text string")
     r = toxicity.Restorer(toxicity.character_model(docs))
-    assert r.restore(pa.array(["You 1d10t, $tup1d m0r0n!", "i d i o t", "stuuuupid l.o.s.e.r", "plain words here", None, "", "2024-01-02 3.14"])) == ["You idiot, stupid moron!", "idiot", "stupid loser", "plain words here", "", "", "2024-01-02 3.14"]
+    assert r.restore(pa.array(["é l è v e"])) == ["élève"]
+    noise = "".join(random.Random(1).choice("ab01.-$") for _ in range(20_000))  # linear in its length
+    assert len(r.restore(pa.array([noise]))[0]) <= 20_000
+
+
+def test_batches_do_not_change_readings(characters):
+    texts = ["aab", "bbcc d", "ee", "e iddiiott", "x", "xx i d i o t", "t"]
+    r = toxicity.Restorer(characters)
+    assert r.restore(pa.array(texts)) == [r.restore(pa.array([t]))[0] for t in texts]
 
 
 def test_decoding_finds_the_best_reading():
@@ -410,17 +436,18 @@ def test_decoding_finds_the_best_reading():
     model = np.log(rng.dirichlet(np.ones(28), (28, 28)))
     from itertools import product
 
-    for word in ("a1b", "l0o3", "x.y", "aaab", "1*"):
+    lattices = [toxicity.lattice(w) for w in ("a1b", "l0o3", "x.y", "aaab", "1*", "i$$$$d10t", "iddiiott", "@$$", "a" + "o" * 90 + "1")]
+    for steps in [*lattices, toxicity.apart(list("yo1ab"), [1, 1, 2, 1])]:
         best = math.inf
-        for choice in product(*toxicity.lattice(word)):
+        for choice in product(*steps):
             x = y = 0
             cost = sum(c for _, c in choice)
             for ch in "".join(t for t, _ in choice):
-                s = ord(ch) - 96 if "a" <= ch <= "z" else 27
+                s = ord(ch) - 96 if "a" <= ch <= "z" else 0 if ch == " " else 27
                 cost -= model[x, y, s]
                 x, y = y, s
             best = min(best, cost - model[x, y, 0])
-        assert abs(toxicity.decode(word, model)[1] - best) < 1e-9
+        assert abs(toxicity.best_reading(steps, model)[1] - best) < 1e-9
 
 
 def test_toxicity(spark, empty):
