@@ -202,38 +202,43 @@ def _scan(index: Index):
                         row = (score, a - int(at[doc[p]]), z - a, whole, question, reply)
                         best[int(doc[p]), item] = max(best.get((int(doc[p]), item), row), row)
             docs = b.column("doc_id").to_pylist()
-            rows = [(docs[d], index.ids[i], *row) for (d, i), row in sorted(best.items())]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [b.schema.field("doc_id").type, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            names = ["doc_id", "item_id", "score", "first_word", "words", "overlap", "question_overlap", "answer_overlap"]
+            rows = [(docs[d], *index.ids[i], *row) for (d, i), row in sorted(best.items())]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            kinds = [b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            names = ["doc_id", "item_id", "items", "score", "first_word", "words", "overlap", "question_overlap", "answer_overlap"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return run
 
 
 def indexes(items: DataFrame, most: int = INDEX_ITEMS) -> Iterator[Index]:
-    """Indexes of all items, at most ``most`` in each; an item without id has id null."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    parts = max(1, -(-rows.count() // (most // 2)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    """Indexes of all items, at most ``most`` in each; its ids are (least item_id, items) of a text.
+
+    Items of equal text are one entry before anything is collected, whatever their number. So about ``most`` texts come to the driver at once.
+    """
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.groupBy("text").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n"))
+    parts = max(1, -(-rows.count() // max(1, most // 2)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
     for part in range(parts):
-        own = rows.filter(F.col("part") == part).orderBy("item_id").limit(most + 1).collect()
-        if len(own) > most:
-            raise ValueError("too many test items that are the same")
-        yield build([r["item_id"] for r in own], [r["text"] for r in own])
+        own = rows.filter(F.col("part") == part).orderBy("item_id", "text").collect()
+        for i in range(0, max(1, len(own)), most):
+            some = own[i : i + most]
+            yield build([(r["item_id"], r["n"]) for r in some], [r["text"] for r in some])
 
 
 def leaks(docs: DataFrame, items: DataFrame, most: int = INDEX_ITEMS) -> DataFrame:
-    """One row per document and test item that it holds: doc_id, item_id, score (1 and more), first_word, words (the best passage),
-    overlap, question_overlap, answer_overlap.
+    """One row per document and text of a test item that it holds: doc_id, item_id, items, score (1 and more), first_word, words (the best
+    passage), overlap, question_overlap, answer_overlap.
 
     A leak holds 0.8 or more of an item's five-word shingles, or of its question's and of its answer's. Words are runs of bytes other than space
-    and 0x09-0x0D, A-Z as a-z. Null and wordless texts, of documents and items, hold and match nothing. Rows that repeat a document give
-    rows each; other columns aren't read. Empty tables give no rows.
+    and 0x09-0x0D, A-Z as a-z. Null and wordless texts, of documents and items, hold and match nothing. Any number of items of equal text is one,
+    under the least of their ids; ``items`` is their number. Rows that repeat a document give rows each; other columns aren't read. Empty tables give
+    no rows.
     """
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, item_id long, score double, first_word long, words long, overlap double, question_overlap double, answer_overlap double"
+    schema = f"doc_id {kind}, item_id long, items long, score double, first_word long, words long, overlap double, question_overlap double, answer_overlap double"
     found = [docs.select("doc_id", "text").mapInArrow(_scan(i), schema) for i in indexes(items, most)]
     out = found[0]
     for more in found[1:]:
@@ -242,7 +247,10 @@ def leaks(docs: DataFrame, items: DataFrame, most: int = INDEX_ITEMS) -> DataFra
 
 
 def clean(docs: DataFrame, items: DataFrame, most: int = INDEX_ITEMS) -> DataFrame:
-    """The rows of docs that hold no test item, with all their columns."""
+    """The rows of docs that hold no test item by ``leaks``, with all their columns, which may have any names.
+
+    A null, empty or wordless text holds nothing and stays. Rows that repeat a document stay or go alike. Without items all rows stay.
+    """
 
     def keep(scan):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -348,6 +348,16 @@ def test_line_chunks(spark, empty):
     assert linededup.dedup(empty).count() == 0
 
 
+def test_repeated_and_very_long_test_items(spark):
+    rng = random.Random(16)
+    same, long = sentence(rng, 30), sentence(rng, 20_000)
+    items = spark.createDataFrame([(i, same) for i in range(5000)] + [(None, same), (7000, long), (7001, long), (7001, None), (7002, " ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, sentence(rng, 50) + " " + same), (2, long + " tail"), (3, " ".join(long.split()[:9000])), (4, sentence(rng, 3000))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r["items"]) for r in decontam.leaks(docs, items).collect()) == [(1, 0, 5001), (2, 7000, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in decontam.leaks(docs, items, most=1).collect()) == [(1, 0), (2, 7000)]
+    assert sorted(r.doc_id for r in decontam.clean(docs, items).collect()) == [3, 4]
+
+
 def test_planted_passages_go_whole(spark):
     rng = random.Random(11)
     line = lambda n=6: sentence(rng, n)
