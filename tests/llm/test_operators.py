@@ -348,6 +348,34 @@ def test_line_chunks(spark, empty):
     assert linededup.dedup(empty).count() == 0
 
 
+def test_chunk_boundaries_resist_shifts(spark):
+    rng = random.Random(21)
+    body = [sentence(rng, 4) for _ in range(300)]
+    texts = {0: body, 1: [sentence(rng, 4), *body], 2: [*body[:150], sentence(rng, 4), *body[150:]], 3: body[:1], 4: body[:2], 5: body[:3], 6: body[:4]}
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "i int, text string")
+    starts = {r.i: r.s for r in linededup.with_chunk_starts(df.select("i", linededup.lines_of(F.col("text")).alias("lines"))).select("i", F.col("starts").alias("s")).collect()}
+    for i in (0, 1, 2):
+        sizes = np.diff([*starts[i], len(texts[i])])
+        assert starts[i][0] == 0 and sizes[1:].min() >= 2 and 2.5 < sizes.mean() < 3.6
+    at = [{texts[i][k] for k in starts[i][1:]} for i in range(3)]
+    assert len(at[0] ^ at[1]) <= 2 and len(at[0] ^ at[2]) <= 4
+    assert starts[3] == starts[4] == starts[5] == [0]
+
+
+def test_line_dedup_recall_of_repeated_pairs(spark):
+    """Of all adjacent lines of a whole table that repeat, by brute force, how many go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = [(r.text or "").split("\n") for r in docs.select("text").collect()]
+    after = [(r.text or "").split("\n") for r in linededup.dedup(docs).collect()]
+    assert {x for t in before for x in t} <= {x for t in after for x in t}  # every line is left somewhere
+
+    def again(texts):
+        n = Counter(p for t in texts for p in zip(t, t[1:]))  # noqa: B905
+        return sum(k - 1 for k in n.values())
+
+    assert again(before) > 500 and again(after) <= 0.1 * again(before)
+
+
 def test_repeated_and_very_long_test_items(spark):
     rng = random.Random(16)
     same, long = sentence(rng, 30), sentence(rng, 20_000)
