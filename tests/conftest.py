@@ -15,6 +15,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="govlens-wh-"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="govlens-shared-"))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
