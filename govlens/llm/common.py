@@ -1,54 +1,18 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, ASCII lower-casing, column hygiene."""
+"""Shared helpers: scratch tables in the cluster's shared folder, ASCII lower-casing, bounds of Arrow batches."""
 
 from __future__ import annotations
 
-import os
 import string
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Separators of words: space and the ASCII controls 0x09 to 0x0D.
-WORD = "[^\\x20\\x09-\\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver see; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/govlens"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+from govlens.functions.scratch import drop, gone, scratch, shared_dir, table
 
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Deletes scratch paths through Hadoop's file system."""
-    jvm = spark._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["WORD", "ascii_lower", "drop", "gone", "scratch", "shared_dir", "small_batches", "table"]
 
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def gone(*tables: DataFrame) -> None:
-    """Deletes what ``table`` wrote, once nothing reads it any more."""
-    for t in tables:
-        drop(t.sparkSession, t.scratch_path)
+#: Separators of words: space and the ASCII controls 0x09 to 0x0D.
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -57,6 +21,9 @@ def ascii_lower(c: Column) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Bounds Arrow batches by rows and by bytes, so that long texts don't add up in a Python worker."""
+    """Bounds Arrow batches by rows and by bytes, so that long texts don't add up in a Python worker.
+
+    What is returned is lazy, so the bounds stay set in the session; no result depends on them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -2,9 +2,13 @@
 
 Signatures use two permutations of the 32-bit ring: the first one scatters a shingle, the second one, shifted on by a
 fixed step for each coordinate, gives all coordinates. Documents with equal sets become one node before anything is
-compared. Nodes that share a band meet in groups of bounded size: a bucket beyond ``BLOCK`` nodes is cut into blocks, and
-each pair of blocks is a group, so that no pair is lost and no task holds a bucket. A group first compares signatures and
-names the nodes with a likely partner; only their sets are brought, and only links that join what isn't joined yet come out.
+compared. Nodes that share a band meet in groups of bounded size, so that no task holds a bucket. A group first compares signatures and names
+the nodes with a likely partner; only their sets are brought, and only links that join what isn't joined yet come out.
+
+A bucket beyond ``BLOCK`` nodes goes in two rounds. First each node meets, in a block of the first such bucket that it has, that bucket's
+representative and the block's other nodes; of many near copies nearly all are then in one component. What is left is exact: every node outside a
+bucket's largest component meets all the bucket's nodes of other components and of a size that can link. So the work grows with the
+number of nodes times those that are left, not with the square of the bucket, and no pair is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlens.llm import text as T
-from govlens.llm.common import small_batches, table
+from govlens.llm.common import gone, small_batches, table
 from govlens.llm.components import components
 
 #: Bands of a signature at 85 %; ``bands`` gives those of another bound.
@@ -137,32 +141,43 @@ def _first_shared(sig: np.ndarray, i: int, band: int) -> np.ndarray:
     return ~same[:, :band].any(1)
 
 
+_ROW = {"group": pa.int64(), "node": pa.binary(), "band": pa.int32(), "side": pa.int32(), "comp": pa.binary()}
+GROUP = "group long, node binary, band int, side int, comp binary"
+
+
+def _rules(g: pa.Table) -> tuple[np.ndarray, np.ndarray, bool, int]:
+    """(side, component number, whether only nodes of unlike sides meet, band) of a group."""
+    side = g.column("side").to_numpy()
+    comp = np.unique(np.array(g.column("comp").to_pylist(), dtype=object), return_inverse=True)[1]
+    return side, comp, bool(side[0] >= 0), g.column("band")[0].as_py()
+
+
 def _likely(batches: Iterator[pa.RecordBatch], floor: float = LIKELY) -> Iterator[pa.RecordBatch]:
-    """(group, node) of the nodes that have a likely partner here, in the first band that the two share."""
+    """The rows of nodes that have a likely partner here: one of another component and, if there are sides, of the other side. Where the
+    group belongs to a band, a pair counts in the first band that the two share."""
     out: list[tuple] = []
     for g in _grouped(batches):
         if len(g) < 2:
             continue
         sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint32).reshape(len(g), -1)
-        band = g.column("band")[0].as_py()
-        side, apart = g.column("side").to_numpy(), g.column("apart")[0].as_py()
+        side, comp, apart, band = _rules(g)
         hit = np.zeros(len(g), bool)
         for i in range(len(g) - 1):
-            ok = (sig[i + 1 :] == sig[i]).mean(1) >= floor
+            ok = ((sig[i + 1 :] == sig[i]).mean(1) >= floor) & (comp[i + 1 :] != comp[i])
             if apart:
                 ok &= side[i + 1 :] != side[i]
-            if ok.any():
+            if ok.any() and band >= 0:
                 ok &= _first_shared(sig, i, band)
-                if ok.any():
-                    hit[i] = True
-                    hit[i + 1 :] |= ok
+            if ok.any():
+                hit[i] = True
+                hit[i + 1 :] |= ok
         if hit.any():
-            key, nodes = g.column("group")[0].as_py(), g.column("node").to_pylist()
-            out += [(key, nodes[i], band, int(side[i]), apart) for i in np.flatnonzero(hit)]
+            columns = [g.column(c).to_pylist() for c in _ROW]
+            out += [tuple(c[i] for c in columns) for i in np.flatnonzero(hit)]
         if len(out) >= 5000:
-            yield _flush(out, ["group", "node", "band", "side", "apart"], [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()])
+            yield _flush(out, list(_ROW), list(_ROW.values()))
             out = []
-    yield _flush(out, ["group", "node", "band", "side", "apart"], [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()])
+    yield _flush(out, list(_ROW), list(_ROW.values()))
 
 
 def _linked(percent: int):
@@ -172,8 +187,8 @@ def _linked(percent: int):
         for g in _grouped(batches):
             sets = [np.frombuffer(x, np.uint64) for x in g.column("shingles").to_pylist()]
             nodes, n = g.column("node").to_pylist(), [len(x) for x in sets]
-            side, apart = g.column("side").to_numpy(), g.column("apart")[0].as_py()
-            root = list(range(len(sets)))
+            side, comp, apart, _ = _rules(g)
+            root = np.unique(comp, return_index=True)[1][comp].tolist()  # of one component: its first row
 
             def find(i: int, root: list[int] = root) -> int:
                 while root[i] != i:
@@ -201,6 +216,57 @@ def _by_group(df: DataFrame) -> DataFrame:
     return df.repartition("group").sortWithinPartitions("group", "node")
 
 
+def _links(groups: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) table of links within groups (columns of ``GROUP``)."""
+    least_equal = floor(percent)
+    likely = _by_group(groups.join(nodes.select("node", "sig"), "node")).mapInArrow(lambda batches: _likely(batches, least_equal), GROUP)
+    likely = table(likely, "near-likely")
+    # whole sets of those nodes, one document each
+    ids = table(likely.select("node").distinct().join(nodes.select("node", "least"), "node").select(F.col("least").alias("doc_id")).distinct(), "near-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    whole = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    sets = whole.mapInArrow(_sets, "node binary, shingles binary")
+    sets = sets.groupBy("node").agg(F.min("shingles").alias("shingles"))
+    links = _by_group(likely.join(sets, "node")).mapInArrow(_linked(percent), "a binary, b binary")
+    links = table(links.distinct(), "near-links")
+    gone(likely, ids)
+    return links
+
+
+def _stars(hot: DataFrame, block: int) -> DataFrame:
+    """Groups of large buckets: each node in a block of its first one, with that bucket's representative."""
+    first = hot.groupBy("node").agg(F.min(F.struct("band", "bucket", "n", "rep")).alias("h")).select("node", "h.*")
+    cut = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / F.lit(block))).alias("cut")
+    members = first.select("bucket", cut, "node", "rep")
+    both = members.select("bucket", "cut", "node").unionByName(members.select("bucket", "cut", F.col("rep").alias("node"))).distinct()
+    return both.select(F.xxhash64("bucket", "cut", F.lit("star")).alias("group"), "node", F.lit(-1).alias("band"), F.lit(-1).alias("side"), F.col("node").alias("comp"))
+
+
+def _across(hot: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
+    """Groups of large buckets of several components: blocks of the nodes outside the largest one against blocks of all, by class of size.
+
+    Sets that link differ in size by ``percent`` at most, so they lie in the same class or in neighbouring ones.
+    """
+    known = labels.select(F.col("id").alias("node"), "component")
+    own = hot.select("bucket", "node", "band").join(known, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    per = own.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("largest")).filter("comps > 1")
+    size = F.lit(0) if percent <= 0 else F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(max(1e-3, -math.log(percent / 100))))
+    own = table(own.join(mixed, "bucket").join(nodes.select("node", size.alias("size")), "node").select("bucket", "node", "band", "comp", "largest", "size"), "near-mixed")
+    right = own.select("bucket", "node", "band", "comp", "size")
+    left = own.filter("comp <> largest").select("bucket", "node", "band", "comp", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    half = F.lit(max(1, block // 2))
+    counts = right.groupBy("bucket", "size").agg(F.ceil(F.count(F.lit(1)) / half).alias("rights")).join(left.groupBy("bucket", "size").agg(F.ceil(F.count(F.lit(1)) / half).alias("lefts")), ["bucket", "size"])
+
+    def dealt(rows: DataFrame, mine: str, other: str, side: int) -> DataFrame:
+        rows = rows.join(counts, ["bucket", "size"]).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(2)), F.col(mine)))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        ends = ("mine", "other") if side == 0 else ("other", "mine")
+        return rows.select(F.xxhash64("bucket", "size", *ends).alias("group"), "node", "band", F.lit(side).alias("side"), "comp")
+
+    return dealt(left, "lefts", "rights", 0).unionByName(dealt(right, "rights", "lefts", 1))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -213,33 +279,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = table(docs.mapInArrow(_sketch(ROWS * bands(percent)), "doc_id long, n_shingles long, node binary, sig binary"), "near-rows")
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig"))
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"))
     nodes = table(nodes, "near-nodes")
     # buckets of more than one node
     width = 4 * ROWS
     values = F.array(*[F.xxhash64(F.substring("sig", 1 + b * width, width), F.lit(b)) for b in range(bands(percent))])
     banded = nodes.select("node", F.posexplode(values).alias("band", "bucket"))
-    crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep")).filter("n > 1")
     met = table(banded.join(crowded, "bucket"), "near-buckets")
-    # groups of at most two blocks
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    met = met.withColumn("side", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.withColumn("apart", F.col("side") != F.col("other"))
-    ends = [F.least("side", "other"), F.greatest("side", "other")]
-    met = met.select(F.xxhash64("bucket", *ends).alias("group"), "node", "band", "side", "apart")
-    least_equal = floor(percent)
-    likely = _by_group(met.join(nodes.select("node", "sig"), "node")).mapInArrow(lambda batches: _likely(batches, least_equal), "group long, node binary, band int, side int, apart boolean")
-    likely = table(likely, "near-likely")
-    # whole sets of those nodes, one document each
-    ids = table(likely.select("node").distinct().join(nodes.select("node", "least"), "node").select(F.col("least").alias("doc_id")).distinct(), "near-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    whole = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = whole.mapInArrow(_sets, "node binary, shingles binary")
-    sets = sets.groupBy("node").agg(F.min("shingles").alias("shingles"))
-    links = _by_group(likely.join(sets, "node")).mapInArrow(_linked(percent), "a binary, b binary")
-    links = table(links.distinct(), "near-links")
+    groups = met.filter(F.col("n") <= block).select(F.col("bucket").alias("group"), "node", "band", F.lit(-1).alias("side"), F.col("node").alias("comp"))
+    hot = met.filter(F.col("n") > block)
+    large = not hot.isEmpty()
+    links = _links(groups.unionByName(_stars(hot, block)) if large else groups, nodes, docs, percent)
     labels = components(links, "a", "b")
+    if large:
+        more = _links(_across(hot, nodes, labels, percent, block), nodes, docs, percent)
+        if not more.isEmpty():
+            labels = components(links.unionByName(more), "a", "b")
+    gone(met)
     least = nodes.join(labels.withColumnRenamed("id", "node"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = table(labels.withColumnRenamed("id", "node").join(least, "component").select("node", "component_id"), "near-labels")
     out = rows.select("doc_id", "n_shingles", "node").join(nodes.select("node", "least"), "node", "left").join(of_node, "node", "left")
@@ -248,7 +305,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
 
 
 def survivors(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of docs that carry their component's doc_id, with all their columns; of rows that repeat it, one."""
+    """The rows of docs that carry their component's doc_id by ``near_duplicates``, with all their columns, which may have any names.
+
+    Of rows that repeat that doc_id one stays. A null, empty or wordless text is its own component and stays. An empty table gives no rows.
+    """
     kept = table(near_duplicates(docs, percent).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-kept")
     few = kept.count() <= BROADCAST_IDS
     single = kept.filter("n = 1")

@@ -111,6 +111,42 @@ def test_near_duplicates(docs, rows, empty, monkeypatch):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_one_large_bucket_of_near_copies(spark):
+    """Far more near copies than a block holds, two groups of them and texts that share half of their words with one."""
+    rng = random.Random(31)
+    base, other = sentence(rng, 200).split(), sentence(rng, 200).split()
+    texts = [" ".join([*base[:k], f"w{i}", *base[k + 1 :]]) for i in range(2500) for k in (rng.randrange(200),)]
+    texts += [" ".join([*other[:k], f"v{i}", *other[k + 1 :]]) for i in range(900) for k in (rng.randrange(200),)]
+    texts += [" ".join([*base[:130], *sentence(rng, 70).split()]) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, block=64).collect()}
+    assert {got[i] for i in range(2500)} == {0} and {got[i] for i in range(2500, 3400)} == {2500}
+    assert all(got[i] == i for i in range(3400, 3800))
+
+
+def test_bridges_between_components_of_a_large_bucket(spark):
+    """A chain whose ends don't link, in a bucket that is cut into the smallest blocks: brute force finds the same components."""
+    rng = random.Random(33)
+    w = sentence(rng, 150).split()
+    texts = []
+    for _ in range(60):
+        w = list(w)
+        for _ in range(2):
+            w[rng.randrange(150)] = sentence(rng, 1)
+        texts.append(" ".join(w))
+    sets = [frozenset(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in (words(t) for t in texts)]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    least = {r: min(i for i in range(60) if root[i] == r) for r in set(root)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (2, 7):
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, block=block).collect()} == {i: least[root[i]] for i in range(60)}
+
+
 def test_circulant_signature_estimates_jaccard():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
