@@ -85,13 +85,15 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(id, component) of every node of an edge; component is its component's least id. Alternating large and small stars."""
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v")).distinct()
     now, before = table(pairs, "cc-edges"), None
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == before or mark["n"] == 0:
             break
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # dealt once more, so that both sides of the join are plain shuffles and a node with very many edges can be split
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition(parts)
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = table(large.filter(F.col("u") != F.col("v")).distinct(), "cc-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
