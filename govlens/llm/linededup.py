@@ -97,7 +97,8 @@ def dedup(docs: DataFrame, words: int = LONG_LINE) -> DataFrame:
     # bytes: a hash stands for one line only if all the lines under it are the same
     seen = _with_lines(own, found).select("at", lines.alias("lines")).select(F.explode(F.transform("at", lambda i: F.get("lines", i))).alias("line"))
     seen = seen.groupBy(F.xxhash64("line").alias("hash")).agg(F.min("line").alias("low"), F.max("line").alias("high"))
-    unlike = seen.filter("low <> high").select("hash")
+    # dealt once more: the few hashes that are left are then a stage whose size is known, and a very common line can be split
+    unlike = seen.filter("low <> high").select("hash").repartition(8)
     gone = _with_lines(own, found.filter("goes").join(unlike, "hash", "left_anti").select("doc_id", "mark", "line"))
     gone = gone.select("doc_id", "text", lines.alias("lines"), F.size(F.coalesce("at", F.array())).alias("removed_lines"), F.when(F.col("at").isNotNull(), _runs(F.col("at"))).alias("gone"))
     # what stays lies between the removed runs
