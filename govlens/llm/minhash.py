@@ -238,25 +238,36 @@ def _stars(hot: DataFrame, block: int) -> DataFrame:
     first = hot.groupBy("node").agg(F.min(F.struct("band", "bucket", "n", "rep")).alias("h")).select("node", "h.*")
     cut = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / F.lit(block))).alias("cut")
     members = first.select("bucket", cut, "node", "rep")
-    both = members.select("bucket", "cut", "node").unionByName(members.select("bucket", "cut", F.col("rep").alias("node"))).distinct()
+    both = members.select("bucket", "cut", "node").unionByName(members.select("bucket", "cut", F.col("rep").alias("node")).distinct())
+    both = both.dropDuplicates(["bucket", "cut", "node"])
     return both.select(F.xxhash64("bucket", "cut", F.lit("star")).alias("group"), "node", F.lit(-1).alias("band"), F.lit(-1).alias("side"), F.col("node").alias("comp"))
 
 
-def _across(hot: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
-    """Groups of large buckets of several components: blocks of the nodes outside the largest one against blocks of all, by class of size.
+def _joined(hot: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp): a representative that links lead to in two steps at most; nodes of one comp are joined already."""
+    reps = hot.select(F.col("rep").alias("comp")).distinct()
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("comp")))
+    ends = ends.join(reps, "comp", "left_semi").unionByName(reps.select(F.col("comp").alias("node"), "comp"))
+    once = ends.groupBy("node").agg(F.min("comp").alias("comp"))
+    further = once.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+    return once.join(further, "comp").select("node", F.col("next").alias("comp"))
 
-    Sets that link differ in size by ``percent`` at most, so they lie in the same class or in neighbouring ones.
+
+def _across(hot: DataFrame, nodes: DataFrame, links: DataFrame, percent: int, block: int) -> DataFrame:
+    """Groups of large buckets whose nodes aren't all joined: blocks of the nodes outside the largest component against blocks of all, by size.
+
+    Sets that link differ in size by ``percent`` at most, so they lie in the same class of sizes or in neighbouring ones.
     """
-    known = labels.select(F.col("id").alias("node"), "component")
-    own = hot.select("bucket", "node", "band").join(known, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    own = hot.select("bucket", "node", "band").join(_joined(hot, links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    own = table(own.join(nodes.select("node", F.floor(F.log("n_shingles") / F.lit(-math.log(min(percent, 99) / 100))).alias("size")), "node"), "near-mixed")
     per = own.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("largest")).filter("comps > 1")
-    size = F.lit(0) if percent <= 0 else F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(max(1e-3, -math.log(percent / 100))))
-    own = table(own.join(mixed, "bucket").join(nodes.select("node", size.alias("size")), "node").select("bucket", "node", "band", "comp", "largest", "size"), "near-mixed")
+    mixed = table(per.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("largest")).filter("comps > 1"), "near-largest")
+    own = own.join(mixed, "bucket")
     right = own.select("bucket", "node", "band", "comp", "size")
     left = own.filter("comp <> largest").select("bucket", "node", "band", "comp", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
     half = F.lit(max(1, block // 2))
-    counts = right.groupBy("bucket", "size").agg(F.ceil(F.count(F.lit(1)) / half).alias("rights")).join(left.groupBy("bucket", "size").agg(F.ceil(F.count(F.lit(1)) / half).alias("lefts")), ["bucket", "size"])
+    lefts, rights = (df.groupBy("bucket", "size").agg(F.ceil(F.count(F.lit(1)) / half).alias(name)) for df, name in ((left, "lefts"), (right, "rights")))
+    counts = table(rights.join(lefts, ["bucket", "size"]), "near-counts")
 
     def dealt(rows: DataFrame, mine: str, other: str, side: int) -> DataFrame:
         rows = rows.join(counts, ["bucket", "size"]).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(2)), F.col(mine)))
@@ -291,11 +302,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     hot = met.filter(F.col("n") > block)
     large = not hot.isEmpty()
     links = _links(groups.unionByName(_stars(hot, block)) if large else groups, nodes, docs, percent)
-    labels = components(links, "a", "b")
     if large:
-        more = _links(_across(hot, nodes, labels, percent, block), nodes, docs, percent)
-        if not more.isEmpty():
-            labels = components(links.unionByName(more), "a", "b")
+        links = links.unionByName(_links(_across(hot, nodes, links, percent, block), nodes, docs, percent))
+    labels = components(links, "a", "b")
     gone(met)
     least = nodes.join(labels.withColumnRenamed("id", "node"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = table(labels.withColumnRenamed("id", "node").join(least, "component").select("node", "component_id"), "near-labels")
