@@ -243,22 +243,27 @@ def _stars(hot: DataFrame, block: int) -> DataFrame:
     return both.select(F.xxhash64("bucket", "cut", F.lit("star")).alias("group"), "node", F.lit(-1).alias("band"), F.lit(-1).alias("side"), F.col("node").alias("comp"))
 
 
-def _joined(hot: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, comp): a representative that links lead to in two steps at most; nodes of one comp are joined already."""
-    reps = hot.select(F.col("rep").alias("comp")).distinct()
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("comp")))
-    ends = ends.join(reps, "comp", "left_semi").unionByName(reps.select(F.col("comp").alias("node"), "comp"))
-    once = ends.groupBy("node").agg(F.min("comp").alias("comp"))
-    further = once.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-    return once.join(further, "comp").select("node", F.col("next").alias("comp"))
+def _components_of(nodes: DataFrame, labels: DataFrame, name: str = "node", comp: str = "comp") -> DataFrame:
+    """Adds the component of a node; a node without links is its own."""
+    known = labels.select(F.col("id").alias(name), F.col("component").alias(comp))
+    return nodes.join(known, name, "left").withColumn(comp, F.coalesce(comp, name))
 
 
-def _across(hot: DataFrame, nodes: DataFrame, links: DataFrame, percent: int, block: int) -> DataFrame:
+def _contracted(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after further links: components of components, which are few, put in place of them."""
+    ends = _components_of(_components_of(more, labels, "a", "ca"), labels, "b", "cb").select("ca", "cb").filter("ca <> cb")
+    above = table(components(ends, "ca", "cb").withColumnRenamed("component", "top"), "near-tops")
+    fresh = above.join(labels.select(F.col("component").alias("id")).distinct(), "id", "left_anti").select("id", F.col("top").alias("component"))
+    inner = labels.join(above.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return inner.unionByName(fresh)
+
+
+def _across(hot: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
     """Groups of large buckets whose nodes aren't all joined: blocks of the nodes outside the largest component against blocks of all, by size.
 
     Sets that link differ in size by ``percent`` at most, so they lie in the same class of sizes or in neighbouring ones.
     """
-    own = hot.select("bucket", "node", "band").join(_joined(hot, links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    own = _components_of(hot.select("bucket", "node", "band"), labels)
     own = table(own.join(nodes.select("node", F.floor(F.log("n_shingles") / F.lit(-math.log(min(percent, 99) / 100))).alias("size")), "node"), "near-mixed")
     per = own.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = table(per.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("largest")).filter("comps > 1"), "near-largest")
@@ -302,9 +307,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     hot = met.filter(F.col("n") > block)
     large = not hot.isEmpty()
     links = _links(groups.unionByName(_stars(hot, block)) if large else groups, nodes, docs, percent)
-    if large:
-        links = links.unionByName(_links(_across(hot, nodes, links, percent, block), nodes, docs, percent))
     labels = components(links, "a", "b")
+    if large:
+        labels = table(labels, "near-first")
+        more = _links(_across(hot, nodes, labels, percent, block), nodes, docs, percent)
+        labels = labels if more.isEmpty() else _contracted(labels, more)
     gone(met)
     least = nodes.join(labels.withColumnRenamed("id", "node"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = table(labels.withColumnRenamed("id", "node").join(least, "component").select("node", "component_id"), "near-labels")
