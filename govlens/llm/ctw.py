@@ -4,10 +4,11 @@ A text is its lower-cased words with one space between them and an end byte. Eac
 decision has a context tree over the bytes before it, whose nodes hold Krichevsky-Trofimov estimates and are weighted with
 their children over all depths. The tree learns from all training texts; a text's code length is the sum over its bytes.
 
-Documents are worked through in chunks. A chunk sends out its distinct words and byte windows, each once, as sorted arrays
-cut by leading bits; what shares these bits meets in one group, is counted or turned into probabilities there, and goes back to its
-chunk in the same order. So neither the model nor the vocabulary is ever in one place. A group holds the distinct windows
-that share their two latest context bytes.
+Documents are worked through in chunks. A chunk sends out its distinct words and byte windows, each once, as sorted arrays cut by leading bits:
+of windows by the three latest context bytes. What shares these bits is summed up by way of bounded runs of chunks, each of which a task folds
+row by row, so that it holds the distinct keys and one batch. The nodes of three context bytes and more are built in such a part; those of two are
+sums over parts, by Spark; those above are one small table. Then each run of chunks meets the part's probabilities and sends them back in the
+order of its keys. So neither the model, nor the vocabulary, nor all chunks of a common context are ever in one place.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlens.llm import text as T
-from govlens.llm.common import small_batches, table
-from govlens.llm.minhash import _grouped
+from govlens.llm.common import gone, small_batches, table
 
 DEPTH = 5
 CHUNK_BYTES = 16 << 20
 END = 0x0A
-#: Words are cut by this many leading bits of their hash.
-WORD_BITS = 10
+#: Words are cut by this many leading bits of their hash, windows by this many of their latest context bytes.
+WORD_BITS, SPLIT = 10, 3
+#: Parts of windows are numbered from here, those of words from 0.
+GRAMS = 1 << 40
+#: Chunks of a run: what one task folds, or answers, of a part.
+RUN = 256
 #: Bytes worked on at once inside a chunk.
 _STEP = 1 << 20
 
@@ -103,6 +107,14 @@ class _Counter:
         if self.waiting > 1 << 20:
             self.merge()
 
+    def put(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Adds keys that are distinct and sorted already."""
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.waiting += len(keys)
+        if self.waiting > 1 << 20:
+            self.merge()
+
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -129,50 +141,84 @@ def _emit(depth: int, mod: int):
                         counter.add(rest, np.zeros(len(rest), np.int64))
         for c in list(seen):
             words, grams = seen.pop(c)
-            for kind, counter, shift in ((0, words, 64 - WORD_BITS), (1, grams, 8 * (depth - 1))):
+            for first, counter, shift in ((0, words, 64 - WORD_BITS), (GRAMS, grams, 8 * (depth + 1 - SPLIT))):
                 keys, counts = counter.merge()
                 top = (keys >> np.uint64(shift)).astype(np.int64)
                 cut = np.concatenate(([0], np.flatnonzero(top[1:] != top[:-1]) + 1, [len(top)])) if len(top) else np.zeros(1, np.int64)
                 spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-                for i in range(0, len(spans), 2000):
-                    part = spans[i : i + 2000]
+                for i in range(0, len(spans), 5000):
+                    part = spans[i : i + 5000]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([kind] * len(part), pa.int32()),
-                            pa.array([int(top[a]) for a, _ in part], pa.int64()),
+                            pa.array([first + int(top[a]) for a, _ in part], pa.int64()),
                             pa.array([c] * len(part), pa.int64()),
                             pa.array([keys[a:z].tobytes() for a, z in part], pa.binary()),
-                            pa.array([counts[a:z].astype(np.uint32).tobytes() for a, z in part], pa.binary()),
+                            pa.array([counts[a:z].tobytes() for a, z in part], pa.binary()),
                         ],
-                        ["kind", "top", "chunk", "keys", "counts"],
+                        ["top", "chunk", "keys", "counts"],
                     )
 
     return run
 
 
-def _gather(g: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """All distinct keys of a group with their summed counts, and the keys of each of its rows."""
-    rows = [np.frombuffer(k, np.uint64) for k in g.column("keys").to_pylist()]
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in g.column("counts").to_pylist()])
-    keys, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    return keys, np.bincount(inverse, counts, len(keys)).astype(np.int64), rows
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Back to each chunk the training counts of its words; the sums behind N and V on each group's first row."""
-    for g in _grouped(batches, "top"):
-        keys, counts, rows = _gather(g)
-        first = np.arange(len(g)) == 0
-        yield pa.RecordBatch.from_arrays(
-            [
-                g.column("top").combine_chunks(),
-                g.column("chunk").combine_chunks(),
-                pa.array([counts[np.searchsorted(keys, r)].astype(np.uint32).tobytes() for r in rows], pa.binary()),
-                pa.array(np.where(first, counts.sum(), 0).astype(np.int64)),
-                pa.array(np.where(first, (counts > 0).sum(), 0).astype(np.int64)),
-            ],
-            ["top", "chunk", "values", "tokens", "types"],
-        )
+COUNTED = "top long, keys binary, counts binary, total long, types long"
+
+
+def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct keys with summed counts of rows that come sorted by ``part``, and the sums behind N and V."""
+    part, top, counter, out = None, 0, _Counter(), []
+
+    def done() -> tuple:
+        keys, counts = counter.merge()
+        return top, keys.tobytes(), counts.tobytes(), int(counts.sum()), int((counts > 0).sum())
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["top", "keys", "counts", "total", "types"])
+
+    for b in batches:
+        parts, tops = b.column("part").to_numpy(), b.column("top").to_numpy()
+        for i, (k, c) in enumerate(zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True)):
+            if parts[i] != part:
+                if part is not None:
+                    out.append(done())
+                    if len(out) >= 1000 or len(out[-1][1]) > 1 << 20:
+                        yield flush()
+                        out = []
+                part, top, counter = parts[i], int(tops[i]), _Counter()
+            counter.put(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64))
+    if part is not None:
+        out.append(done())
+    yield flush()
+
+
+def _summed(rows: DataFrame, part) -> DataFrame:
+    """Rows of top, keys and counts with those of a part made one."""
+    dealt = rows.select(part.alias("part"), "top", "keys", "counts").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(_fold_rows, COUNTED)
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each chunk the values of its keys; rows come sorted by part, the part's values (chunk -1) before its chunks."""
+    known, values = np.zeros(0, np.uint64), np.zeros(0)
+    for b in batches:
+        tops, chunks, out = b.column("top").to_numpy(), b.column("chunk").to_numpy(), []
+        for i, (k, v) in enumerate(zip(b.column("keys").to_pylist(), b.column("values").to_pylist(), strict=True)):
+            keys = np.frombuffer(k, np.uint64)
+            if chunks[i] < 0:
+                known, values = keys, np.frombuffer(v, np.float32 if tops[i] >= GRAMS else np.float64)
+            else:
+                out.append((tops[i], chunks[i], values[np.searchsorted(known, keys)].tobytes()))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["top", "chunk", "values"])
+
+
+def _as_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words as their values."""
+    for b in batches:
+        own = [np.frombuffer(c, np.int64).astype(np.float64).tobytes() for c in b.column("counts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("top"), b.column("keys"), pa.array(own, pa.binary())], ["top", "keys", "values"])
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -217,7 +263,7 @@ def _shorter(nodes: np.ndarray) -> np.ndarray:
     return ((nodes >> np.uint64(16)) << np.uint64(8)) | (nodes & np.uint64(255))
 
 
-def grow(keys: np.ndarray, counts: np.ndarray, depth: int, least: int = 2) -> dict[int, dict]:
+def grow(keys: np.ndarray, counts: np.ndarray, depth: int, least: int = SPLIT) -> dict[int, dict]:
     """The nodes of all depths from ``least`` to ``depth`` over these training windows."""
     seen = counts > 0
     nodes, bits = _decisions(keys[seen], depth)
@@ -236,24 +282,48 @@ def spread(tree: dict[int, dict], start: int, mixed: np.ndarray, rest: np.ndarra
         t = tree[d]
         t["q1"] = mixed + rest * t["p1"]
         if t["ratio"] is not None:
-            share = 1 / (1 + np.exp2(np.clip(-t["ratio"], -1000, 1000)))
-            up = t["up"]
+            share, up = _share(t["ratio"]), t["up"]
             mixed, rest = (mixed + rest * share * t["p1"])[up], (rest * (1 - share))[up]
 
 
-def _roots(depth: int):
+def _threes(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The nodes of depth two of each group, for the two levels above."""
-        for g in _grouped(batches, "top"):
-            keys, counts, _ = _gather(g)
-            if not counts.any():
-                continue
-            t = grow(keys, counts, depth)[2]
-            latest = (t["nodes"] >> np.uint64(16)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(latest), pa.array((t["nodes"] & np.uint64(255)).astype(np.int64)), pa.array(t["n0"]), pa.array(t["n1"]), pa.array(t["weighted"])],
-                ["latest", "prefix", "n0", "n1", "weighted"],
-            )
+        """What the nodes of three context bytes hand up to those of two."""
+        for b in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
+                if counts.any():
+                    t = grow(keys, counts, depth)[SPLIT]
+                    out.append(((t["nodes"] >> np.uint64(16)).astype(np.int64), (t["nodes"] & np.uint64(255)).astype(np.int64), t["n0"], t["n1"], t["weighted"]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["parent", "prefix", "n0", "n1", "below"])
+
+    return run
+
+
+def _twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of two context bytes from the sums of those below."""
+    for b in batches:
+        parent, prefix, n0, n1, below = (b.column(c).to_numpy() for c in ("parent", "prefix", "n0", "n1", "below"))
+        own = kt(n0, n1)
+        cols = [parent, prefix, n0, n1, np.logaddexp2(own, below) - 1, own - below]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["parent", "prefix", "n0", "n1", "weighted", "ratio"])
+
+
+def _share(ratio: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp2(np.clip(-ratio, -1000, 1000)))
+
+
+def _handed(top: dict[str, np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Probability at the nodes of two context bytes, and what they hand down."""
+        for b in batches:
+            parent, prefix, n0, n1, ratio = (b.column(c).to_numpy() for c in ("parent", "prefix", "n0", "n1", "ratio"))
+            at, p1, share = (parent >> 8, prefix), (n1 + 0.5) / (n0 + n1 + 1), _share(ratio)
+            mixed, rest = top["mixed"][at], top["rest"][at]
+            cols = [parent, prefix, mixed + rest * p1, mixed + rest * share * p1, rest * (1 - share)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["parent", "prefix", "q", "mixed", "rest"])
 
     return run
 
@@ -262,7 +332,7 @@ def crown(nodes: np.ndarray, n0: np.ndarray, n1: np.ndarray, weighted: np.ndarra
     """The two top levels: for each latest byte and prefix p1, and what is handed down. At most 65,280 + 255 nodes."""
     low = _fold(nodes, n0, n1, weighted)
     root = _fold(low["nodes"] & np.uint64(255), low["n0"], low["n1"], low["weighted"])
-    share = [1 / (1 + np.exp2(np.clip(-t["ratio"], -1000, 1000))) for t in (root, low)]
+    share = [_share(t["ratio"]) for t in (root, low)]
     mixed, rest = (share[0] * root["p1"])[root["up"]], (1 - share[0])[root["up"]]
     q0, q1 = np.full(256, 0.5), np.full((256, 256), np.nan)
     q0[root["nodes"].astype(int)] = root["p1"]
@@ -273,14 +343,17 @@ def crown(nodes: np.ndarray, n0: np.ndarray, n1: np.ndarray, weighted: np.ndarra
     return {"q0": q0, "q1": np.where(np.isnan(q1), q0[None, :], q1), "mixed": m2, "rest": r2}
 
 
-def resolve(keys: np.ndarray, tree: dict[int, dict], top: dict[str, np.ndarray], depth: int) -> np.ndarray:
-    """log2 of each window's probability: each decision at the deepest context that training has seen."""
+def resolve(keys: np.ndarray, tree: dict[int, dict], top: dict[str, np.ndarray], depth: int, second: np.ndarray | None = None) -> np.ndarray:
+    """log2 of each window's probability: each decision at the deepest context that training has seen; second: by prefix, p1 at two context bytes,
+    nan where unseen, if the keys share these."""
     nodes, bits = _decisions(keys, depth)
     nodes = nodes.ravel()
     prefix = (nodes & np.uint64(255)).astype(np.int64)
     latest = (nodes >> np.uint64(8 * depth)).astype(np.int64)
     q = top["q1"][latest, prefix]
-    for d in range(2, depth + 1) if tree else ():
+    if second is not None:
+        q = np.where(np.isnan(second[prefix]), q, second[prefix])
+    for d in range(min(tree), depth + 1) if tree else ():
         cut = np.uint64(8 * (depth - d))
         short = ((nodes >> (cut + np.uint64(8))) << np.uint64(8)) | prefix.astype(np.uint64)
         known = tree[d]["nodes"]
@@ -290,31 +363,33 @@ def resolve(keys: np.ndarray, tree: dict[int, dict], top: dict[str, np.ndarray],
     return np.log2(np.where(bits == 1, q, 1 - q)).sum(1)
 
 
-def _score_windows(depth: int, top: dict[str, np.ndarray]):
+def _window_values(depth: int, top: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _grouped(batches, "top"):
-            keys, counts, rows = _gather(g)
-            tree: dict[int, dict] = {}
-            if counts.any():
-                tree = grow(keys, counts, depth)
-                two = tree[2]["nodes"]
-                at = ((two >> np.uint64(16)).astype(int), (two & np.uint64(255)).astype(int))
-                spread(tree, 2, top["mixed"][at], top["rest"][at])
-            values = np.concatenate([resolve(keys[i : i + 50_000], tree, top, depth) for i in range(0, len(keys), 50_000)])
-            yield pa.RecordBatch.from_arrays(
-                [g.column("top").combine_chunks(), g.column("chunk").combine_chunks(), pa.array([values[np.searchsorted(keys, r)].astype(np.float32).tobytes() for r in rows], pa.binary())],
-                ["top", "chunk", "values"],
-            )
+        for b in batches:
+            tops, out = b.column("top").to_pylist(), []
+            for t, k, c, above in zip(tops, b.column("keys").to_pylist(), b.column("counts").to_pylist(), b.column("above").to_pylist(), strict=True):
+                keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
+                second, mixed, rest = np.full(256, np.nan), np.zeros(256), np.ones(256)
+                for a in above or ():
+                    second[a["prefix"]], mixed[a["prefix"]], rest[a["prefix"]] = a["q"], a["mixed"], a["rest"]
+                tree: dict[int, dict] = {}
+                if counts.any():
+                    tree = grow(keys, counts, depth)
+                    prefix = (tree[SPLIT]["nodes"] & np.uint64(255)).astype(int)
+                    spread(tree, SPLIT, mixed[prefix], rest[prefix])
+                values = np.concatenate([resolve(keys[i : i + 50_000], tree, top, depth, second) for i in range(0, len(keys), 50_000)])
+                out.append((t, k, values.astype(np.float32).tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["top", "keys", "values"])
 
     return run
 
 
 def _score_chunk(depth: int, mod: int):
     def run(docs: pa.Table, values: pa.Table) -> pa.Table:
-        kinds = values.column("kind").to_numpy()
-        looked = []
-        for kind, dtype in ((0, np.uint32), (1, np.float32)):
-            own = values.filter(pa.array(kinds == kind)).sort_by("top")
+        grams_, looked = values.column("top").to_numpy() >= GRAMS, []
+        for kind, dtype in ((False, np.float64), (True, np.float32)):
+            own = values.filter(pa.array(grams_ == kind)).sort_by("top")
             looked.append(np.frombuffer(b"".join(own.column("values").to_pylist()), dtype).astype(np.float64))
         words, grams = _Counter(), _Counter()
         for _, _, w, _, h, _ in _pieces(docs, depth):
@@ -353,8 +428,10 @@ def score(docs: DataFrame, depth: int = DEPTH, mod: int = 10, chunk_bytes: int =
     end alone; a null doc_id counts as empty text in the crc. base_score is the smoothed unigram score in log10; score the
     model's log10 probability of the lower-cased words, one space between them, and the end. A context that training never
     had adds nothing: the mix is then over the depths above. Other columns aren't read. An empty table gives no rows;
-    without training texts every byte costs eight bits.
+    without training texts every byte costs eight bits. ``depth`` is 3 to 7.
     """
+    if not SPLIT <= depth <= 7:
+        raise ValueError("a window of context bytes and byte is a number of 64 bits")
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
@@ -362,20 +439,33 @@ def score(docs: DataFrame, depth: int = DEPTH, mod: int = 10, chunk_bytes: int =
     chunks = max(1, -(-size // chunk_bytes))
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod == 0
-    sent = table(dealt.repartition("chunk").mapInArrow(_emit(depth, mod), "kind int, top long, chunk long, keys binary, counts binary"), "ctw-sent")
-    words = sent.filter("kind = 0").repartition("top").sortWithinPartitions("top", "chunk")
-    words = table(words.mapInArrow(_count_words, "top long, chunk long, values binary, tokens long, types long"), "ctw-words")
-    grams = sent.filter("kind = 1").repartition("top").sortWithinPartitions("top", "chunk")
+    sent = table(dealt.repartition("chunk").mapInArrow(_emit(depth, mod), "top long, chunk long, keys binary, counts binary"), "ctw-sent")
+    runs = -(-chunks // RUN)
+    run = F.col("top") * F.lit(runs) + F.pmod("chunk", F.lit(runs))
+    summed = _summed(sent, run) if runs > 1 else sent
+    counted = table(_summed(summed, F.col("top")), "ctw-counts")
+    words, grams = counted.filter(F.col("top") < GRAMS), counted.filter(F.col("top") >= GRAMS)
     # the end of a text is a token like any other: as often as there are training texts
     n_docs = docs.filter(~held).count()
-    sums = words.agg(F.sum("tokens"), F.sum("types")).first()
+    sums = words.agg(F.sum("total"), F.sum("types")).first()
     tokens, types = (sums[0] or 0) + n_docs, (sums[1] or 0) + (n_docs > 0)
-    roots = grams.mapInArrow(_roots(depth), "latest long, prefix long, n0 double, n1 double, weighted double")
-    roots = roots.groupBy("latest", "prefix").agg(F.sum("n0"), F.sum("n1"), F.sum("weighted")).toPandas().sort_values(["latest", "prefix"])
+    twos = grams.mapInArrow(_threes(depth), "parent long, prefix long, n0 double, n1 double, below double").groupBy("parent", "prefix")
+    twos = twos.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
+    twos = table(twos.mapInArrow(_twos, "parent long, prefix long, n0 double, n1 double, weighted double, ratio double"), "ctw-twos")
+    roots = twos.groupBy(F.shiftright("parent", 8).alias("latest"), "prefix").agg(F.sum("n0"), F.sum("n1"), F.sum("weighted")).toPandas().sort_values(["latest", "prefix"])
     keys = (roots["latest"].to_numpy().astype(np.uint64) << np.uint64(8)) | roots["prefix"].to_numpy().astype(np.uint64)
     top = crown(keys, *(roots[c].to_numpy().astype(np.float64) for c in roots.columns[2:]))
-    values = table(grams.mapInArrow(_score_windows(depth, top), "top long, chunk long, values binary"), "ctw-values")
-    back = words.select("chunk", F.lit(0).alias("kind"), "top", "values").unionByName(values.select("chunk", F.lit(1).alias("kind"), "top", "values"))
+    # at most 255 nodes share two context bytes
+    above = twos.mapInArrow(_handed(top), "parent long, prefix long, q double, mixed double, rest double")
+    above = above.groupBy("parent").agg(F.collect_list(F.struct("prefix", "q", "mixed", "rest")).alias("above"))
+    grams = grams.withColumn("parent", F.shiftright(F.col("top") - GRAMS, 8)).join(above, "parent", "left").select("top", "keys", "counts", "above")
+    valued = grams.mapInArrow(_window_values(depth, top), "top long, keys binary, values binary").unionByName(words.mapInArrow(_as_values, "top long, keys binary, values binary"))
+    # each run of chunks has its own copy of a part's values
+    copies = valued.select("top", "keys", "values", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("copy"))
+    asked = copies.select((F.col("top") * F.lit(runs) + F.col("copy")).alias("part"), "top", F.lit(-1).cast("long").alias("chunk"), "keys", "values")
+    asked = asked.unionByName(sent.select(run.alias("part"), "top", "chunk", "keys", F.lit(None).cast("binary").alias("values")))
+    back = table(asked.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(_answer, "top long, chunk long, values binary"), "ctw-values")
+    gone(sent, counted, twos)
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known_words long, base_words double, score double, bits_per_byte double"
     scored = dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_score_chunk(depth, mod), schema)

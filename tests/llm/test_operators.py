@@ -307,6 +307,18 @@ def test_context_tree_weighting(spark):
     assert ctw.score(docs.limit(0)).count() == 0
 
 
+def test_ctw_by_runs_of_chunks(spark, monkeypatch):
+    """Chunks of a few bytes in runs of three, and one run of all, give the same scores."""
+    rng = random.Random(14)
+    docs = spark.createDataFrame([(i, sentence(rng, rng.randint(0, 40))) for i in range(80)], "doc_id long, text string")
+    whole = {r.doc_id: r for r in ctw.score(docs).collect()}
+    monkeypatch.setattr(ctw, "RUN", 3)
+    split = {r.doc_id: r for r in ctw.score(docs, chunk_bytes=500).collect()}
+    for i, r in whole.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (split[i].n_tokens, split[i].n_known, split[i].train_tokens)
+        assert abs(r.score - split[i].score) < 1e-3 and abs(r.base_score - split[i].base_score) < 1e-9
+
+
 def test_ctw_is_a_distribution():
     keys = np.array([(97 << 16) | (98 << 8) | b for b in (97, 98, 99)], np.uint64)
     tree = ctw.grow(keys, np.array([3, 1, 2]), 2, least=2)
