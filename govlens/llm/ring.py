@@ -6,7 +6,8 @@ documents first; what overflows continues clockwise to the next virtual node of
 differ by one at most, and only overflow leaves its home shard.
 
 The ring has a fixed number of positions, so the walk works on one count a position (a bounded table), and rows
-find their shard by their rank among the rows of their position.
+find their shard by their rank among the rows of their position. A position of very many rows (one doc_id, or none, over and over) is
+ranked in cuts of bounded size, each from where the cuts before it end.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from govlens.llm.common import table
 #: Ring positions, a power of two: one count each comes to the driver, whatever the size of the input.
 POSITION_BITS = 16
 VIRTUAL_NODES = 128
+#: Rows that are ranked in one group.
+RANKED = 100_000
 
 
 def virtual_nodes(shards: int, each: int = VIRTUAL_NODES, bits: int = POSITION_BITS) -> list[tuple[int, int]]:
@@ -64,7 +67,7 @@ def walk(counts: dict[int, int], shards: int, each: int = VIRTUAL_NODES, bits: i
     return placed
 
 
-def assign(docs: DataFrame, shards: int = 24, each: int = VIRTUAL_NODES, bits: int = POSITION_BITS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 24, each: int = VIRTUAL_NODES, bits: int = POSITION_BITS, ranked: int = RANKED) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the UTF-8 length of the text plus 8, a null text counting as empty; law is ``rows``. Slots run from 0
@@ -83,6 +86,7 @@ def assign(docs: DataFrame, shards: int = 24, each: int = VIRTUAL_NODES, bits: i
         F.crc32(text.cast("binary")).alias("text_crc32"),
         mixed.alias("mixed"),
         F.shiftrightunsigned(mixed, 64 - bits).cast("int").alias("position"),
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = table(rows, "ring-rows")
     counts = {r.position: r["count"] for r in rows.groupBy("position").count().collect()}
@@ -92,9 +96,20 @@ def assign(docs: DataFrame, shards: int = 24, each: int = VIRTUAL_NODES, bits: i
         runs.append((position, shard, first, first + n, filled[shard]))
         filled[shard] += n
     runs = spark.createDataFrame(runs, "position int, shard int, first long, last long, base long")
-    order = W.partitionBy("position").orderBy("mixed", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order) - F.lit(1))
-    placed = ranked.join(F.broadcast(runs), "position").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
+    # cuts of large positions; rows that are the same in all go to 64 of them
+    large = [(p, -(-n // ranked)) for p, n in counts.items() if n > ranked]
+    cut = F.lit(0).cast("long")
+    if large:
+        rows = rows.join(F.broadcast(spark.createDataFrame(large, "position int, cuts long")), "position", "left")
+        cut = F.pmod(F.xxhash64("mixed", "text_crc32", "size", F.pmod("row", F.lit(64))), F.coalesce("cuts", F.lit(1)))
+    rows = rows.withColumn("cut", cut)
+    order = W.partitionBy("position", "cut").orderBy("mixed", "doc_id", "text_crc32", "size", "row")
+    numbered = rows.withColumn("rank", F.row_number().over(order) - F.lit(1))
+    if large:
+        sizes = rows.filter(F.col("cuts").isNotNull()).groupBy("position", "cut").agg(F.count(F.lit(1)).alias("n"))
+        before = sizes.select("position", "cut", (F.sum("n").over(W.partitionBy("position").orderBy("cut")) - F.col("n")).alias("before"))
+        numbered = numbered.join(before, ["position", "cut"], "left").withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
+    placed = numbered.join(F.broadcast(runs), "position").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     return placed.select(
         "doc_id",
         "size",
