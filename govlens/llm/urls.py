@@ -75,6 +75,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", digits: in
         .agg(F.max(F.struct("rank", "rule", "action")).alias("best"))
         .select("host", "path", "best.rule", "best.action")
     )
-    return parts.join(best, ["host", "path"], "left").select(
+    # rows without a host fit no rule: they are spread, so that many of them don't meet; the others' rules are dealt once more, so that a url
+    # that is there very often can be split
+    parts = parts.withColumn("apart", F.when(F.col("host") == "", F.pmod(F.xxhash64("page_id"), F.lit(1000)) + 1).otherwise(0))
+    best = best.withColumn("apart", F.lit(0).cast("long")).repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return parts.join(best, ["host", "path", "apart"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict")
     )
