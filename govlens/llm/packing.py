@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ from govlens.llm.minhash import _grouped
 CAPACITY = 2048
 #: Pieces of a part: what one task holds (some 20 bytes each).
 PART = 20_000
-ROUNDS = 6
+#: A round that leaves more than this share of the pieces for the next one wins nothing.
+WINS = 0.95
 #: Chunks whose ids a Python worker remembers.
 REMEMBERED = 300_000
 #: Chunks of a text whose ids, one after the other, are the text's: the tokenizer's own pattern never goes on from a mark to white
@@ -183,7 +185,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, with_ids), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{ids}")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, part: int = PART, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, part: int = PART) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified.
 
     A null text is empty and gives one token, the closing one. Rows that repeat a doc_id are packed each. Other columns
@@ -195,20 +197,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, part: int =
     left = pending.count()
     placed = cut.filter(F.col("length") >= capacity).select("item", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     schema = "item long, length long, part long, bin long, offset long, again boolean, bins long, bound long"
-    for turn in range(rounds):
+    for turn in count():
         if not left:
             break
         parts = -(-left // part)
         dealt = pending.withColumn("part", F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(parts)))
         packed = table(dealt.repartition("part").sortWithinPartitions("part", "item").mapInArrow(_pack(capacity), schema), "pack-round")
-        last = parts == 1 or turn == rounds - 1
+        pending = packed.filter("again").select("item", "length")
+        before, left = left, pending.count()
+        last = parts == 1 or left > WINS * before
         done = packed if last else packed.filter(~F.col("again"))
-        number = F.lit(turn).cast("long") * F.lit(2**56) + F.col("part") * F.lit(2**24) + F.col("bin")
+        number = F.lit(turn).cast("long") * F.lit(2**52) + F.col("part") * F.lit(2**24) + F.col("bin")
         placed = placed.unionByName(done.select("item", number.alias("sequence_id"), "offset", (F.col("bins") == F.col("bound")).alias("certified")))
         if last:
             break
-        pending = packed.filter("again").select("item", "length")
-        left = pending.count()
     out = cut.join(placed, "item")
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
 
