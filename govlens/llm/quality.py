@@ -73,7 +73,11 @@ def score(docs: DataFrame, model: linear.Model, accept: int | None = None) -> Da
 
 
 def accepted(docs: DataFrame, model: linear.Model, accept: int | None = None) -> DataFrame:
-    """The rows of docs that the model accepts, with all their columns."""
+    """The rows of docs that the model accepts by ``score``, with all their columns, which may have any names.
+
+    A null text counts as empty; empty texts stand at the grades' base rates and go or stay together. Rows that repeat a text go or stay alike. A model
+    of fewer than two grades keeps all rows. An empty table gives no rows.
+    """
     k = sum(g < (model.grades[-1] if accept is None else accept) for g in model.grades) - 1
 
     def keep(batches):

@@ -82,7 +82,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
     # full bytes of everything that hit, summed up where it lies before it moves
     texts = with_digest(docs.select("doc_id", "text")).join(hits, "digest", "left_semi")
-    texts = texts.groupBy("digest", "norm").agg(F.max(F.col("doc_id").cast("long")).alias("top"), F.count(F.lit(1)).alias("n"))
+    texts = texts.select("digest", "norm").distinct()
     unlike = texts.select("digest").groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
     unlike = table(unlike, "dedup-unlike")
     rows = narrow.withColumn("sub", F.lit(0).cast("long"))
@@ -118,7 +118,10 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of docs that ``dedup`` keeps, with all their columns."""
+    """The rows of docs that ``dedup`` keeps, with all their columns, which may have any names but the two marks used here.
+
+    Null and empty texts are one group, of which one row stays. Of rows that repeat doc_id and text one stays. An empty table gives no rows.
+    """
     own, mark = "__dedup_digest", "__dedup_norm"
     decided = table(dedup(docs).select("doc_id", F.unhex("text_sha256").alias(own), "kept"), "dedup-decided")
     pairs = decided.groupBy("doc_id", own).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))

@@ -170,8 +170,40 @@ def test_ring(docs, rows, empty, spark):
     for s in counts:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
     assert ring.assign(empty).count() == 0
+    for few in (3, 40):  # positions in cuts: the same counts and slots
+        cut = ring.assign(docs, shards=5, bits=2, ranked=few).collect()
+        assert Counter(r.shard for r in cut) == counts and all(sorted(r.slot for r in cut if r.shard == s) == list(range(counts[s])) for s in counts)
     hot = spark.range(900).select((F.col("id") * 0).alias("doc_id"), F.lit("x").alias("text"))
-    assert [r["count"] for r in ring.assign(hot, 24).groupBy("shard").count().collect()].count(37) == 12
+    for ranked in (ring.RANKED, 50):
+        assert [r["count"] for r in ring.assign(hot, 24, ranked=ranked).groupBy("shard").count().collect()].count(37) == 12
+
+
+def test_ring_walk_is_a_walk_row_by_row():
+    """Independent of the walk by counts: each row goes to its home if it is among the first there, then clockwise to the next shard with room."""
+    rng = random.Random(19)
+    counts = {rng.randrange(256): rng.randint(1, 40) for _ in range(60)}
+    shards, bits = 5, 8
+    nodes = ring.virtual_nodes(shards, 7, bits)
+    total = sum(counts.values())
+    room = {s: total // shards + (s < total % shards) for s in range(shards)}
+    homes = {p: next((k for k, (at, _) in enumerate(nodes) if at >= p), 0) for p in counts}
+    where, late = {}, []
+    for p in sorted(counts):
+        for r in range(counts[p]):
+            s = nodes[homes[p]][1]
+            if room[s]:
+                room[s] -= 1
+                where[p, r] = s
+            else:
+                late.append((p, r))
+    for p, r in late:
+        k = homes[p]
+        while not room[nodes[k][1]]:
+            k = (k + 1) % len(nodes)
+        room[nodes[k][1]] -= 1
+        where[p, r] = nodes[k][1]
+    got = {(p, r): s for p, s, first, n in ring.walk(counts, shards, 7, bits) for r in range(first, first + n)}
+    assert got == where
 
 
 def test_ring_moves_little():
@@ -187,7 +219,8 @@ def test_ring_moves_little():
 
 
 def test_urls(spark):
-    pages = [(1, "http://a.net/x"), (2, "https://www.Example.NET/en/1?q=/de/"), (3, "http://example.com/de/"), (4, "http://example.com/de"), (5, None), (6, "nothing"), (7, "http://x.org/fr/#a"), (8, "http://net"), (9, "http://badexample.com/de/1"), (9, "http://badexample.com/de/1"), (10, "ftp://u@h.net:80/"), (11, "http://example.net/"), (None, "http://q.net/")]
+    pages = [(1, "http://a.net/x"), (2, "https://www.Example.NET/en/1?q=/de/"), (3, "http://example.com/de/"), (4, "http://example.com/de"), (5, None), (6, "nothing"), (7, "http://x.org/fr/#a"), (8, "http://net"), (9, "http://badexample.com/de/1"), (9, "http://badexample.com/de/1"), (10, "ftp://u@h.net:80/"), (11, "http://example.net/"), (None, "http://q.net/"), (20, "http://a.net/" + "x" * 50_000 + "?q"), (21, "https://" + "a." * 3000 + "org/fr/"), (22, "")]
+    pages += [(i, None) for i in range(30, 60)] + [(i, "http://hot.net/x") for i in range(60, 90)]
     df = spark.createDataFrame([(i, u, "h", "p", "r") for i, u in pages], "page_id long, url string, host string, path string, rule string")
     got = Counter(tuple(r) for r in urls.judge(df, urls.rule_table(spark)).collect())
     want = Counter()
@@ -244,6 +277,14 @@ def test_packed_sequences_hold_the_ids(spark, rows):
         assert zlib.crc32(np.array(whole[r.sequence_id][r.offset : r.offset + r.length], "<u4").tobytes()) == r.ids_crc32
 
 
+def test_exchange_goes_on_to_one_part(spark):
+    rng = random.Random(23)
+    docs = spark.createDataFrame([(i, sentence(rng, rng.randint(1, 400))) for i in range(400)], "doc_id long, text string")
+    got = packing.pack(docs, tokenizer_path(), part=40).collect()
+    sizes = np.array([r.length for r in got])
+    assert len({r.sequence_id for r in got}) <= packing.lower_bound(sizes) + 2 and sorted({(r.doc_id, r.piece) for r in got}) == sorted((r.doc_id, r.piece) for r in got)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     for lo, hi in ((1, 2048), (600, 1500), (1025, 2047), (1, 50)):
