@@ -131,3 +131,45 @@ def sealed(c: Column, key: Column) -> Column:
 
 def opened(c: Column, key: Column) -> Column:
     return F.aes_decrypt(F.unbase64(c), key).cast("string")
+
+
+# Words that join parts of a name, first words and forms that no name has.
+NAME_LINKS = ("de", "da", "do", "dos", "das", "e", "van", "von", "der", "del", "la", "el")
+NOT_NAMES = (
+    "erro", "token", "acesso", "usuario", "usuário", "cliente", "sistema",
+    "cartao", "cartão", "pagamento", "autenticacao", "autenticação", "falha",
+    "falhou", "portador", "titular", "conta", "senha", "login", "logout",
+    "sessao", "sessão", "servico", "serviço", "endpoint", "api", "request",
+    "response", "codigo", "código", "chave", "valor", "dados", "arquivo",
+    "processo", "processamento", "transacao", "transação", "compra", "venda",
+    "produto", "item", "pedido", "ordem", "status", "estado", "tipo",
+    "critical", "error", "warning", "info", "debug", "fatal", "success",
+    "failed", "failure", "exception", "message", "alert", "notice",
+    "invalid", "valid", "null", "undefined", "unknown", "default",
+    "system", "server", "client", "user", "admin", "root", "guest",
+    "public", "private", "internal", "external", "local", "remote",
+    "input", "output", "result", "return", "value", "data",
+    "query", "update", "delete", "insert", "select", "create",
+    "string", "integer", "float", "boolean", "array", "object",
+    "true", "false", "function", "class", "method", "variable",
+    "final", "inicial", "primeiro", "ultimo", "último", "novo", "antigo",
+    "grande", "pequeno", "alto", "baixo", "bom", "mau", "melhor", "pior",
+    "errou", "sucesso", "processou", "validou",
+)
+NOT_NAME_FORMS = (
+    r"^erro\s", r"^error\s", r"^critical\s", r"^warning\s", r"^falha\s", r"^token\s", r"^cartao\s", r"^cartão\s",
+    r"\s+(de|do|da)\s+(acesso|pagamento|autenticacao|autenticação|sistema|cliente|usuario|usuário)$",
+    r"^(usuario|usuário)\s+\w+$", r"^(system|server|client|user)\s+\w+$",
+)
+
+
+def person_name(c: Column) -> Column:
+    """Whether a text has the form of a person's name: two capitalised parts and more besides linking words, none of them all capitals, and no first
+    word or form that names never have."""
+    parts = F.filter(F.split(F.trim(c), r"\s+"), lambda p: ~F.lower(p).isin(list(NAME_LINKS)) & (p != ""))
+    first = F.lower(F.get(parts, F.lit(0)))
+    capital = F.forall(parts, lambda p: p.rlike(r"^\p{Lu}") & ~((F.upper(p) == p) & (F.length(p) > 2)))
+    ok = (F.length(c) >= 5) & (F.size(parts) >= 2) & capital & ~first.isin(list(NOT_NAMES))
+    for form in NOT_NAME_FORMS:
+        ok = ok & ~F.lower(c).rlike(form)
+    return F.coalesce(ok, F.lit(False))

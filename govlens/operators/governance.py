@@ -114,39 +114,62 @@ def triage(issues: DataFrame, text: str = "text") -> DataFrame:
 
 
 def owners(issues: DataFrame, assignments: DataFrame) -> DataFrame:
-    """issue_id, owner, steward: the last active assignment whose domain or dataset is the issue's; two equi joins instead of an OR."""
+    """issue_id, owner, steward: the last active assignment whose domain or dataset is the issue's; two equi joins instead of an OR.
+
+    Assignments are reduced to the last one of each domain and of each dataset before they meet the issues.
+    """
+    roles = ("owner", "steward")
+
+    def last(rows: DataFrame, key: str, own: str) -> DataFrame:
+        each = [F.max(F.when(F.col("role") == r, F.struct("seq", "person"))).alias(f"{own}_{r}") for r in roles]
+        return rows.groupBy(F.col(key).alias(own)).agg(*each)
+
     a = assignments.filter("active")
-    by_domain = issues.join(a, F.lower(issues["domain"]) == F.lower(a["domain"])).select("issue_id", "role", "person", "seq")
-    each = a.select("role", "person", "seq", F.explode("datasets").alias("dataset"))
-    by_set = issues.select("issue_id", "dataset").join(each, "dataset").select("issue_id", "role", "person", "seq")
-    best = by_domain.unionByName(by_set).groupBy("issue_id").agg(*[F.max_by(F.when(F.col("role") == r, F.col("person")), F.when(F.col("role") == r, F.col("seq"))).alias(r) for r in ("owner", "steward")])
-    return issues.select("issue_id").join(best, "issue_id", "left")
+    domains = last(a.select(F.lower("domain").alias("low"), "role", "seq", "person"), "low", "of_domain")
+    datasets = last(a.select("role", "seq", "person", F.explode("datasets").alias("dataset")), "dataset", "of_dataset")
+    out = issues.select("issue_id", F.lower("domain").alias("of_domain"), F.col("dataset").alias("of_dataset")).join(domains, "of_domain", "left").join(datasets, "of_dataset", "left")
+    best = out.groupBy("issue_id").agg(*[F.max(F.greatest(f"of_domain_{r}", f"of_dataset_{r}")).alias(r) for r in roles])
+    return best.select("issue_id", *[F.col(f"{r}.person").alias(r) for r in roles])
 
 
 def definition_conflicts(terms: DataFrame) -> DataFrame:
     """term, first_source, second_source of definitions of a term that differ: each pair of differing texts once, by its first source.
 
-    Definitions that are the same but for case and edges are one text first, so copies don't multiply pairs.
+    Definitions that are the same but for case and edges are one text first, so copies don't multiply pairs; a pair may have one source.
     """
     text = F.lower(F.trim("definition"))
     own = terms.groupBy(F.lower(F.trim("term")).alias("term"), text.alias("d")).agg(F.min("source").alias("source"))
     a, b = own.alias("a"), own.alias("b")
-    return a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.source") < F.col("b.source"))).select("a.term", F.col("a.source").alias("first_source"), F.col("b.source").alias("second_source"))
+    first, second = F.struct("a.source", "a.d"), F.struct("b.source", "b.d")
+    return a.join(b, (F.col("a.term") == F.col("b.term")) & (first < second)).select("a.term", F.col("a.source").alias("first_source"), F.col("b.source").alias("second_source"))
+
+
+def _grams(c: Column, most: int = 4) -> Column:
+    """Distinct parts of a text of up to ``most`` characters."""
+    at = F.sequence(F.lit(1), F.length(c))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.length(c) - i + 1)), lambda n: c.substr(i, n)))))
 
 
 def resolve_names(found: DataFrame, catalog: DataFrame) -> DataFrame:
-    """name, match, confidence: exact (high), a dotted suffix of a catalog name or its last part (medium); the first kind and then name wins.
+    """name, match, confidence: exact (high), a dotted suffix of a catalog name or its last part (medium), a part of a catalog name (low); the first kind and
+    then name wins.
 
-    Every catalog name is spread into its suffixes, so all kinds are equi joins.
+    The catalog is reduced to the least name of each suffix before names meet it, so these kinds are equi joins that give a row at most. Names that none
+    of them finds meet the catalog names that have their first four characters.
     """
     names = catalog.select(F.lower("name").alias("full")).distinct()
     parts = F.split("full", r"\.")
-    ends = names.select("full", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k")).select("full", F.expr("substring_index(full, '.', -k)").alias("suffix"), "k", F.size(F.split("full", r"\.")).alias("n"))
+    ends = names.select("full", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k")).select("full", F.expr("substring_index(full, '.', -k)").alias("suffix"), F.when(F.col("k") == F.size(F.split("full", r"\.")), 0).otherwise(1).alias("kind"), "k")
+    least = ends.groupBy("suffix").agg(F.min(F.struct("kind", "full")).alias("s"), F.min(F.when(F.col("k") == 1, F.col("full"))).alias("last"))
     f = found.select("name", F.lower("name").alias("low")).distinct()
-    whole = f.join(ends, F.col("low") == F.col("suffix")).select("name", "full", F.when(F.col("k") == F.col("n"), 0).otherwise(1).alias("kind"))
-    last = f.join(ends.filter("k = 1"), F.substring_index("low", ".", -1) == F.col("suffix")).select("name", "full", F.lit(2).alias("kind"))
-    best = whole.unionByName(last).groupBy("name").agg(F.min(F.struct("kind", "full")).alias("b"))
-    return found.select("name").distinct().join(best, "name", "left").select("name", F.col("b.full").alias("match"), F.when(F.col("b.kind") == 0, "high").when(F.col("b.kind").isNotNull(), "medium").alias("confidence"))
+    whole = f.join(least.select("suffix", "s"), F.col("low") == F.col("suffix"), "left").select("name", "low", "s")
+    both = whole.join(least.select(F.col("suffix").alias("end"), "last"), F.substring_index("low", ".", -1) == F.col("end"), "left")
+    best = both.select("name", "low", F.coalesce("s", F.when(F.col("last").isNotNull(), F.struct(F.lit(2).alias("kind"), F.col("last").alias("full")))).alias("b"))
+    rest = best.filter("b is null and low <> ''").select("name", "low", F.substring("low", 1, 4).alias("gram"))
+    within = rest.join(names.select("full", F.explode(_grams(F.col("full"))).alias("gram")), "gram").filter(F.contains("full", "low")).groupBy("name").agg(F.min("full").alias("inner"))
+    out = best.join(within, "name", "left")
+    confidence = F.when(F.col("b.kind") == 0, "high").when(F.col("b").isNotNull(), "medium").when(F.col("inner").isNotNull(), "low")
+    return out.select("name", F.coalesce("b.full", "inner").alias("match"), confidence.alias("confidence"))
 
 
 def current_state(decided: DataFrame, key: str = "request_id") -> DataFrame:
@@ -205,12 +228,23 @@ def chain_breaks(log: DataFrame, fields: Sequence[str], shard: str = "shard", or
 
 
 def latency_statistics(log: DataFrame, group: str, value: str) -> DataFrame:
-    """n, mean, min, max and p95 per group: element floor(0.95 n) of the sorted values where n is over 20, else the maximum."""
-    n = F.count(F.lit(1)).over(W.partitionBy(group))
-    k = F.row_number().over(W.partitionBy(group).orderBy(value))
-    numbered = log.filter(F.col(value).isNotNull()).select(group, value, n.alias("n"), k.alias("k"))
-    p95 = F.max(F.when((F.col("n") > 20) & (F.col("k") == F.floor(0.95 * F.col("n")) + 1), F.col(value)))
-    return numbered.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), p95.alias("p")).withColumn("p95", F.coalesce("p", "high")).drop("p")
+    """n, mean, min, max and p95 per group: element floor(0.95 n) of the sorted values where n is over 20, else the maximum.
+
+    Equal values are counted first, and ranges of values before single ones: the range that holds the element is found on the counts of at most 256
+    ranges a group, so that a group is never sorted in one task unless its values lie in one range.
+    """
+    counted = log.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    per = counted.groupBy(group).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
+    goal = F.floor(0.95 * F.col("n")).cast("long") + 1
+    width = F.when(F.col("high") > F.col("low"), F.least(F.lit(255), F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * 256))).otherwise(F.lit(0))
+    cut = counted.join(F.broadcast(per) if per.count() <= 100_000 else per, group).withColumn("range", width.cast("int"))
+    up = W.partitionBy(group).orderBy("range")
+    ranges = cut.groupBy(group, "range").agg(F.sum("c").alias("held"), F.first("n").alias("n"))
+    ranges = ranges.withColumn("before", F.sum("held").over(up) - F.col("held")).filter((F.col("n") > 20) & (F.col("before") < goal) & (goal <= F.col("before") + F.col("held")))
+    inner = cut.select(group, "range", value, "c").join(ranges.select(group, "range", "n", "before"), [group, "range"])
+    order = W.partitionBy(group).orderBy(value)
+    hit = inner.withColumn("upto", F.col("before") + F.sum("c").over(order)).filter((F.col("upto") >= goal) & (F.col("upto") - F.col("c") < goal)).select(group, F.col(value).alias("p"))
+    return per.join(hit, group, "left").select(group, "n", "mean", "low", "high", F.coalesce("p", "high").alias("p95"))
 
 
 def user_activity(log: DataFrame) -> DataFrame:

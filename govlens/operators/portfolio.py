@@ -142,3 +142,26 @@ def irr_of(df: DataFrame, investment: str, benefit: str, cost: str, years: int =
     return df.withColumn("irr", irr(flows))
 
 
+
+
+def score_parts(df: DataFrame) -> DataFrame:
+    """Adds financial, strategic, operational and risk_adjusted scores, 0 to 100.
+
+    Financial: return over 200 percent, months until payback in steps of twelve, and present value over investment, .4, .3, .3. Strategic: base, alignment,
+    sponsorship, timing, .3, .3, .2, .2. Operational: hours gained, customers, less risk, readiness, .3, .25, .2, .25. The adjusted score is the mean of
+    the three times a factor of the overall risk, and .02 for each measure taken, .1 at most. Without an investment the present value counts 50.
+    """
+    c = F.col
+    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
+    months = c("payback")
+    paid = F.when(months <= 12, 100.0).when(months <= 24, 80.0).when(months <= 36, 60.0).when(months <= 48, 40.0).otherwise(F.greatest(F.lit(0.0), 40 - (months - 48) / 2))
+    present = F.when(c("investment") == 0, 50.0).otherwise(clip(50 + c("npv") / c("investment") * 50))
+    financial = clip(c("roi") / 200 * 100) * 0.4 + paid * 0.3 + present * 0.3
+    strategic = c("strategic_base") * 0.30 + c("alignment") * 0.30 + c("sponsorship") * 0.20 + c("timing") * 0.20
+    ready = c("implementation") * 0.4 + c("team") * 0.3 + c("infrastructure") * 0.3
+    operational = F.least(F.lit(100.0), F.greatest(F.lit(0.0), c("hours") / 100)) * 0.30 + clip(c("satisfaction") * 2 + c("retained") * 3) * 0.25 + (c("less_compliance_risk") + c("less_operational_risk")) / 2 * 0.20 + ready * 0.25
+    cents = lambda x: F.round(x + 1e-9, 2)  # noqa: E731  (a half goes up, whatever its last bit)
+    out = df.withColumns({"financial": cents(financial), "strategic": cents(strategic), "operational": cents(operational)})
+    risk = c("overall_risk")
+    factor = F.when(risk < 20, 1.1).when(risk < 40, 1.0).when(risk < 60, 0.85).when(risk < 80, 0.70).otherwise(0.50) + F.least(F.lit(0.1), c("mitigations") * 0.02)
+    return out.withColumn("risk_adjusted", cents(clip((c("financial") + c("strategic") + c("operational")) / 3 * factor)))

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Privacy classes of categories, and keywords of teams that a change concerns.
+# Privacy classes of categories.
 LAW = {"pii": "personal data", "phi": "sensitive personal data", "financial": "financial data"}
-TEAMS = {"finance": ["invoice", "revenue", "price", "cost"], "sales": ["order", "customer"], "logistics": ["ship", "supplier", "part"]}
 
 
 def search_names(catalog: DataFrame, column: str, text: str, limit: int = 20) -> DataFrame:
@@ -144,12 +143,6 @@ def cost_totals(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
     return out.withColumn("initial", initial).withColumn("year_one", F.col("initial") + (F.col("operational_total") if "operational" in groups else F.lit(0.0)))
 
 
-def teams_of(text: Column) -> Column:
-    low = F.lower(text)
-    hit = lambda words: F.array_max(F.array(*[low.contains(w) for w in words]))
-    return F.array_compact(F.array(*[F.when(hit(ws), k) for k, ws in TEAMS.items()]))
-
-
 def runtime_denials(requests: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Requests to an external provider whose text holds personal data, by an equi join with the entities found in it."""
     personal = found.filter("category = 'pii'").select(key).distinct()

@@ -75,15 +75,15 @@ def glossary_conflicts(spark, d):
 
 def name_resolution(spark, d):
     catalog = read(spark, d, "nation").selectExpr("'main.' || lower(n_name) || '.facts' AS name").unionByName(read(spark, d, "supplier").selectExpr("'main.sales.' || s_name AS name"))
-    found = read(spark, d, "customer").selectExpr("CASE c_custkey % 4 WHEN 0 THEN 'main.sales.Supplier#' || lpad(cast(c_custkey AS string), 9, '0') WHEN 1 THEN 'sales.Supplier#' || lpad(cast(c_custkey AS string), 9, '0') WHEN 2 THEN 'other.Supplier#' || lpad(cast(c_custkey AS string), 9, '0') ELSE 'facts' END AS name")
+    found = read(spark, d, "customer").selectExpr("CASE c_custkey % 4 WHEN 0 THEN 'main.sales.Supplier#' || lpad(cast(c_custkey AS string), 9, '0') WHEN 1 THEN 'sales.Supplier#' || lpad(cast(c_custkey AS string), 9, '0') WHEN 2 THEN 'other.Supplier#' || lpad(cast(c_custkey AS string), 9, '0') ELSE IF(c_custkey % 8 = 3, 'facts', 'supplier#0000' || c_custkey) END AS name")
     return g.resolve_names(found, catalog)
 
 
 _NAMES = """WITH c AS (SELECT lower('main.' || lower(n_name) || '.facts') AS full_name FROM nation UNION SELECT lower('main.sales.' || s_name) FROM supplier),
-  f AS (SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN 'main.sales.Supplier#' || lpad(c_custkey::VARCHAR, 9, '0') WHEN 1 THEN 'sales.Supplier#' || lpad(c_custkey::VARCHAR, 9, '0') WHEN 2 THEN 'other.Supplier#' || lpad(c_custkey::VARCHAR, 9, '0') ELSE 'facts' END AS name FROM customer),
-  m AS (SELECT name, full_name, CASE WHEN lower(name) = full_name THEN 0 WHEN ends_with(full_name, '.' || lower(name)) THEN 1 ELSE 2 END AS kind FROM f JOIN c ON lower(name) = full_name OR ends_with(full_name, '.' || lower(name)) OR list_last(string_split(lower(name), '.')) = list_last(string_split(full_name, '.'))),
+  f AS (SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN 'main.sales.Supplier#' || lpad(c_custkey::VARCHAR, 9, '0') WHEN 1 THEN 'sales.Supplier#' || lpad(c_custkey::VARCHAR, 9, '0') WHEN 2 THEN 'other.Supplier#' || lpad(c_custkey::VARCHAR, 9, '0') ELSE CASE WHEN c_custkey % 8 = 3 THEN 'facts' ELSE 'supplier#0000' || c_custkey END END AS name FROM customer),
+  m AS (SELECT name, full_name, CASE WHEN lower(name) = full_name THEN 0 WHEN ends_with(full_name, '.' || lower(name)) THEN 1 WHEN list_last(string_split(lower(name), '.')) = list_last(string_split(full_name, '.')) THEN 2 ELSE 3 END AS kind FROM f JOIN c ON contains(full_name, lower(name)) OR list_last(string_split(lower(name), '.')) = list_last(string_split(full_name, '.'))),
   b AS (SELECT name, full_name, kind, row_number() OVER (PARTITION BY name ORDER BY kind, full_name) AS k FROM m)
-  SELECT f.name, full_name AS match, CASE WHEN kind = 0 THEN 'high' WHEN kind IS NOT NULL THEN 'medium' END AS confidence FROM f LEFT JOIN b ON f.name = b.name AND k = 1"""
+  SELECT f.name, full_name AS match, CASE WHEN kind = 0 THEN 'high' WHEN kind < 3 THEN 'medium' WHEN kind = 3 THEN 'low' END AS confidence FROM f LEFT JOIN b ON f.name = b.name AND k = 1"""
 
 
 def approval_state(spark, d):

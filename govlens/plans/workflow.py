@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from govlens.operators import entities, workflow as w
+from govlens.operators import entities, links, workflow as w
 from govlens.plans.catalogue import TABLES, _columns
 from govlens.plans.discovery import _hybrid
 from govlens.sources.tables import read
@@ -141,10 +141,10 @@ _COSTS = """WITH x AS (SELECT p_partkey AS initiative, p_retailprice + CASE WHEN
 
 
 def concerned_teams(spark, d):
-    return _columns(spark, d).select("table_name", "column_name", w.teams_of(F.concat_ws(" ", "table_name", "column_name")).alias("teams"))
+    return _columns(spark, d).select("table_name", "column_name", links.teams_of(F.concat_ws(" ", "table_name", "column_name")).alias("teams"))
 
 
-_TEAMS = f"""WITH {_C}, l AS (SELECT table_name, column_name, table_name || ' ' || lower(column_name) AS x FROM c) SELECT table_name, column_name, list_filter([{', '.join("CASE WHEN " + ' OR '.join(f"contains(x, '{k}')" for k in ws) + f" THEN '{t}' END" for t, ws in w.TEAMS.items())}], lambda v: v IS NOT NULL) AS teams FROM l"""
+_TEAMS = f"""WITH {_C}, l AS (SELECT table_name, column_name, table_name || ' ' || lower(column_name) AS x FROM c) SELECT table_name, column_name, list_filter([{', '.join("CASE WHEN " + ' OR '.join(f"contains(x, '{k}')" for k in ws) + f" THEN '{t}' END" for t, ws in links.TEAMS.items())}], lambda v: v IS NOT NULL) AS teams FROM l"""
 
 
 def stream_guardrail(spark, d):

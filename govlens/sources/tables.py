@@ -63,4 +63,26 @@ def catalog_names(lines: DataFrame) -> DataFrame:
 def markdown_sections(files: DataFrame) -> DataFrame:
     """title, content, seq of the sections of whole-text files, cut at second-level headings."""
     parts = files.select(F.posexplode(F.split("value", r"\n## ")).alias("seq", "part"))
-    return parts.select("seq", F.trim(F.regexp_extract("part", r"^[^\n]*", 0)).alias("title"), F.trim(F.regexp_replace("part", r"^[^\n]*\n?", "")).alias("content"))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return parts.select("seq", bare(F.regexp_extract("part", r"^[^\n]*", 0)).alias("title"), bare(F.regexp_replace("part", r"^[^\n]*\n?", "")).alias("content"))
+
+
+def sample(df: DataFrame, n: int, most: int = 10_000) -> DataFrame:
+    """At most n rows, and at most ``most``: a read for looking at, pushed down to the source."""
+    return df.limit(min(n, most))
+
+
+def catalog_columns(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """database, table_name, column_name, type, nullable of all tables and views that the session's catalog lists."""
+    rows = []
+    for name in [database] if database else [x.name for x in spark.catalog.listDatabases()]:
+        for t in spark.catalog.listTables(name):
+            full = t.name if t.isTemporary else f"{name}.{t.name}"
+            rows += [(name, t.name, c.name, c.dataType, c.nullable) for c in spark.catalog.listColumns(full)]
+    return spark.createDataFrame(rows, "database string, table_name string, column_name string, type string, nullable boolean")
+
+
+def write_report(df: DataFrame, path: str, kind: str = "json", mode: str = "overwrite") -> DataFrame:
+    """A report written as json, csv, parquet or orc (``append`` for logs), as it reads back."""
+    df.write.mode(mode).format(kind).save(path)
+    return df.sparkSession.read.schema(df.schema).format(kind).load(path)

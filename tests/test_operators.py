@@ -9,6 +9,7 @@ from govlens.functions import checks
 from govlens.operators import discovery, drift, entities, governance, graph, portfolio, quality, usage
 from govlens.plans import lineage
 from govlens.plans.discovery import document_frequencies
+from govlens.sources import tables
 
 
 def one(df):
@@ -216,3 +217,38 @@ def test_query_log_shapes(spark):
     log = spark.createDataFrame([(i, q, "2024-01-01 00:00:00", u, None) for i, q, u in rows], "log_id long, query string, ts string, user string, data_product string")
     got = {(r.log_id, r.asset, r.usage_type) for r in usage.usages(log).collect()}
     assert (2, "t", "etl_target") in got and (2, "s.s", "etl_source") in got and (2, "q", "etl_source") in got and not any(i == 3 for i, _, _ in got)
+
+
+def test_definitions_of_one_source_conflict(spark):
+    terms = spark.createDataFrame([("Churn", "left", "a"), ("churn ", "gone away", "a"), ("churn", "LEFT", "b"), ("other", "x", "a")], "term string, definition string, source string")
+    assert [tuple(r) for r in governance.definition_conflicts(terms).collect()] == [("churn", "a", "a")]
+
+
+def test_names_inside_catalog_names(spark):
+    catalog = spark.createDataFrame([("db.sales_orders",), ("db.x",), ("db.sales_old",)], "name string")
+    found = spark.createDataFrame([("sales_o",), ("X",), ("db.x",), ("none",), ("",), ("o",)], "name string")
+    got = {r.name: (r.match, r.confidence) for r in governance.resolve_names(found, catalog).collect()}
+    assert got == {"sales_o": ("db.sales_old", "low"), "X": ("db.x", "medium"), "db.x": ("db.x", "high"), "none": (None, None), "": (None, None), "o": ("db.sales_old", "low")}
+
+
+@pytest.mark.parametrize("n", [3, 20, 21, 500])
+def test_latency_takes_the_element(spark, n):
+    values = [float((i * 37) % 101) ** 2 for i in range(n)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 5.0)] * 30 + [("c", None)], "g string, v double")
+    got = {r.g: r for r in governance.latency_statistics(df, "g", "v").collect()}
+    assert got["a"].p95 == (sorted(values)[int(0.95 * n)] if n > 20 else max(values)) and got["b"].p95 == 5.0 and got["a"].n == n and "c" not in got
+
+
+def test_catalog_and_reports(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "x int, y string").createOrReplaceTempView("seen_view")
+    assert {(r.table_name, r.column_name, r.type) for r in tables.catalog_columns(spark).collect()} >= {("seen_view", "x", "int"), ("seen_view", "y", "string")}
+    spark.createDataFrame([("# T\nintro\n## One\nbody\n\n## Two\n",)], "value string").createOrReplaceTempView("md")
+    assert [(r.seq, r.title, r.content) for r in tables.markdown_sections(spark.table("md")).collect()][1:] == [(1, "One", "body"), (2, "Two", "")]
+    log = tmp_path / "t" / "_delta_log"
+    log.mkdir(parents=True)
+    for v in (0, 1):
+        (log / f"{v:020}.json").write_text('{"commitInfo": {"operation": "W%d"}}\n{"add": {"path": "x"}}\n' % v)
+    assert [(r.version, r.operation) for r in tables.delta_history(spark, str(tmp_path / "t")).collect()] == [(1, "W1"), (0, "W0")]
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n2,y\n")
+    assert tables.sample(tables.read_source(spark, "csv", str(tmp_path / "a.csv")), 5, most=1).count() == 1
+    assert tables.read_source(spark, "table", "seen_view").count() == 1
