@@ -47,6 +47,22 @@ def lexical_scores(queries: DataFrame, postings: DataFrame, q: str = "item_id",
     return a.join(postings, "term").groupBy(q, key).agg(F.sum(F.col("wq") * F.col("w")).alias("lexical"))
 
 
+def candidate_scores(candidates: DataFrame, own: DataFrame, q: str, key: str) -> DataFrame:
+    """q, key, lexical of the given pairs only: the cosine of two texts of one table of weights (id, term, w).
+
+    Both texts' terms are looked up by id, so no pair beyond the candidates is ever built.
+    """
+    pairs = candidates.select(q, key).distinct()
+    asked = pairs.join(own.select(F.col("id").alias(q), "term", F.col("w").alias("wq")), q)
+    return asked.join(own.select(F.col("id").alias(key), "term", "w"), [key, "term"]).groupBy(q, key).agg(F.sum(F.col("wq") * F.col("w")).alias("lexical"))
+
+
+def search(scored: DataFrame, q: str, key: str, score: str = "lexical", min_score: float = 0.3, n: int = 5) -> DataFrame:
+    """The n best of each query with at least ``min_score``, with rank and relevance; ties by key."""
+    own = scored.filter(F.col(score) >= min_score).withColumn("rank", F.row_number().over(W.partitionBy(q).orderBy(F.desc(score), key)))
+    return own.filter(F.col("rank") <= n).withColumn("relevance", relevance(F.col(score)))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -6,8 +6,6 @@ driver is a count.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,7 +194,10 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
-    """Simple cycles of up to ``longest`` nodes, each once, from its least node: a path join restricted to nodes on cycles."""
+    """Simple cycles of up to ``longest`` nodes, each once, from its least node: a path join restricted to nodes on cycles.
+
+    The bound is a part of the question, as paths can grow with every round; ``cycle_summary`` and ``strong_components`` know cycles of any length.
+    """
     e = distinct_edges(edges)
     nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     s = strong_components(e, nodes)
@@ -333,46 +334,36 @@ def articulation_points(edges: DataFrame) -> DataFrame:
     return own.groupBy("component").applyInPandas(_cut_points, "id string")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, most: int = 1_000_000) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(id, score) of shortest paths from the given (or all) sources through each node, by Brandes' sums per source.
 
-    Every task holds the adjacency, so a graph of more than ``most`` edges is refused; sources are spread over tasks.
+    All sources go forward together, a level a round: a row is a source, a node and the number of shortest ways to it. Then the levels go back and
+    hand their dependencies to the nodes before them. Both are joins with the edges, so neither the graph nor a source's part of it is ever in one place;
+    the rows are the pairs of sources and what they reach.
     """
-    e = distinct_edges(edges).filter("src <> dst")
-    n = e.count()
-    if n > most:
-        raise ValueError(f"{n} edges: more than the {most} that a task may hold")
-    near: dict[str, list[str]] = {}
-    for r in e.collect():
-        near.setdefault(r["src"], []).append(r["dst"])
-    sources = sources or e.select(F.col("src").alias("id")).distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            score: dict[str, float] = {}
-            for s in pdf["id"]:
-                order, dist, ways, before, front = [], {s: 0}, {s: 1.0}, {}, [s]
-                while front:
-                    following = []
-                    for v in front:
-                        order.append(v)
-                        for x in near.get(v, ()):
-                            if x not in dist:
-                                dist[x] = dist[v] + 1
-                                following.append(x)
-                            if dist[x] == dist[v] + 1:
-                                ways[x] = ways.get(x, 0.0) + ways[v]
-                                before.setdefault(x, []).append(v)
-                    front = following
-                part = dict.fromkeys(order, 0.0)
-                for x in reversed(order):
-                    for v in before.get(x, ()):
-                        part[v] += ways[v] / ways[x] * (1 + part[x])
-                    if x != s and part[x]:
-                        score[x] = score.get(x, 0.0) + part[x]
-            yield pd.DataFrame({"id": list(score), "score": list(score.values())})
-
-    return sources.mapInPandas(run, "id string, score double").groupBy("id").agg(F.sum("score").alias("score"))
+    e = table(distinct_edges(edges).filter("src <> dst"), "between-edges")
+    sources = (sources or e.select(F.col("src").alias("id"))).select("id").distinct()
+    levels = [table(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("ways")), "between-level")]
+    while True:
+        found = levels[-1].join(e, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("ways").alias("ways"))
+        for level in levels:
+            found = found.join(level.select("s", "v"), ["s", "v"], "left_anti")
+        found = table(found, "between-level")
+        if found.isEmpty():
+            break
+        levels.append(found)
+    below = levels[-1].withColumn("part", F.lit(0.0))
+    parts = []
+    for level in reversed(levels[1:-1]):
+        step = level.join(e, F.col("v") == F.col("src")).select("s", "v", "ways", F.col("dst").alias("x"))
+        handed = step.join(below.select("s", F.col("v").alias("x"), F.col("ways").alias("wx"), "part"), ["s", "x"])
+        own = handed.groupBy("s", "v").agg(F.sum(F.col("ways") / F.col("wx") * (1 + F.col("part"))).alias("part"))
+        below = table(level.join(own, ["s", "v"], "left").select("s", "v", "ways", F.coalesce("part", F.lit(0.0)).alias("part")), "between-parts")
+        parts.append(below.select(F.col("v").alias("id"), "part"))
+    out = parts[0] if parts else below.limit(0).select(F.col("v").alias("id"), "part")
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.filter("part > 0").groupBy("id").agg(F.sum("part").alias("score"))
 
 
 def complexity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -440,8 +431,12 @@ def layer_edges(edges: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, score: str, key: str) -> DataFrame:
-    """rank by score, ties by key, without gathering rows: ranks within each score, plus what lies above it."""
-    counts = df.groupBy(score).count()
-    above = counts.select(score, (F.sum("count").over(W.orderBy(F.desc(score))) - F.col("count")).alias("above"))
-    own = F.row_number().over(W.partitionBy(score).orderBy(key))
-    return df.withColumn("own", own).join(above, score).withColumn("rank", F.col("above") + F.col("own")).drop("own", "above")
+    """rank by score, the greatest first, ties by key, without gathering rows: ranges of the order are numbered apart, each from where those before it
+    end. There are as many ranges as shuffle partitions."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc(score), F.asc(key)]
+    dealt = table(df.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "ranked")
+    sizes = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))
+    own = F.row_number().over(W.partitionBy("range").orderBy(*order))
+    return dealt.withColumn("own", own).join(F.broadcast(before), "range").withColumn("rank", F.col("before") + F.col("own")).drop("own", "before", "range")

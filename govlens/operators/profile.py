@@ -73,7 +73,7 @@ def samples(df: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows that a seed picks by key: the same ones on every run and layout."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def pattern_shares(df: DataFrame, columns: Sequence[str], patterns: dict[str, str] = VALUE_PATTERNS) -> DataFrame:

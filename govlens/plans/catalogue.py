@@ -188,6 +188,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "profile_fixed_sample": "SELECT c_custkey, c_name FROM customer ORDER BY md5('42:' || c_custkey), c_custkey LIMIT 50",
     "profile_orders": _profile_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]),
     "profile_samples": "SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL ORDER BY p_brand LIMIT 10",
     "profile_patterns": " UNION ALL ".join(

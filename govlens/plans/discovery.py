@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from govlens.functions.scratch import table
 from govlens.operators import discovery as r
+from govlens.operators.workflow import contexts as contexts_of
 from govlens.sources.tables import read
 
 
 def _weights(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
-    tf = r.terms(docs, bigrams=False)
-    idfs = r.idf(tf, docs.count())
+    tf = table(r.terms(docs), "discovery-tf")
+    idfs = table(r.idf(tf, docs.count()), "discovery-idf")
     return r.weights(tf, idfs), idfs
 
 
 def idf_terms(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
-    out = r.idf(r.terms(docs, bigrams=False), docs.count())
+    out = r.idf(r.terms(docs), docs.count())
     return out.orderBy(F.desc("idf"), "term").limit(100).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
@@ -26,16 +29,40 @@ def document_frequencies(spark, d):
     return r.idf(r.terms(docs), docs.count()).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
-def lexical(spark, d):
+def _lexical(spark, d):
     postings, idfs = _weights(spark, d)
-    items = r.terms(read(spark, d, "benchmark"), key="item_id", bigrams=False)
-    out = r.lexical_scores(r.weights(items, idfs, key="item_id"), postings)
-    return out.filter("lexical > 0.3").select("item_id", "doc_id", F.round("lexical", 6).alias("lexical"))
+    items = table(r.weights(r.terms(read(spark, d, "benchmark"), key="item_id"), idfs, key="item_id"), "discovery-items")
+    return r.lexical_scores(items, postings)
+
+
+def lexical(spark, d):
+    return _lexical(spark, d).select("item_id", "doc_id", F.round("lexical", 6).alias("lexical"))
+
 
+def standards(spark, d):
+    """The five best English documents of each item, from a score of 0.3 on."""
+    english = read(spark, d, "documents").filter("lang = 'en'").select("doc_id")
+    out = r.search(_lexical(spark, d).join(english, "doc_id").withColumn("lexical", F.round("lexical", 6)), "item_id", "doc_id")
+    return out.select("item_id", "doc_id", "lexical", "rank", "relevance")
 
-_TF = """n AS (SELECT count(*) AS n FROM documents), stop AS (SELECT unnest([{stop}]) AS w),
-  w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{{2,}}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term NOT IN (SELECT w FROM stop) GROUP BY ALL),
-  idf AS (SELECT term, count(*) AS df, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY term, n HAVING count(*) <= n * 0.95)""".format(stop=", ".join(f"'{s}'" for s in r.STOPWORDS))
+
+def contexts(spark, d):
+    """The beginnings of the three best documents of each language for every item, as one text."""
+    docs = read(spark, d, "documents").select("doc_id", "lang", F.substring("text", 1, 80).alias("text"))
+    scored = _lexical(spark, d).withColumn("lexical", F.round("lexical", 6)).join(docs, "doc_id")
+    best = scored.withColumn("rank", F.row_number().over(W.partitionBy("item_id", "lang").orderBy(F.desc("lexical"), "doc_id")))
+    return contexts_of(best, "item_id", "lang", "text")
+
+
+_TF = """n AS (SELECT count(*) AS n FROM documents), stop AS (SELECT [{stop}] AS s),
+  ws AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{{2,}}'), lambda x: NOT list_contains(s, x)) AS w FROM documents, stop),
+  w AS (SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS term FROM ws), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+  idf AS (SELECT term, count(*) AS df, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY term, n HAVING count(*) <= n * 0.95),
+  dw AS (SELECT doc_id, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY doc_id)) AS w FROM tf JOIN idf USING (term))""".format(stop=", ".join(f"'{s}'" for s in r.STOPWORDS))
+_LEX = f"""{_TF}, qs AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}'), lambda x: NOT list_contains(s, x)) AS w FROM benchmark, stop),
+  qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS term FROM qs) GROUP BY ALL),
+  qw AS (SELECT item_id, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY item_id)) AS w FROM qt JOIN idf USING (term)),
+  lx AS (SELECT item_id, doc_id, round(sum(qw.w * dw.w), 6) AS lexical FROM qw JOIN dw USING (term) GROUP BY ALL)"""
 
 
 def _asking(spark, d):
@@ -63,11 +90,13 @@ def importance(spark, d):
 
 
 def _hybrid(spark, d):
+    """Candidates of the vector search, with the text scores of the documents under the vectors' ids."""
     e, asks = _asking(spark, d)
-    near = r.nearest(asks, e, 30)
-    weight = r.importance(read(spark, d, "documents")).withColumnRenamed("doc_id", "vec_id")
-    lex = near.select("query_id", "vec_id", (1 / F.col("rank")).alias("lexical"))
-    return r.hybrid(near, lex, weight, "query_id", "vec_id"), e
+    near = table(r.nearest(asks, e, 30), "discovery-near")
+    postings, _ = _weights(spark, d)
+    docs = read(spark, d, "documents")
+    lex = r.candidate_scores(near, postings.withColumnRenamed("doc_id", "id"), "query_id", "vec_id")
+    return table(r.hybrid(near, lex, r.importance(docs).withColumnRenamed("doc_id", "vec_id"), "query_id", "vec_id"), "discovery-hybrid"), e
 
 
 def hybrid(spark, d):
@@ -98,20 +127,27 @@ def unindexed(spark, d):
 QUERIES = {
     "discovery_idf_terms": idf_terms, "discovery_document_frequencies": document_frequencies, "discovery_lexical": lexical, "discovery_nearest": nearest, "discovery_nearest_filtered": nearest_filtered, "discovery_importance": importance,
     "discovery_hybrid": hybrid, "discovery_diverse": diverse, "discovery_mmr": mmr, "discovery_upserts": upserts, "discovery_unindexed": unindexed,
+    "discovery_standards": standards, "discovery_contexts": contexts,
 }
 
+_SCORED = f"""{_TF}, {_NEAR.format(where='')}, iw AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents), x AS (SELECT doc_id AS vec_id, (len(w) + len(list_distinct(w))) / max(len(w) + len(list_distinct(w))) OVER () AS imp FROM iw),
+  c AS (SELECT query_id, vec_id, distance FROM near WHERE rank <= 30), ls AS (SELECT query_id, vec_id, sum(a.w * b.w) AS lexical FROM c JOIN dw a ON a.doc_id = query_id JOIN dw b ON b.doc_id = vec_id AND b.term = a.term GROUP BY ALL),
+  sc AS (SELECT query_id, vec_id, 0.7 * (1 - least(distance / 2, 1)) + 0.2 * coalesce(lexical, 0) + 0.1 * coalesce(imp, 0) AS score FROM c LEFT JOIN ls USING (query_id, vec_id) LEFT JOIN x USING (vec_id)),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM sc)"""
+
 ORACLE = {
     "discovery_idf_terms": f"WITH {_TF} SELECT term, df, round(idf, 9) AS idf FROM idf ORDER BY idf.idf DESC, term LIMIT 100",
-    "discovery_lexical": f"""WITH {_TF}, dw AS (SELECT doc_id, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY doc_id)) AS w FROM tf JOIN idf USING (term)),
-      qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}')) AS term FROM benchmark) WHERE term NOT IN (SELECT w FROM stop) GROUP BY ALL),
-      qw AS (SELECT item_id, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY item_id)) AS w FROM qt JOIN idf USING (term)),
-      s AS (SELECT item_id, doc_id, sum(qw.w * dw.w) AS lexical FROM qw JOIN dw USING (term) GROUP BY ALL) SELECT item_id, doc_id, round(lexical, 6) AS lexical FROM s WHERE lexical > 0.3""",
+    "discovery_document_frequencies": f"WITH {_TF} SELECT term, df, round(idf, 9) AS idf FROM idf",
+    "discovery_lexical": f"WITH {_LEX} SELECT * FROM lx",
+    "discovery_standards": f"""WITH {_LEX}, k AS (SELECT item_id, doc_id, lexical, row_number() OVER (PARTITION BY item_id ORDER BY lexical DESC, doc_id) AS rank FROM lx JOIN documents USING (doc_id) WHERE lang = 'en' AND lexical >= 0.3)
+      SELECT *, CASE WHEN lexical > 0.7 THEN 'high' WHEN lexical > 0.4 THEN 'medium' ELSE 'low' END AS relevance FROM k WHERE rank <= 5""",
+    "discovery_contexts": f"""WITH {_LEX}, k AS (SELECT item_id, lang, substr(text, 1, 80) AS t, row_number() OVER (PARTITION BY item_id, lang ORDER BY lexical DESC, doc_id) AS rank FROM lx JOIN documents USING (doc_id))
+      SELECT item_id, string_agg(t, chr(10) ORDER BY lang, rank) AS context FROM k WHERE rank <= 3 GROUP BY 1""",
     "discovery_nearest": f"WITH {_NEAR.format(where='')} SELECT query_id, vec_id, rank FROM near WHERE rank <= 10",
     "discovery_nearest_filtered": f"WITH {_NEAR.format(where='AND b.label = 1')} SELECT query_id, vec_id, rank FROM near WHERE rank <= 10",
     "discovery_importance": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents), x AS (SELECT doc_id, len(w) + len(list_distinct(w)) AS raw FROM w)
       SELECT doc_id, round(raw / max(raw) OVER (), 9) AS importance FROM x""",
-    "discovery_hybrid": f"""WITH {_NEAR.format(where='')}, w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents), x AS (SELECT doc_id AS vec_id, (len(w) + len(list_distinct(w))) / max(len(w) + len(list_distinct(w))) OVER () AS imp FROM w)
-      SELECT query_id, vec_id, round(0.7 * (1 - least(distance / 2, 1)) + 0.2 / rank + 0.1 * coalesce(imp, 0), 6) AS score FROM near LEFT JOIN x USING (vec_id) WHERE rank <= 30""",
+    "discovery_hybrid": f"WITH {_SCORED} SELECT query_id, vec_id, round(score, 6) AS score FROM sc",
     "discovery_upserts": """WITH r AS (SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS v, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber DESC) AS k FROM lineitem)
       SELECT id, v, l_quantity FROM r WHERE k = 1 AND id NOT IN (SELECT p_partkey FROM part WHERE p_size % 5 = 0)""",
     "discovery_unindexed": "SELECT doc_id, md5(coalesce(text, '')) AS content_id FROM documents WHERE md5(coalesce(text, '')) NOT IN (SELECT md5(coalesce(text, '')) FROM documents WHERE doc_id % 3 = 0)",

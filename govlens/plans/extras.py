@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from govlens.operators import graph, metadata
 from govlens.plans.catalogue import TABLES, _columns, _contains
-from govlens.plans.lineage import _DAG, _nodes, dag
+from govlens.plans.lineage import _BOTH, _DAG, _nodes, cyclic, dag
 from govlens.plans.value import _LOG, log
 from govlens.sources import tables as src
 from govlens.sources.tables import read
@@ -123,7 +123,7 @@ def clusters(spark, d):
 
 
 def component_names(spark, d):
-    e = dag(spark, d).filter("dst like 'region:%'")
+    e = dag(spark, d).unionByName(cyclic(spark, d))
     return graph.component_names(_nodes(e), e)
 
 
@@ -170,8 +170,13 @@ ORACLE = {
     "audit_session_usage": "SELECT user_id % 30 AS session, count(*) AS queries, sum(event_id % 100)::BIGINT AS rows_read FROM events GROUP BY 1",
     "registry_state": _STATE,
     "lineage_clusters": f"WITH {_DAG} SELECT split_part(id, ':', 1) AS cluster, count(*) AS nodes FROM dn GROUP BY 1",
-    "lineage_component_names": f"""WITH {_DAG}, e AS (SELECT * FROM dag WHERE dst LIKE 'region:%'), m AS (SELECT src AS id, dst AS reg FROM e UNION SELECT dst, dst FROM e)
-      SELECT min(id) AS component, '' AS prefix FROM m GROUP BY reg""",
+    "lineage_component_names": f"""WITH RECURSIVE {_BOTH}, x AS (SELECT component, min(id) AS a, max(id) AS z FROM wc GROUP BY component)
+      SELECT component, substr(a, 1, list_max(list_filter(range(0, least(length(a), length(z)) + 1), lambda k: substr(a, 1, k) = substr(z, 1, k)))) AS prefix FROM x""",
+    "lineage_complexity": f"""WITH RECURSIVE {_BOTH}, x AS (SELECT (SELECT count(*) FROM dn) AS nodes, (SELECT count(*) FROM dag) AS edges, (SELECT count(*) FROM dg WHERE in_degree = 0) AS so, (SELECT count(*) FROM dg WHERE out_degree = 0) AS si,
+        (SELECT count(DISTINCT component) FROM wc JOIN dn USING (id)) AS components), y AS (SELECT *, edges / (nodes * (nodes - 1)) AS density FROM x),
+      z AS (SELECT *, CASE WHEN nodes > 100 THEN 3 WHEN nodes > 50 THEN 2 WHEN nodes > 20 THEN 1 ELSE 0 END + CASE WHEN density > 0.3 THEN 2 WHEN density > 0.15 THEN 1 ELSE 0 END + CASE WHEN components > 3 THEN 1 ELSE 0 END AS points,
+        CASE WHEN so > 1 OR si > 1 THEN 30 ELSE 10 END + CASE WHEN density < 0.1 THEN 40 WHEN density < 0.2 THEN 20 ELSE 0 END + CASE WHEN components > 1 THEN 20 ELSE 0 END AS share FROM y)
+      SELECT nodes, round(density, 9) AS density, false AS cyclic, components, CASE WHEN points >= 6 THEN 'very high' WHEN points >= 4 THEN 'high' WHEN points >= 2 THEN 'moderate' ELSE 'low' END AS band, least(share, 90) AS parallel_percent FROM z""",
     "source_inventory": "SELECT 1 AS files, count(*) AS rows FROM lineitem",
     "lineage_run_event_round_trip": f"""WITH {_DAG}, e AS (SELECT src, dst FROM dag WHERE src LIKE 'supp:%' OR src LIKE 'nation:%') SELECT DISTINCT src, dst, 'READ' AS operation FROM e UNION ALL SELECT DISTINCT dst, dst || '!', 'WRITE' FROM e""",
 }

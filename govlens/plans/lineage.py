@@ -94,13 +94,12 @@ def metrics(spark, d):
 
 
 def components(spark, d):
-    # nations and their regions only: one component a region
-    e = dag(spark, d).filter("dst like 'region:%'")
+    e = dag(spark, d).unionByName(cyclic(spark, d))
     return graph.weak_components(_nodes(e), e)
 
 
 def component_sizes(spark, d):
-    e = dag(spark, d).filter("dst like 'region:%' or src like 'supp:%'")
+    e = dag(spark, d).unionByName(cyclic(spark, d))
     return graph.component_sizes(_nodes(e), e)
 
 
@@ -196,6 +195,14 @@ _COMPARE = f"""WITH {_DAG}, old AS (SELECT * FROM dag WHERE src NOT LIKE 'cust:%
     UNION ALL SELECT 'edge', 'removed', src, dst FROM (SELECT src, dst FROM old EXCEPT SELECT src, dst FROM dag)
     UNION ALL SELECT 'asset', 'added', id, NULL FROM (SELECT id FROM dn EXCEPT SELECT id FROM oi) UNION ALL SELECT 'asset', 'removed', id, NULL FROM (SELECT id FROM oi EXCEPT SELECT id FROM dn))"""
 
+#: Both graphs, and the least label that reaches a node in so many rounds, which are more than any of their ways is long.
+_BOTH = f"""{_DAG}, {_CYC}, al AS (SELECT * FROM dag UNION SELECT * FROM cyc), an AS (SELECT src AS id FROM al UNION SELECT dst FROM al), nb AS (SELECT src AS id, dst AS o FROM al UNION SELECT dst, src FROM al UNION SELECT id, id FROM an),
+  lb(id, lab, k) AS (SELECT id, id, 0 FROM an UNION ALL SELECT nb.id, min(lb.lab), max(lb.k) + 1 FROM lb JOIN nb ON nb.o = lb.id WHERE lb.k < 12 GROUP BY nb.id), wc AS (SELECT id, lab AS component FROM lb WHERE k = 12),
+  ad AS (SELECT id, (SELECT count(*) FROM al WHERE dst = an.id) AS i, (SELECT count(*) FROM al WHERE src = an.id) AS o FROM an),
+  cs AS (SELECT component, count(*) AS size, count(*) FILTER (i = 0) AS sources, count(*) FILTER (o = 0) AS sinks FROM wc JOIN ad USING (id) GROUP BY component)"""
+_VOTES = f"""{_DAG}, nb AS (SELECT src AS id, dst AS o FROM dag UNION SELECT dst, src FROM dag),
+  lb(id, lab, k) AS (SELECT DISTINCT id, id, 0 FROM nb UNION ALL SELECT id, min(struct_pack(n := -c, l := lab)).l, max(k) FROM (SELECT nb.id, lb.lab, count(*) AS c, max(lb.k) + 1 AS k FROM lb JOIN nb ON nb.o = lb.id WHERE lb.k < 5 GROUP BY nb.id, lb.lab) GROUP BY id)"""
+
 ORACLE = {
     "lineage_reach_down": f"{_DOWN} SELECT id, min(hops) AS hops FROM r GROUP BY id",
     "lineage_reach_up": f"{_UP} SELECT id, min(hops) AS hops FROM r GROUP BY id",
@@ -211,13 +218,16 @@ ORACLE = {
       SELECT id, in_degree, out_degree, degree, in_degree = 0 AND out_degree > 0 AS source, out_degree = 0 AND in_degree > 0 AS sink, degree = 0 AS isolated, out_degree > 2 * mo AS hub,
         in_degree > 2 * mi AS frequent, out_degree >= 3 AS fan_out, in_degree >= 2 AND out_degree >= 2 AS bottleneck, degree > 3 * md AS heavy, in_degree > 5 OR out_degree > 5 AS busy FROM dg, m""",
     "lineage_metrics": f"WITH {_DAG} SELECT count(*) AS nodes, sum(out_degree)::BIGINT AS edges, round(avg(degree), 9) AS mean_degree, max(in_degree) AS max_in, max(out_degree) AS max_out, round(sum(out_degree) / (count(*) * (count(*) - 1)), 12) AS density FROM dg",
-    "lineage_components": f"""WITH {_DAG}, e AS (SELECT * FROM dag WHERE dst LIKE 'region:%'), m AS (SELECT src AS id, dst AS reg FROM e UNION SELECT dst, dst FROM e)
-      SELECT id, min(id) OVER (PARTITION BY reg) AS component FROM m""",
-    "lineage_component_sizes": f"""WITH {_DAG}, e AS (SELECT * FROM dag WHERE dst LIKE 'region:%' OR src LIKE 'supp:%'), m AS (SELECT src AS id, dst AS reg FROM e WHERE dst LIKE 'region:%' UNION SELECT dst, dst FROM e WHERE dst LIKE 'region:%'
-        UNION SELECT s.src, n.dst FROM e s JOIN e n ON n.src = s.dst WHERE s.src LIKE 'supp:%'),
-      x AS (SELECT reg, min(id) AS component, count(*) AS size, count(*) FILTER (id NOT IN (SELECT dst FROM e)) AS sources, count(*) FILTER (id NOT IN (SELECT src FROM e)) AS sinks FROM m GROUP BY reg),
-      y AS (SELECT component, size, sources, sinks, CASE WHEN sources = 1 AND sinks = 1 THEN 'linear' WHEN sources > 1 AND sinks = 1 THEN 'convergent' WHEN sources = 1 AND sinks > 1 THEN 'divergent' WHEN sources > 1 AND sinks > 1 THEN 'mesh' ELSE 'complex' END AS pattern FROM x)
-      SELECT *, size > 1 AND component <> (SELECT component FROM y ORDER BY size DESC, component DESC LIMIT 1) AS silo FROM y""",
+    "lineage_components": f"WITH RECURSIVE {_BOTH} SELECT * FROM wc",
+    "lineage_component_sizes": f"""WITH RECURSIVE {_BOTH} SELECT component, size, sources, sinks, CASE WHEN sources = 1 AND sinks = 1 THEN 'linear' WHEN sources > 1 AND sinks = 1 THEN 'convergent' WHEN sources = 1 AND sinks > 1 THEN 'divergent' WHEN sources > 1 AND sinks > 1 THEN 'mesh' ELSE 'complex' END AS pattern,
+      size > 1 AND component <> (SELECT component FROM cs ORDER BY size DESC, component DESC LIMIT 1) AS silo FROM cs""",
+    "lineage_communities": f"WITH RECURSIVE {_VOTES} SELECT id, lab AS community FROM lb WHERE k = 5",
+    "lineage_cycle_cyclic": f"""WITH RECURSIVE {_CYC}, r(a, b) AS (SELECT src, dst FROM cyc UNION SELECT r.a, cyc.dst FROM r JOIN cyc ON cyc.src = r.b), lo AS (SELECT a AS id FROM r WHERE a = b), lf AS (SELECT id FROM lo UNION SELECT b FROM r JOIN lo ON a = id)
+      SELECT count(*) > 0 AS has_cycle, count(*) AS nodes_left, CASE WHEN count(*) = 0 THEN 0 END AS longest_path FROM lf""",
+    "lineage_distances": f"""WITH RECURSIVE {_DAG}, nb AS (SELECT src AS id, dst AS o FROM dag UNION SELECT dst, src FROM dag), r(id, h) AS (SELECT 'nation:1', 0 UNION SELECT id, min(h) + 1 FROM (SELECT nb.id, r.h FROM r JOIN nb ON nb.o = r.id WHERE r.h < 14) GROUP BY id)
+      SELECT id, min(h) AS distance FROM dn LEFT JOIN r USING (id) GROUP BY id""",
+    "lineage_betweenness": f"""WITH RECURSIVE {_DAG}, p(s, v, w, d) AS (SELECT DISTINCT src, src, 1::DOUBLE, 0 FROM dag UNION ALL SELECT p.s, dag.dst, sum(p.w), max(p.d) + 1 FROM p JOIN dag ON dag.src = p.v GROUP BY p.s, dag.dst)
+      SELECT m.v AS id, round(sum(m.w * x.w / t.w), 6) AS score FROM p m JOIN p x ON x.s = m.v AND x.d > 0 JOIN p t ON t.s = m.s AND t.v = x.v WHERE m.d > 0 GROUP BY m.v""",
     "lineage_levels": f"WITH RECURSIVE {_DAG}, r(id, level) AS (SELECT id, 0 FROM dn WHERE id NOT IN (SELECT dst FROM dag) UNION SELECT dag.dst, level + 1 FROM r JOIN dag ON dag.src = r.id) SELECT id, max(level) AS level FROM r GROUP BY id",
     "lineage_cycle_dag": f"WITH RECURSIVE {_DAG}, r(id, level) AS (SELECT id, 1 FROM dn WHERE id NOT IN (SELECT dst FROM dag) UNION SELECT dag.dst, level + 1 FROM r JOIN dag ON dag.src = r.id) SELECT false AS has_cycle, 0 AS nodes_left, max(level) AS longest_path FROM r",
     "lineage_strong_components": f"""WITH RECURSIVE {_CYC}, r(a, b) AS (SELECT src, dst FROM cyc UNION SELECT r.a, cyc.dst FROM r JOIN cyc ON cyc.src = r.b)

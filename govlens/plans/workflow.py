@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from govlens.operators import entities, links, workflow as w
 from govlens.plans.catalogue import TABLES, _columns
-from govlens.plans.discovery import _hybrid
+from govlens.plans.discovery import _SCORED, _hybrid
 from govlens.sources.tables import read
 from govlens.streaming import quality as stream
 
@@ -195,6 +195,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "discovery_snippets": f"WITH {_SCORED} SELECT query_id, vec_id, rank, substr(text, 1, 300) AS snippet FROM rk JOIN documents ON doc_id = vec_id WHERE rank <= 5",
+    "discovery_confidence": f"""WITH {_SCORED}, k AS (SELECT query_id, avg(score) AS s, avg(CASE WHEN label % 2 = 0 THEN 1.0 ELSE 0.0 END) AS r FROM rk JOIN embeddings USING (vec_id) WHERE rank <= 5 GROUP BY 1)
+      SELECT query_id, round(s, 6) AS mean_score, round(r, 6) AS rate, round(0.7 * s + 0.3 * r, 6) AS confidence FROM k""",
     "govern_suggested_dimensions": f"""WITH {_C}, k AS (SELECT table_name, unnest(['completeness', CASE WHEN contains(lower(column_name), 'id') OR ends_with(lower(column_name), 'key') THEN 'uniqueness' END, CASE WHEN contains(lower(column_name), 'date') OR contains(lower(column_name), 'ts') THEN 'freshness' END,
       CASE WHEN contains(lower(column_name), 'status') OR contains(lower(column_name), 'type') THEN 'validity' END]) AS dimension FROM c) SELECT table_name, list_sort(list(DISTINCT dimension)) AS dimensions FROM k WHERE dimension IS NOT NULL GROUP BY 1""",
     "govern_evidence": """SELECT o_orderkey AS request_id, 'd' || (o_custkey % 40) AS dataset, round(n_nationkey / 25, 6) AS score, CASE WHEN s_suppkey % 2 = 0 THEN 'internal' WHEN s_suppkey IS NOT NULL THEN 'public' END AS level, n_nationkey IS NOT NULL AND s_suppkey IS NOT NULL AS complete
