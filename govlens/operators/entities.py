@@ -6,6 +6,7 @@ Counts and single-pattern redaction are native. Spans need offsets, priorities a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -13,74 +14,105 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govlens.functions import checks
+from govlens.functions.entity_table import ENTITIES, KEYWORDS, NEGATIONS, Entity
+from govlens.functions.scratch import table
 
-# Patterns of entities, weights and actions of categories.
-#: (name, category, pattern, priority); a pattern with a validator in ``checks.VALIDATORS`` is validated.
-PATTERNS = (
-    ("credit_card", "pci", r"\b(?:\d{4}[ -]?){3}\d{4}\b", 3),
-    ("aws_access_key", "credentials", r"\bAKIA[0-9A-Z]{16}\b", 3),
-    ("github_token", "credentials", r"\bgh[pousr]_[A-Za-z0-9]{36}\b", 3),
-    ("private_key", "credentials", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 3),
-    ("jwt_token", "credentials", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 3),
-    ("password_config", "credentials", r"\b(?:password|senha|passwd|pwd)\s*[=:]\s*[^\s]{6,}", 3),
-    ("hex_secret", "credentials", r"\b[0-9a-f]{40}\b", 2),
-    ("email", "pii", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 2),
-    ("cpf", "pii", r"\b\d{3}\.?\d{3}\.?\d{3}[-.]?\d{2}\b", 2),
-    ("ssn", "pii", r"\b\d{3}-\d{2}-\d{4}\b", 2),
-    ("ip_address", "pii", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", 2),
-    ("phone", "pii", r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}", 1),
-    ("iban", "financial", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", 2),
-)
+#: (name, category, pattern, priority) of all entities, for whoever counts or replaces by single patterns.
+PATTERNS = tuple((e.name, e.category, e.regex, e.priority) for e in ENTITIES)
+# Weights, actions and labels of categories.
 WEIGHT = {"pii": 0.6, "phi": 0.9, "pci": 0.95, "financial": 0.7, "business": 0.8, "credentials": 0.99}
 ACTION = {"pii": "anonymize", "phi": "block", "pci": "block", "financial": "anonymize", "business": "block", "credentials": "block"}
 LABEL = {"pii": "[PII]", "phi": "[PHI]", "pci": "[CARD]", "financial": "[FINANCIAL]", "business": "[CONFIDENTIAL]", "credentials": "[CREDENTIAL]"}
-NEGATION = re.compile(r"\b(?:example|sample|test|fake|mock|dummy|placeholder|invalid|exemplo|teste)\b", re.I)
-KEYWORDS = {"pii": ("email", "phone", "address", "contact"), "pci": ("card", "visa", "credit"), "credentials": ("key", "token", "secret", "password"), "financial": ("bank", "account", "iban")}
 CONTEXT = 100
+#: Confidence from which on an entity counts.
+LEAST = 0.5
+#: Base confidence of a match, and what a validator adds or takes.
+BASE, VALID, INVALID, STRICT = 0.35, 0.35, -0.15, -0.5
+
+
+def selected(locales: Sequence[str] | None = None, custom: Sequence[Entity] = ()) -> tuple[Entity, ...]:
+    """Entities of everywhere and of the given locales (of all without any), and custom ones."""
+    return (*(e for e in ENTITIES if locales is None or e.locale in ("universal", *locales)), *custom)
 
 
 def pattern_counts(docs: DataFrame, key: Sequence[str], text: str = "text", terms: Sequence[str] = ()) -> DataFrame:
     """key, pattern, n of every pattern and whole-word term that a text has."""
-    all_ = [(n, p) for n, _, p, _ in PATTERNS] + [(f"term:{t}", rf"\b{t}\b") for t in terms]
+    all_ = [(n, p) for n, _, p, _ in PATTERNS] + [(f"term:{t}", rf"(?i)\b{t}\b") for t in terms]
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = [F.struct(F.lit(n).alias("pattern"), F.regexp_count(body, F.lit("(?i)" + p)).alias("n")) for n, p in all_]
+    rows = [F.struct(F.lit(n).alias("pattern"), F.regexp_count(body, F.lit(p)).alias("n")) for n, p in all_]
     return docs.select(*key, F.inline(F.array(*rows))).filter("n > 0")
 
 
-def _spans_of(text: str, compiled: list) -> list[tuple]:
-    """Non-overlapping spans by priority: a match that begins or ends inside a taken span is passed over."""
+def _support(name: str, category: str, value: str, around: str, boost: float, against: list[re.Pattern]) -> float:
+    """What speaks for a match besides a validator: base, words around it, form, half the pattern's own boost; less what speaks against it."""
+    words = min(0.4, sum(k * sum(w in around for w in ws) for k, ws in KEYWORDS.get(category, {}).items()))
+    form = 0.05
+    if name in ("credit_card", "card_visa", "card_mastercard") and re.search(r"\D", value) or name in ("cpf", "cnpj") and re.search(r"[.-]", value):
+        form = 0.15
+    elif name == "email" and "." in value.split("@")[-1]:
+        form = 0.1
+    digits = re.sub(r"\D", "", value)
+    penalty = 0.3 if any(p.search(around) for p in against) else 0.5 if re.fullmatch(r"0+|1+", digits) else 0.0
+    return BASE + words + form + boost / 2 - penalty
+
+
+def _spans_of(text: str, compiled: list[tuple[Entity, re.Pattern]], against: list[re.Pattern]) -> list[tuple]:
+    """Non-overlapping spans by priority: a match that begins or ends inside a taken span is passed over, one that encloses it isn't."""
     taken: list[tuple] = []
-    for name, category, rx, _ in compiled:
+    starts: list[int] = []
+    stops: list[int] = []
+
+    def inside(at: int) -> bool:
+        """Whether a place lies in a taken span; spans that enclose others are few, so those before the place are looked at backwards."""
+        i = bisect_right(starts, at) - 1
+        return i >= 0 and max(stops[: i + 1][-64:], default=0) > at
+
+    for entity, rx in compiled:
         for m in rx.finditer(text):
             s, e = m.span()
-            if not any(a <= s < b or a < e <= b for _, _, a, b, _ in taken):
-                around = text[max(0, s - CONTEXT) : e + CONTEXT].lower()
-                boost = min(0.4, 0.15 * sum(w in around for w in KEYWORDS.get(category, ())))
-                taken.append((name, category, s, e, round(max(0.0, min(1.0, 0.5 + boost - (0.3 if NEGATION.search(around) else 0.0))), 6)))
+            if e > s and not inside(s) and not inside(e - 1):
+                around = text[max(0, s - CONTEXT) : s].lower() + " " + text[e : e + CONTEXT].lower()
+                taken.append((entity.name, entity.category, s, e, _support(entity.name, entity.category, m.group(), around, entity.boost, against)))
+                i = bisect_right(starts, s)
+                starts.insert(i, s)
+                stops.insert(i, e)
     return sorted(taken, key=lambda x: (x[2], x[3]))
 
 
-def spans(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, seq, entity, category, start, stop, value, base confidence; then validated and confidence (a third more if valid, less if not)."""
+def spans(docs: DataFrame, key: str, text: str = "text", entities: Sequence[Entity] = ENTITIES, terms: Sequence[str] = (), strict: bool = False) -> DataFrame:
+    """key, seq, entity, category, start, stop, value, validated, confidence of the spans of every text.
+
+    Confidence is what speaks for a match (``_support``), .35 more if its check digits are valid, .15 (.5 if strict) less if they aren't, from 0 to 1. Business
+    terms are whole words of priority 3.
+    """
     kind = dict(docs.dtypes)[key]
-    ordered = sorted(PATTERNS, key=lambda p: -p[3])
+    every = [*entities, *(Entity(f"term:{t}", "business", rf"\b{re.escape(t)}\b", 3, 0.5) for t in terms)]
+    ordered = sorted(every, key=lambda e: -e.priority)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(n, c, re.compile(p, re.I | re.A), k) for n, c, p, k in ordered]
+        compiled = [(e, re.compile(e.pattern, 0 if e.cased else re.I)) for e in ordered]
+        against = [re.compile(p, re.I) for p in NEGATIONS]
         for pdf in batches:
-            rows = [(k, i, n, c, s, e, t[s:e], conf) for k, t in zip(pdf[key], pdf[text], strict=True) if t for i, (n, c, s, e, conf) in enumerate(_spans_of(t, compiled))]
+            rows = [(k, i, n, c, s, e, t[s:e], conf) for k, t in zip(pdf[key], pdf[text], strict=True) if t for i, (n, c, s, e, conf) in enumerate(_spans_of(t, compiled, against))]
             yield pd.DataFrame(rows, columns=[key, "seq", "entity", "category", "start", "stop", "value", "base"])
 
     found = docs.select(key, text).mapInPandas(run, f"{key} {kind}, seq int, entity string, category string, start int, stop int, value string, base double")
     valid = F.lit(None).cast("boolean")
-    for n, f in checks.VALIDATORS.items():
+    checked = {**checks.VALIDATORS, **{c: checks.card for c in ("card_visa", "card_mastercard", "card_amex")}, "person_name": checks.person_name}
+    for n, f in checked.items():
         valid = F.when(F.col("entity") == n, f(F.col("value"))).otherwise(valid)
     found = found.withColumn("valid", valid)
-    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("base") + F.when(F.col("valid"), 0.35).when(~F.col("valid"), -0.15).otherwise(0.0)))
+    told = F.when(F.col("valid"), VALID).when(~F.col("valid"), STRICT if strict else INVALID).otherwise(0.0)
+    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("base") + told))
     return found.select(key, "seq", "entity", "category", "start", "stop", "value", F.coalesce("valid", F.lit(False)).alias("validated"), conf.alias("confidence"))
 
 
-def risk(found: DataFrame, key: str, least: float = 0.5, block_at: float = 0.8, block_count: int = 10) -> DataFrame:
+def summary(found: DataFrame) -> DataFrame:
+    """category, entity, n, validated, mean confidence of all spans."""
+    return found.groupBy("category", "entity").agg(F.count(F.lit(1)).alias("n"), F.count_if("validated").alias("validated"), F.avg("confidence").alias("confidence"))
+
+
+def risk(found: DataFrame, key: str, least: float = LEAST, block_at: float = 0.8, block_count: int = 10) -> DataFrame:
     """key, entities, validated, strong, risk, action per document with an entity of at least ``least`` confidence."""
     w = F.create_map(*[F.lit(x) for kv in WEIGHT.items() for x in kv])[F.col("category")]
     a = F.create_map(*[F.lit(x) for kv in ACTION.items() for x in kv])[F.col("category")]
@@ -97,15 +129,39 @@ def risk(found: DataFrame, key: str, least: float = 0.5, block_at: float = 0.8,
 def redact(c: Column, patterns: Sequence[tuple] = PATTERNS) -> Column:
     """Text with every pattern, the stronger first, replaced by its category's label."""
     for _, category, p, _ in sorted(patterns, key=lambda x: -x[3]):
-        c = F.regexp_replace(c, "(?i)" + p, LABEL[category].replace("[", "\\[").replace("]", "\\]"))
+        c = F.regexp_replace(c, p, LABEL[category].replace("[", "\\[").replace("]", "\\]"))
     return c
 
 
+def replaced(docs: DataFrame, found: DataFrame, key: str, text: str = "text", label: Column | None = None) -> DataFrame:
+    """key and the text with every span replaced by its label, that of its category unless given; of spans that overlap the first one."""
+    label = F.create_map(*[F.lit(x) for kv in LABEL.items() for x in kv])[F.col("category")] if label is None else label
+    per = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("stop")).alias("stop"), label.alias("label")))).alias("spans"))
+    out = docs.select(key, text).join(per, key, "left")
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        new = F.struct((-s["stop"]).alias("at"), F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), s["label"]).alias("out"))
+        return F.when(s["start"] >= acc["at"], new).otherwise(acc)
+
+    whole = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    return out.select(key, F.when(F.col("spans").isNull(), F.col(text)).otherwise(whole).alias(text))
+
+
 def guardrail(prompts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, action, text to send on: none where blocked, redacted where anonymised, else as it is."""
-    acted = risk(spans(prompts, key, text), key).select(key, "action")
-    out = prompts.select(key, text).join(acted, key, "left").withColumn("action", F.coalesce("action", F.lit("allow")))
-    return out.select(key, "action", F.when(F.col("action") == "anonymize", redact(F.col(text))).when(F.col("action") != "block", F.col(text)).alias("sent"))
+    """key, action, text to send on: none where blocked, with its spans replaced where anonymised, else as it is."""
+    found = table(spans(prompts, key, text), "guardrail-spans")
+    acted = risk(found, key).select(key, "action")
+    out = replaced(prompts, found.filter(F.col("confidence") >= LEAST), key, text).withColumnRenamed(text, "clean")
+    out = prompts.select(key, text).join(out, key, "left").join(acted, key, "left").withColumn("action", F.coalesce("action", F.lit("allow")))
+    return out.select(key, "action", F.when(F.col("action") == "anonymize", F.col("clean")).when(F.col("action") != "block", F.col(text)).alias("sent"))
+
+
+def stored(prompts: DataFrame, found: DataFrame, key: str, secret: Column, text: str = "text", policy: str = "days") -> tuple[DataFrame, DataFrame]:
+    """(sessions, mappings): the anonymised texts under their retention policy, and each span's value, encrypted, under its place."""
+    clean = replaced(prompts, found, key, text).select(key, F.col(text).alias("anonymised"), F.lit(policy).alias("policy"))
+    kept = found.select(key, "seq", "entity", "category", checks.sealed(F.col("value"), secret).alias("sealed"))
+    return clean, kept
 
 
 def retention(sessions: DataFrame, now: str, days: int = 30) -> DataFrame:

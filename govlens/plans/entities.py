@@ -17,9 +17,15 @@ def chat_counts(spark, d):
     return n.pattern_counts(read(spark, d, "conversations"), ["conv_id", "turn"], terms=["the"])
 
 
+def _sql_text(accents: bool) -> str:
+    """The text for SQL, whose word boundaries know ASCII only: other letters as an underscore, or those of names as a letter, one for one."""
+    text = "translate(coalesce(text, ''), 'áàâãéèêíïóôõöúçñ', 'aaaaaaaaaaaaaaaa')" if accents else "coalesce(text, '')"
+    return f"regexp_replace({text}, '[\\x{{00C0}}-\\x{{00D6}}\\x{{00D8}}-\\x{{00F6}}\\x{{00F8}}-\\x{{02AF}}\\x{{0370}}-\\x{{1FFF}}\\x{{2C00}}-\\x{{D7FF}}]', '_', 'g')"
+
+
 def _counts_sql(table: str, keys: str, terms: list[str]) -> str:
-    each = [(name, p) for name, _, p, _ in n.PATTERNS] + [(f"term:{t}", rf"\b{t}\b") for t in terms]
-    return " UNION ALL ".join(f"SELECT {keys}, '{name}' AS pattern, len(regexp_extract_all(coalesce(text, ''), '(?i){p}')) AS n FROM {table} WHERE regexp_matches(coalesce(text, ''), '(?i){p}')" for name, p in each)
+    each = [(name, p.replace("'", "''")) for name, _, p, _ in n.PATTERNS] + [(f"term:{t}", rf"(?i)\b{t}\b") for t in terms]
+    return " UNION ALL ".join(f"SELECT {keys}, '{name}' AS pattern, len(regexp_extract_all({_sql_text(name == 'person_name')}, '{p}')) AS n FROM {table} WHERE regexp_matches({_sql_text(name == 'person_name')}, '{p}')" for name, p in each)
 
 
 def spans(spark, d):
@@ -30,14 +36,34 @@ def risk(spark, d):
     return n.risk(n.spans(read(spark, d, "documents"), "doc_id"), "doc_id").withColumn("risk", F.round("risk", 6))
 
 
+def summary(spark, d):
+    return n.summary(n.spans(read(spark, d, "documents"), "doc_id", terms=["license"])).withColumn("confidence", F.round("confidence", 6))
+
+
+def stored(spark, d):
+    """What is stored of anonymised conversations: texts without their entities, and how many values lie sealed beside each."""
+    docs = read(spark, d, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("turn_id"), "text")
+    sessions, mappings = n.stored(docs, n.spans(docs, "turn_id"), "turn_id", F.lit("0123456789abcdef"))
+    return sessions.join(mappings.groupBy("turn_id").agg(F.count("sealed").alias("sealed")), "turn_id", "left")
+
+
 def guardrail(spark, d):
     prompts = read(spark, d, "conversations").filter("role = 'user'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("prompt_id"), "text")
     return n.guardrail(prompts, "prompt_id")
 
 
 def redacted(spark, d):
-    keep = [p for p in n.PATTERNS if p[0] in ("email", "ip_address", "aws_access_key")]
-    return read(spark, d, "documents").select("doc_id", F.md5(n.redact(F.coalesce("text", F.lit("")), keep).cast("binary")).alias("redacted_md5"))
+    """Length and labels of the redacted texts."""
+    out = read(spark, d, "documents").select("doc_id", n.redact(F.coalesce("text", F.lit(""))).alias("clean"))
+    return out.select("doc_id", F.length("clean").alias("characters"), *[F.regexp_count("clean", F.lit(v.replace("[", r"\[").replace("]", r"\]"))).alias(k) for k, v in n.LABEL.items()])
+
+
+def _redact_sql() -> str:
+    out = _sql_text(True)
+    for _, category, p, _ in sorted(n.PATTERNS, key=lambda x: -x[3]):
+        pattern = p.replace("'", "''")
+        out = f"regexp_replace({out}, '{pattern}', '{n.LABEL[category]}', 'g')"
+    return out
 
 
 def numbers(spark, d):
@@ -77,14 +103,14 @@ def retention(spark, d):
 
 
 QUERIES = {
-    "entity_counts": counts, "entity_chat_counts": chat_counts, "entity_spans": spans, "entity_risk": risk, "entity_guardrail": guardrail, "entity_redacted": redacted, "entity_check_digits": numbers,
+    "entity_counts": counts, "entity_chat_counts": chat_counts, "entity_spans": spans, "entity_summary": summary, "vault_stored": stored, "entity_risk": risk, "entity_guardrail": guardrail, "entity_redacted": redacted, "entity_check_digits": numbers,
     "entity_anonymised": anonymised, "entity_sealed": sealed, "entity_retention": retention,
 }
 
 ORACLE = {
     "entity_counts": _counts_sql("documents", "doc_id", ["license"]),
     "entity_chat_counts": _counts_sql("conversations", "conv_id, turn", ["the"]),
-    "entity_redacted": """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\\bAKIA[0-9A-Z]{16}\\b', '[CREDENTIAL]', 'g'), '(?i)\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b', '[PII]', 'g'), '(?i)\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\b', '[PII]', 'g')) AS redacted_md5 FROM documents""",
+    "entity_redacted": f"WITH r AS (SELECT doc_id, {_redact_sql()} AS clean FROM documents) SELECT doc_id, length(clean) AS characters, {', '.join(f"len(regexp_extract_all(clean, '\\[{v[1:-1]}\\]')) AS {k}" for k, v in n.LABEL.items())} FROM r",
     "entity_check_digits": _NUM_SQL,
     "entity_anonymised": _ANON,
     "entity_sealed": "SELECT c_custkey, c_name FROM customer",

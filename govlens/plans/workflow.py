@@ -219,5 +219,5 @@ ORACLE = {
     "discovery_guided_plan": _PLAN,
     "portfolio_cost_totals": _COSTS,
     "govern_concerned_teams": _TEAMS,
-    "stream_guardrail": """SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?i)\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b', '[PII]', 'g'), '(?i)\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\b', '[PII]', 'g') AS sent FROM conversations WHERE role = 'user'""",
+    "stream_guardrail": """SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?i)\\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}\\b', '[PII]', 'g'), '(?i)\\b(?:(?:25[0-5]|2[0-4]\\d|[01]?\\d\\d?)\\.){3}(?:25[0-5]|2[0-4]\\d|[01]?\\d\\d?)\\b', '[PII]', 'g') AS sent FROM conversations WHERE role = 'user'""",
 }

