@@ -20,7 +20,7 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "8m") -> None:
     """Bounds Arrow batches by rows and by bytes, so that long texts don't add up in a Python worker.
 
     What is returned is lazy, so the bounds stay set in the session; no result depends on them.
