@@ -366,6 +366,39 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
     return out.filter("part > 0").groupBy("id").agg(F.sum("part").alias("score"))
 
 
+def independent_paths(edges: DataFrame, longest: int = 10, most: int | None = 10) -> DataFrame:
+    """source, sink, path of ways from nodes without incoming to nodes without outgoing edges that share no node; the first ``most`` by (source, sink).
+
+    Each pair offers its shortest way of two to ``longest`` edges, the least of equally long ones, and pairs choose in their order. A way that is the first
+    at all of its nodes is chosen whatever the others do, so all such ways are taken at once, what touches them goes, and rounds go on with the rest.
+    """
+    e = table(distinct_edges(edges), "way-edges")
+    starts = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")), "id", "left_anti")
+    sinks = e.select(F.col("dst").alias("sink")).distinct().join(e.select(F.col("src").alias("sink")), "sink", "left_anti")
+    levels = [table(starts.select(F.col("id").alias("source"), F.col("id").alias("sink"), F.array("id").alias("path")), "way-level")]
+    for _ in range(longest):
+        found = levels[-1].join(e, F.col("sink") == F.col("src")).groupBy("source", F.col("dst").alias("sink")).agg(F.min(F.array_append("path", F.col("dst"))).alias("path"))
+        for level in levels:
+            found = found.join(level.select("source", "sink"), ["source", "sink"], "left_anti")
+        levels.append(table(found, "way-level"))
+        if levels[-1].isEmpty():
+            break
+    left = levels[0].limit(0)
+    for level in levels[2:]:
+        left = left.unionByName(level)
+    left = table(left.join(sinks, "sink", "left_semi").select("source", "sink", "path"), "ways")
+    gone(e, *levels)
+    chosen = left.limit(0)
+    while not left.isEmpty():
+        at = left.select("source", "sink", F.explode("path").alias("node"))
+        first = at.groupBy("node").agg(F.min(F.struct("source", "sink")).alias("way")).groupBy("way.source", "way.sink").agg(F.count(F.lit(1)).alias("nodes"))
+        taken = table(left.join(first, ["source", "sink"]).filter(F.col("nodes") == F.size("path")).select("source", "sink", "path"), "ways-taken")
+        chosen = chosen.unionByName(taken)
+        touched = at.join(taken.select(F.explode("path").alias("node")), "node", "left_semi").select("source", "sink").distinct()
+        left = table(left.join(touched, ["source", "sink"], "left_anti"), "ways")
+    return chosen if most is None else chosen.orderBy("source", "sink").limit(most)
+
+
 def complexity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, density, cyclic, components, complexity band and parallel share in percent.
 

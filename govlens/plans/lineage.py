@@ -177,6 +177,10 @@ def communities(spark, d):
     return graph.label_groups(dag(spark, d))
 
 
+def independent_paths(spark, d):
+    return graph.independent_paths(dag(spark, d)).withColumn("path", F.array_join("path", ">"))
+
+
 QUERIES = {
     "lineage_reach_down": reach_down, "lineage_reach_up": reach_up, "lineage_reach_cyclic": reach_cyclic, "lineage_impact": impact, "lineage_two_hops": two_hops,
     "lineage_subgraph": subgraph, "lineage_degrees": degrees, "lineage_roles": roles, "lineage_metrics": metrics, "lineage_components": components,
@@ -184,6 +188,7 @@ QUERIES = {
     "lineage_strong_components": strong, "lineage_simple_cycles": simple_cycles, "lineage_clustering": clustering, "lineage_distances": distances,
     "lineage_version_diff": versions, "lineage_version_risk": version_risk, "lineage_top_nodes": top_nodes, "lineage_layers": layers, "lineage_run_events": run_events,
     "lineage_articulation_points": articulation, "lineage_betweenness": betweenness, "lineage_communities": communities,
+    "lineage_independent_paths": independent_paths,
 }
 
 _START = ", ".join(f"('{s}')" for s in START)
@@ -228,6 +233,11 @@ ORACLE = {
       SELECT id, min(h) AS distance FROM dn LEFT JOIN r USING (id) GROUP BY id""",
     "lineage_betweenness": f"""WITH RECURSIVE {_DAG}, p(s, v, w, d) AS (SELECT DISTINCT src, src, 1::DOUBLE, 0 FROM dag UNION ALL SELECT p.s, dag.dst, sum(p.w), max(p.d) + 1 FROM p JOIN dag ON dag.src = p.v GROUP BY p.s, dag.dst)
       SELECT m.v AS id, round(sum(m.w * x.w / t.w), 6) AS score FROM p m JOIN p x ON x.s = m.v AND x.d > 0 JOIN p t ON t.s = m.s AND t.v = x.v WHERE m.d > 0 GROUP BY m.v""",
+    "lineage_independent_paths": f"""WITH RECURSIVE {_DAG}, p(s, v, path) AS (SELECT id, id, [id] FROM dg WHERE in_degree = 0 UNION ALL SELECT p.s, dag.dst, min(list_append(p.path, dag.dst)) FROM p JOIN dag ON dag.src = p.v GROUP BY p.s, dag.dst),
+      w AS (SELECT s, v, path FROM p JOIN dg ON dg.id = p.v WHERE out_degree = 0 AND len(path) > 2),
+      g(used, best) AS (SELECT ['']::VARCHAR[], NULL::STRUCT(s VARCHAR, v VARCHAR, path VARCHAR[])
+        UNION ALL SELECT list_concat(used, b.path), b FROM (SELECT used, min(struct_pack(s := w.s, v := w.v, path := w.path)) AS b FROM g JOIN w ON NOT list_has_any(w.path, g.used) GROUP BY used))
+      SELECT best.s AS source, best.v AS sink, array_to_string(best.path, '>') AS path FROM g WHERE best IS NOT NULL ORDER BY 1, 2 LIMIT 10""",
     "lineage_levels": f"WITH RECURSIVE {_DAG}, r(id, level) AS (SELECT id, 0 FROM dn WHERE id NOT IN (SELECT dst FROM dag) UNION SELECT dag.dst, level + 1 FROM r JOIN dag ON dag.src = r.id) SELECT id, max(level) AS level FROM r GROUP BY id",
     "lineage_cycle_dag": f"WITH RECURSIVE {_DAG}, r(id, level) AS (SELECT id, 1 FROM dn WHERE id NOT IN (SELECT dst FROM dag) UNION SELECT dag.dst, level + 1 FROM r JOIN dag ON dag.src = r.id) SELECT false AS has_cycle, 0 AS nodes_left, max(level) AS longest_path FROM r",
     "lineage_strong_components": f"""WITH RECURSIVE {_CYC}, r(a, b) AS (SELECT src, dst FROM cyc UNION SELECT r.a, cyc.dst FROM r JOIN cyc ON cyc.src = r.b)

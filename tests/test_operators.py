@@ -1,5 +1,6 @@
 """Edge cases of operators on hand-made tables."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -164,6 +165,31 @@ def test_betweenness_of_a_path(spark):
     assert got == {"b": 2.0, "c": 2.0}
 
 
+def test_independent_paths_are_chosen_one_by_one(spark):
+    rng = random.Random(5)
+    pairs = {(f"n{a:02}", f"n{b:02}") for a, b in (rng.sample(range(60), 2) for _ in range(75)) if a != b}
+    pairs |= {("n00", "n00"), ("lone", "n61"), *[(f"c{i}", f"c{i + 1}") for i in range(14)]}  # itself, an edge alone, and one too long
+    near: dict = {}
+    for a, b in sorted(pairs):
+        near.setdefault(a, []).append(b)
+    into = {b for _, b in pairs}
+    want, used = {}, set()
+    for source in sorted(set(near) - into):
+        ways, front = {source: [source]}, [[source]]
+        for _ in range(10):
+            front = sorted([*w, x] for w in front for x in near.get(w[-1], []) if x not in ways)
+            front = [w for k, w in enumerate(front) if all(w[-1] != o[-1] for o in front[:k])]
+            ways |= {w[-1]: w for w in front}
+        for sink in sorted(set(ways) - set(near)):
+            if len(ways[sink]) > 2 and not used & set(ways[sink]):
+                want[source, sink] = ways[sink]
+                used |= set(ways[sink])
+    e = edges(spark, *pairs)
+    assert {(r.source, r.sink): r.path for r in graph.independent_paths(e, most=None).collect()} == want and len(want) > 2
+    assert [(r.source, r.sink) for r in graph.independent_paths(e, most=2).collect()] == sorted(want)[:2]
+    assert graph.independent_paths(e.limit(0)).count() == 0
+
+
 def test_irr_and_payback(spark):
     df = spark.createDataFrame([(100.0, 60.0, 10.0), (0.0, 10.0, 0.0), (100.0, 5.0, 10.0)], "investment double, benefit double, cost double")
     r = portfolio.irr_of(df, "investment", "benefit", "cost").select("irr", portfolio.payback_months(F.col("investment"), F.col("benefit"), F.col("cost")).alias("m"), portfolio.roi(F.col("investment"), F.col("benefit")).alias("roi")).collect()
