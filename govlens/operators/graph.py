@@ -6,7 +6,6 @@ driver is a count.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -290,48 +289,56 @@ def label_groups(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return now
 
 
-def _cut_points(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Articulation points of one component by low links, without recursion."""
-    near: dict = {}
-    for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    order, low, cut = {}, {}, set()
-    for root in sorted(near):
-        if root in order:
-            continue
-        stack, children = [(root, None, iter(sorted(near[root])))], 0
-        order[root] = low[root] = len(order)
-        while stack:
-            node, parent, rest = stack[-1]
-            for x in rest:
-                if x == parent:
-                    continue
-                if x in order:
-                    low[node] = min(low[node], order[x])
-                else:
-                    order[x] = low[x] = len(order)
-                    stack.append((x, node, iter(sorted(near[x]))))
-                    break
-            else:
-                stack.pop()
-                if parent is not None:
-                    low[parent] = min(low[parent], low[node])
-                    if parent == root:
-                        children += 1
-                    elif low[node] >= order[parent]:
-                        cut.add(parent)
-        if children > 1:
-            cut.add(root)
-    return pd.DataFrame({"id": sorted(cut)})
+def _forest(both: DataFrame, roots: DataFrame) -> list[DataFrame]:
+    """Breadth-first levels (id, parent) from the roots over ``both``, which has every edge in both directions; of equally near parents the least."""
+    levels = [table(roots.select("id", F.lit(None).cast(dict(both.dtypes)["src"]).alias("parent")), "forest-level")]
+    while True:
+        found = levels[-1].select("id").join(both, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        for level in levels[-2:]:  # neighbours are at most one level away
+            found = found.join(level.select("id"), "id", "left_anti")
+        found = table(found, "forest-level")
+        if found.isEmpty():
+            return levels
+        levels.append(found)
 
 
 def articulation_points(edges: DataFrame) -> DataFrame:
-    """Nodes whose loss splits their component; one component a task, which is the limit of this operator."""
+    """id of the nodes whose loss splits their component, in either direction of the edges; loops don't count.
+
+    Every component gets a breadth-first tree. An edge beside the tree closes a cycle through the two ways up to where they meet, and the tree's edges
+    on one cycle can't be cut apart. So pairs of ways climb a level a round until they meet and link each tree edge (named by its lower node) with the
+    next; linked edges are blocks, and a node in more than one block is a point. All of it is joins; the rounds are the depth of the trees, and a round's rows
+    at most the edges.
+    """
     e = distinct_edges(edges).filter("src <> dst")
-    c = components(e)
-    own = e.join(c.select(F.col("id").alias("src"), "component"), "src")
-    return own.groupBy("component").applyInPandas(_cut_points, "id string")
+    both = table(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "cut-edges")
+    levels = _forest(both, components(both).select(F.col("component").alias("id")).distinct())
+    tree = levels[0].withColumn("level", F.lit(0))
+    for k, level in enumerate(levels[1:], 1):
+        tree = tree.unionByName(level.withColumn("level", F.lit(k)))
+    tree = table(tree, "cut-tree")
+    up = tree.select(F.col("id").alias("src"), F.col("parent").alias("p"), F.col("level").alias("k"))
+    down = tree.select(F.col("id").alias("dst"), F.col("parent").alias("q"), F.col("level").alias("m"))
+    beside = both.join(up, "src").join(down, "dst").filter("k < m or (k = m and src < dst)").filter("src <> q")
+    beside = table(beside.select(F.col("src").alias("x"), F.col("dst").alias("y"), "q", "k", "m"), "cut-beside")
+    own = beside.filter("k < m").select("k", F.col("q").alias("x"), F.col("x").alias("y"))  # the lower end climbs first
+    level_pairs = own.unionByName(beside.filter("k = m").select("k", "x", "y")).select("k", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    links = beside.select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(beside.filter("k < m").select(F.col("y").alias("src"), F.col("q").alias("dst")))
+    climbing, used = None, [both, beside, *levels]
+    for k in range(len(levels) - 1, 0, -1):
+        pairs = level_pairs.filter(F.col("k") == k).select("x", "y")
+        pairs = (pairs if climbing is None else pairs.unionByName(climbing)).distinct()
+        over = levels[k].select(F.col("id").alias("x"), F.col("parent").alias("p")), levels[k].select(F.col("id").alias("y"), F.col("parent").alias("q"))
+        apart = table(pairs.join(over[0], "x").join(over[1], "y").filter("p <> q"), "cut-apart")
+        used.append(apart)
+        for lower, upper in (("x", "p"), ("y", "q")):
+            links = links.unionByName(apart.select(F.col(lower).alias("src"), F.col(upper).alias("dst")).distinct())
+        climbing = apart.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+    blocks = components(links)
+    gone(*used)
+    lower = tree.filter("level > 0").join(blocks, "id", "left").select("id", "parent", F.coalesce("component", "id").alias("block"))
+    member = lower.select("id", "block").unionByName(lower.select(F.col("parent").alias("id"), "block")).distinct()
+    return member.groupBy("id").count().filter("count > 1").select("id")
 
 
 def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:

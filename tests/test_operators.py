@@ -120,24 +120,12 @@ def test_demo_graph(spark):
     assert one(graph.component_sizes(ids(e), e)).pattern == "convergent"
 
 
-def test_cycles_and_isolated(spark):
-    e = edges(spark, ("a", "b"), ("b", "a"), ("c", "c"), ("b", "d"))
-    nodes = ids(e).unionByName(spark.createDataFrame([("z",)], "id string"))
-    assert one(graph.cycle_summary(nodes, e)).has_cycle
-    strong = {r.id: r.component for r in graph.strong_components(e, nodes).collect()}
-    assert strong["a"] == strong["b"] and len(set(strong.values())) == 4
-    assert {tuple(r.path) for r in graph.cycles(e).collect()} == {("a", "b"), ("c",)}
-    weak = {r.id: r.component for r in graph.weak_components(nodes, e).collect()}
-    assert weak["z"] == "z" and weak["d"] == weak["a"]
-    assert {r.id for r in graph.roles(nodes, e).filter("isolated").collect()} == {"z"}
-
-
-def test_cut_points_and_labels_of_the_whole_dag(spark):
-    d = "/root/testdata/sf0.001"
+def cut_points(pairs):
+    """By taking each node away and counting the parts that are left."""
     near: dict = {}
-    for r in lineage.dag(spark, d).collect():
-        near.setdefault(r.src, set()).add(r.dst)
-        near.setdefault(r.dst, set()).add(r.src)
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
 
     def parts(without):
         seen, n = {without}, 0
@@ -152,7 +140,41 @@ def test_cut_points_and_labels_of_the_whole_dag(spark):
         return n
 
     whole = parts(None)
-    assert {r.id for r in lineage.articulation(spark, d).collect()} == {x for x in near if parts(x) > whole}
+    return {x for x in near if parts(x) > whole}
+
+
+def test_cut_points_of_random_graphs(spark):
+    draw = random.Random(7)
+    pairs = []
+    for g in range(40):  # forty graphs of one table, thin to dense, with loops, repeats and both directions
+        n = draw.randint(2, 14)
+        pairs += [(f"{g:02d}-{draw.randrange(n)}", f"{g:02d}-{draw.randrange(n)}") for _ in range(draw.randint(1, 2 * n))]
+    pairs += [("ring-%d" % i, "ring-%d" % ((i + 1) % 9)) for i in range(9)] + [("ring-4", "tail"), ("tail", "end"), ("loop", "loop")]
+    found = [r.id for r in graph.articulation_points(edges(spark, *pairs)).collect()]
+    assert len(found) == len(set(found)) and set(found) == cut_points(pairs) and {"ring-4", "tail"} <= set(found)
+    assert graph.articulation_points(edges(spark, ("a", "b")).limit(0)).count() == 0
+
+
+def test_cycles_and_isolated(spark):
+    e = edges(spark, ("a", "b"), ("b", "a"), ("c", "c"), ("b", "d"))
+    nodes = ids(e).unionByName(spark.createDataFrame([("z",)], "id string"))
+    assert one(graph.cycle_summary(nodes, e)).has_cycle
+    strong = {r.id: r.component for r in graph.strong_components(e, nodes).collect()}
+    assert strong["a"] == strong["b"] and len(set(strong.values())) == 4
+    assert {tuple(r.path) for r in graph.cycles(e).collect()} == {("a", "b"), ("c",)}
+    weak = {r.id: r.component for r in graph.weak_components(nodes, e).collect()}
+    assert weak["z"] == "z" and weak["d"] == weak["a"]
+    assert {r.id for r in graph.roles(nodes, e).filter("isolated").collect()} == {"z"}
+
+
+def test_cut_points_and_labels_of_the_whole_dag(spark):
+    d = "/root/testdata/sf0.001"
+    near: dict = {}
+    whole = [tuple(r) for r in lineage.dag(spark, d).select("src", "dst").collect()]
+    for a, b in whole:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    assert {r.id for r in lineage.articulation(spark, d).collect()} == cut_points(whole)
     label = {x: x for x in near}
     for _ in range(5):
         votes = {x: Counter(label[y] for y in near[x]) for x in near}
