@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlens.llm import ctw, decontam, linededup, minhash, packing, quality, ring, streamdedup, toxicity, urls
+from govlens.llm import ctw, decontam, langid, linededup, minhash, packing, prefixtrie, quality, ring, spelling, streamdedup, toxicity, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,19 @@ def op10_url_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
+def op11_trie_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(read(spark, sf_dir, "documents"))
+
+
+def op12_adaptive_radix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 QUERIES = {
     "op1_certified_best_fit": op1_certified_best_fit,
     "op2_noisy_channel_toxicity": op2_noisy_channel_toxicity,
@@ -74,11 +87,53 @@ QUERIES = {
     "op8_bounded_load_ring": op8_bounded_load_ring,
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_url_expressions": op10_url_expressions,
+    "op11_trie_frontier": op11_trie_frontier,
+    "op12_adaptive_radix_trie": op12_adaptive_radix_trie,
+    "op13_ftrl_language": op13_ftrl_language,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: CRC-32 by its table of 256 values; the text's characters are below U+0800.
+_CRC_TABLE = "SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)"
+
+
+def _crc(s: str) -> str:
+    utf8 = f"flatten(list_transform(string_split({s}, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [192 + (ord(x) >> 6), 128 + ord(x) % 64] END))"
+    return f"xor(list_reduce(list_concat([4294967295], {utf8}::BIGINT[]), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295)"
+
 
 ORACLE = {
+    "op11_trie_frontier": f"""
+        WITH RECURSIVE z AS ({_CRC_TABLE}),
+        r AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS k, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+        o AS (SELECT k, w, count(*) AS n FROM r WHERE length(w) >= 6 GROUP BY k, w),
+        h AS (SELECT w, n, {_crc("k || w")} AS h FROM o, z),
+        c AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, sum(n)::BIGINT AS n
+              FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+        d AS (SELECT word, n, 0 AS i, word AS v FROM c UNION ALL SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) FROM (SELECT *, unnest(range(1, length(word) + 1))::INT AS i FROM c)),
+        p AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS m FROM d a JOIN d b ON a.v = b.v AND a.word <> b.word WHERE a.i = b.i OR a.i = 0 OR b.i = 0),
+        f AS (SELECT word, count(*) AS n_near, first(near ORDER BY m DESC, near COLLATE "C") AS near, max(m) AS m FROM p GROUP BY word),
+        g AS (SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * c.n THEN near END AS form, CASE WHEN m >= 5 * c.n THEN m END AS form_n FROM c LEFT JOIN f USING (word)),
+        s(word, last, form) AS (SELECT word, word, form FROM g UNION ALL SELECT s.word, g.word, g.form FROM s JOIN g ON g.word = s.form)
+        SELECT g.word, g.form, s.last AS root, n, n_near, form_n FROM g JOIN s ON s.word = g.word AND s.form IS NULL""",
+    "op12_adaptive_radix_trie": f"""
+        WITH z AS ({_CRC_TABLE}),
+        o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, {_crc("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM o), z),
+        t AS (SELECT c.conv_id, 0 AS own, o.* EXCLUDE conv_id FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100 AND k <= h
+              UNION ALL SELECT c.conv_id, 1, o.* EXCLUDE conv_id FROM c JOIN o ON o.conv_id = c.conv_id AND k > h),
+        s AS (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY own, k) AS turns, list(length(text) ORDER BY own, k) AS sizes FROM t GROUP BY conv_id),
+        b AS (SELECT conv_id, coalesce(turns, []) AS turns, coalesce(sizes, []) AS sizes FROM c LEFT JOIN s USING (conv_id)),
+        m AS (SELECT conv_id, d, array_to_string(turns[1:d], '') AS node, array_to_string(turns[1:d - 1], '') AS up, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size, len(turns) = d AS ends
+              FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM b)),
+        n AS (SELECT node, d AS depth, min(conv_id) AS conv_id, any_value(up) AS up, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS cost,
+                     sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY node, d),
+        k AS (SELECT up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+        e AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.node),
+        w AS (SELECT DISTINCT a.node, x.node AS below, x.cost, x.n_children FROM m a JOIN m y ON y.conv_id = a.conv_id AND y.d >= a.d JOIN e x ON x.node = y.node),
+        u AS (SELECT node, sum(cost)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM w GROUP BY node)
+        SELECT e.conv_id, e.depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children, n_leaves, saved_tokens, e.ends_sha256
+        FROM e JOIN u ON u.node = e.node LEFT JOIN e p ON e.depth > 0 AND p.node = e.up""",
     "op9_circulant_minhash": f"""
         WITH RECURSIVE w AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
