@@ -36,7 +36,7 @@ _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """(tokenizer, bytes of each id, remembered ids by chunk) of this Python worker."""
+    """(tokenizer, bytes of each id, remembered ids by chunk, pattern of the file's added tokens or None) of this Python worker."""
     if path not in _tokenizers:
         import os
 
@@ -44,15 +44,25 @@ def _tokenizer(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        added = list(t.get_added_tokens_decoder().values())
+        if any(a.lstrip or a.rstrip or a.single_word or a.normalized for a in added):
+            raise ValueError("added tokens that take in spaces, words or normal forms can't be split off")
+        names = sorted((a.content for a in added), key=len, reverse=True)
         vocabulary = t.get_vocab(with_added_tokens=False)
         size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             size[i] = len(token)  # a byte is a character of the token's name
-        _tokenizers[path] = (t, size, {})
+        _tokenizers[path] = (t, size, {}, re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None)
     return _tokenizers[path]
 
 
+def _chunks(text: str, added: re.Pattern | None) -> list[str]:
+    """Chunks of a text: its added tokens, each by itself, and those of what lies between them."""
+    if added is None or not added.search(text):
+        return _CHUNK.findall(text)
+    return [c for i, part in enumerate(added.split(text)) for c in ([part] if i % 2 else _CHUNK.findall(part))]
+
+
 def _learn(chunks: list[str], tokenizer, size: np.ndarray, known: dict[str, bytes]) -> None:
     """Remembers the ids of new chunks; those that begin with a space go through the tokenizer a hundred at a time."""
     joined = [c for c in chunks if c[0] == " " and c[-1] > " "]
@@ -74,15 +84,18 @@ def _learn(chunks: list[str], tokenizer, size: np.ndarray, known: dict[str, byte
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit, with the closing id 0."""
-    tokenizer, size, known = _tokenizer(path)
+    """Ids of each text as little-endian unsigned 32-bit, with the closing id 0.
+
+    They are those of the tokenizer's file as it stands, without tokens added around a text: an added token that a text names is that token.
+    """
+    tokenizer, size, known, added = _tokenizer(path)
     if len(known) > REMEMBERED:
         known.clear()
     out: list[bytes] = []
     for i in range(0, len(texts), 200):
         waiting, new = [], set()
         for text in texts[i : i + 200]:
-            chunks = _CHUNK.findall(text)
+            chunks = _chunks(text, added)
             parts = list(map(known.get, chunks))
             gaps = [(k, chunks[k]) for k, p in enumerate(parts) if p is None]
             new.update([c for _, c in gaps])

@@ -241,10 +241,10 @@ def test_token_ids_equal_the_tokenizer(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    texts = [x or "" for _, x in rows] + ["  a  b\n\n c  x <|endoftext|> don't a b \x1c z 12  ", "\n\n\n  ", "²³ é́ x'll\r\n\tq", "a\nB\n\nC \n d", "ab,cd.  Ef'll 3x", "naïveЖ, o’k  x"]
+    texts = [x or "" for _, x in rows] + ["one <|endoftext|> two", "<|endoftext|><|endoftext|>\n\n<|endoftext|>  x", "a<|endoftext|>b <|endoftext| >", "  a  b\n\n c  x <|endoftext|> don't a b \x1c z 12  ", "\n\n\n  ", "²³ é́ x'll\r\n\tq", "a\nB\n\nC \n d", "ab,cd.  Ef'll 3x", "naïveЖ, o’k  x"]
     want = [np.array([*e.ids, 0], "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
     assert packing.token_ids(texts, tokenizer_path()) == want
+    assert len(packing.token_ids(["one <|endoftext|> two"], tokenizer_path())[0]) == 4 * (len(t.encode("one <|endoftext|> two", add_special_tokens=False).ids) + 1)
 
 
 def test_packing(docs, rows, empty):
