@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Country codes of bank identifiers, and words that look like one.
-SWIFT_COUNTRIES = ("AD", "AE", "AT", "AU", "BE", "BR", "CA", "CH", "CL", "CN", "CO", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "GR", "HK", "HU", "IE", "IN", "IT", "JP", "KR", "LU", "MX", "NL", "NO", "NZ", "PL", "PT", "RO", "SE", "SG", "TR", "US", "ZA")
+# Words that look like a bank identifier.
+SWIFT_WORDS = ("CONSEGUE", "CONSIGNA", "CONSELHE", "CONSEJOS", "CONSULTE", "CONTINUE", "CONTEXTO", "CONTRATE", "CONTROLE", "CONVERSE", "COMPLETE", "COMPARTE", "COMPROVE")
+
+
+@lru_cache
+def swift_countries() -> tuple[str, ...]:
+    """Country codes of bank identifiers: those of ISO 3166 as the JVM has them, and Kosovo's."""
+    return (*SparkContext._active_spark_context._jvm.java.util.Locale.getISOCountries(), "XK")
 
 
 def digits(c: Column) -> Column:
@@ -84,7 +92,9 @@ def email(c: Column) -> Column:
 
 
 def swift(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$") & F.substring(c, 5, 2).isin(list(SWIFT_COUNTRIES)), F.lit(False))
+    """Letters of a bank, a country's code, two characters of a place and three of a branch or none; not one of the words that look like one."""
+    code = F.upper(F.trim(c))
+    return F.coalesce(code.rlike(r"^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$") & F.substring(code, 5, 2).isin(list(swift_countries())) & ~code.isin(list(SWIFT_WORDS)), F.lit(False))
 
 
 VALIDATORS = {"cpf": cpf, "cnpj": cnpj, "credit_card": card, "cns": cns, "ssn": ssn, "iban": iban, "ip_address": ipv4, "email": email, "swift_bic": swift}
@@ -125,6 +135,24 @@ def pseudonym(c: Column, pool: Sequence[str], seed: str) -> Column:
     return F.element_at(F.array(*map(F.lit, pool)), rest + 1)
 
 
+# What stands in for names, addresses and numbers.
+NAMES = ("João Silva", "Maria Santos", "Pedro Oliveira", "Ana Costa", "Carlos Souza", "Julia Lima", "Lucas Pereira", "Fernanda Alves", "John Doe", "Jane Smith", "Bob Johnson", "Alice Williams")
+EMAILS = ("usuario1@exemplo.com", "contato@empresa.com", "info@dominio.com", "user@example.com", "contact@company.com", "hello@domain.com")
+PHONES = ("(11) 9999-9999", "(21) 8888-8888", "(31) 7777-7777", "(555) 123-4567", "(555) 987-6543")
+
+
+def stand_in(c: Column, entity: Column, seed: str) -> Column:
+    """A value that stands in for c: of the pool for names, addresses and telephones; as many digits, 32 at most, for what begins with one; else PSEUDO_ and eight digits of the digest."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), c).cast("binary"))
+    # a letter of the digest is the last digit of its code
+    number = F.translate(F.substring(digest, F.lit(1), F.length(c)), "abcdef", "789012")
+    pools = ((("person_name", "name"), NAMES), (("email",), EMAILS), (("phone", "phone_br", "phone_intl"), PHONES))
+    out = F.when(c.rlike("^[0-9]"), number).otherwise(F.concat(F.lit("PSEUDO_"), F.substring(digest, 1, 8)))
+    for kinds, pool in pools:
+        out = F.when(entity.isin(list(kinds)), pseudonym(c, pool, seed)).otherwise(out)
+    return out
+
+
 def sealed(c: Column, key: Column) -> Column:
     return F.base64(F.aes_encrypt(c, key))
 

@@ -6,15 +6,19 @@ Counts and single-pattern redaction are native. Spans need offsets, priorities a
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from govlens.functions import checks
 from govlens.functions.entity_table import ENTITIES, KEYWORDS, NEGATIONS, Entity
+from govlens.functions.gates import Gate, Scanner, gate
 from govlens.functions.scratch import table
 
 #: (name, category, pattern, priority) of all entities, for whoever counts or replaces by single patterns.
@@ -22,7 +26,13 @@ PATTERNS = tuple((e.name, e.category, e.regex, e.priority) for e in ENTITIES)
 # Weights, actions and labels of categories.
 WEIGHT = {"pii": 0.6, "phi": 0.9, "pci": 0.95, "financial": 0.7, "business": 0.8, "credentials": 0.99}
 ACTION = {"pii": "anonymize", "phi": "block", "pci": "block", "financial": "anonymize", "business": "block", "credentials": "block"}
-LABEL = {"pii": "[PII]", "phi": "[PHI]", "pci": "[CARD]", "financial": "[FINANCIAL]", "business": "[CONFIDENTIAL]", "credentials": "[CREDENTIAL]"}
+LABEL = {"pii": "[PII]", "phi": "[PHI]", "pci": "[CARTÃO]", "financial": "[FINANCEIRO]", "business": "[CONFIDENCIAL]", "credentials": "[CREDENCIAL]"}
+# Labels of entities, which come before their category's.
+ENTITY_LABEL = {
+    "cpf": "[CPF]", "cnpj": "[CNPJ]", "email": "[EMAIL]", "phone": "[TELEFONE]", "credit_card": "[CARTÃO]", "ssn": "[SSN]", "name": "[NOME]", "address": "[ENDEREÇO]", "iban": "[IBAN]", "icd10": "[CID]",
+    "openai_api_key": "[API_KEY]", "anthropic_api_key": "[API_KEY]", "aws_access_key": "[AWS_KEY]", "aws_secret_key": "[AWS_SECRET]", "github_token": "[GITHUB_TOKEN]", "jwt_token": "[JWT]", "private_key_rsa": "[PRIVATE_KEY]",
+    "database_url": "[DB_URL]", "password_config": "[SENHA]", "generic_api_key": "[API_KEY]",
+}
 CONTEXT = 100
 #: Confidence from which on an entity counts.
 LEAST = 0.5
@@ -56,29 +66,37 @@ def _support(name: str, category: str, value: str, around: str, boost: float, ag
     return BASE + words + form + boost / 2 - penalty
 
 
-def _spans_of(text: str, compiled: list[tuple[Entity, re.Pattern]], against: list[re.Pattern]) -> list[tuple]:
-    """Non-overlapping spans by priority: a match that begins or ends inside a taken span is passed over, one that encloses it isn't."""
-    taken: list[tuple] = []
-    starts: list[int] = []
-    stops: list[int] = []
-
-    def inside(at: int) -> bool:
-        """Whether a place lies in a taken span; spans that enclose others are few, so those before the place are looked at backwards."""
-        i = bisect_right(starts, at) - 1
-        return i >= 0 and max(stops[: i + 1][-64:], default=0) > at
+def _spans_of(scanner: Scanner, i: int, compiled: list[tuple[Entity, re.Pattern, Gate]], against: list[re.Pattern]) -> list[tuple]:
+    """Non-overlapping spans by priority: a match that begins or ends inside a taken span is passed over, one that encloses it isn't.
 
-    for entity, rx in compiled:
-        for m in rx.finditer(text):
+    What is taken is marked character by character, so a match is decided at once, however many spans there are.
+    """
+    text = scanner.texts[i]
+    taken: list[tuple] = []
+    marks = bytearray()
+    for entity, rx, needs in compiled:
+        for m in scanner.find(i, rx, needs):
             s, e = m.span()
-            if e > s and not inside(s) and not inside(e - 1):
+            if e > s and not (marks and (marks[s] or marks[e - 1])):
                 around = text[max(0, s - CONTEXT) : s].lower() + " " + text[e : e + CONTEXT].lower()
                 taken.append((entity.name, entity.category, s, e, _support(entity.name, entity.category, m.group(), around, entity.boost, against)))
-                i = bisect_right(starts, s)
-                starts.insert(i, s)
-                stops.insert(i, e)
+                marks = marks or bytearray(len(text))
+                marks[s:e] = b"\1" * (e - s)
     return sorted(taken, key=lambda x: (x[2], x[3]))
 
 
+def _parts(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch of (key, text) in parts of about so many bytes of text, so that long texts don't add up."""
+    begin = held = 0
+    for i, n in enumerate(x.as_py() or 0 for x in pc.binary_length(batch.column(1))):
+        held += n
+        if held >= size:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, held = i + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def spans(docs: DataFrame, key: str, text: str = "text", entities: Sequence[Entity] = ENTITIES, terms: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """key, seq, entity, category, start, stop, value, validated, confidence of the spans of every text.
 
@@ -86,25 +104,68 @@ def spans(docs: DataFrame, key: str, text: str = "text", entities: Sequence[Enti
     terms are whole words of priority 3.
     """
     kind = dict(docs.dtypes)[key]
+    columns = {"seq": "int", "entity": "string", "category": "string", "start": "int", "stop": "int", "value": "string", "base": "double"}
+    found = docs.select(key, text).mapInArrow(_finder(key, entities, terms, columns), ", ".join(f"{c} {t}" for c, t in {key: kind, **columns}.items()))
+    return found.select(key, *_judged(F.col, strict))
+
+
+_KINDS = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+
+
+def _finder(key: str, entities: Sequence[Entity], terms: Sequence[str], columns: dict[str, str], nested: str | None = None):
+    """mapInArrow function over (key, text): a row a span, or with ``nested`` a row a text with its spans in a column of that name."""
     every = [*entities, *(Entity(f"term:{t}", "business", rf"\b{re.escape(t)}\b", 3, 0.5) for t in terms)]
     ordered = sorted(every, key=lambda e: -e.priority)
+    kinds = [_KINDS[t] for t in columns.values()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(e, re.compile(e.pattern, 0 if e.cased else re.I)) for e in ordered]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(e, re.compile(e.pattern, 0 if e.cased else re.I), gate(e.pattern, 0 if e.cased else re.I)) for e in ordered]
         against = [re.compile(p, re.I) for p in NEGATIONS]
-        for pdf in batches:
-            rows = [(k, i, n, c, s, e, t[s:e], conf) for k, t in zip(pdf[key], pdf[text], strict=True) if t for i, (n, c, s, e, conf) in enumerate(_spans_of(t, compiled, against))]
-            yield pd.DataFrame(rows, columns=[key, "seq", "entity", "category", "start", "stop", "value", "base"])
 
-    found = docs.select(key, text).mapInPandas(run, f"{key} {kind}, seq int, entity string, category string, start int, stop int, value string, base double")
+        def found(part: pa.RecordBatch) -> pa.RecordBatch:
+            scanner = Scanner([c[1:] for c in compiled], [t or "" for t in part.column(1).to_pylist()])
+            spans = [_spans_of(scanner, i, compiled, against) for i in range(part.num_rows)]
+            rows = [(k, n, c, s, e, scanner.texts[i][s:e], conf) for i, own in enumerate(spans) for k, (n, c, s, e, conf) in enumerate(own)]
+            arrays = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
+            sizes = np.array([len(own) for own in spans], np.int64)
+            if nested is None:
+                return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(spans)), sizes))), *arrays], [key, *columns])
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(arrays, list(columns)))], [*part.schema.names, nested])
+
+        for b in batches:
+            yield from (found(part) for part in _parts(b))
+
+    return run
+
+
+def _judged(of: Callable[[str], Column], strict: bool) -> list[Column]:
+    """The columns of a span, validated and confidence among them; ``of`` gives what was found of it."""
     valid = F.lit(None).cast("boolean")
     checked = {**checks.VALIDATORS, **{c: checks.card for c in ("card_visa", "card_mastercard", "card_amex")}, "person_name": checks.person_name}
     for n, f in checked.items():
-        valid = F.when(F.col("entity") == n, f(F.col("value"))).otherwise(valid)
-    found = found.withColumn("valid", valid)
-    told = F.when(F.col("valid"), VALID).when(~F.col("valid"), STRICT if strict else INVALID).otherwise(0.0)
-    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("base") + told))
-    return found.select(key, "seq", "entity", "category", "start", "stop", "value", F.coalesce("valid", F.lit(False)).alias("validated"), conf.alias("confidence"))
+        valid = F.when(of("entity") == n, f(of("value"))).otherwise(valid)
+    told = F.when(valid, VALID).when(~valid, STRICT if strict else INVALID).otherwise(0.0)
+    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), of("base") + told))
+    return [*(of(c).alias(c) for c in ("seq", "entity", "category", "start", "stop", "value")), F.coalesce(valid, F.lit(False)).alias("validated"), conf.alias("confidence")]
+
+
+def screened(prompts: DataFrame, key: str, text: str = "text", least: float = LEAST, block_at: float = 0.8, block_count: int = 10) -> DataFrame:
+    """key, action, risk, sent of every prompt, decided row by row: the rules of ``risk`` and ``guardrail`` without a shuffle or a table, so it runs on a stream as on a table."""
+    kind = dict(prompts.dtypes)[key]
+    columns = {"seq": "int", "entity": "string", "category": "string", "start": "int", "stop": "int", "value": "string", "base": "double"}
+    own = prompts.select(F.col(key), F.col(text).alias("text")).mapInArrow(_finder(key, ENTITIES, (), columns, "spans"), f"{key} {kind}, text string, spans array<struct<{', '.join(f'{c}:{t}' for c, t in columns.items())}>>")
+    own = own.withColumn("spans", F.filter(F.transform("spans", lambda x: F.struct(*_judged(lambda c: x[c], False))), lambda x: x["confidence"] >= least))
+    weight, action = (F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in (WEIGHT, ACTION))
+    x = F.aggregate("spans", F.lit(0.0), lambda a, s: a + weight[s["category"]] * s["confidence"] * F.when(s["validated"], 1.2).otherwise(1.0))
+    own = own.withColumn("risk", x / (x + 5))
+    any_of = lambda what: F.exists("spans", lambda s: action[s["category"]] == what)
+    decided = F.when(F.size("spans") == 0, "allow").when((F.col("risk") >= block_at) | (F.size("spans") >= block_count) | any_of("block"), "block").when(any_of("anonymize"), "anonymize").otherwise("warn")
+    own = own.withColumn("action", decided)
+    labelled = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("stop"), label_of(s["entity"], s["category"]).alias("label"))))
+    own = own.withColumn("cuts", labelled)
+    sent = F.when(F.col("action") == "anonymize", _cut(F.col("text"), F.col("cuts.start"), F.col("cuts.stop"), F.col("cuts.label"))).when(F.col("action") != "block", F.col("text"))
+    return own.select(key, "action", "risk", sent.alias("sent"))
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -126,6 +187,12 @@ def risk(found: DataFrame, key: str, least: float = LEAST, block_at: float = 0.8
     return per.select(key, "entities", "validated", "strong", score.alias("risk"), action.alias("action"))
 
 
+def label_of(entity: Column, category: Column) -> Column:
+    """The label of an entity: its own, else its category's, else the category in capitals."""
+    own, by_category = (F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]) for labels in (ENTITY_LABEL, LABEL))
+    return F.coalesce(own[entity], by_category[category], F.concat(F.lit("["), F.upper(category), F.lit("]")))
+
+
 def redact(c: Column, patterns: Sequence[tuple] = PATTERNS) -> Column:
     """Text with every pattern, the stronger first, replaced by its category's label."""
     for _, category, p, _ in sorted(patterns, key=lambda x: -x[3]):
@@ -134,18 +201,28 @@ def redact(c: Column, patterns: Sequence[tuple] = PATTERNS) -> Column:
 
 
 def replaced(docs: DataFrame, found: DataFrame, key: str, text: str = "text", label: Column | None = None) -> DataFrame:
-    """key and the text with every span replaced by its label, that of its category unless given; of spans that overlap the first one."""
-    label = F.create_map(*[F.lit(x) for kv in LABEL.items() for x in kv])[F.col("category")] if label is None else label
+    """key and the text with every span replaced by its label, by ``label_of`` unless given; of spans that overlap the first one."""
+    label = label_of(F.col("entity"), F.col("category")) if label is None else label
     per = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("stop")).alias("stop"), label.alias("label")))).alias("spans"))
     out = docs.select(key, text).join(per, key, "left")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return out.select(key, F.when(F.col("spans").isNull(), F.col(text)).otherwise(_cut(F.col(text), F.col("spans.start"), F.col("spans.stop"), F.col("spans.label"))).alias(text))
+
+
+@F.pandas_udf(StringType())
+def _cut(text: pd.Series, starts: pd.Series, stops: pd.Series, labels: pd.Series) -> pd.Series:
+    """Texts with labels in place of their sorted spans, whose stops are negative; what begins within the span before is passed over."""
 
-    def step(acc: Column, s: Column) -> Column:
-        new = F.struct((-s["stop"]).alias("at"), F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), s["label"]).alias("out"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(acc)
+    def one(t: str | None, spans: Iterator[tuple]) -> str | None:
+        if t is None:
+            return None
+        at, pieces = 0, []
+        for start, stop, label in spans:
+            if start >= at:
+                pieces += [t[at:start], label]
+                at = -stop
+        return "".join([*pieces, t[at:]])
 
-    whole = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return out.select(key, F.when(F.col("spans").isNull(), F.col(text)).otherwise(whole).alias(text))
+    return pd.Series([one(t, zip(a, z, x, strict=True) if a is not None else ()) for t, a, z, x in zip(text, starts, stops, labels, strict=True)], dtype=object)
 
 
 def guardrail(prompts: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -91,6 +91,38 @@ _ANON = """SELECT c_custkey, regexp_replace(c_name, '[A-Za-z0-9]', '*', 'g') AS
   ['Ana', 'Bob', 'Cid', 'Dora', 'Eva'][1 + (list_sum([(strpos('0123456789abcdef', substr(md5('7:' || c_name), i, 1)) - 1) FOR i IN range(1, 33)]) % 5)::BIGINT] AS pseudonym FROM customer"""
 
 
+#: Kinds of values and how a customer, an order or a line stands for each.
+_KINDS = ("person_name", "email", "phone_br", "cpf", "iban", "unknown")
+
+
+def _values(spark, d):
+    """A value of each kind for every customer."""
+    c = read(spark, d, "customer").select("c_custkey", "c_name", F.lpad(F.col("c_custkey").cast("string"), 11, "5").alias("number"), F.posexplode(F.array(*map(F.lit, _KINDS))).alias("i", "entity"))
+    value = F.when(F.col("i") == 1, F.concat(F.lower("c_name"), F.lit("@x.org"))).when(F.col("i").isin(2, 3), F.col("number")).otherwise(F.col("c_name"))
+    return c.select("c_custkey", "entity", F.element_at(F.array(*map(F.lit, ("pii", "pii", "pii", "pii", "financial", "custom"))), F.col("i") + 1).alias("category"), value.alias("value"))
+
+
+def stand_ins(spark, d):
+    """What stands in for values of each kind, and their labels."""
+    return _values(spark, d).select("c_custkey", "entity", checks.stand_in(F.col("value"), F.col("entity"), "7").alias("stand_in"), n.label_of(F.col("entity"), F.col("category")).alias("label"))
+
+
+def _stand_in_sql() -> str:
+    def pool(values):
+        items = ", ".join(f"'{v}'" for v in values)
+        # digit by digit, as the digest is a number beyond SQL's
+        return f"[{items}][1 + list_reduce(list_concat([0], list_transform(string_split(h, ''), lambda x: strpos('0123456789abcdef', x) - 1)), lambda a, x: (a * 16 + x) % {len(values)})::BIGINT]"
+
+    own = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in n.ENTITY_LABEL.items())
+    by = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in n.LABEL.items())
+    return f"""WITH v AS (SELECT c_custkey, unnest([{', '.join(f"'{k}'" for k in _KINDS)}]) AS entity, unnest(['pii', 'pii', 'pii', 'pii', 'financial', 'custom']) AS category,
+        unnest([c_name, lower(c_name) || '@x.org', lpad(c_custkey::VARCHAR, 11, '5'), lpad(c_custkey::VARCHAR, 11, '5'), c_name, c_name]) AS value FROM customer),
+      h AS (SELECT *, md5('7:' || value) AS h FROM v)
+      SELECT c_custkey, entity, coalesce(CASE entity {own} END, CASE category {by} END, '[' || upper(category) || ']') AS label,
+        CASE WHEN entity = 'person_name' THEN {pool(checks.NAMES)} WHEN entity = 'email' THEN {pool(checks.EMAILS)} WHEN entity LIKE 'phone%' THEN {pool(checks.PHONES)}
+             WHEN value[1] BETWEEN '0' AND '9' THEN translate(left(h, length(value)), 'abcdef', '789012') ELSE 'PSEUDO_' || left(h, 8) END AS stand_in FROM h"""
+
+
 def sealed(spark, d):
     """Every name encrypted and opened again."""
     key = F.lit("0123456789abcdef")
@@ -104,7 +136,7 @@ def retention(spark, d):
 
 QUERIES = {
     "entity_counts": counts, "entity_chat_counts": chat_counts, "entity_spans": spans, "entity_summary": summary, "vault_stored": stored, "entity_risk": risk, "entity_guardrail": guardrail, "entity_redacted": redacted, "entity_check_digits": numbers,
-    "entity_anonymised": anonymised, "entity_sealed": sealed, "entity_retention": retention,
+    "entity_anonymised": anonymised, "entity_stand_ins": stand_ins, "entity_sealed": sealed, "entity_retention": retention,
 }
 
 ORACLE = {
@@ -113,6 +145,7 @@ ORACLE = {
     "entity_redacted": f"WITH r AS (SELECT doc_id, {_redact_sql()} AS clean FROM documents) SELECT doc_id, length(clean) AS characters, {', '.join(f"len(regexp_extract_all(clean, '\\[{v[1:-1]}\\]')) AS {k}" for k, v in n.LABEL.items())} FROM r",
     "entity_check_digits": _NUM_SQL,
     "entity_anonymised": _ANON,
+    "entity_stand_ins": _stand_in_sql(),
     "entity_sealed": "SELECT c_custkey, c_name FROM customer",
     "entity_retention": """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'forever' WHEN DATE '1998-08-02' - o_orderdate::DATE >= 30 THEN 'delete_now' ELSE 'expires' END AS outcome,
       CASE WHEN o_orderkey % 10 <> 0 AND DATE '1998-08-02' - o_orderdate::DATE < 30 THEN 30 - (DATE '1998-08-02' - o_orderdate::DATE) END AS days_left FROM orders""",

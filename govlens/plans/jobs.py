@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from govlens.functions.scratch import scratch
 from govlens.operators import jobs
 from govlens.sources.tables import read
 from govlens.streaming import quality as stream
@@ -63,6 +64,31 @@ def stream_distinct_edges(spark, d):
     return stream.run_to_table(spark, path, spark.read.parquet(path).schema, lambda s: stream.distinct_edges(edge(s), "ts"), "stream-edges", mode="append").select("src", "dst", "operation")
 
 
+def stream_uniqueness(spark, d):
+    """Uniqueness of users per day and type of event, for the days that the watermark has closed."""
+    path = f"{d}/events.parquet"
+    plan = lambda s: stream.windowed_uniqueness(s.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id"), "ts", "user_id", "event_type")
+    out = stream.run_to_table(spark, path, spark.read.parquet(path).schema, plan, "stream-uniqueness", mode="append")
+    return out.withColumn("day", F.col("day").cast("timestamp_ntz")).withColumn("uniqueness", F.round("uniqueness", 6))
+
+
+def stream_silent(spark, d):
+    """Users without an event for nine hours, each time they fall silent, by timers."""
+    path = f"{d}/events.parquet"
+    with stream.rocksdb(spark):
+        out = stream.run_to_table(spark, path, spark.read.parquet(path).schema, lambda s: stream.silent(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", 9 * 3600), "stream-silent", mode="append")
+    return out.select(F.col("group").cast("long").alias("user_id"), "latest_ms")
+
+
+def stream_screened(spark, d):
+    """What a stream of prompts left in the sinks of sent and of blocked ones."""
+    path, base = f"{d}/conversations.parquet", scratch(spark, "screened")
+    prompts = stream.source(spark, path, spark.read.parquet(path).schema).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("prompt_id"), "text")
+    stream.guardrail(prompts, f"{base}/sent", f"{base}/blocked", "prompt_id").awaitTermination()
+    sent, blocked = (spark.read.parquet(f"{base}/{sink}").drop("batch") for sink in ("sent", "blocked"))
+    return sent.unionByName(blocked.drop("risk"), allowMissingColumns=True)
+
+
 def stream_heartbeat(spark, d):
     path = f"{d}/events.parquet"
     return stream.run_to_table(spark, path, spark.read.parquet(path).schema, lambda s: stream.heartbeat(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type"), "stream-heartbeat").withColumn("latest", F.col("latest").cast("timestamp_ntz"))
@@ -71,6 +97,7 @@ def stream_heartbeat(spark, d):
 QUERIES = {
     "etl_clean_orders": clean_orders, "etl_clean_customers": clean_customers, "etl_enriched": enriched, "etl_daily_revenue": daily_revenue, "etl_call_features": call_features, "etl_segments": segments,
     "batch_daily_quality": daily_quality, "stream_daily_quality": stream_daily_quality, "stream_distinct_edges": stream_distinct_edges, "stream_heartbeat": stream_heartbeat,
+    "stream_uniqueness": stream_uniqueness, "stream_silent": stream_silent, "stream_screened": stream_screened,
 }
 
 _CUSTOMERS = "cc AS (SELECT c_custkey AS customer_id, c_name AS customer_name, lower(c_name || '@X.org') AS email, c_mktsegment AS country FROM customer)"
@@ -87,5 +114,10 @@ ORACLE = {
     "batch_daily_quality": _DAILY,
     "stream_daily_quality": _DAILY,
     "stream_distinct_edges": "SELECT DISTINCT event_type AS src, 'u' || (user_id % 20) AS dst, 'READ' AS operation FROM events",
+    "stream_uniqueness": """WITH v AS (SELECT date_trunc('day', ts) AS day, event_type, user_id, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY ALL)
+      SELECT day, event_type, sum(n)::BIGINT AS n_rows, count(*) AS distinct_values, count(*) FILTER (n > 1) AS repeated, round(100.0 * count(*) / sum(n), 6) AS uniqueness FROM v
+      WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""",
+    "stream_silent": """SELECT user_id, max(epoch_us(ts) // 1000) AS latest_ms FROM events GROUP BY user_id
+      HAVING max(epoch_us(ts) // 1000) + 9 * 3600000 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events)""",
     "stream_heartbeat": "SELECT event_type, max(ts) AS latest FROM events GROUP BY event_type",
 }

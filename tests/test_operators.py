@@ -252,7 +252,7 @@ def test_spans_overlap_and_action(spark):
     assert {(r.id, r.entity, r.start) for r in found.collect()} == {(1, "email", 5), (2, "credit_card", 5), (5, "phone_intl", 0), (7, "email", 10), (7, "person_name", 23)}
     got = {r.id: r for r in entities.guardrail(df, "id").collect()}
     assert got[2].action == "block" and got[2].sent is None and got[4].sent == "nothing" and got[3].action == "allow"
-    assert got[7].action == "anonymize" and got[7].sent == "my email: [PII], [PII]"
+    assert got[7].action == "anonymize" and got[7].sent == "my email: [EMAIL], [EMAIL]"
 
 
 def test_confidence_of_entities(spark):
@@ -271,7 +271,7 @@ def test_confidence_of_entities(spark):
 def test_replacing_and_storing(spark):
     df = spark.createDataFrame([(1, "a@b.org wrote to c@d.org"), (2, "none"), (3, None), (4, "at the end x@y.org")], "id long, text string")
     found = entities.spans(df, "id")
-    assert {r.id: r.text for r in entities.replaced(df, found, "id").collect()} == {1: "[PII] wrote to [PII]", 2: "none", 3: None, 4: "at the end [PII]"}
+    assert {r.id: r.text for r in entities.replaced(df, found, "id").collect()} == {1: "[EMAIL] wrote to [EMAIL]", 2: "none", 3: None, 4: "at the end [EMAIL]"}
     key = F.lit("0123456789abcdef")
     sessions, kept = entities.stored(df, found, "id", key)
     assert sessions.count() == 4 and sorted(r.v for r in kept.select(checks.opened(F.col("sealed"), key).alias("v")).collect()) == ["a@b.org", "c@d.org", "x@y.org"]
