@@ -26,6 +26,8 @@ from govlens.llm.common import gone, small_batches, table
 
 DEPTH = 5
 CHUNK_BYTES = 16 << 20
+#: Rows that a chunk has at most on average, for tables of empty texts.
+CHUNK_ROWS = 500_000
 END = 0x0A
 #: Words are cut by this many leading bits of their hash, windows by this many of their latest context bytes.
 WORD_BITS, SPLIT = 10, 3
@@ -421,11 +423,19 @@ def _score_chunk(depth: int, mod: int):
     return run
 
 
+def deal(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
+    """(doc_id, text, chunk) and the number of chunks: rows are numbered once, so that a chunk is bounded whatever ids and texts repeat."""
+    docs = table(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "ctw-rows")
+    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    chunks = max(1, -(-(size or 0) // chunk_bytes), -(-rows // CHUNK_ROWS))
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk")), chunks
+
+
 def score(docs: DataFrame, depth: int = DEPTH, mod: int = 10, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Texts whose crc32(doc_id as text) mod ``mod`` is not 0 are learnt from, all are scored. A null text is empty, and has its
-    end alone; a null doc_id counts as empty text in the crc. base_score is the smoothed unigram score in log10; score the
+    end alone; a null doc_id counts as empty text in the crc. Rows that repeat are learnt from and scored each, and spread over chunks like any others. base_score is the smoothed unigram score in log10; score the
     model's log10 probability of the lower-cased words, one space between them, and the end. A context that training never
     had adds nothing: the mix is then over the depths above. Other columns aren't read. An empty table gives no rows;
     without training texts every byte costs eight bits. ``depth`` is 3 to 7.
@@ -434,10 +444,8 @@ def score(docs: DataFrame, depth: int = DEPTH, mod: int = 10, chunk_bytes: int =
         raise ValueError("a window of context bytes and byte is a number of 64 bits")
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
+    dealt, chunks = deal(docs, chunk_bytes)
+    docs = dealt.select("doc_id", "text")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod == 0
     sent = table(dealt.repartition("chunk").mapInArrow(_emit(depth, mod), "top long, chunk long, keys binary, counts binary"), "ctw-sent")
     runs = -(-chunks // RUN)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlens.llm import text as T
-from govlens.llm.common import small_batches
+from govlens.llm.common import gone, small_batches, table
 
 K1, B = 1.2, 0.75
 #: Share of shingles that a leak holds.
@@ -48,8 +48,21 @@ class Index:
     longest: int
 
 
-def build(ids: list, texts: list[str | None]) -> Index:
-    """An index of items; items without words have no postings. answers: the first word of the last line, if there are more."""
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items: their number, words of one on average and at most, and in how many each term is (of an index's terms at least)."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[int, int]
+
+
+def build(ids: list, texts: list[str | None], known: Statistics | None = None) -> Index:
+    """An index of items, weighted by the statistics of all items, which are these unless given; items without words have no postings.
+
+    answers: the first word of the last line, if there are more.
+    """
     texts = [t or "" for t in texts]
     data, off = T.buffers(pa.array(texts, pa.string()))
     starts, ends, at = T.spans(data, off)
@@ -66,8 +79,10 @@ def build(ids: list, texts: list[str | None]) -> Index:
     term, item = key // max(1, len(words)), key % max(1, len(words))
     length = np.diff(at).astype(float)
     df = np.bincount(term, minlength=len(terms))
-    idf = np.log(1 + (len(words) - df + 0.5) / (df + 0.5))
-    norm = K1 * (1 - B + B * length / max(1.0, length.mean() if len(length) else 1.0))
+    known = known or Statistics(len(words), length.sum() / max(1, len(length)), int(length.max(initial=0)), dict(zip(terms.tolist(), df.tolist(), strict=True)))
+    df = np.array([known.df[t] for t in terms.tolist()], np.int64)
+    idf = np.log(1 + (known.items - df + 0.5) / (df + 0.5))
+    norm = K1 * (1 - B + B * length / max(1.0, known.mean))
     w = idf[term] * tf * (K1 + 1) / (tf + norm[item])
     own = np.bincount(item, w, len(words))
     by_item: list[np.ndarray] = [np.zeros(0)] * len(words)
@@ -105,7 +120,7 @@ def build(ids: list, texts: list[str | None]) -> Index:
         [ids[i] for i in order],
         [words[i] for i in order],
         [answers[i] for i in order],
-        max((len(x) for x in words), default=0),
+        known.longest,
     )
 
 
@@ -211,20 +226,40 @@ def _scan(index: Index):
     return run
 
 
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, number of words and distinct terms of each text."""
+    for b in batches:
+        data, off = T.buffers(b.column("text"))
+        starts, ends, at = T.spans(data, off)
+        h = T.hashes(data, starts, ends)
+        terms = [np.unique(h[a:z]).view(np.int64) for a, z in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(np.diff(at)), pa.array(terms, pa.list_(pa.int64()))], ["part", "words", "terms"])
+
+
 def indexes(items: DataFrame, most: int = INDEX_ITEMS) -> Iterator[Index]:
-    """Indexes of all items, at most ``most`` in each; its ids are (least item_id, items) of a text.
+    """Indexes of all items, about ``most`` in each; its ids are (least item_id, items) of a text.
 
-    Items of equal text are one entry before anything is collected, whatever their number. So about ``most`` texts come to the driver at once.
+    Items of equal text are one entry before anything is collected, whatever their number. So about ``most`` texts come to the driver at once. Where
+    there is more than one index, the statistics of all items are counted first and their terms' frequencies looked up for each, so scores and windows
+    don't depend on how the items are parted.
     """
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.groupBy("text").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n"))
     parts = max(1, -(-rows.count() // max(1, most // 2)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
+    if parts == 1:
+        own = rows.orderBy("item_id", "text").collect()
+        yield build([(r["item_id"], r["n"]) for r in own], [r["text"] for r in own])
+        return
+    rows = table(rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts))), "wand-items")
+    measured = table(rows.select("part", "text").mapInArrow(_measured, "part long, words long, terms array<long>"), "wand-terms")
+    whole = measured.agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.max("words").alias("longest")).first()
+    frequency = table(measured.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "wand-df")
     for part in range(parts):
         own = rows.filter(F.col("part") == part).orderBy("item_id", "text").collect()
-        for i in range(0, max(1, len(own)), most):
-            some = own[i : i + most]
-            yield build([(r["item_id"], r["n"]) for r in some], [r["text"] for r in some])
+        terms = measured.filter(F.col("part") == part).select(F.explode("terms").alias("term")).distinct().join(frequency, "term").collect()
+        df = {r["term"] % 2**64: r["df"] for r in terms}
+        yield build([(r["item_id"], r["n"]) for r in own], [r["text"] for r in own], Statistics(whole["n"], whole["words"] / whole["n"], whole["longest"], df))
+    gone(rows, measured, frequency)
 
 
 def leaks(docs: DataFrame, items: DataFrame, most: int = INDEX_ITEMS) -> DataFrame:
