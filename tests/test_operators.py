@@ -90,7 +90,7 @@ def test_policy_truth_table(spark):
         ("iban", ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"], ["GB82 WEST 1234 5698 7654 33", "XX"]),
         ("ip_address", ["1.2.3.4", "255.255.255.0"], ["256.1.1.1", "01.2.3.4", "1.2.3"]),
         ("email", ["a.b@c.org"], ["a..b@c.org", ".a@c.org", "a@c"]),
-        ("swift_bic", ["DEUTDEFF", "DEUTDEFF500"], ["DEUTXXFF", "deutdeff"]),
+        ("swift_bic", ["DEUTDEFF", "DEUTDEFF500"], ["DEUTXXFF", "CONTINUE"]),
     ],
 )
 def test_check_digits(spark, name, good, bad):
