@@ -36,7 +36,7 @@ _tokenizers: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """(tokenizer, bytes of each id, remembered ids by chunk, pattern of the file's added tokens or None) of this Python worker."""
+    """(tokenizer, bytes of each id, remembered ids by chunk, the file's added tokens) of this Python worker."""
     if path not in _tokenizers:
         import os
 
@@ -52,15 +52,16 @@ def _tokenizer(path: str) -> tuple:
         size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             size[i] = len(token)  # a byte is a character of the token's name
-        _tokenizers[path] = (t, size, {}, re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None)
+        _tokenizers[path] = (t, size, {}, names)
     return _tokenizers[path]
 
 
-def _chunks(text: str, added: re.Pattern | None) -> list[str]:
+def _chunks(text: str, added: list[str]) -> list[str]:
     """Chunks of a text: its added tokens, each by itself, and those of what lies between them."""
-    if added is None or not added.search(text):
+    if not any(name in text for name in added):
         return _CHUNK.findall(text)
-    return [c for i, part in enumerate(added.split(text)) for c in ([part] if i % 2 else _CHUNK.findall(part))]
+    parts = re.split("(" + "|".join(map(re.escape, added)) + ")", text)
+    return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else _CHUNK.findall(part))]
 
 
 def _learn(chunks: list[str], tokenizer, size: np.ndarray, known: dict[str, bytes]) -> None:
