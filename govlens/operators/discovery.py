@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, LongType
 
 from govlens.functions.scratch import table
 
@@ -16,15 +18,25 @@ from govlens.functions.scratch import table
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "de", "do", "e", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
+def _grams(text: str, stop: Sequence[str], bigrams: bool) -> Column:
+    """The words of a text without stop words, as an array, and pairs of neighbours."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[a-z0-9_]{2,}"), F.lit(0)), lambda w: ~w.isin(list(stop)))
+    if not bigrams:
+        return words
+    pair = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.concat(words, F.when(F.size(words) > 1, pair).otherwise(F.array().cast("array<string>")))
+
+
 def terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop: Sequence[str] = STOPWORDS, bigrams: bool = True) -> DataFrame:
     """key, term, tf: words of two ASCII letters or digits and more, lower-cased, without stop words, and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
-    own = docs.select(key, F.filter(words, lambda w: ~w.isin(list(stop))).alias("w"))
-    grams = F.col("w")
-    if bigrams:
-        pair = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        grams = F.concat("w", F.when(F.size("w") > 1, pair).otherwise(F.array().cast("array<string>")))
-    return own.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return docs.select(key, F.explode(_grams(text, stop, bigrams)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def frequencies(docs: DataFrame, n: int, text: str = "text", max_df: float = 0.95) -> DataFrame:
+    """term, df, idf as of ``idf``, straight from texts: each text gives a term once, so nothing is shuffled but sums by term. Rows are documents."""
+    once = docs.select(F.explode(F.array_distinct(_grams(text, STOPWORDS, True))).alias("term"))
+    per = once.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return per.filter(F.col("df") <= n * max_df).withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
 
 
 def idf(tf: DataFrame, n: int | Column, max_df: float = 0.95, key: str = "doc_id") -> DataFrame:
@@ -57,6 +69,49 @@ def candidate_scores(candidates: DataFrame, own: DataFrame, q: str, key: str) ->
     return asked.join(own.select(F.col("id").alias(key), "term", "w"), [key, "term"]).groupBy(q, key).agg(F.sum(F.col("wq") * F.col("w")).alias("lexical"))
 
 
+def _candidates(asked: DataFrame, postings: DataFrame, least: DataFrame, q: str, key: str) -> DataFrame:
+    """q, key of all documents that can score ``least`` (q, least) or more.
+
+    A query's terms are left out, the most frequent first, as long as what they could add together stays below its least score: by the greatest weight of each in any
+    document, or by Cauchy and Schwarz, as documents have length one. A document without any of the other terms can't get there.
+    """
+    order = W.partitionBy(q).orderBy(F.desc("df"), "term").rowsBetween(W.unboundedPreceding, W.currentRow)
+    most = F.least(F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(order)), F.sum(F.col("wq") * F.col("top")).over(order))
+    needed = asked.withColumn("most", most).join(least, q).filter(F.col("most") >= F.col("least") - 1e-6)
+    return needed.select(q, "term").join(postings.select(key, "term"), "term").select(q, key).distinct()
+
+
+def lexical_top(queries: DataFrame, postings: DataFrame, n: int, q: str = "item_id", key: str = "doc_id", min_score: float = 0.0, kinds: DataFrame | None = None, first: float = 0.5) -> DataFrame:
+    """q, key, lexical (and kind) of the n best documents of each query with at least ``min_score``, for each kind if kinds (key, kind) are given; ties by key.
+
+    Documents that can score ``first`` are scored at once. The n-th best of them is a score that others must reach, and those that can are scored
+    then; a query (or kind) that has fewer than n goes by ``min_score``. So frequent terms give candidates only to queries that need them, and no other pair
+    is built. Scores are rounded to 6 digits, as ties are.
+    """
+    postings = table(postings.select(key, "term", "w"), "lexical-postings")
+    queries = table(queries.select(q, "term", F.col("w").alias("wq")), "lexical-queries")
+    impact = postings.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("top"))
+    asked = table(queries.join(impact, "term"), "lexical-asked")
+
+    def scored(least: DataFrame) -> DataFrame:
+        pairs = _candidates(asked, postings, least, q, key)
+        exact = pairs.join(queries, q).join(postings, [key, "term"]).groupBy(q, key).agg(F.round(F.sum(F.col("wq") * F.col("w")), 6).alias("lexical"))
+        return exact.join(kinds, key) if kinds is not None else exact.withColumn("kind", F.lit(None).cast("string"))
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(W.partitionBy(q, "kind").orderBy(F.desc("lexical"), key))).filter(F.col("rank") <= n)
+
+    ids = asked.select(q).distinct()
+    begun = table(scored(ids.withColumn("least", F.lit(max(first, min_score)))), "lexical-begun")
+    full = best(begun).groupBy(q, "kind").agg(F.count(F.lit(1)).alias("n"), F.min("lexical").alias("nth")).filter(F.col("n") == n)
+    # every kind must have its n before a query's bound rises
+    wanted = kinds.select("kind").distinct().count() if kinds is not None else 1
+    bound = full.groupBy(q).agg(F.count(F.lit(1)).alias("kinds"), F.min("nth").alias("nth")).filter(F.col("kinds") == wanted)
+    least = ids.join(bound.select(q, "nth"), q, "left").select(q, F.greatest(F.coalesce("nth", F.lit(0.0)), F.lit(float(min_score))).alias("least"))
+    out = best(scored(table(least, "lexical-least")).filter(F.col("lexical") >= min_score))
+    return out if kinds is not None else out.drop("kind")
+
+
 def search(scored: DataFrame, q: str, key: str, score: str = "lexical", min_score: float = 0.3, n: int = 5) -> DataFrame:
     """The n best of each query with at least ``min_score``, with rank and relevance; ties by key."""
     own = scored.filter(F.col(score) >= min_score).withColumn("rank", F.row_number().over(W.partitionBy(q).orderBy(F.desc(score), key)))
@@ -73,31 +128,134 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def unit(vectors: DataFrame, column: str) -> DataFrame:
-    norm = F.sqrt(dot(F.col(column), F.col(column)))
-    return vectors.withColumn(column, F.when(norm > 0, F.transform(column, lambda x: x / norm)).otherwise(F.transform(column, lambda x: F.lit(0.0))))
+#: Rows of a block of vectors, and bytes of all query blocks up to which they are broadcast.
+BLOCK, BROADCAST = 2_000, 32 << 20
+_DIGITS = 12
+
+
+def _blocks(vectors: DataFrame, key: str, column: str, by: str, size: int = BLOCK) -> DataFrame:
+    """by, keys, dims, matrix: vectors of length one (or none) as blocks of at most ``size`` rows of one value of ``by``, from neighbours of a partition. Null vectors fall away."""
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            group = b.column("by").to_numpy()
+            order = np.argsort(group, kind="stable")
+            cut = np.flatnonzero(np.diff(group[order])) + 1
+            for run_of in np.split(order, cut):
+                for i in range(0, len(run_of), size):
+                    own = pa.array(run_of[i : i + size])
+                    lists = b.column("v").take(own)
+                    m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+                    norm = np.sqrt((m * m).sum(1, keepdims=True))
+                    m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+                    keys = b.column("key").take(own)
+                    yield pa.RecordBatch.from_arrays([pa.array([group[own[0].as_py()]], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), keys), pa.array([m.shape[1]], pa.int32()), pa.array([m.tobytes()], pa.binary())], ["by", "keys", "dims", "matrix"])
+
+    own = vectors.filter(F.col(column).isNotNull()).select(F.col(by).cast("long").alias("by"), F.col(key).alias("key"), F.col(column).alias("v"))
+    return own.mapInArrow(run, f"by long, keys array<{kind}>, dims int, matrix binary")
+
+
+def _products(k: int, hold: int = 500_000):
+    """mapInArrow function over pairs of blocks: each query's k nearest of what a task has seen, by distance (rounded) and key."""
+
+    def least(parts: list[pa.Table]) -> pa.Table:
+        t = pa.concat_tables(parts).sort_by([("q", "ascending"), ("distance", "ascending"), ("key", "ascending")])
+        if not t.num_rows:
+            return t
+        q = t.column("q").combine_chunks()
+        code = q.dictionary_encode().indices.to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        place = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
+        return t.filter(pa.array(place < k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for b in batches:
+            for keys, m, qs, qm, dims in zip(*(b.column(c) for c in ("keys", "matrix", "q_keys", "q_matrix", "dims")), strict=True):
+                d = np.frombuffer(m.as_py()).reshape(-1, dims.as_py())
+                distance = np.round(1 - np.frombuffer(qm.as_py()).reshape(-1, dims.as_py()) @ d.T, _DIGITS)
+                if d.shape[0] > k:
+                    at, of = np.nonzero(distance <= np.partition(distance, k - 1, axis=1)[:, k - 1 : k])
+                else:
+                    at, of = np.nonzero(np.ones(distance.shape, bool))
+                parts.append(pa.table({"q": qs.values.take(pa.array(at)), "key": keys.values.take(pa.array(of)), "distance": distance[at, of]}))
+                held += len(at)
+                if held > hold:
+                    parts = [least(parts)]
+                    held = parts[0].num_rows
+        if parts:
+            yield from least(parts).combine_chunks().to_batches()
+
+    return run
+
 
+def _nearest_of(blocks: DataFrame, asked: DataFrame, k: int, kinds: tuple[str, str]) -> DataFrame:
+    """q, key, distance: the k nearest keys of every query among the blocks that share a value of ``by`` with one of its blocks."""
+    asked = table(asked.select("by", F.col("keys").alias("q_keys"), F.col("matrix").alias("q_matrix")), "query-blocks")
+    size = asked.agg(F.sum(F.octet_length("q_matrix"))).first()[0] or 0
+    pairs = blocks.join(F.broadcast(asked) if size <= BROADCAST else asked, "by")
+    found = pairs.select("keys", "dims", "matrix", "q_keys", "q_matrix").mapInArrow(_products(k), f"q {kinds[0]}, key {kinds[1]}, distance double")
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("distance", "key"))).filter(F.col("rank") <= k)
 
-def nearest(queries: DataFrame, docs: DataFrame, k: int, q: str = "query_id", key: str = "vec_id", column: str = "embedding", keep: Column | None = None, most: int = 100_000) -> DataFrame:
-    """q, key, distance (cosine), rank of the k nearest documents of each query; a filter on documents holds before the cut.
 
-    Queries are broadcast against one pass over the documents; more than ``most`` are split by hash into parts of about so many, one pass and one
-    written table each. Each document's partition keeps its own best k of a query before anything is shuffled.
+def nearest(queries: DataFrame, docs: DataFrame, k: int, q: str = "query_id", key: str = "vec_id", column: str = "embedding", keep: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """q, key, distance (cosine, to 12 digits), rank of the k nearest documents of each query, ties by key; a filter on documents holds before the cut.
+
+    Exact: blocks of documents meet blocks of queries as products of matrices, and a task keeps each query's best k of all it has seen before anything is
+    shuffled. Query blocks are broadcast up to ``BROADCAST`` bytes; more are joined by block. Rows without a vector are passed over.
     """
     if keep is not None:
         docs = docs.filter(keep)
-    parts = -(-queries.count() // most)
-    if parts > 1:
-        part = F.pmod(F.xxhash64(q), F.lit(parts))
-        return reduce(DataFrame.unionByName, [table(_nearest(queries.filter(part == i), docs, k, q, key, column), "nearest") for i in range(parts)])
-    return _nearest(queries, docs, k, q, key, column)
+    kinds = (queries.schema[q].dataType.simpleString(), docs.schema[key].dataType.simpleString())
+    parts = max(1, -(-queries.count() // block))
+    asked = _blocks(queries.withColumn("part", F.pmod(F.xxhash64(q), F.lit(parts))).repartition(min(parts, 200), "part").sortWithinPartitions("part"), q, column, "part", block)
+    own = _blocks(docs.withColumn("part", F.lit(0)), key, column, "part", block)
+    own = own.drop("by").withColumn("by", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return _nearest_of(own, asked, k, kinds).select(F.col("q").alias(q), F.col("key").alias(key), "distance", "rank")
+
+
+def centres(vectors: DataFrame, n: int, key: str = "vec_id", column: str = "embedding", sample: int = 20_000, rounds: int = 8) -> np.ndarray:
+    """n directions by spherical k-means over at most ``sample`` of the vectors, chosen by hash: what the index is fitted on."""
+    some = vectors.filter(F.col(column).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(column).alias("v")).orderBy("h").limit(sample).toPandas()
+    m = np.stack([np.asarray(v, float) for v in some["v"]]) if len(some) else np.zeros((1, 1))
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    c = m[np.linspace(0, len(m) - 1, min(n, len(m))).astype(int)]
+    for _ in range(rounds):
+        own = (m @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, m)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-12), c)
+    return c
+
+
+def _closest(column: str, c: np.ndarray, n: int) -> Column:
+    """The numbers of a vector's n closest centres."""
 
+    @F.pandas_udf(ArrayType(LongType()))
+    def closest(v: pd.Series) -> pd.Series:
+        m = np.stack([np.zeros(c.shape[1]) if x is None else np.asarray(x, float) for x in v])
+        return pd.Series(list(np.argsort(-(m @ c.T), axis=1, kind="stable")[:, :n]))
 
-def _nearest(queries: DataFrame, docs: DataFrame, k: int, q: str, key: str, column: str) -> DataFrame:
-    own = unit(queries.select(F.col(q), F.col(column).alias("qv")), "qv")
-    pairs = unit(docs.select(key, column), column).join(F.broadcast(own)).select(q, key, (1 - dot(F.col("qv"), F.col(column))).alias("distance"), F.spark_partition_id().alias("p"))
-    local = pairs.withColumn("r", F.row_number().over(W.partitionBy(q, "p").orderBy("distance", key))).filter(F.col("r") <= k)
-    return local.withColumn("rank", F.row_number().over(W.partitionBy(q).orderBy("distance", key))).filter(F.col("rank") <= k).select(q, key, "distance", "rank")
+    return closest(F.col(column))
+
+
+def indexed(vectors: DataFrame, c: np.ndarray, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """key, vector and the number of its closest centre, for every row: an inverted file, dealt and ordered by centre so that a very full one is spread."""
+    own = vectors.filter(F.col(column).isNotNull()).select(key, column, F.element_at(_closest(column, c, 1), 1).alias("centre"))
+    return table(own.repartitionByRange("centre", key).sortWithinPartitions("centre"), "vector-index")
+
+
+def nearest_indexed(queries: DataFrame, index: DataFrame, c: np.ndarray, k: int, probes: int, q: str = "query_id", key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """q, key, distance, rank as of ``nearest`` among the rows of each query's ``probes`` closest centres, whose distances are exact.
+
+    Recall grows with probes, and is whole where they are all the centres.
+    """
+    kinds = (queries.schema[q].dataType.simpleString(), index.schema[key].dataType.simpleString())
+    asked = queries.filter(F.col(column).isNotNull()).select(q, column, F.explode(_closest(column, c, probes)).alias("centre"))
+    asked = _blocks(asked.repartitionByRange("centre", q).sortWithinPartitions("centre"), q, column, "centre")
+    return _nearest_of(_blocks(index, key, column, "centre"), asked, k, kinds).select(F.col("q").alias(q), F.col("key").alias(key), "distance", "rank")
 
 
 def importance(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,7 +275,6 @@ def hybrid(candidates: DataFrame, lexical: DataFrame, weight: DataFrame, q: str,
 
 def _greedy(key: str, k: int, limit: float | None, balance: float | None):
     """Selection of one query's candidates (some tens of rows): near copies out, or best of relevance against likeness."""
-    import numpy as np
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank"]).reset_index(drop=True)

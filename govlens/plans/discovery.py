@@ -39,18 +39,27 @@ def lexical(spark, d):
     return _lexical(spark, d).select("item_id", "doc_id", F.round("lexical", 6).alias("lexical"))
 
 
+def _asked(spark, d):
+    """Weights of the items, and of the documents."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    idfs = table(r.frequencies(docs, docs.count()), "discovery-idf")
+    items = r.weights(r.terms(read(spark, d, "benchmark"), key="item_id"), idfs, key="item_id")
+    return items, r.weights(r.terms(docs), idfs)
+
+
 def standards(spark, d):
     """The five best English documents of each item, from a score of 0.3 on."""
+    items, postings = _asked(spark, d)
     english = read(spark, d, "documents").filter("lang = 'en'").select("doc_id")
-    out = r.search(_lexical(spark, d).join(english, "doc_id").withColumn("lexical", F.round("lexical", 6)), "item_id", "doc_id")
-    return out.select("item_id", "doc_id", "lexical", "rank", "relevance")
+    out = r.lexical_top(items, postings.join(english, "doc_id", "left_semi"), 5, min_score=0.3)
+    return out.select("item_id", "doc_id", "lexical", "rank", r.relevance(F.col("lexical")).alias("relevance"))
 
 
 def contexts(spark, d):
-    """The beginnings of the three best documents of each language for every item, as one text."""
+    """The beginnings (80 characters, the feature's own length) of the three best documents of each language for every item, as one text."""
+    items, postings = _asked(spark, d)
     docs = read(spark, d, "documents").select("doc_id", "lang", F.substring("text", 1, 80).alias("text"))
-    scored = _lexical(spark, d).withColumn("lexical", F.round("lexical", 6)).join(docs, "doc_id")
-    best = scored.withColumn("rank", F.row_number().over(W.partitionBy("item_id", "lang").orderBy(F.desc("lexical"), "doc_id")))
+    best = r.lexical_top(items, postings, 3, kinds=docs.select("doc_id", F.col("lang").alias("kind"))).join(docs, "doc_id")
     return contexts_of(best, "item_id", "lang", "text")
 
 
@@ -85,6 +94,13 @@ _NEAR = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DO
   near AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), vec_id) AS rank FROM p)"""
 
 
+def nearest_indexed(spark, d):
+    """The ten nearest by the index of centres: all vectors are in it, two thirds of the centres are probed for each query."""
+    e, asks = _asking(spark, d)
+    c = r.centres(e, 24)
+    return r.nearest_indexed(asks, r.indexed(e, c), c, 10, probes=16).select("query_id", "vec_id", "rank")
+
+
 def importance(spark, d):
     return r.importance(read(spark, d, "documents")).withColumn("importance", F.round("importance", 9))
 
@@ -93,9 +109,12 @@ def _hybrid(spark, d):
     """Candidates of the vector search, with the text scores of the documents under the vectors' ids."""
     e, asks = _asking(spark, d)
     near = table(r.nearest(asks, e, 30), "discovery-near")
-    postings, _ = _weights(spark, d)
     docs = read(spark, d, "documents")
-    lex = r.candidate_scores(near, postings.withColumnRenamed("doc_id", "id"), "query_id", "vec_id")
+    texts = docs.select("doc_id", "text")
+    # frequencies are those of all documents, weights only those of the candidates
+    ids = near.select(F.col("query_id").alias("doc_id")).unionByName(near.select(F.col("vec_id").alias("doc_id"))).distinct()
+    own = r.weights(r.terms(texts.join(ids, "doc_id", "left_semi")), r.frequencies(texts, docs.count()))
+    lex = r.candidate_scores(near, table(own, "discovery-weights").withColumnRenamed("doc_id", "id"), "query_id", "vec_id")
     return table(r.hybrid(near, lex, r.importance(docs).withColumnRenamed("doc_id", "vec_id"), "query_id", "vec_id"), "discovery-hybrid"), e
 
 
@@ -125,7 +144,7 @@ def unindexed(spark, d):
 
 
 QUERIES = {
-    "discovery_idf_terms": idf_terms, "discovery_document_frequencies": document_frequencies, "discovery_lexical": lexical, "discovery_nearest": nearest, "discovery_nearest_filtered": nearest_filtered, "discovery_importance": importance,
+    "discovery_idf_terms": idf_terms, "discovery_document_frequencies": document_frequencies, "discovery_lexical": lexical, "discovery_nearest": nearest, "discovery_nearest_filtered": nearest_filtered, "discovery_nearest_indexed": nearest_indexed, "discovery_importance": importance,
     "discovery_hybrid": hybrid, "discovery_diverse": diverse, "discovery_mmr": mmr, "discovery_upserts": upserts, "discovery_unindexed": unindexed,
     "discovery_standards": standards, "discovery_contexts": contexts,
 }
