@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from govlens.operators import graph
+from govlens.operators import graph, workflow
 from govlens.sources.tables import read
 
 
@@ -165,6 +165,22 @@ def run_events(spark, d):
     return graph.event_edges(ev)
 
 
+def downstream_sizes(spark, d):
+    """How many nodes every node leads to."""
+    return graph.downstream_sizes(dag(spark, d))
+
+
+def failure_risk(spark, d):
+    """Of each kind of node: points of failure, the most that hangs on one, bottlenecks, whether the graph has a cycle, and the risk of all that."""
+    e = dag(spark, d)
+    kind = F.substring_index("id", ":", 1)
+    points = graph.failure_points(e).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("points"), F.max("downstream").alias("most_downstream"))
+    flags = graph.roles(_nodes(e), e).groupBy(kind.alias("kind")).agg(F.count_if("bottleneck").alias("bottlenecks"))
+    cyclic_ = graph.cycle_summary(_nodes(e), e).select("has_cycle")
+    out = flags.join(points, "kind", "left").select("kind", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("most_downstream", F.lit(0)).alias("most_downstream"), "bottlenecks")
+    return out.join(F.broadcast(cyclic_)).withColumn("risk", workflow.graph_risk(F.col("points"), F.col("has_cycle"), F.col("bottlenecks")))
+
+
 def articulation(spark, d):
     return graph.articulation_points(dag(spark, d))
 
@@ -188,6 +204,7 @@ QUERIES = {
     "lineage_strong_components": strong, "lineage_simple_cycles": simple_cycles, "lineage_clustering": clustering, "lineage_distances": distances,
     "lineage_version_diff": versions, "lineage_version_risk": version_risk, "lineage_top_nodes": top_nodes, "lineage_layers": layers, "lineage_run_events": run_events,
     "lineage_articulation_points": articulation, "lineage_betweenness": betweenness, "lineage_communities": communities,
+    "lineage_downstream_sizes": downstream_sizes, "lineage_failure_risk": failure_risk,
     "lineage_independent_paths": independent_paths,
 }
 
@@ -226,6 +243,7 @@ ORACLE = {
     "lineage_components": f"WITH RECURSIVE {_BOTH} SELECT * FROM wc",
     "lineage_component_sizes": f"""WITH RECURSIVE {_BOTH} SELECT component, size, sources, sinks, CASE WHEN sources = 1 AND sinks = 1 THEN 'linear' WHEN sources > 1 AND sinks = 1 THEN 'convergent' WHEN sources = 1 AND sinks > 1 THEN 'divergent' WHEN sources > 1 AND sinks > 1 THEN 'mesh' ELSE 'complex' END AS pattern,
       size > 1 AND component <> (SELECT component FROM cs ORDER BY size DESC, component DESC LIMIT 1) AS silo FROM cs""",
+    "lineage_downstream_sizes": f"WITH RECURSIVE {_DAG}, r AS (SELECT src AS id, dst AS x FROM dag UNION SELECT r.id, dag.dst FROM r JOIN dag ON dag.src = r.x) SELECT dn.id, count(DISTINCT r.x) AS downstream FROM dn LEFT JOIN r ON r.id = dn.id AND r.x <> r.id GROUP BY dn.id",
     "lineage_communities": f"WITH RECURSIVE {_VOTES} SELECT id, lab AS community FROM lb WHERE k = 5",
     "lineage_cycle_cyclic": f"""WITH RECURSIVE {_CYC}, r(a, b) AS (SELECT src, dst FROM cyc UNION SELECT r.a, cyc.dst FROM r JOIN cyc ON cyc.src = r.b), lo AS (SELECT a AS id FROM r WHERE a = b), lf AS (SELECT id FROM lo UNION SELECT b FROM r JOIN lo ON a = id)
       SELECT count(*) > 0 AS has_cycle, count(*) AS nodes_left, CASE WHEN count(*) = 0 THEN 0 END AS longest_path FROM lf""",
