@@ -40,6 +40,20 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def together(*tables: DataFrame) -> DataFrame:
+    """Several tables that ``table`` wrote with one schema, as one scan."""
+    first = tables[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*[t.scratch_path for t in tables])
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text file through Hadoop's file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(text.encode())
+    out.close()
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Deletes scratch paths through Hadoop's file system."""
     for p in paths:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from govlens.functions.scratch import gone, table
+from govlens.functions.scratch import gone, table, together
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -25,18 +25,20 @@ def reach(edges: DataFrame, start: DataFrame, reverse: bool = False, levels: int
     e = distinct_edges(edges).select(*(["dst", "src"] if reverse else ["src", "dst"])).toDF("a", "b")
     e = table(e, "reach-edges")
     frontier = start.select(F.col(start.columns[0]).alias("id")).distinct()
-    seen, hops = None, 0
-    while levels is None or hops < levels:
-        hops += 1
+    fronts: list[DataFrame] = []
+    while levels is None or len(fronts) < levels:
         found = frontier.join(e, frontier["id"] == e["a"]).select(F.col("b").alias("id")).distinct()
-        if seen is not None:
-            found = found.join(seen, "id", "left_anti")
-        found = table(found.withColumn("hops", F.lit(hops)), "reach-front")
+        if fronts:
+            # what was found before is read as it lies, not written anew
+            found = found.join(together(*fronts), "id", "left_anti")
+        found = table(found.withColumn("hops", F.lit(len(fronts) + 1)), "reach-front")
         if found.isEmpty():
             break
-        seen = found if seen is None else table(seen.unionByName(found), "reach-seen")
+        fronts.append(found)
         frontier = found.select("id")
-    return seen if seen is not None else found
+    out = table(together(*fronts) if fronts else found, "reach")
+    gone(e, *fronts, *([] if fronts and found is fronts[-1] else [found]))
+    return out
 
 
 def distances(edges: DataFrame, nodes: DataFrame, center: DataFrame) -> DataFrame:
@@ -133,9 +135,12 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         if free.isEmpty():
             break
         levels = free if levels is None else levels.unionByName(free)
+        before = ids, left
         ids = table(ids.join(free, "id", "left_anti"), "peel-nodes")
         left = table(left.join(free.select(F.col("id").alias("src")), "src", "left_anti"), "peel-edges")
+        gone(*before)
         level += 1
+    gone(ids)
     return (levels if levels is not None else free), left
 
 

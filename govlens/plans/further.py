@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from govlens.functions import checks
-from govlens.functions.scratch import scratch
+from govlens.functions.scratch import put, scratch
 from govlens.operators import classify, graph, links, portfolio, quality, usage, workflow
 from govlens.plans.catalogue import TABLES, _columns
 from govlens.plans.governance import _MODELS, _models
@@ -224,6 +226,31 @@ def graph_risk(spark, d):
     return r.select("kind", "hubs", "bottlenecks", workflow.graph_risk(F.col("hubs"), F.lit(False), F.col("bottlenecks")).alias("risk"))
 
 
+def delta_versions(spark, d):
+    """Orders in a Delta table of three versions, each read back from the log: even keys; odd ones too; even keys only if four divides them."""
+    base, orders = scratch(spark, "delta"), read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    parts = {"even": "o_orderkey % 2 = 0", "odd": "o_orderkey % 2 = 1", "fours": "o_orderkey % 4 = 0"}
+    files = {}
+    for name, keep in parts.items():
+        orders.filter(keep).write.parquet(f"{base}/{name}")
+        files[name] = [f"{name}/{p.rsplit('/', 1)[-1]}" for p in spark.read.parquet(f"{base}/{name}").inputFiles()]
+    add = lambda name: [{"add": {"path": p, "partitionValues": {}}} for p in files[name]]
+    log = [[{"metaData": {"schemaString": orders.schema.json(), "partitionColumns": [], "configuration": {}}}, *add("even")], add("odd"), [*({"remove": {"path": p}} for p in files["even"]), *add("fours")]]
+    for v, actions in enumerate(log):
+        put(spark, f"{base}/_delta_log/{v:020}.json", "\n".join(json.dumps(a) for a in actions))
+    versions = [src.read_delta(spark, base, v).withColumn("version", F.lit(v)) for v in range(len(log))]
+    return versions[0].unionByName(versions[1]).unionByName(versions[2])
+
+
+_BATCH = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+
+
+def batch_outcomes(spark, d):
+    """Rows of all tables, opened as a batch of sources of which one isn't there."""
+    sources = {name: (lambda name=name: read(spark, d, name)) for name in (*_BATCH, "missing")}
+    return src.outcomes(spark, sources, lambda _, df: df.count())
+
+
 def long_chains(spark, d):
     """Chains of orders of a customer, each leading to the next."""
     o = read(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("k"))
@@ -307,7 +334,7 @@ QUERIES = {
     "classify_model_labels": model_labels, "classify_schema_only": schema_only, "classify_sample_tags": sample_tags, "product_mean_value": mean_value, "product_reports": product_reports, "portfolio_defaults": initiative_defaults,
     "discovery_attributes": catalog_attributes, "source_request_history": request_history, "audit_filtered": audit_filtered, "vault_sessions": vault_sessions, "govern_issues": steward_issues, "registry_text_search": registry_text_search,
     "registry_export": registry_export, "registry_dependents": registry_dependents, "govern_change_impact": change_impact, "lineage_activity_metrics": activity_metrics, "lineage_containment": containment, "lineage_inventory": graph_inventory,
-    "lineage_insights": insights, "lineage_recommendations": recommendations, "lineage_export": graph_export, "lineage_risk": graph_risk, "lineage_long_chains": long_chains, "source_schema_comparison": schema_comparison,
+    "lineage_insights": insights, "lineage_recommendations": recommendations, "lineage_export": graph_export, "lineage_risk": graph_risk, "lineage_long_chains": long_chains, "source_delta_versions": delta_versions, "source_batch_outcomes": batch_outcomes, "source_schema_comparison": schema_comparison,
     "source_report_round_trip": report_round_trip, "source_log_appended": log_appended, "catalog_flat_records": flat_records, "entity_person_names": person_names, "portfolio_score_parts": score_parts, "quality_parsed_timestamps": parsed_timestamps,
     "quality_alert_counts": alert_counts, "quality_active_alerts": active_alerts, "usage_merge_heavy": merge_heavy, "source_catalog_names": catalog_names,
 }
@@ -334,6 +361,8 @@ ORACLE = {
     "lineage_risk": f"""WITH {_DAG}, m AS (SELECT avg(out_degree) AS mo FROM dg), k AS (SELECT split_part(id, ':', 1) AS kind, count(*) FILTER (out_degree > 2 * mo) AS hubs, count(*) FILTER (in_degree >= 2 AND out_degree >= 2) AS bottlenecks FROM dg, m GROUP BY 1)
       SELECT *, CASE WHEN 2 * hubs + bottlenecks > 10 THEN 'high' WHEN 2 * hubs + bottlenecks > 5 THEN 'medium' ELSE 'low' END AS risk FROM k""",
     "lineage_long_chains": "SELECT 'o' || lpad(min(o_orderkey)::VARCHAR, 12, '0') AS component, count(*) AS size FROM orders GROUP BY o_custkey HAVING count(*) > 4",
+    "source_delta_versions": "SELECT o_orderkey, o_orderstatus, v AS version FROM orders, (VALUES (0), (1), (2)) t(v) WHERE (v = 0 AND o_orderkey % 2 = 0) OR v = 1 OR (v = 2 AND (o_orderkey % 2 = 1 OR o_orderkey % 4 = 0))",
+    "source_batch_outcomes": " UNION ALL ".join(f"SELECT '{t}' AS source, 'ok' AS status, count(*) AS rows, NULL::VARCHAR AS error FROM {t}" for t in _BATCH) + " UNION ALL SELECT 'missing', 'failed', NULL, 'PATH_NOT_FOUND'",
     "source_schema_comparison": _COMPARED,
     "source_report_round_trip": """SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS column_name, count(*) AS total_rows, 0 AS null_count FROM orders UNION ALL SELECT '*', 6 * count(*), 0 FROM orders""",
     "source_log_appended": "SELECT event_id, event_type FROM events",

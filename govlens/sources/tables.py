@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +65,72 @@ def delta_history(spark: SparkSession, path: str) -> DataFrame:
     return log.select(version.alias("version"), "commitInfo.*").orderBy(F.desc("version"))
 
 
+_ACTIONS = "add struct<path:string,partitionValues:map<string,string>,deletionVector:struct<storageType:string>>, remove struct<path:string>, metaData struct<schemaString:string,partitionColumns:array<string>,configuration:map<string,string>>"
+
+
+def read_delta(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A Delta table as of a version, the latest unless given, by its log: the last whole checkpoint at or before it, and the commits after that.
+
+    Of each file the latest action counts. The log is read and reduced on the executors; the names of the files that are left, and their partitions' values, come to
+    the driver, as any scan's do. Deletion vectors and mapped column names are refused; a version that the log doesn't reach is an error.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_delta_log")
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    commits = {int(n[:20]): n for n in names if re.fullmatch(r"\d{20}\.json", n)}
+    checkpoints: dict[int, list[str]] = {}
+    for n in names:
+        if m := re.fullmatch(r"(\d{20})\.checkpoint(?:\.\d{10}\.(\d{10}))?\.parquet", n):
+            checkpoints.setdefault(int(m[1]), []).append(n)
+    whole = {v: own for v, own in checkpoints.items() if len(own) == int((re.search(r"\.(\d{10})\.parquet$", own[0]) or [0, 1])[1])}
+    last = max([*commits, *whole], default=-1) if version is None else version
+    start = max((v for v in whole if v <= last), default=-1)
+    if last < 0 or any(v not in commits for v in range(start + 1, last + 1)):
+        raise ValueError(f"the log doesn't reach version {last}")
+    parts = []
+    if start >= 0:
+        parts.append(spark.read.schema(_ACTIONS).parquet(*[f"{path}/_delta_log/{n}" for n in whole[start]]).withColumn("version", F.lit(start)))
+    if later := [f"{path}/_delta_log/{commits[v]}" for v in range(start + 1, last + 1)]:
+        number = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("int")
+        parts.append(spark.read.schema(_ACTIONS).json(later).withColumn("version", number))
+    actions = reduce(DataFrame.unionByName, parts)
+    meta = actions.filter("metaData is not null").agg(F.max_by("metaData", "version").alias("m")).first().m
+    if any(k.startswith("delta.columnMapping") and v != "none" for k, v in (meta.configuration or {}).items()):
+        raise ValueError("mapped column names")
+    files = actions.filter("add is not null or remove is not null").select(F.coalesce("add.path", "remove.path").alias("path"), F.struct("version", F.col("add").isNotNull().alias("there")).alias("at"), "add")
+    left = files.groupBy("path").agg(F.max("at").alias("at"), F.max_by("add", "at").alias("add")).filter("at.there").select("path", "add.partitionValues", "add.deletionVector").collect()
+    if any(f.deletionVector for f in left):
+        raise ValueError("deletion vectors")
+    schema, keys = StructType.fromJson(json.loads(meta.schemaString)), list(meta.partitionColumns or [])
+    if not left:
+        return spark.createDataFrame([], schema)
+    full = lambda p: p if re.match(r"[a-z0-9]+:|/", p) else f"{path}/{p}"
+    stored = StructType([f for f in schema.fields if f.name not in keys])
+    rows = spark.read.schema(stored).parquet(*[full(unquote(f.path)) for f in left])
+    if not keys:
+        return rows
+    # a file's values of the partition's columns are those of the log, whatever its folder is called
+    values = spark.createDataFrame([(unquote(f.path).rsplit("/", 1)[-1], *[f.partitionValues.get(k) for k in keys]) for f in left], f"file string, {', '.join(f'`{k}` string' for k in keys)}")
+    values = values.select("file", *[F.col(f"`{k}`").cast(schema[k].dataType).alias(k) for k in keys])
+    return rows.withColumn("file", F.col("_metadata.file_name")).join(F.broadcast(values), "file").select(*schema.names)
+
+
+def outcomes(spark: SparkSession, sources: Mapping[str, Callable[[], DataFrame]], work: Callable[[str, DataFrame], int], threads: int = 8) -> DataFrame:
+    """source, status (ok, failed), rows, error: each source is opened and worked on by itself, some at a time, and one that fails stops none of the others.
+
+    ``work`` gets a source's name and rows, does what is to be done (a write, a count) and gives a number of rows. The error is Spark's error class, or the exception's name.
+    """
+
+    def one(name: str) -> tuple:
+        try:
+            return name, "ok", work(name, sources[name]()), None
+        except Exception as e:
+            return name, "failed", None, (e.getCondition() if isinstance(e, PySparkException) else None) or type(e).__name__
+
+    with ThreadPoolExecutor(threads) as pool:
+        rows = list(pool.map(inheritable_thread_target(spark)(one), sources))
+    return spark.createDataFrame(rows, "source string, status string, rows long, error string")
+
+
 def catalog_names(lines: DataFrame) -> DataFrame:
     """Dotted names of two or three parts found in lines of text."""
     return lines.select(F.explode(F.regexp_extract_all("value", F.lit(r"([A-Za-z0-9_]+\.[A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)?)"), F.lit(1))).alias("name")).distinct()

@@ -1,11 +1,13 @@
 """Communities, cycles of any length and downstream sizes against brute force on small graphs."""
 
 import itertools
+import os
 import random
 from collections import defaultdict
 
 import pytest
 
+from govlens.functions.scratch import shared_dir
 from govlens.operators import graph
 
 
@@ -119,3 +121,17 @@ def test_downstream_sizes_of_many(spark):
     wide = spark.range(20_000).selectExpr("'root' as src", "concat('x', id) as dst").unionByName(spark.createDataFrame([("top", "root")], "src string, dst string"))
     got = {r.id: r.downstream for r in graph.downstream_sizes(wide).filter("id in ('root', 'top', 'x1')").collect()}
     assert abs(got["root"] - 20_000) < 0.05 * 20_000 and abs(got["top"] - 20_001) < 0.05 * 20_000 and got["x1"] == 0
+
+
+def test_loops_leave_their_result_alone(spark):
+    chain = frame(spark, [(f"n{i}", f"n{i + 1}") for i in range(6)])
+    left = lambda: set(os.listdir(shared_dir(spark))) if os.path.isdir(shared_dir(spark)) else set()
+    before = left()
+    found = graph.reach(chain, spark.createDataFrame([("n0",)], "id string"))
+    assert sorted((r.id, r.hops) for r in found.collect()) == [(f"n{i}", i) for i in range(1, 7)] and len(left() - before) == 1
+    assert graph.reach(chain, spark.createDataFrame([("n9",)], "id string")).count() == 0 and len(left() - before) == 2
+    assert {r.id for r in graph.reach(chain, spark.createDataFrame([("n0",)], "id string"), levels=2).collect()} == {"n1", "n2"}
+    before = left()
+    levels, rest = graph.peel(spark.createDataFrame([(f"n{i}",) for i in range(7)], "id string"), chain)
+    assert {(r.id, r.level) for r in levels.collect()} == {(f"n{i}", i) for i in range(7)} and rest.count() == 0
+    assert len(left() - before) == 9  # a table a level, the last, empty one, and the edges that are left
