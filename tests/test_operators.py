@@ -241,7 +241,7 @@ def test_nearest_takes_any_number_of_queries(spark):
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     asks = docs.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
     want = {tuple(r) for r in discovery.nearest(asks, docs, 4).select("query_id", "vec_id", "rank").collect()}
-    got = [tuple(r) for r in discovery.nearest(asks, docs, 4, most=6).select("query_id", "vec_id", "rank").collect()]
+    got = [tuple(r) for r in discovery.nearest(asks, docs, 4, block=6).select("query_id", "vec_id", "rank").collect()]
     assert len(got) == len(want) == 80 and set(got) == want
 
 
