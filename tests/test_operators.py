@@ -252,7 +252,7 @@ def test_spans_overlap_and_action(spark):
     assert {(r.id, r.entity, r.start) for r in found.collect()} == {(1, "email", 5), (2, "credit_card", 5), (5, "phone_intl", 0), (7, "email", 10), (7, "person_name", 23)}
     got = {r.id: r for r in entities.guardrail(df, "id").collect()}
     assert got[2].action == "block" and got[2].sent is None and got[4].sent == "nothing" and got[3].action == "allow"
-    assert got[7].action == "anonymize" and got[7].sent == "my email: [EMAIL], [EMAIL]"
+    assert got[7].action == "anonymize" and got[7].sent == "my email: [EMAIL], [PII]"
 
 
 def test_confidence_of_entities(spark):
