@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from govlens.operators.profile import canonical
+from govlens.operators.quality import missing
 
 # The types that each type may become without breaking readers.
 COMPATIBLE = {
@@ -81,6 +82,20 @@ def drift_summary(found: DataFrame) -> DataFrame:
     return one.withColumn("summary", text)
 
 
+def data_snapshot(df: DataFrame, table: str) -> DataFrame:
+    """table_name, column_name, type, nullable (there are nulls, NaN among them), position; one scan for all columns."""
+    rows = []
+    for i, f in enumerate(df.schema):
+        rows.append(F.struct(F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("type"), (F.col(f"m{i}") > 0).alias("nullable"), F.lit(i).alias("position")))
+    one = df.agg(*[F.count_if(missing(F.col(f"`{f.name}`"), f.dataType, blank=False)).alias(f"m{i}") for i, f in enumerate(df.schema)])
+    return one.select(F.inline(F.array(*rows)))
+
+
+def snapshot_statistics(history: DataFrame) -> DataFrame:
+    """table_name, versions, first and last version, hashes (different ones) of the snapshots kept."""
+    return history.groupBy("table_name").agg(F.count(F.lit(1)).alias("versions"), F.min("version").alias("first_version"), F.max("version").alias("last_version"), F.count_distinct("hash").alias("hashes"))
+
+
 def snapshot_hash(schema: DataFrame) -> DataFrame:
     """table_name and the MD5 of its columns in order of name."""
     entry = F.concat_ws(":", "column_name", "type", F.col("nullable").cast("string"), F.col("position").cast("string"))

@@ -622,3 +622,73 @@ def ranked(df: DataFrame, score: str, key: str) -> DataFrame:
     before = sizes.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))
     own = F.row_number().over(W.partitionBy("range").orderBy(*order))
     return dealt.withColumn("own", own).join(F.broadcast(before), "range").withColumn("rank", F.col("before") + F.col("own")).drop("own", "before", "range")
+
+
+def dominant_types(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """component, size, dominant_type, share: the type that most nodes of a component have (the least name in a tie; null is no type).
+
+    nodes: id, type. Nodes are counted by component and type first, so that a giant component is as many rows as it has types.
+    """
+    per = weak_components(nodes, edges).join(nodes.select("id", "type").distinct(), "id").groupBy("component", "type").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.when(F.col("type").isNotNull(), F.struct((-F.col("n")).alias("m"), F.col("type").alias("t"))))
+    return per.groupBy("component").agg(F.sum("n").alias("size"), best.alias("b")).select("component", "size", F.col("b.t").alias("dominant_type"), (-F.col("b.m") / F.col("size")).alias("share"))
+
+
+def percentile(df: DataFrame, column: str, p: float, accuracy: int = 10000) -> DataFrame:
+    """One row, n and limit: the exact percentile with linear interpolation; limit is null where there are no values.
+
+    A sketch brackets the rank, a second pass counts what lies below and sums up the few values in the bracket, so nothing has to be sorted or held but
+    some 4 / accuracy of the different values. Nulls are no values.
+    """
+    v = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    low, high = max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy)
+    ends = v.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", low, accuracy).alias("lo"), F.percentile_approx("v", high, accuracy).alias("hi"))
+    w = v.join(F.broadcast(ends))
+    # the neighbours of the bracket stand for a rank that lies just outside it, as ranks of small tables may
+    inside = w.filter("v between lo and hi").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    outside = w.agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.max(F.when(F.col("v") < F.col("lo"), F.col("v"))).alias("before"), F.min(F.when(F.col("v") > F.col("hi"), F.col("v"))).alias("after"))
+    run = inside.withColumn("upto", F.sum("c").over(W.orderBy("v")))
+    rank = p * (F.col("n") - 1)
+    at = lambda r: F.min(F.when(F.col("below") + F.col("upto") > r, F.col("v")))
+    both = run.join(F.broadcast(ends.select("n"))).join(F.broadcast(outside))
+    one = both.agg(F.max("n").alias("n"), F.max("below").alias("below"), F.max("before").alias("before"), F.max("after").alias("after"), at(F.floor(rank)).alias("a"), at(F.ceil(rank)).alias("b"))
+    a = F.when(F.floor(rank) < F.col("below"), F.col("before")).otherwise(F.coalesce("a", "after"))
+    b = F.when(F.ceil(rank) < F.col("below"), F.col("before")).otherwise(F.coalesce("b", "after"))
+    return one.select(F.coalesce("n", F.lit(0)).alias("n"), (a + (b - a) * (rank - F.floor(rank))).alias("limit"))
+
+
+def above(df: DataFrame, column: str, p: float) -> DataFrame:
+    """The rows over the column's percentile, which a second column, limit, tells."""
+    return df.join(F.broadcast(percentile(df, column, p).select("limit"))).filter(F.col(column) > F.col("limit"))
+
+
+def dense_spots(nodes: DataFrame, edges: DataFrame, p: float = 0.8, degree: int = 5) -> DataFrame:
+    """id, degree (in and out), coefficient, limit of nodes whose clustering is over the percentile and whose degree is over ``degree``."""
+    found = table(clustering(edges).select("id", F.col("coefficient")), "clustering")
+    per = degrees(nodes, edges).select("id", F.col("degree")).join(found, "id", "left").withColumn("coefficient", F.coalesce("coefficient", F.lit(0.0)))
+    return above(per, "coefficient", p).filter(F.col("degree") > degree)
+
+
+# Words in nodes' names and what they call a component, and its purpose; the first that is found counts.
+TITLES = {
+    "etl": "ETL Pipeline", "transform": "Transformation Layer", "staging": "Staging Area", "raw": "Raw Data Ingestion", "aggregate": "Aggregation Pipeline",
+    "dim": "Dimension Tables", "fact": "Fact Tables", "report": "Reporting Layer", "ml": "ML Pipeline",
+}
+PURPOSES = {
+    "extract": "Data extraction from source systems", "transform": "Data transformation and enrichment", "load": "Data loading into target systems", "validate": "Data quality validation and checks",
+    "aggregate": "Data aggregation and summarization", "join": "Data integration and joining", "filter": "Data filtering and selection", "clean": "Data cleansing and standardization",
+    "enrich": "Data enrichment with additional attributes", "stage": "Data staging for further processing", "archive": "Data archival and historical storage", "report": "Report generation and visualization",
+    "ml": "Machine learning pipeline", "feature": "Feature engineering for ML", "model": "Model training or scoring",
+}
+
+
+def component_titles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """component, size, title (a shared beginning of over three letters, else the first word found, else the size) and purpose; a flag a word, no names gathered."""
+    c = weak_components(nodes, edges)
+    low = F.lower("id")
+    words = list(dict.fromkeys([*TITLES, *PURPOSES]))
+    per = c.groupBy("component").agg(F.count(F.lit(1)).alias("size"), *[F.max(low.contains(w)).alias(f"w_{w}") for w in words])
+    per = per.join(component_names(nodes, edges), "component")
+    first = lambda m: F.coalesce(*[F.when(F.col(f"w_{w}"), F.lit(v)) for w, v in m.items()])
+    shared = F.when((F.col("size") > 1) & (F.length("prefix") > 3), F.concat(F.btrim("prefix", F.lit("_.-")), F.lit(" Component")))
+    return per.select("component", "size", F.coalesce(shared, first(TITLES), F.format_string("Component (%d nodes)", "size")).alias("title"), F.coalesce(first(PURPOSES), F.lit("Data processing and transformation")).alias("purpose"))

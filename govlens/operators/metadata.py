@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from govlens.operators.workflow import grams
+
 # Keyword rules (category, weight, keywords, type hints, tags) and taxonomy weights.
 RULES = (
     (
@@ -60,6 +62,58 @@ def table_levels(classes: DataFrame, tables: DataFrame) -> DataFrame:
     return out.withColumn("level", F.when(F.size("categories") == 0, "LOW").when(has("PHI"), "CRITICAL").when(has("FINANCIAL"), "HIGH").otherwise("MEDIUM"))
 
 
+# Labels, privacy-law categories and controls of categories; classes of access by level.
+LABELS = {"PII": "PII Pessoal", "PHI": "PHI / Saúde", "FINANCIAL": "Financeiro / Pagamento"}
+LAW = {"PII": "pessoal_ordinario", "PHI": "pessoal_sensivel", "FINANCIAL": "pessoal_sensivel"}
+CONTROLS = {
+    "PII": ["mascaramento", "tokenização", "registro de consentimento"],
+    "PHI": ["mascaramento", "tokenização", "registro de consentimento", "acesso mínimo necessário", "trilhas de auditoria"],
+    "FINANCIAL": ["criptografia forte", "segregação de funções", "monitoramento de acesso"],
+}
+CLASSES = {"CRITICAL": "restricted", "HIGH": "restricted", "MEDIUM": "confidential", "LOW": "internal"}
+# What is to be done at each level; a parameter, as laws differ.
+ACTIONS = {
+    "CRITICAL": ["impact assessment", "isolated zone", "approval of new purposes"],
+    "HIGH": ["masking in shared environments", "access audit", "least retention"],
+    "MEDIUM": ["basic access and retention controls", "consent check"],
+    "LOW": ["standard monitoring"],
+}
+
+
+def _chosen(categories: Column, values: dict[str, list[str]]) -> Column:
+    """The values of the categories that are there, each once, in order."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.when(F.array_contains(categories, k), F.array(*map(F.lit, v))).otherwise(none) for k, v in values.items()]))))
+
+
+def column_labels(classes: DataFrame) -> DataFrame:
+    """table_name, column_name, categories, confidence (the greatest score, at most 1), labels, law, risk (high: health, money, or personal from 0.45; else medium)."""
+    per = classes.groupBy("table_name", "column_name").agg(F.sort_array(F.collect_set("category")).alias("categories"), F.least(F.max("score"), F.lit(1.0)).alias("confidence"))
+    one = lambda m: {k: [v] for k, v in m.items()}
+    has = lambda c: F.array_contains("categories", c)
+    risk = F.when(has("PHI") | has("FINANCIAL"), "high").when(has("PII"), F.when(F.col("confidence") >= 0.45, "high").otherwise("medium")).otherwise("none")
+    return per.select("table_name", "column_name", "categories", "confidence", _chosen(F.col("categories"), one(LABELS)).alias("labels"), _chosen(F.col("categories"), one(LAW)).alias("law"), risk.alias("risk"))
+
+
+def table_findings(levels: DataFrame, tables: DataFrame, actions: dict[str, list[str]] = ACTIONS) -> DataFrame:
+    """What ``table_levels`` found with controls, actions, reasons (from the table's description and tags, and its categories), risk and recommended class.
+
+    tables: table_name, description, tags; a table without a row there has neither, nulls are blank.
+    """
+    t = tables.groupBy("table_name").agg(F.lower(F.coalesce(F.max("description"), F.lit(""))).alias("d"), F.transform(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tags", F.array().cast("array<string>"))))), lambda x: F.lower(x)).alias("g"))
+    x = levels.join(t, "table_name", "left").withColumn("d", F.coalesce("d", F.lit(""))).withColumn("g", F.coalesce("g", F.array().cast("array<string>")))
+    said = lambda *words: F.greatest(*[F.col("d").contains(w) for w in words], F.lit(False))
+    tagged = lambda *words: F.greatest(*[F.array_contains("g", w) for w in words], F.lit(False))
+    reasons = F.array_compact(F.array(
+        F.when(said("pii"), "description: PII"), F.when(said("phi", "health"), "description: PHI"), F.when(said("financial", "financeiro"), "description: FINANCIAL"),
+        F.when(tagged("pii"), "tag: pii"), F.when(tagged("phi"), "tag: phi"), F.when(tagged("financial", "pci"), "tag: financial/pci"),
+        F.when(F.size("categories") > 0, F.concat(F.lit("columns: "), F.array_join("categories", ", "))),
+    ))
+    of = lambda m: F.create_map(*[c for k, v in m.items() for c in (F.lit(k), F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v))])[F.col("level")]
+    risk = F.when(F.col("level").isin("CRITICAL", "HIGH"), "high").when(F.col("level") == "MEDIUM", "medium").when(F.size("categories") > 0, "low").otherwise("none")
+    return x.select("table_name", "level", "categories", _chosen(F.col("categories"), CONTROLS).alias("controls"), of(actions).alias("actions"), reasons.alias("reasons"), risk.alias("risk"), of(CLASSES).alias("recommended"))
+
+
 def taxonomy_scores(taxonomies: DataFrame, concepts: DataFrame) -> DataFrame:
     """Eight weighted dimensions, the overall score and the level (1 to 5 at 20, 40, 60, 80) of each taxonomy.
 
@@ -99,12 +153,16 @@ def drafted_rules(columns: DataFrame) -> DataFrame:
 
 
 def inferred_keys(columns: DataFrame) -> DataFrame:
-    """column_name, entity, referenced: columns named x_id, x_key or id_x, and the tables whose names contain x."""
+    """column_name, entity, referenced: columns named x_id, x_key or id_x, and the tables whose names contain x.
+
+    An entity's first letters (three, or all it has) meet the pieces of the tables' names by an equi join; what meets is confirmed.
+    """
     low = F.lower("column_name")
     entity = F.coalesce(*[F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in (r"^(.+)_id$", r"^(.+)_key$", r"^id_(.+)$")])
-    keys = columns.select("column_name", entity.alias("entity")).filter("entity is not null").distinct()
+    keys = columns.select("column_name", entity.alias("entity")).filter("entity is not null").distinct().withColumn("gram", F.substring("entity", 1, 3))
     names = columns.select(F.lower("table_name").alias("referenced")).distinct()
-    return keys.join(names, F.col("referenced").contains(F.col("entity")))
+    pieces = names.select("referenced", F.explode(F.flatten(F.array(*[F.coalesce(grams(F.col("referenced"), n), F.array().cast("array<string>")) for n in (1, 2, 3)]))).alias("gram"))
+    return keys.join(pieces, "gram").filter(F.col("referenced").contains(F.col("entity"))).select("column_name", "entity", "referenced")
 
 
 def rejoined(chunks: DataFrame, key: str, seq: str, text: str) -> DataFrame:
@@ -126,3 +184,18 @@ def changed_state(log: DataFrame, key: str = "model_id") -> DataFrame:
 def text_form(name: Column, kind: Column, comment: Column) -> Column:
     """One line of a column's metadata."""
     return F.concat_ws(" ", name, F.concat(F.lit("("), kind, F.lit(")")), F.when(comment.isNotNull(), F.concat(F.lit("- "), comment)))
+
+
+def flat_records(df: DataFrame, glue: str = ", ") -> DataFrame:
+    """The rows with scalar columns alone: lists of texts joined, other nested values as JSON, nulls blank in texts."""
+    out = []
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if kind == "array<string>":
+            c = F.array_join(F.coalesce(c, F.array().cast(kind)), glue)
+        elif kind.startswith(("array", "map", "struct")):
+            c = F.coalesce(F.to_json(c), F.lit(""))
+        elif kind == "string":
+            c = F.coalesce(c, F.lit(""))
+        out.append(c.alias(f.name))
+    return df.select(*out)

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 # The sampler's value patterns, hints in column names, and domain keywords.
 VALUE_PATTERNS = {
@@ -118,8 +117,9 @@ def domains(columns: DataFrame) -> DataFrame:
 def table_class(profiles: DataFrame, labels: DataFrame) -> DataFrame:
     """Column rows with nullable and the table's class: restricted if any column is personal."""
     joined = profiles.join(labels, "column_name", "left").withColumn("is_pii", F.coalesce("is_pii", F.lit(False)))
-    level = F.when(F.max("is_pii").over(W.partitionBy(F.lit(1))), "restricted").otherwise("internal")
-    return joined.select("column_name", "is_pii", (F.col("null_ratio") > 0).alias("nullable"), level.alias("table_class"))
+    any_ = joined.agg(F.coalesce(F.max("is_pii"), F.lit(False)).alias("personal"))
+    level = F.when(F.col("personal"), "restricted").otherwise("internal")
+    return joined.join(F.broadcast(any_)).select("column_name", "is_pii", (F.col("null_ratio") > 0).alias("nullable"), level.alias("table_class"))
 
 
 def canonical(dtype: T.DataType) -> str:

@@ -56,9 +56,13 @@ def _unpivot(one: DataFrame, rows: Sequence[Column]) -> DataFrame:
 
 def completeness(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.95, blank: bool = True, required: Sequence[str] = ()) -> DataFrame:
     """column_name, total_rows, null_count, completeness, status: a row per column and one, named ``*``, for all cells."""
-    columns = list(columns or df.columns)
+    aggs, rows = _complete(df, list(columns or df.columns), threshold, blank, required)
+    return _unpivot(df.agg(*aggs), rows)
+
+
+def _complete(df: DataFrame, columns: Sequence[str], threshold: float = 0.95, blank: bool = True, required: Sequence[str] = ()) -> tuple[list[Column], list[Column]]:
     kinds = {f.name: f.dataType for f in df.schema}
-    one = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(missing(F.col(c), kinds[c], blank)).alias(f"m{i}") for i, c in enumerate(columns)])
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.count_if(missing(F.col(c), kinds[c], blank)).alias(f"m{i}") for i, c in enumerate(columns)]]
 
     def row(name: str, cells: Column, nulls: Column) -> Column:
         value = F.when(cells > 0, 1 - nulls / cells).otherwise(F.lit(1.0))
@@ -70,7 +74,7 @@ def completeness(df: DataFrame, columns: Sequence[str] | None = None, threshold:
 
     each = [row(c, F.col("n"), F.col(f"m{i}")) for i, c in enumerate(columns)]
     total = sum((F.col(f"m{i}") for i in range(len(columns))), F.lit(0))
-    return _unpivot(one, [*each, row("*", F.col("n") * len(columns), total)])
+    return aggs, [*each, row("*", F.col("n") * len(columns), total)]
 
 
 def worst_columns(metrics: DataFrame, n: int = 5) -> DataFrame:
@@ -121,20 +125,23 @@ def invalid_reason(c: Column, pattern: str | None = None, low: float | None = No
 
 def validity(df: DataFrame, checks: Iterable[tuple[str, dict]], threshold: float = 0.95) -> DataFrame:
     """column_name, checked, valid, validity, status, and counts by reason for each (column, arguments of invalid_reason)."""
-    checks = list(checks)
+    aggs, rows = _valid(list(checks), threshold)
+    return _unpivot(df.agg(*aggs), rows)
+
+
+def _valid(checks: Sequence[tuple[str, dict]], threshold: float = 0.95) -> tuple[list[Column], list[Column]]:
     reasons = ("pattern", "not_numeric", "below_min", "above_max", "not_allowed")
     aggs = []
     for i, (c, how) in enumerate(checks):
         why = invalid_reason(F.col(c), **how)
         aggs += [F.count(c).alias(f"n{i}"), *[F.count_if(why == r).alias(f"r{i}_{r}") for r in reasons]]
-    one = df.agg(*aggs)
     rows = []
     for i, (c, _) in enumerate(checks):
         bad = sum((F.col(f"r{i}_{r}") for r in reasons), F.lit(0))
         good = F.col(f"n{i}") - bad
         value = F.when(F.col(f"n{i}") > 0, good / F.col(f"n{i}")).otherwise(F.lit(1.0))
         rows.append(F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("checked"), good.cast("long").alias("valid"), value.alias("validity"), status(value, threshold, 0.9).alias("status"), *[F.col(f"r{i}_{r}").alias(r) for r in reasons]))
-    return _unpivot(one, rows)
+    return aggs, rows
 
 
 def invalid_samples(df: DataFrame, column: str, key: str, n: int = 10, **how) -> DataFrame:
@@ -178,15 +185,21 @@ def freshness(df: DataFrame, column: str, reference: str, max_age_hours: float =
 
     The score is 1 up to the SLA, falls to 0 at twice the SLA, and just beyond stands at half, falling to 0 at four times.
     """
+    aggs, row = _fresh(column, reference, max_age_hours, sla_hours, threshold)
+    return df.agg(*aggs).select(row.alias("r")).select("r.*")
+
+
+def _fresh(column: str, reference: str, max_age_hours: float = 24, sla_hours: float | None = None, threshold: float = 0.9) -> tuple[list[Column], Column]:
     sla = float(sla_hours or max_age_hours)
     now = F.lit(reference).cast("timestamp")
     hours = lambda c: (F.unix_micros(now) - F.unix_micros(c)) / 3.6e9
     ts = F.col(column).cast("timestamp")
-    one = df.agg(F.count(ts).alias("rows"), F.max(ts).alias("latest"), F.min(ts).alias("oldest"), F.count_if(hours(ts) > max_age_hours).alias("stale"))
+    aggs = [F.count(ts).alias("rows"), F.max(ts).alias("latest"), F.min(ts).alias("oldest"), F.count_if(hours(ts) > max_age_hours).alias("stale")]
     age = hours(F.col("latest"))
     score = F.when(age <= sla, 1.0).when(age <= 2 * sla, 1 - (age - sla) / sla).otherwise(F.greatest(F.lit(0.0), 1 - age / (4 * sla)))
     state = F.when(F.col("latest").isNull(), "skipped").when((age <= sla) & (score >= threshold), "passed").when(age <= 1.5 * sla, "warning").otherwise("failed")
-    return one.select("rows", "latest", "oldest", age.alias("age_hours"), F.when(age.isNotNull(), score).alias("freshness"), (age <= sla).alias("sla_met"), F.when(F.col("rows") > 0, F.col("stale") / F.col("rows")).alias("stale_share"), state.alias("status"))
+    stale = F.when(F.col("rows") > 0, F.col("stale") / F.col("rows"))
+    return aggs, F.struct(F.col("rows"), F.col("latest"), F.col("oldest"), age.alias("age_hours"), F.when(age.isNotNull(), score).alias("freshness"), (age <= sla).alias("sla_met"), stale.alias("stale_share"), state.alias("status"))
 
 
 METRIC = "dimension string, column_name string, value double, threshold double, status string"
@@ -258,3 +271,34 @@ def default_rules(columns: DataFrame) -> DataFrame:
 def active_alerts(found: DataFrame, acknowledged: DataFrame, level: str | None = None) -> DataFrame:
     out = found.join(acknowledged.select("rule").distinct(), "rule", "left_anti")
     return out.filter(F.col("level") == level) if level else out
+
+
+def evaluate(df: DataFrame, columns: Sequence[str] | None = None, unique: str | None = None, checks: Iterable[tuple[str, dict]] = (), fresh: dict | None = None, references: Sequence[tuple[str, DataFrame, str]] = ()) -> DataFrame:
+    """Metric rows (METRIC) of all dimensions that are asked for, from one scan of the table.
+
+    Completeness, validity, freshness and the different values of one column are a single aggregate: with one distinct count, values are summed up where they
+    lie before they move. References need a join: the distinct values of their column alone, in a scan of that column.
+    ``fresh``: arguments of freshness; references: (column, parent, key).
+    """
+    checks = list(checks)
+    aggs, rows = _complete(df, list(columns or df.columns))
+    metric = lambda dim, col, value, limit, state: F.struct(F.lit(dim).alias("dimension"), col.alias("column_name"), value.cast("double").alias("value"), F.lit(float(limit)).alias("threshold"), state.alias("status"))
+    out = [metric("completeness", r["column_name"], r["completeness"], 0.95, r["status"]) for r in rows]
+    if unique is not None:
+        aggs.append(F.count_distinct(F.col(unique)).alias("different"))
+        share = F.when(F.col("n") > 0, F.col("different") / F.col("n")).otherwise(F.lit(1.0))
+        out.append(metric("uniqueness", F.lit(unique), share, 1.0, status(share, 1.0, 0.95)))
+    if checks:
+        more, rows = _valid(checks)
+        # the aggregates of validity are named apart from those of completeness
+        aggs += more
+        out += [metric("validity", r["column_name"], r["validity"], 0.95, r["status"]) for r in rows]
+    if fresh is not None:
+        more, row = _fresh(**fresh)
+        aggs += more
+        out.append(metric("freshness", F.lit(fresh["column"]), F.round(row["freshness"], 6), fresh.get("threshold", 0.9), row["status"]))
+    found = _unpivot(df.agg(*aggs), out)
+    for column, parent, key in references:
+        ref = referential(df, column, parent, key)
+        found = found.unionByName(ref.select(F.lit("consistency").alias("dimension"), F.lit(column).alias("column_name"), F.col("consistency").cast("double").alias("value"), F.lit(1.0).alias("threshold"), status(F.col("consistency"), 1.0, 0.9).alias("status")))
+    return found

@@ -36,12 +36,26 @@ def law_classes(categories: Column) -> Column:
 
 
 def term_conflicts(new: DataFrame, known: DataFrame) -> DataFrame:
-    """term, known_term, kind: exact (deprecated terms don't count) by an equi join, containment (over three letters) by a theta join with the glossary."""
+    """term, known_term, kind: exact (deprecated terms don't count) or containment either way (over three letters), by equi joins.
+
+    A term that lies in another begins at one of its places, so the first four letters of the shorter meet the four letters at every place
+    of the longer; what meets is confirmed on the whole terms. Null terms have no conflicts.
+    """
     a = new.select("term", F.lower(F.trim("term")).alias("x")).distinct()
     b = known.select(F.col("term").alias("known_term"), F.lower(F.trim("term")).alias("y"), "deprecated").distinct()
     exact = a.join(b.filter("not deprecated"), F.col("x") == F.col("y")).select("term", "known_term", F.lit("exact").alias("kind"))
-    part = a.join(b, (F.col("x") != F.col("y")) & (F.least(F.length("x"), F.length("y")) > 3) & (F.col("x").contains(F.col("y")) | F.col("y").contains(F.col("x"))))
-    return exact.unionByName(part.select("term", "known_term", F.lit("contains").alias("kind")))
+    first = lambda t, c: t.filter(F.length(c) > 3).withColumn("gram", F.substring(c, 1, 4))
+    every = lambda t, c: t.filter(F.length(c) > 3).withColumn("gram", F.explode(grams(F.col(c), 4)))
+    longer = every(a, "x").join(first(b, "y"), "gram").filter(F.col("x").contains(F.col("y")))
+    shorter = first(a, "x").join(every(b, "y"), "gram").filter(F.col("y").contains(F.col("x")))
+    part = longer.unionByName(shorter).filter("x <> y").select("term", "known_term", "deprecated", F.lit("contains").alias("kind")).distinct()
+    return exact.unionByName(part.select("term", "known_term", "kind"))
+
+
+def grams(c: Column, n: int) -> Column:
+    """The distinct pieces of n letters of a text; none where it is shorter or null."""
+    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - (n - 1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(n))))
 
 
 def impacted_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
@@ -106,6 +120,41 @@ def task_flags(tasks: DataFrame) -> DataFrame:
     )
 
 
+# Parts of operator types and of task names that tell what a task does.
+TASK_SIGNS = {
+    "extracts": (["extract"], ["S3", "GCS", "SFTP", "Http"]),
+    "transforms": (["transform"], ["Spark", "Python"]),
+    "loads": (["load"], ["BigQuery", "Redshift", "Postgres"]),
+    "checks": (["check", "validate", "quality", "test"], []),
+    "notifies": ([], ["Email", "Slack", "SNS", "Webhook"]),
+    "senses": ([], ["Sensor"]),
+    "branches": ([], ["Branch"]),
+}
+
+
+def task_patterns(tasks: DataFrame) -> DataFrame:
+    """dag, etl (all three steps), and how many of its tasks check, notify, sense, branch, retry and wait for another dag, with those dags.
+
+    tasks: dag, task, operator, retries, external_dag. One grouping; a dag's tasks are summed before they move.
+    """
+    n = F.lower("task")
+
+    def is_(kind: str) -> Column:
+        names, types = TASK_SIGNS[kind]
+        hits = [n.contains(w) for w in names] + [F.col("operator").contains(w) for w in types]
+        out = F.lit(False)
+        for h in hits:
+            out = out | F.coalesce(h, F.lit(False))
+        return out
+
+    cross = F.col("operator") == "ExternalTaskSensor"
+    count = lambda c, name: F.count_if(c).alias(name)
+    return tasks.groupBy("dag").agg(
+        (F.max(is_("extracts")) & F.max(is_("transforms")) & F.max(is_("loads"))).alias("etl"), count(is_("checks"), "checks"), count(is_("notifies"), "notifies"), count(is_("senses"), "sensors"),
+        count(is_("branches"), "branches"), count(F.col("retries") > 0, "retries"), count(cross, "cross_dag"), F.sort_array(F.collect_set(F.when(cross, F.col("external_dag")))).alias("waits_for"),
+    )
+
+
 def task_edges(tasks: DataFrame) -> DataFrame:
     """src, dst, kind of tasks with inputs, outputs and dependencies."""
     parts = [("depends_on", "dependency", True), ("inputs", "input", True), ("outputs", "output", False)]

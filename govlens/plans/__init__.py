@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from govlens.plans import catalogue, discovery, entities, extras, further, governance, jobs, lineage, quality, value, workflow
+from govlens.plans import catalogue, discovery, entities, extras, findings, further, governance, jobs, lineage, quality, value, workflow
 
-REGISTRIES: list = [(m.QUERIES, m.ORACLE) for m in (quality, catalogue, lineage, value, governance, discovery, entities, jobs, extras, workflow, further)]
+REGISTRIES: list = [(m.QUERIES, m.ORACLE) for m in (quality, catalogue, lineage, value, governance, discovery, entities, jobs, extras, workflow, further, findings)]

@@ -121,17 +121,10 @@ _FRESHNESS = """WITH a AS (SELECT count(ts) AS rows, max(ts) AS latest, min(ts)
 
 def quality_report(spark, d):
     """Metric rows of orders: completeness, uniqueness, validity, freshness, references."""
-    orders = read(spark, d, "orders")
-    ref = q.referential(orders, "o_custkey", read(spark, d, "customer"), "c_custkey").withColumn("status", q.status(F.col("consistency"), 1.0, 0.9))
-    return q.report(
-        [
-            q.as_metric(q.completeness(orders), "completeness", None, "completeness", 0.95),
-            q.as_metric(q.uniqueness(orders, column="o_orderkey"), "uniqueness", "o_orderkey", "uniqueness", 1.0),
-            q.as_metric(q.validity(orders, [("o_orderstatus", {"allowed": ["F", "O", "P"]})]), "validity", None, "validity", 0.95),
-            q.as_metric(ref, "consistency", "o_custkey", "consistency", 1.0),
-            q.as_metric(q.freshness(orders, "o_orderdate", "1998-08-02 00:00:00", 24, 72), "freshness", "o_orderdate", "freshness", 0.9).withColumn("value", F.round("value", 6)),
-        ]
-    )
+    return q.evaluate(
+        read(spark, d, "orders"), unique="o_orderkey", checks=[("o_orderstatus", {"allowed": ["F", "O", "P"]})], references=[("o_custkey", read(spark, d, "customer"), "c_custkey")],
+        fresh={"column": "o_orderdate", "reference": "1998-08-02 00:00:00", "max_age_hours": 24, "sla_hours": 72},
+    )
 
 
 _REPORT = """WITH m AS (

@@ -160,5 +160,7 @@ def catalog_columns(spark: SparkSession, database: str | None = None) -> DataFra
 
 def write_report(df: DataFrame, path: str, kind: str = "json", mode: str = "overwrite") -> DataFrame:
     """A report written as json, csv, parquet or orc (``append`` for logs), as it reads back."""
-    df.write.mode(mode).format(kind).save(path)
-    return df.sparkSession.read.schema(df.schema).format(kind).load(path)
+    # text forms keep milliseconds alone unless told otherwise
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"} if kind in ("json", "csv") else {}
+    df.write.mode(mode).format(kind).options(**exact).save(path)
+    return df.sparkSession.read.schema(df.schema).format(kind).options(**exact).load(path)
