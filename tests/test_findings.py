@@ -1,0 +1,96 @@
+"""Cuts, matches and findings against plain computations, with ties, nulls and empty tables."""
+
+import random
+
+import numpy as np
+import pytest
+
+from govlens.operators import drift, graph, metadata, quality, workflow
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [0.0] * 90 + [1.0] * 10, [5.0] * 7, list(range(11)), "random"])
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.8, 0.9, 1.0])
+def test_percentile_is_numpys(spark, values, p):
+    rng = random.Random(3)
+    values = [float(rng.choice([0, 0, rng.random() * 100])) for _ in range(3000)] if values == "random" else [float(v) for v in values]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(4)
+    # a coarse sketch, so that the bracket and its neighbours matter
+    for accuracy in (50, 10000):
+        n, limit = graph.percentile(df, "x", p, accuracy).first()
+        assert n == len(values)
+        assert limit == pytest.approx(np.percentile(values, p * 100), abs=1e-9)
+
+
+def test_percentile_of_nothing(spark):
+    df = spark.createDataFrame([(None,)], "x double")
+    assert graph.percentile(df, "x", 0.9).first()["limit"] is None
+    assert graph.above(df, "x", 0.9).count() == 0
+
+
+def test_term_conflicts_are_those_of_all_pairs(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abA ") for _ in range(rng.randint(0, 8)))
+    new, known = [word() for _ in range(80)], [(word(), rng.random() < 0.3) for _ in range(80)]
+    got = workflow.term_conflicts(spark.createDataFrame([(w,) for w in new] + [(None,)], "term string"), spark.createDataFrame(known + [(None, False)], "term string, deprecated boolean"))
+    want = set()
+    for t in new:
+        for k, old in known:
+            x, y = t.strip(" ").lower(), k.strip(" ").lower()
+            if x == y and not old:
+                want.add((t, k, "exact"))
+            if x != y and min(len(x), len(y)) > 3 and (x in y or y in x):
+                want.add((t, k, "contains"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_inferred_keys_are_those_of_all_pairs(spark):
+    rng = random.Random(2)
+    part = lambda n: "".join(rng.choice("ab_") for _ in range(rng.randint(1, n)))
+    columns = [(part(9), rng.choice(["id_" + part(4), part(5) + "_id", part(3) + "_KEY", part(4)])) for _ in range(60)]
+    got = {tuple(r) for r in metadata.inferred_keys(spark.createDataFrame(columns, "table_name string, column_name string")).collect()}
+    want = set()
+    for _, c in columns:
+        low = c.lower()
+        entity = low[:-3] if low.endswith("_id") and len(low) > 3 else low[:-4] if low.endswith("_key") and len(low) > 4 else low[3:] if low.startswith("id_") and len(low) > 3 else None
+        want |= {(c, entity, t) for t, _ in columns if entity and entity in t}
+    assert got == want
+
+
+def test_evaluate_reads_rows_once_and_takes_an_empty_table(spark):
+    schema = "k int, s string, t timestamp"
+    how = dict(unique="k", checks=[("s", {"allowed": ["a"]})], fresh={"column": "t", "reference": "2024-01-01 00:00:00"})
+    empty = {(r["dimension"], r["column_name"]): (r["value"], r["status"]) for r in quality.evaluate(spark.createDataFrame([], schema), **how).collect()}
+    assert empty["completeness", "*"] == (1.0, "passed") and empty["uniqueness", "k"] == (1.0, "passed") and empty["freshness", "t"] == (None, "skipped")
+    df = spark.createDataFrame([(1, "a", None), (1, " ", None), (None, "b", None)], schema)
+    got = {(r["dimension"], r["column_name"]): r["value"] for r in quality.evaluate(df, **how, references=[("k", df.limit(1), "k")]).collect()}
+    assert got["completeness", "k"] == pytest.approx(2 / 3) and got["uniqueness", "k"] == pytest.approx(1 / 3) and got["validity", "s"] == pytest.approx(1 / 3) and got["consistency", "k"] == 1.0
+
+
+def test_evaluate_without_references_has_one_scan(spark, tmp_path):
+    spark.range(50).selectExpr("id AS k", "string(id % 3) AS s").write.parquet(str(tmp_path / "t"))
+    plan = quality.evaluate(spark.read.parquet(str(tmp_path / "t")), unique="k", checks=[("s", {"allowed": ["0"]})])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+
+
+def test_titles_and_types(spark):
+    nodes = spark.createDataFrame([("sales_a", "t"), ("sales_b", "u"), ("Raw x", "t"), ("z", None), ("lone", None)], "id string, type string")
+    edges = spark.createDataFrame([("sales_a", "sales_b"), ("Raw x", "z")], "src string, dst string")
+    titles = {r["component"]: (r["size"], r["title"]) for r in graph.component_titles(nodes, edges).collect()}
+    assert titles == {"sales_a": (2, "sales Component"), "Raw x": (2, "Raw Data Ingestion"), "lone": (1, "Component (1 nodes)")}
+    types = {r["component"]: (r["dominant_type"], r["share"]) for r in graph.dominant_types(nodes, edges).collect()}
+    assert types == {"sales_a": ("t", 0.5), "Raw x": ("t", 0.5), "lone": (None, None)}
+
+
+def test_findings_of_tables_without_notes(spark):
+    levels = spark.createDataFrame([("a", ["FINANCIAL", "PII"], "HIGH"), ("b", [], "LOW")], "table_name string, categories array<string>, level string")
+    notes = spark.createDataFrame([("a", None, None), ("a", "Dados de HEALTH", ["PCI", None])], "table_name string, description string, tags array<string>")
+    got = {r["table_name"]: r for r in metadata.table_findings(levels, notes).collect()}
+    assert got["a"]["recommended"] == "restricted" and got["a"]["risk"] == "high" and got["a"]["reasons"] == ["description: PHI", "tag: financial/pci", "columns: FINANCIAL, PII"]
+    assert got["a"]["controls"] == sorted({*metadata.CONTROLS["PII"], *metadata.CONTROLS["FINANCIAL"]})
+    assert got["b"]["reasons"] == [] and got["b"]["controls"] == [] and got["b"]["recommended"] == "internal" and got["b"]["risk"] == "none"
+
+
+def test_snapshot_and_records(spark):
+    df = spark.createDataFrame([(1, float("nan"), None, [1]), (2, 1.0, "x", None)], "a int, b double, c string, d array<int>")
+    assert [(r["column_name"], r["nullable"]) for r in drift.data_snapshot(df, "t").orderBy("position").collect()] == [("a", False), ("b", True), ("c", True), ("d", True)]
+    assert sorted(tuple(r) for r in metadata.flat_records(df.select("a", "c", "d")).collect()) == [(1, "", "[1]"), (2, "x", "")]
