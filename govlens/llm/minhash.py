@@ -34,6 +34,8 @@ BLOCK = 256
 LIKELY = 0.6
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+# parts that the rows of one component are dealt to where they meet a value of it
+SALTS = 256
 
 _STEP = np.uint64(0x9E3779B1)
 
@@ -249,12 +251,22 @@ def _components_of(nodes: DataFrame, labels: DataFrame, name: str = "node", comp
     return nodes.join(known, name, "left").withColumn(comp, F.coalesce(comp, name))
 
 
+def _onto(rows: DataFrame, node: str, values: DataFrame) -> DataFrame:
+    """values, one row a component, joined to rows on component. A component may hold a third of all rows, so they are salted by node, and only
+    the (component, salt) that occur get the component's row."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(node), F.lit(SALTS)))
+    places = salted.select("component", "salt").distinct().join(values, "component")
+    return salted.join(places, ["component", "salt"]).drop("salt")
+
+
 def _contracted(labels: DataFrame, more: DataFrame) -> DataFrame:
     """Labels after further links: components of components, which are few, put in place of them."""
     ends = _components_of(_components_of(more, labels, "a", "ca"), labels, "b", "cb").select("ca", "cb").filter("ca <> cb")
     above = table(components(ends, "ca", "cb").withColumnRenamed("component", "top"), "near-tops")
     fresh = above.join(labels.select(F.col("component").alias("id")).distinct(), "id", "left_anti").select("id", F.col("top").alias("component"))
-    inner = labels.join(above.withColumnRenamed("id", "component"), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    # every component gets its top, itself where nothing joins it, before the nodes do
+    tops = labels.select("component").distinct().join(above.withColumnRenamed("id", "component"), "component", "left").select("component", F.coalesce("top", "component").alias("top"))
+    inner = _onto(labels, "id", tops).select("id", F.col("top").alias("component"))
     return inner.unionByName(fresh)
 
 
@@ -314,7 +326,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
         labels = labels if more.isEmpty() else _contracted(labels, more)
     gone(met)
     least = nodes.join(labels.withColumnRenamed("id", "node"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = table(labels.withColumnRenamed("id", "node").join(least, "component").select("node", "component_id"), "near-labels")
+    of_node = table(_onto(labels.withColumnRenamed("id", "node"), "node", least).select("node", "component_id"), "near-labels")
     out = rows.select("doc_id", "n_shingles", "node").join(nodes.select("node", "least"), "node", "left").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
