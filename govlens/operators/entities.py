@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql.types import StringType
 
 from govlens.functions import checks
 from govlens.functions.entity_table import ENTITIES, KEYWORDS, NEGATIONS, Entity
-from govlens.functions.gates import Gate, Scanner, gate
+from govlens.functions.gates import LONG, Gate, Scanner, gate
 from govlens.functions.scratch import table
 
 #: (name, category, pattern, priority) of all entities, for whoever counts or replaces by single patterns.
@@ -46,11 +47,22 @@ def selected(locales: Sequence[str] | None = None, custom: Sequence[Entity] = ()
 
 
 def pattern_counts(docs: DataFrame, key: Sequence[str], text: str = "text", terms: Sequence[str] = ()) -> DataFrame:
-    """key, pattern, n of every pattern and whole-word term that a text has."""
+    """key, pattern, n of every pattern and whole-word term that a text has; a pattern runs only on texts that have what its gate needs."""
     all_ = [(n, p) for n, _, p, _ in PATTERNS] + [(f"term:{t}", rf"(?i)\b{t}\b") for t in terms]
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = [F.struct(F.lit(n).alias("pattern"), F.regexp_count(body, F.lit(p)).alias("n")) for n, p in all_]
-    return docs.select(*key, F.inline(F.array(*rows))).filter("n > 0")
+    texts = docs.select(*key, body.alias("_body"), F.lower(body).alias("_low"), body.rlike("[0-9*]").alias("_digits"), body.rlike(rf"\S{{{LONG}}}").alias("_long"))
+
+    def passes(pattern: str) -> Column:
+        needs = gate(pattern, re.IGNORECASE).needs
+        if isinstance(needs, str):
+            return F.col(f"_{needs}")
+        # letters beyond ASCII fold otherwise in Python than in Spark
+        if not needs or not all(w.isascii() for w in needs):
+            return F.lit(True)
+        return reduce(lambda x, y: x | y, [F.contains("_low", F.lit(w)) for w in sorted(needs)])
+
+    rows = [F.struct(F.lit(n).alias("pattern"), F.when(passes(p), F.regexp_count("_body", F.lit(p))).otherwise(F.lit(0)).alias("n")) for n, p in all_]
+    return texts.select(*key, F.inline(F.array(*rows))).filter("n > 0")
 
 
 def _support(name: str, category: str, value: str, around: str, boost: float, against: list[re.Pattern]) -> float:
