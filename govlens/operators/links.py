@@ -123,13 +123,14 @@ def log_rows(log: DataFrame, key: str, equal: dict[str, Sequence] | None = None,
     return log.orderBy(F.desc("ts"), key).offset(offset).limit(limit)
 
 
-def search_models(models: DataFrame, text: str, columns: Sequence[str] = ("name", "purpose", "description"), limit: int = 50) -> DataFrame:
-    """Models that have the text, whatever its case, in one of the columns or tags; the first by model_id."""
+def search_models(models: DataFrame, text: str, columns: Sequence[str] = ("name", "purpose", "description"), limit: int | None = 50) -> DataFrame:
+    """Models that have the text, whatever its case, in one of the columns or tags; the first by model_id, or all without a limit."""
     low = text.lower()
     hit = F.exists("tags", lambda t: F.lower(t).contains(low))
     for c in columns:
         hit = hit | F.coalesce(F.lower(c).contains(low), F.lit(False))
-    return models.filter(hit).orderBy("model_id").limit(limit)
+    found = models.filter(hit)
+    return found if limit is None else found.orderBy("model_id").limit(limit)
 
 
 def model_impact(dependencies: DataFrame, models: DataFrame, changed: DataFrame) -> DataFrame:
