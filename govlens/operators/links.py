@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from govlens.functions.scratch import table
 from govlens.operators import classify, graph
@@ -202,15 +203,14 @@ def activity_metrics(activities: DataFrame, edges: DataFrame) -> DataFrame:
 
 def graph_inventory(nodes: DataFrame, edges: DataFrame, neighbours: int = 3) -> DataFrame:
     """id, kind, in_degree, out_degree, inputs, outputs (the first ones in order) of busy nodes; the kind stands before the colon."""
-    d = graph.degrees(nodes, edges).filter("in_degree > 5 or out_degree > 5")
-    e = graph.distinct_edges(edges)
+    e = table(graph.distinct_edges(edges), "inventory-edges")
+    d = table(graph.degrees(nodes, e).filter("in_degree > 5 or out_degree > 5"), "inventory-busy")
+
     def some(at: str, other: str, name: str) -> DataFrame:
-        # the least neighbours only, so that no list grows with a node's degree
-        ranked = e.join(d.select(F.col("id").alias(at)), at, "left_semi").groupBy(at).agg(F.min(other).alias("a")).select(F.col(at).alias("id"), "a")
-        near = e.withColumnRenamed(at, "id").join(ranked, "id")
-        second = near.filter(F.col(other) > F.col("a")).groupBy("id").agg(F.min(other).alias("b"))
-        third = near.join(second, "id").filter(F.col(other) > F.col("b")).groupBy("id").agg(F.min(other).alias("c"))
-        return ranked.join(second, "id", "left").join(third, "id", "left").select("id", F.slice(F.array_compact(F.array("a", "b", "c")), 1, neighbours).alias(name))
+        # each task hands on its least neighbours of a node only, so that neither a list nor a shuffle grows with a node's degree
+        order = F.row_number().over(W.partitionBy(at).orderBy(other))
+        least = e.filter(F.col(other).isNotNull()).withColumn("rank", order).filter(F.col("rank") <= neighbours)
+        return least.groupBy(F.col(at).alias("id")).agg(F.sort_array(F.collect_list(other)).alias(name))
 
     out = d.join(some("dst", "src", "inputs"), "id", "left").join(some("src", "dst", "outputs"), "id", "left")
     none = F.array().cast("array<string>")
