@@ -165,17 +165,37 @@ def teams_of(name: Column) -> Column:
     return F.array_compact(F.array(*[F.when(_any(low, words), team) for team, words in TEAMS.items()]))
 
 
+def rules_per_change(changes: DataFrame, rules: DataFrame) -> DataFrame:
+    """change, rules: how many different rules a change's datasets and attributes have, where there are any.
+
+    Rules are counted by dataset, by attribute and by both before changes meet them, so no pair of a change and a rule is built: the rules of either are those of
+    one and of the other less those of both. A change of several rows, for which this sum doesn't hold, meets its rules one by one.
+    """
+    r = table(rules.select("rule", "dataset", "attribute").distinct(), "impact-rules")
+    c = table(changes.select("change", "dataset", "attribute").distinct(), "impact-changes")
+    by = [r.select("rule", x).filter(F.col(x).isNotNull()).distinct() for x in ("dataset", "attribute")]
+    n = F.count(F.lit(1))
+    of_dataset, of_attribute = by[0].groupBy("dataset").agg(n.alias("nd")), by[1].groupBy("attribute").agg(n.alias("na"))
+    other = by[1].withColumnRenamed("rule", "same")
+    of_both = by[0].join(other, F.col("rule").eqNullSafe(F.col("same"))).groupBy("dataset", "attribute").agg(n.alias("nb"))
+    rows = c.groupBy("change").agg(F.count(F.lit(1)).alias("rows"))
+    single = c.join(rows.filter("rows = 1"), "change", "left_semi").join(of_dataset, "dataset", "left").join(of_attribute, "attribute", "left").join(of_both, ["dataset", "attribute"], "left")
+    counted = single.select("change", (F.coalesce("nd", F.lit(0)) + F.coalesce("na", F.lit(0)) - F.coalesce("nb", F.lit(0))).alias("rules")).filter("rules > 0")
+    several = c.join(rows.filter("rows > 1"), "change", "left_semi")
+    hit = by[0].join(several.select("change", "dataset"), "dataset").select("change", "rule").unionByName(by[1].join(several.select("change", "attribute"), "attribute").select("change", "rule"))
+    return counted.unionByName(hit.distinct().groupBy("change").agg(F.count(F.lit(1)).alias("rules")))
+
+
 def change_impact(changes: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
     """change, reports, teams, rules, regulated, risk of changes (change, dataset, attribute, text).
 
-    Reports and teams are told by the names of what is downstream; rules are those of the dataset or the attribute, by two equi joins; risk is high with
-    a report or a sensitive word, medium with a rule or team, else low.
+    Reports and teams are told by the names of what is downstream; rules are those of the dataset or the attribute, by ``rules_per_change``; risk is high
+    with a report or a sensitive word, medium with a rule or team, else low.
     """
     down = reach_pairs(edges, changes.select(F.col("dataset").alias("id"))).withColumnRenamed("key", "dataset")
     low = F.lower("id")
     per = down.groupBy("dataset").agg(F.count_if(_any(low, REPORTS)).alias("reports"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(teams_of(F.col("id")))))).alias("teams"))
-    hit = rules.join(changes.select("change", "dataset"), "dataset").select("change", "rule").unionByName(rules.join(changes.select("change", "attribute"), "attribute").select("change", "rule"))
-    ruled = hit.distinct().groupBy("change").agg(F.count(F.lit(1)).alias("rules"))
+    ruled = rules_per_change(changes, rules)
     out = changes.join(per, "dataset", "left").join(ruled, "change", "left")
     regulated = _any(F.lower(F.concat_ws(" ", "text", "attribute")), SENSITIVE)
     out = out.select("change", F.coalesce("reports", F.lit(0)).alias("reports"), F.coalesce("teams", F.array().cast("array<string>")).alias("teams"), F.coalesce("rules", F.lit(0)).alias("rules"), regulated.alias("regulated"))
