@@ -144,18 +144,13 @@ def definition_conflicts(terms: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.term") == F.col("b.term")) & (first < second)).select("a.term", F.col("a.source").alias("first_source"), F.col("b.source").alias("second_source"))
 
 
-def _grams(c: Column, most: int = 4) -> Column:
-    """Distinct parts of a text of up to ``most`` characters."""
-    at = F.sequence(F.lit(1), F.length(c))
-    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.length(c) - i + 1)), lambda n: c.substr(i, n)))))
-
-
 def resolve_names(found: DataFrame, catalog: DataFrame) -> DataFrame:
     """name, match, confidence: exact (high), a dotted suffix of a catalog name or its last part (medium), a part of a catalog name (low); the first kind and
     then name wins.
 
     The catalog is reduced to the least name of each suffix before names meet it, so these kinds are equi joins that give a row at most. Names that none
-    of them finds meet the catalog names that have their first four characters.
+    of them finds meet the parts of catalog names that begin with the same four characters and are as long, each with the least name that has it: an equi
+    join, too.
     """
     names = catalog.select(F.lower("name").alias("full")).distinct()
     parts = F.split("full", r"\.")
@@ -166,7 +161,13 @@ def resolve_names(found: DataFrame, catalog: DataFrame) -> DataFrame:
     both = whole.join(least.select(F.col("suffix").alias("end"), "last"), F.substring_index("low", ".", -1) == F.col("end"), "left")
     best = both.select("name", "low", F.coalesce("s", F.when(F.col("last").isNotNull(), F.struct(F.lit(2).alias("kind"), F.col("last").alias("full")))).alias("b"))
     rest = best.filter("b is null and low <> ''").select("name", "low", F.substring("low", 1, 4).alias("gram"))
-    within = rest.join(names.select("full", F.explode(_grams(F.col("full"))).alias("gram")), "gram").filter(F.contains("full", "low")).groupBy("name").agg(F.min("full").alias("inner"))
+    lengths = rest.groupBy("gram").agg(F.collect_set(F.length("low")).alias("lengths"))
+    starts = names.select("full", F.explode(F.sequence(F.lit(1), F.length("full"))).alias("at")).filter("full <> ''")
+    # a name of fewer than four characters is its own beginning
+    begun = starts.select("full", "at", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length("full") - F.col("at") + 1)), lambda n: F.col("full").substr(F.col("at"), n)))).alias("gram"))
+    pieces = begun.join(lengths, "gram").select("full", "at", F.explode("lengths").alias("n")).filter("at + n - 1 <= length(full)")
+    inner = pieces.groupBy(F.expr("substring(full, at, n)").alias("low")).agg(F.min("full").alias("inner"))
+    within = rest.join(inner, "low").select("name", "inner")
     out = best.join(within, "name", "left")
     confidence = F.when(F.col("b.kind") == 0, "high").when(F.col("b").isNotNull(), "medium").when(F.col("inner").isNotNull(), "low")
     return out.select("name", F.coalesce("b.full", "inner").alias("match"), confidence.alias("confidence"))
