@@ -80,28 +80,60 @@ def roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.join(F.broadcast(mean)).select("id", "in_degree", "out_degree", "degree", *[c.alias(k) for k, c in flags.items()])
 
 
-def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
-    """(id, component) of every node of an edge; component is its component's least id. Alternating large and small stars."""
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v")).distinct()
-    now = table(pairs, "cc-edges")
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _numbered(raw: DataFrame, a: str, b: str) -> tuple[DataFrame, int]:
+    """(id, n) table of the ends of edges with different 64-bit numbers, and the number of the hash that gave them: if two ends share one, the next hash is taken."""
+    ends = raw.select(F.col(a).alias("id")).unionByName(raw.select(F.col(b).alias("id"))).distinct()
+    k = 0
     while True:
-        # stars already? then no node has two edges down, or edges down and up
-        ends = now.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(now.select(F.col("v").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))
-        if ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or (down = 1 and up = 1)").isEmpty():
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # dealt once more, so that both sides of the join are plain shuffles and a node with very many edges can be split
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition(parts)
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = table(large.filter(F.col("u") != F.col("v")).distinct(), "cc-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        following = table(small.filter(F.col("u") != F.col("v")).distinct(), "cc-edges")
-        gone(now, large)
+        names = table(ends.withColumn("n", F.xxhash64("id", F.lit(k))), "cc-names")
+        if names.groupBy("n").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():
+            return names, k
+        gone(names)
+        k += 1
+
+
+def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(id, component) of every node of an edge; component is its component's least id.
+
+    By contraction: each round gives all numbers new ones by a hash that maps no two 64-bit numbers onto one, each node becomes the least number of itself and its
+    neighbours (in every other round, one with a single neighbour becomes that one), and edges go on between what nodes became. So about half of the nodes go in
+    a round whatever the graph, all leaves of a hub at once, and the rounds together read little more than the first. Afterwards the rounds are followed from the last to the first.
+    """
+    raw = table(edges.select(a, b).filter(F.col(a) != F.col(b)), "cc-raw")
+    names, k = _numbered(raw, a, b)
+    u, v = F.xxhash64(a, F.lit(k)), F.xxhash64(b, F.lit(k))
+    now = table(raw.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct(), "cc-edges")
+    steps: list[DataFrame] = []
+    while not now.isEmpty():
+        ends = now.select(F.col("u").alias("n"), F.col("v").alias("other")).unionByName(now.select(F.col("v").alias("n"), F.col("u").alias("other")))
+        least = ends.groupBy("n").agg(F.min(F.xxhash64("other")).alias("least"), F.count(F.lit(1)).alias("degree"))
+        own = F.least("least", F.xxhash64("n"))
+        # two ends of a lone edge would change places, so leaves go to their neighbour in every other round only
+        step = table(least.select("n", (F.when(F.col("degree") == 1, F.col("least")).otherwise(own) if len(steps) % 2 == 0 else own).alias("to")), "cc-step")
+        # both sides are read from tables, so that the joins are plain shuffles and a node with very many edges can be split
+        met = now.join(step.select(F.col("n").alias("u"), F.col("to").alias("tu")), "u").join(step.select(F.col("n").alias("v"), F.col("to").alias("tv")), "v")
+        following = table(met.filter("tu <> tv").select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct(), "cc-edges")
+        gone(now)
         now = following
-    roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+        steps.append(step)
+    last = None
+    for i in range(len(steps) - 1, -1, -1):
+        if last is None:
+            last = steps[i]
+            continue
+        # a component that was done before is not in later rounds, where its number would have been hashed on
+        done = F.col("to")
+        for _ in range(len(steps) - 1 - i):
+            done = F.xxhash64(done)
+        known = last.select(F.col("n").alias("to"), F.col("to").alias("end"))
+        before, last = last, table(steps[i].join(known, "to", "left").select("n", F.coalesce("end", done).alias("to")), "cc-step")
+        gone(before, steps[i])
+    labels = names.select("id", F.col("n").alias("to")) if last is None else names.join(last, "n").select("id", "to")
+    labels = table(labels, "cc-labels")
+    least = table(labels.groupBy("to").agg(F.min("id").alias("component")), "cc-least")
+    out = table(labels.join(least, "to").select("id", "component"), "cc-components")
+    gone(raw, names, now, labels, least, *([last] if last is not None else []))
+    return out
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

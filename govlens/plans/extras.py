@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from govlens.functions.scratch import table
 from govlens.operators import graph, metadata
 from govlens.plans.catalogue import TABLES, _columns, _contains
-from govlens.plans.lineage import _BOTH, _DAG, _nodes, cyclic, dag
+from govlens.plans.lineage import _BOTH, _DAG, _nodes, both, dag
 from govlens.plans.value import _LOG, log
 from govlens.sources import tables as src
 from govlens.sources.tables import read
@@ -114,7 +115,7 @@ _STATE = """WITH c AS (SELECT l_partkey AS model_id, l_linenumber % 3 AS k, CASE
 
 
 def complexity(spark, d):
-    e = dag(spark, d)
+    e = table(dag(spark, d), "lineage-edges")
     return graph.complexity(_nodes(e), e).withColumn("density", F.round("density", 9))
 
 
@@ -123,7 +124,7 @@ def clusters(spark, d):
 
 
 def component_names(spark, d):
-    e = dag(spark, d).unionByName(cyclic(spark, d))
+    e = both(spark, d)
     return graph.component_names(_nodes(e), e)
 
 

@@ -8,7 +8,7 @@ from govlens.functions.scratch import scratch
 from govlens.operators import drift, graph, links, metadata, profile, workflow
 from govlens.plans.catalogue import TABLES, _columns
 from govlens.plans.extras import _described, _keyword_sql
-from govlens.plans.lineage import _BOTH, _DAG, _nodes, cyclic, dag
+from govlens.plans.lineage import _BOTH, _DAG, _nodes, both, dag
 from govlens.plans.quality import _customers, _CUSTOMERS
 from govlens.sources import tables as src
 from govlens.sources.tables import read
@@ -109,7 +109,7 @@ def flat_records(spark, d):
 
 
 def _typed(spark, d):
-    e = dag(spark, d).unionByName(cyclic(spark, d))
+    e = both(spark, d)
     return _nodes(e).withColumn("type", F.when(F.col("id").contains(":"), F.substring_index("id", ":", 1)).otherwise("event")), e
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from govlens.functions.scratch import table
 from govlens.operators import graph, workflow
 from govlens.sources.tables import read
 
@@ -32,6 +33,11 @@ def cyclic(spark, d):
     return e.filter("dst is not null").select("src", "dst").distinct()
 
 
+def both(spark, d):
+    """The edges of both graphs, written once, as nodes and several steps read them."""
+    return table(dag(spark, d).unionByName(cyclic(spark, d)), "lineage-edges")
+
+
 def _nodes(e):
     return e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
 
@@ -94,12 +100,12 @@ def metrics(spark, d):
 
 
 def components(spark, d):
-    e = dag(spark, d).unionByName(cyclic(spark, d))
+    e = both(spark, d)
     return graph.weak_components(_nodes(e), e)
 
 
 def component_sizes(spark, d):
-    e = dag(spark, d).unionByName(cyclic(spark, d))
+    e = both(spark, d)
     return graph.component_sizes(_nodes(e), e)
 
 
@@ -128,7 +134,7 @@ def simple_cycles(spark, d):
 
 
 def clustering(spark, d):
-    e = dag(spark, d).unionByName(cyclic(spark, d))
+    e = both(spark, d)
     return graph.clustering(e).withColumn("coefficient", F.round("coefficient", 9))
 
 
