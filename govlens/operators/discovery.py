@@ -18,6 +18,10 @@ from govlens.functions.scratch import table
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "de", "do", "e", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
+#: Terms (or terms of queries) up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 1_000_000
+
+
 def _grams(text: str, stop: Sequence[str], bigrams: bool) -> Column:
     """The words of a text without stop words, as an array, and pairs of neighbours."""
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[a-z0-9_]{2,}"), F.lit(0)), lambda w: ~w.isin(list(stop)))
@@ -53,10 +57,34 @@ def weights(tf: DataFrame, idfs: DataFrame, key: str = "doc_id") -> DataFrame:
     return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
 
 
-def lexical_scores(queries: DataFrame, postings: DataFrame, q: str = "item_id", key: str = "doc_id") -> DataFrame:
-    """q, key, lexical: cosine of query and document over the terms that both have."""
-    a = queries.select(q, "term", F.col("w").alias("wq"))
-    return a.join(postings, "term").groupBy(q, key).agg(F.sum(F.col("wq") * F.col("w")).alias("lexical"))
+def asked_postings(docs: DataFrame, asked: DataFrame, n: int, max_df: float = 0.95, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(term, df, idf of the asked terms; key, term, w as of ``weights`` of those alone) of n documents.
+
+    Every term counts for a document's length, but only asked ones are handed on. So each term of a text is shuffled once, to where its term's frequency is
+    counted, and what comes back of all others is one sum a document and task.
+    """
+    asked = table(asked.select("term").distinct(), "asked-terms")
+    known = asked.select("term", F.lit(True).alias("asked"))
+    known = F.broadcast(known) if asked.count() <= BROADCAST_TERMS else known
+    dealt = docs.select(key, F.explode(_grams(text, STOPWORDS, True)).alias("term")).repartition("term")
+    tf = dealt.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("df", F.count(F.lit(1)).over(W.partitionBy("term"))).filter(F.col("df") <= n * max_df)
+    idf_ = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
+    raw = tf.join(known, "term", "left").select(key, F.when(F.col("asked"), F.col("term")).alias("term"), "df", idf_.alias("idf"), (F.col("tf") * idf_).alias("raw"))
+    own = table(raw.groupBy(key, "term").agg(F.sum(F.col("raw") * F.col("raw")).alias("square"), F.max("raw").alias("raw"), F.max("df").alias("df"), F.max("idf").alias("idf")), "asked-weights")
+    norms = own.groupBy(key).agg(F.sqrt(F.sum("square")).alias("norm"))
+    own = own.filter("term is not null")
+    return own.groupBy("term").agg(F.max("df").alias("df"), F.max("idf").alias("idf")), own.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
+
+
+def lexical_scores(queries: DataFrame, postings: DataFrame, q: str = "item_id", key: str = "doc_id", parts: int | None = None) -> DataFrame:
+    """q, key, lexical: cosine of query and document over the terms that both have.
+
+    A document's postings are brought together before they meet the queries, so that the products, of which there are very many, aren't shuffled.
+    """
+    a = table(queries.select(q, "term", F.col("w").alias("wq")), "lexical-queries")
+    a = F.broadcast(a) if a.count() <= BROADCAST_TERMS else a
+    postings = postings.repartition(parts, key) if parts else postings.repartition(key)
+    return postings.join(a, "term").groupBy(q, key).agg(F.sum(F.col("wq") * F.col("w")).alias("lexical"))
 
 
 def candidate_scores(candidates: DataFrame, own: DataFrame, q: str, key: str) -> DataFrame:

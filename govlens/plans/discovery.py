@@ -11,13 +11,6 @@ from govlens.operators.workflow import contexts as contexts_of
 from govlens.sources.tables import read
 
 
-def _weights(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    tf = table(r.terms(docs), "discovery-tf")
-    idfs = table(r.idf(tf, docs.count()), "discovery-idf")
-    return r.weights(tf, idfs), idfs
-
-
 def idf_terms(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
     out = r.idf(r.terms(docs), docs.count())
@@ -29,22 +22,19 @@ def document_frequencies(spark, d):
     return r.idf(r.terms(docs), docs.count()).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
-def _lexical(spark, d):
-    postings, idfs = _weights(spark, d)
-    items = table(r.weights(r.terms(read(spark, d, "benchmark"), key="item_id"), idfs, key="item_id"), "discovery-items")
-    return r.lexical_scores(items, postings)
-
-
 def lexical(spark, d):
-    return _lexical(spark, d).select("item_id", "doc_id", F.round("lexical", 6).alias("lexical"))
+    items, postings = _asked(spark, d)
+    # documents a task: its sums are one a document and item
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read(spark, d, "documents").count() // 10_000))
+    return r.lexical_scores(items, postings, parts=parts).select("item_id", "doc_id", F.round("lexical", 6).alias("lexical"))
 
 
 def _asked(spark, d):
-    """Weights of the items, and of the documents."""
+    """Weights of the items, and of their terms in the documents."""
     docs = read(spark, d, "documents").select("doc_id", "text")
-    idfs = table(r.frequencies(docs, docs.count()), "discovery-idf")
-    items = r.weights(r.terms(read(spark, d, "benchmark"), key="item_id"), idfs, key="item_id")
-    return items, r.weights(r.terms(docs), idfs)
+    asked = r.terms(read(spark, d, "benchmark"), key="item_id")
+    idfs, postings = r.asked_postings(docs, asked, docs.count())
+    return r.weights(asked, idfs, key="item_id"), postings
 
 
 def standards(spark, d):
