@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govlens.llm import text as T
@@ -270,13 +270,17 @@ def _contracted(labels: DataFrame, more: DataFrame) -> DataFrame:
     return inner.unionByName(fresh)
 
 
-def _across(hot: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
+def _size_class(percent: int) -> Column:
+    """Sets that link lie in the same class of sizes or in neighbouring ones."""
+    return F.floor(F.log("n_shingles") / F.lit(-math.log(min(percent, 99) / 100)))
+
+
+def _across(hot: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     """Groups of large buckets whose nodes aren't all joined: blocks of the nodes outside the largest component against blocks of all, by size.
 
-    Sets that link differ in size by ``percent`` at most, so they lie in the same class of sizes or in neighbouring ones.
+    Rows of ``hot`` carry their ``_size_class``.
     """
-    own = _components_of(hot.select("bucket", "node", "band"), labels)
-    own = table(own.join(nodes.select("node", F.floor(F.log("n_shingles") / F.lit(-math.log(min(percent, 99) / 100))).alias("size")), "node"), "near-mixed")
+    own = table(_components_of(hot.select("bucket", "node", "band", "size"), labels), "near-mixed")
     per = own.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = table(per.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("largest")).filter("comps > 1"), "near-largest")
     own = own.join(mixed, "bucket")
@@ -312,7 +316,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     # buckets of more than one node
     width = 4 * ROWS
     values = F.array(*[F.xxhash64(F.substring("sig", 1 + b * width, width), F.lit(b)) for b in range(bands(percent))])
-    banded = nodes.select("node", F.posexplode(values).alias("band", "bucket"))
+    # a class of sizes goes along, so that the rows of large buckets needn't meet their nodes again
+    banded = nodes.select("node", _size_class(percent).alias("size"), F.posexplode(values).alias("band", "bucket"))
     crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep")).filter("n > 1")
     met = table(banded.join(crowded, "bucket"), "near-buckets")
     groups = met.filter(F.col("n") <= block).select(F.col("bucket").alias("group"), "node", "band", F.lit(-1).alias("side"), F.col("node").alias("comp"))
@@ -322,7 +327,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     labels = components(links, "a", "b")
     if large:
         labels = table(labels, "near-first")
-        more = _links(_across(hot, nodes, labels, percent, block), nodes, docs, percent)
+        more = _links(_across(hot, labels, block), nodes, docs, percent)
         labels = labels if more.isEmpty() else _contracted(labels, more)
     gone(met)
     least = nodes.join(labels.withColumnRenamed("id", "node"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
