@@ -267,17 +267,28 @@ def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
 
 
 def clustering(edges: DataFrame) -> DataFrame:
-    """(id, degree, triangles, coefficient) on undirected edges: wedges start at the end of lower degree, so hubs don't multiply."""
-    e = distinct_edges(edges).filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    deg = e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).groupBy("id").count().withColumnRenamed("count", "degree")
-    d = e.join(deg.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a").join(deg.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b")
+    """(id, degree, triangles, coefficient) on undirected edges, by ways from lower to higher degree, so that hubs don't multiply.
+
+    Nodes go by 64-bit numbers up to the last join, and ends of degree 1, which are in no triangle, are on no way.
+    """
+    raw = table(edges.select("src", "dst").filter("src <> dst"), "triangle-raw")
+    names, k = _numbered(raw, "src", "dst")
+    u, v = F.xxhash64("src", F.lit(k)), F.xxhash64("dst", F.lit(k))
+    e = table(raw.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).distinct(), "triangle-numbers")
+    deg = table(e.select(F.col("a").alias("n")).unionByName(e.select(F.col("b").alias("n"))).groupBy("n").agg(F.count(F.lit(1)).alias("degree")), "triangle-degrees")
+    inner = deg.filter("degree > 1")
+    d = e.join(inner.select(F.col("n").alias("a"), F.col("degree").alias("da")), "a").join(inner.select(F.col("n").alias("b"), F.col("degree").alias("db")), "b")
     first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     o = table(d.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v")), "triangle-edges")
-    wedge = o.alias("x").join(o.alias("y"), F.col("x.u") == F.col("y.u")).filter("x.v < y.v").select(F.col("x.u").alias("u"), F.col("x.v").alias("a"), F.col("y.v").alias("b"))
-    tri = wedge.join(e, ["a", "b"])
-    per = tri.select(F.explode(F.array("u", "a", "b")).alias("id")).groupBy("id").count().withColumnRenamed("count", "triangles")
-    out = deg.join(per, "id", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
-    return out.withColumn("coefficient", F.when(F.col("degree") > 1, 2 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(F.lit(0.0)))
+    # edges lead from lower to higher degree, so a triangle is a way of two steps and the edge from its first to its last node, and few ways go on from a hub
+    ways = o.join(o.select(F.col("u").alias("v"), F.col("v").alias("w")), "v")
+    tri = ways.join(o.select("u", F.col("v").alias("w")), ["u", "w"])
+    per = tri.select(F.explode(F.array("u", "v", "w")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("triangles"))
+    out = names.join(deg, "n").join(per, "n", "left").select("id", "degree", F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"))
+    out = out.withColumn("coefficient", F.when(F.col("degree") > 1, 2 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(F.lit(0.0)))
+    out = table(out, "triangles")
+    gone(raw, names, e, deg, o)
+    return out
 
 
 def subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
