@@ -92,6 +92,11 @@ def _numbered(raw: DataFrame, a: str, b: str) -> tuple[DataFrame, int]:
         k += 1
 
 
+def _ordered(names: DataFrame) -> DataFrame:
+    """Adds place to a table of names (id, n): numbers in the order of the ids, the same for no two, with gaps; ranges of the order are sorted apart."""
+    return table(names.repartitionByRange("id").sortWithinPartitions("id").withColumn("place", F.monotonically_increasing_id()), "ordered-names")
+
+
 def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(id, component) of every node of an edge; component is its component's least id.
 
@@ -345,15 +350,31 @@ def blast_radius(edges: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def label_groups(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, community) by label propagation over edges in either direction; ties go to the least label."""
-    e = distinct_edges(edges)
+    """(id, community) by label propagation over edges in either direction; ties go to the least label.
+
+    Nodes go by 64-bit hashes and labels by numbers in the order of the ids, so that rounds shuffle no names. In the first round all labels
+    differ, so the least one wins.
+    """
+    raw = table(edges.select("src", "dst"), "label-raw")
+    names, k = _numbered(raw, "src", "dst")
+    order = _ordered(names)
+    u, v = (F.when(F.col(c).isNotNull(), F.xxhash64(c, F.lit(k))) for c in ("src", "dst"))
+    e = raw.select(u.alias("src"), v.alias("dst"))
     both = table(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "label-edges")
-    now = table(both.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct(), "labels")
-    for _ in range(rounds):
-        votes = both.join(now.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").count()
-        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("count")).alias("n"), "community")).alias("b"))
-        now = table(best.select(F.col("src").alias("id"), F.col("b.community").alias("community")), "labels")
-    return now
+    now = order.filter("id is not null").select("n", F.col("place").alias("community"))
+    for i in range(rounds):
+        near = both.join(now.withColumnRenamed("n", "dst"), "dst")
+        if i == 0:
+            best = near.groupBy("src").agg(F.min("community").alias("community"))
+        else:
+            votes = near.groupBy("src", "community").count()
+            best = votes.groupBy("src").agg(F.min(F.struct((-F.col("count")).alias("m"), "community")).alias("b")).select("src", F.col("b.community").alias("community"))
+        before, now = now, table(best.withColumnRenamed("src", "n"), "labels")
+        if i:
+            gone(before)
+    ids = order.filter("id is not null")
+    out = now.join(ids.select("n", "id"), "n", "left").join(ids.select(F.col("place").alias("community"), F.col("id").alias("label")), "community", "left")
+    return out.select("id", F.col("label").alias("community"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
