@@ -97,6 +97,18 @@ def _ordered(names: DataFrame) -> DataFrame:
     return table(names.repartitionByRange("id").sortWithinPartitions("id").withColumn("place", F.monotonically_increasing_id()), "ordered-names")
 
 
+def _placed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, place) of the nodes, and the distinct edges (a, b) between different nodes by place, both as tables."""
+    raw = table(edges.select("src", "dst").filter("src <> dst"), "placed-raw")
+    names, k = _numbered(raw, "src", "dst")
+    order = _ordered(names)
+    e = raw.select(F.xxhash64("src", F.lit(k)).alias("u"), F.xxhash64("dst", F.lit(k)).alias("v")).distinct()
+    e = e.join(order.select(F.col("n").alias("u"), F.col("place").alias("a")), "u").join(order.select(F.col("n").alias("v"), F.col("place").alias("b")), "v")
+    e = table(e.select("a", "b"), "placed-edges")
+    gone(raw, names)
+    return order.select("id", "place"), e
+
+
 def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(id, component) of every node of an edge; component is its component's least id.
 
@@ -551,29 +563,33 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
     hand their dependencies to the nodes before them. Both are joins with the edges, so neither the graph nor a source's part of it is ever in one place;
     the rows are the pairs of sources and what they reach.
     """
-    e = table(distinct_edges(edges).filter("src <> dst"), "between-edges")
-    sources = (sources or e.select(F.col("src").alias("id"))).select("id").distinct()
-    levels = [table(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("ways")), "between-level")]
-    while True:
-        found = levels[-1].join(e, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("ways").alias("ways"))
-        for level in levels:
-            found = found.join(level.select("s", "v"), ["s", "v"], "left_anti")
-        found = table(found, "between-level")
-        if found.isEmpty():
-            break
-        levels.append(found)
-    below = levels[-1].withColumn("part", F.lit(0.0))
-    parts = []
-    for level in reversed(levels[1:-1]):
-        step = level.join(e, F.col("v") == F.col("src")).select("s", "v", "ways", F.col("dst").alias("x"))
-        handed = step.join(below.select("s", F.col("v").alias("x"), F.col("ways").alias("wx"), "part"), ["s", "x"])
-        own = handed.groupBy("s", "v").agg(F.sum(F.col("ways") / F.col("wx") * (1 + F.col("part"))).alias("part"))
-        below = table(level.join(own, ["s", "v"], "left").select("s", "v", "ways", F.coalesce("part", F.lit(0.0)).alias("part")), "between-parts")
-        parts.append(below.select(F.col("v").alias("id"), "part"))
-    out = parts[0] if parts else below.limit(0).select(F.col("v").alias("id"), "part")
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out.filter("part > 0").groupBy("id").agg(F.sum("part").alias("score"))
+    names, e = _placed(edges)
+    first = e.select(F.col("a").alias("s"), F.col("b").alias("v"), F.lit(1.0).alias("ways"))
+    if sources is not None:
+        first = first.join(names.join(sources.select("id").distinct(), "id", "left_semi").select(F.col("place").alias("s")), "s", "left_semi")
+    levels = [table(first, "between-level")]
+    while not levels[-1].isEmpty():
+        # only rows of nodes that edges lead to from here can have been found before
+        ahead = table(levels[-1].select(F.col("v").alias("a")).distinct().join(e, "a").select(F.col("b").alias("v")).distinct(), "between-ahead")
+        found = levels[-1].join(e, F.col("v") == F.col("a")).filter("s <> b").groupBy("s", F.col("b").alias("v")).agg(F.sum("ways").alias("ways"))
+        earlier = together(*levels).select("s", "v").join(ahead, "v", "left_semi")
+        levels.append(levels[-1].limit(0) if ahead.isEmpty() else table(found.join(earlier, ["s", "v"], "left_anti"), "between-level"))
+        gone(ahead)
+    # the last level is empty, the one before it hands on what it is
+    below, parts = levels[max(0, len(levels) - 2)].withColumn("part", F.lit(0.0)), []
+    for level in reversed(levels[:-2]):
+        # nodes without a way on stay in with a part of 0, so a level needn't meet its sums again
+        step = level.join(e, F.col("v") == F.col("a"), "left").select("s", "v", "ways", F.col("b").alias("x"))
+        handed = step.join(below.select("s", F.col("v").alias("x"), F.col("ways").alias("wx"), "part"), ["s", "x"], "left")
+        own = F.sum(F.coalesce(F.col("ways") / F.col("wx") * (1 + F.col("part")), F.lit(0.0)))
+        below = table(handed.groupBy("s", "v", "ways").agg(own.alias("part")), "between-parts")
+        parts.append(below)
+    if not parts:
+        return names.limit(0).select("id", F.lit(0.0).alias("score"))
+    scores = together(*parts).filter("part > 0").groupBy(F.col("v").alias("place")).agg(F.sum("part").alias("score"))
+    out = table(scores.join(names, "place").select("id", "score"), "between-scores")
+    gone(e, *(x for x in levels if hasattr(x, "scratch_path")), *parts)
+    return out
 
 
 def independent_paths(edges: DataFrame, longest: int = 10, most: int | None = 10) -> DataFrame:

@@ -19,7 +19,7 @@ def _id(kind: str, c: str):
 
 def dag(spark, d):
     t = lambda n: read(spark, d, n)
-    e = t("lineitem").select(_id("part", "l_partkey").alias("src"), _id("supp", "l_suppkey").alias("dst")).distinct()
+    e = t("lineitem").select("l_partkey", "l_suppkey").distinct().select(_id("part", "l_partkey").alias("src"), _id("supp", "l_suppkey").alias("dst"))
     return (
         e.unionByName(t("supplier").select(_id("supp", "s_suppkey").alias("src"), _id("nation", "s_nationkey").alias("dst")))
         .unionByName(t("customer").select(_id("cust", "c_custkey").alias("src"), _id("nation", "c_nationkey").alias("dst")))
