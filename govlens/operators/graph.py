@@ -741,8 +741,10 @@ def above(df: DataFrame, column: str, p: float) -> DataFrame:
 
 def dense_spots(nodes: DataFrame, edges: DataFrame, p: float = 0.8, degree: int = 5) -> DataFrame:
     """id, degree (in and out), coefficient, limit of nodes whose clustering is over the percentile and whose degree is over ``degree``."""
-    found = table(clustering(edges).select("id", F.col("coefficient")), "clustering")
+    found = clustering(edges).select("id", "coefficient")
     per = degrees(nodes, edges).select("id", F.col("degree")).join(found, "id", "left").withColumn("coefficient", F.coalesce("coefficient", F.lit(0.0)))
+    # the percentile reads its values several times
+    per = table(per, "dense-spots")
     return above(per, "coefficient", p).filter(F.col("degree") > degree)
 
 
