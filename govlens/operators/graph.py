@@ -598,31 +598,41 @@ def independent_paths(edges: DataFrame, longest: int = 10, most: int | None = 10
     Each pair offers its shortest way of two to ``longest`` edges, the least of equally long ones, and pairs choose in their order. A way that is the first
     at all of its nodes is chosen whatever the others do, so all such ways are taken at once, what touches them goes, and rounds go on with the rest.
     """
-    e = table(distinct_edges(edges), "way-edges")
-    starts = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")), "id", "left_anti")
-    sinks = e.select(F.col("dst").alias("sink")).distinct().join(e.select(F.col("src").alias("sink")), "sink", "left_anti")
-    levels = [table(starts.select(F.col("id").alias("source"), F.col("id").alias("sink"), F.array("id").alias("path")), "way-level")]
-    for _ in range(longest):
-        found = levels[-1].join(e, F.col("sink") == F.col("src")).groupBy("source", F.col("dst").alias("sink")).agg(F.min(F.array_append("path", F.col("dst"))).alias("path"))
-        for level in levels:
-            found = found.join(level.select("source", "sink"), ["source", "sink"], "left_anti")
-        levels.append(table(found, "way-level"))
-        if levels[-1].isEmpty():
-            break
-    left = levels[0].limit(0)
-    for level in levels[2:]:
-        left = left.unionByName(level)
+    names, e = _placed(edges)
+    loops = table(edges.filter("src = dst").select(F.col("src").alias("id")).distinct(), "way-loops")
+    # a node with a loop is neither a start nor a sink
+    looped = names.join(loops, "id", "left_semi").select("place")
+    starts = e.select(F.col("a").alias("id")).distinct().join(e.select(F.col("b").alias("id")).unionByName(looped.select(F.col("place").alias("id"))), "id", "left_anti")
+    sinks = e.select(F.col("b").alias("sink")).distinct().join(e.select(F.col("a").alias("sink")).unionByName(looped.select(F.col("place").alias("sink"))), "sink", "left_anti")
+    begun = e.join(starts.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("a").alias("source"), F.col("b").alias("sink"), F.array("a", "b").alias("path"))
+    levels = [table(begun, "way-level")]
+    while len(levels) < longest and not levels[-1].isEmpty():
+        found = levels[-1].join(e, F.col("sink") == F.col("a")).groupBy("source", F.col("b").alias("sink")).agg(F.min(F.array_append("path", F.col("b"))).alias("path"))
+        # only rows of nodes that edges lead to from here can have been found before
+        ahead = table(levels[-1].select(F.col("sink").alias("a")).distinct().join(e, "a").select(F.col("b").alias("sink")).distinct(), "way-ahead")
+        earlier = together(*levels).select("source", "sink").join(ahead, "sink", "left_semi")
+        levels.append(table(found.join(earlier, ["source", "sink"], "left_anti"), "way-level"))
+        gone(ahead)
+    left = together(*levels[1:]) if len(levels) > 1 else levels[0].limit(0)
     left = table(left.join(sinks, "sink", "left_semi").select("source", "sink", "path"), "ways")
-    gone(e, *levels)
-    chosen = left.limit(0)
+    gone(e, loops, *levels)
+    chosen = []
     while not left.isEmpty():
         at = left.select("source", "sink", F.explode("path").alias("node"))
         first = at.groupBy("node").agg(F.min(F.struct("source", "sink")).alias("way")).groupBy("way.source", "way.sink").agg(F.count(F.lit(1)).alias("nodes"))
         taken = table(left.join(first, ["source", "sink"]).filter(F.col("nodes") == F.size("path")).select("source", "sink", "path"), "ways-taken")
-        chosen = chosen.unionByName(taken)
-        touched = at.join(taken.select(F.explode("path").alias("node")), "node", "left_semi").select("source", "sink").distinct()
-        left = table(left.join(touched, ["source", "sink"], "left_anti"), "ways")
-    return chosen if most is None else chosen.orderBy("source", "sink").limit(most)
+        chosen.append(taken)
+        used = taken.select(F.explode("path").alias("node"), F.lit(True).alias("used"))
+        each = left.select("source", "sink", "path", F.explode("path").alias("node")).join(used, "node", "left")
+        kept = each.groupBy("source", "sink", "path").agg(F.max(F.coalesce("used", F.lit(False))).alias("used")).filter("not used")
+        before, left = left, table(kept.select("source", "sink", "path"), "ways")
+        gone(before)
+    out = together(*chosen) if chosen else left
+    out = out if most is None else out.orderBy("source", "sink").limit(most)
+    steps = out.select("source", "sink", F.posexplode("path").alias("step", "place")).join(names, "place")
+    path = F.transform(F.array_sort(F.collect_list(F.struct("step", "id"))), lambda x: x["id"])
+    out = steps.groupBy("source", "sink").agg(path.alias("path")).select(F.element_at("path", 1).alias("source"), F.element_at("path", -1).alias("sink"), "path")
+    return out if most is None else out.orderBy("source", "sink")
 
 
 def complexity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
