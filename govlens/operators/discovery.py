@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,24 +23,102 @@ STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "de", "do", "e", "
 BROADCAST_TERMS = 1_000_000
 
 
-def _grams(text: str, stop: Sequence[str], bigrams: bool) -> Column:
-    """The words of a text without stop words, as an array, and pairs of neighbours."""
+def _worded(docs: DataFrame, *keys: str, text: str = "text", stop: Sequence[str] = STOPWORDS) -> DataFrame:
+    """keys and words: those of a text without stop words, as a column of its own, so that the terms made of it don't search the text again."""
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[a-z0-9_]{2,}"), F.lit(0)), lambda w: ~w.isin(list(stop)))
+    return docs.select(*keys, words.alias("words"))
+
+
+def _grams(bigrams: bool = True) -> Column:
+    """The words of ``_worded`` and pairs of neighbours."""
+    words = F.col("words")
     if not bigrams:
         return words
-    pair = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    fewer = F.greatest(F.size(words) - 1, F.lit(0))
+    pair = F.zip_with(F.slice(words, 1, fewer), F.slice(words, 2, fewer), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, F.when(F.size(words) > 1, pair).otherwise(F.array().cast("array<string>")))
 
 
 def terms(docs: DataFrame, key: str = "doc_id", text: str = "text", stop: Sequence[str] = STOPWORDS, bigrams: bool = True) -> DataFrame:
     """key, term, tf: words of two ASCII letters or digits and more, lower-cased, without stop words, and pairs of neighbours."""
-    return docs.select(key, F.explode(_grams(text, stop, bigrams)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _worded(docs, key, text=text, stop=stop).select(key, F.explode(_grams(bigrams)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+#: Bytes of text whose terms a task counts at a time.
+HOLD = 8 << 20
+#: Lower-cased bytes of words, 0 for all others.
+_FOLD = np.zeros(256, np.uint8)
+for _c in b"abcdefghijklmnopqrstuvwxyz0123456789_":
+    _FOLD[[_c, ord(chr(_c).upper())]] = _c
+
+
+def _counts(hold: int, keyed: bool):
+    """mapInArrow function over texts, ``hold`` bytes at a time: terms and how many of these texts have them, or with keys each text's terms and how often it has them."""
+
+    def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of ``_worded`` and the number of each one's text; beyond ASCII, only the two signs whose lower case begins in ASCII count."""
+        texts = pc.replace_substring(pc.replace_substring(pc.fill_null(texts, ""), "\u212a", "k"), "\u0130", "i\u0307")
+        off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = _FOLD[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]]
+        off -= off[0]
+        word = data != 0
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        begins, ends = off[off < len(data)], off[off > 0] - 1  # a text's end ends a word
+        first[begins], last[ends] = word[begins], word[ends]
+        starts = np.flatnonzero(first)
+        length = np.flatnonzero(last) + 1 - starts
+        places = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(data[word]))
+        own = pa.array(length >= 2)
+        own = pc.and_(own, pc.invert(pc.is_in(words, value_set=pa.array(STOPWORDS))))
+        return words.filter(own), (np.searchsorted(off, starts, "right") - 1)[own.to_numpy(zero_copy_only=False)]
+
+    def counted(keys: list[pa.Array], texts: list[pa.Array]) -> pa.RecordBatch:
+        words, of = words_of(pa.concat_arrays(texts))
+        coded = words.dictionary_encode()
+        known, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        near = of[1:] == of[:-1]
+        # a word is its number, a pair of neighbours the number of both
+        term, at = np.unique(np.concatenate((code, len(known) + code[:-1][near] * len(known) + code[1:][near])), return_inverse=True)
+        single = int(np.searchsorted(term, len(known)))
+        left, right = np.divmod(term[single:] - len(known), max(1, len(known)))
+        pairs = pc.binary_join_element_wise(known.take(pa.array(left)), known.take(pa.array(right)), " ")
+        terms_ = pa.concat_arrays([known.take(pa.array(term[:single])), pairs])
+        places = np.sort(np.concatenate((of, of[1:][near])) * len(term) + at)
+        first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))[: len(places)])
+        text, own = np.divmod(places[first], max(1, len(term)))
+        if not keys:
+            return pa.RecordBatch.from_arrays([terms_, pa.array(np.bincount(own, minlength=len(term)).astype(np.int64))], ["term", "n"])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(keys).take(pa.array(text)), terms_.take(pa.array(own)), pa.array(np.diff(np.append(first, len(places))))], ["key", "term", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, texts, held = [], [], 0
+        for b in batches:
+            texts.append(b.column("text"))
+            if keyed:
+                keys.append(b.column("key"))
+            held += b.column("text").nbytes
+            if held >= hold:
+                yield counted(keys, texts)
+                keys, texts, held = [], [], 0
+        if texts:
+            yield counted(keys, texts)
+
+    return run
+
+
+def counted_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", hold: int = HOLD) -> DataFrame:
+    """key, term, tf as of ``terms``, counted on Arrow buffers; nothing is shuffled if docs come dealt by key."""
+    kind = docs.schema[key].dataType.simpleString()
+    own = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_counts(hold, True), f"key {kind}, term string, n long")
+    return own.groupBy("key", "term").agg(F.sum("n").alias("tf")).withColumnRenamed("key", key)
 
 
-def frequencies(docs: DataFrame, n: int, text: str = "text", max_df: float = 0.95) -> DataFrame:
+def frequencies(docs: DataFrame, n: int, text: str = "text", max_df: float = 0.95, hold: int = HOLD) -> DataFrame:
     """term, df, idf as of ``idf``, straight from texts: each text gives a term once, so nothing is shuffled but sums by term. Rows are documents."""
-    once = docs.select(F.explode(F.array_distinct(_grams(text, STOPWORDS, True))).alias("term"))
-    per = once.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    per = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_counts(hold, False), "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
     return per.filter(F.col("df") <= n * max_df).withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
 
 
@@ -53,8 +132,8 @@ def idf(tf: DataFrame, n: int | Column, max_df: float = 0.95, key: str = "doc_id
 def weights(tf: DataFrame, idfs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, term, w: tf times idf, of length one per document; terms without idf fall away."""
     raw = tf.join(idfs.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))  # in the same pass: a second one would count all frequencies again
+    return raw.select(key, "term", (F.col("raw") / norm).alias("w"))
 
 
 def asked_postings(docs: DataFrame, asked: DataFrame, n: int, max_df: float = 0.95, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -66,7 +145,7 @@ def asked_postings(docs: DataFrame, asked: DataFrame, n: int, max_df: float = 0.
     asked = table(asked.select("term").distinct(), "asked-terms")
     known = asked.select("term", F.lit(True).alias("asked"))
     known = F.broadcast(known) if asked.count() <= BROADCAST_TERMS else known
-    dealt = docs.select(key, F.explode(_grams(text, STOPWORDS, True)).alias("term")).repartition("term")
+    dealt = _worded(docs, key, text=text).select(key, F.explode(_grams()).alias("term")).repartition("term")
     tf = dealt.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("df", F.count(F.lit(1)).over(W.partitionBy("term"))).filter(F.col("df") <= n * max_df)
     idf_ = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
     raw = tf.join(known, "term", "left").select(key, F.when(F.col("asked"), F.col("term")).alias("term"), "df", idf_.alias("idf"), (F.col("tf") * idf_).alias("raw"))
@@ -289,16 +368,17 @@ def nearest_indexed(queries: DataFrame, index: DataFrame, c: np.ndarray, k: int,
 def importance(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, importance: words times one plus the share of distinct ones, over the greatest of all."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
-    raw = docs.select(key, F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("u")).select(key, F.when(F.col("n") > 0, F.col("n") * (1 + F.col("u") / F.col("n"))).otherwise(F.lit(0.0)).alias("raw"))
+    counts = docs.select(key, words.alias("words")).select(key, F.size("words").alias("n"), F.size(F.array_distinct("words")).alias("u"))
+    raw = table(counts.select(key, F.when(F.col("n") > 0, F.col("n") * (1 + F.col("u") / F.col("n"))).otherwise(F.lit(0.0)).alias("raw")), "importance-counts")
     top = raw.agg(F.max("raw").alias("top"))
     return raw.join(F.broadcast(top)).select(key, F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(F.lit(0.0)).alias("importance"))
 
 
 def hybrid(candidates: DataFrame, lexical: DataFrame, weight: DataFrame, q: str, key: str, alpha: float = 0.7, beta: float = 0.2, gamma: float = 0.1) -> DataFrame:
-    """Ranking by alpha times semantic score (1 - min(d/2, 1)), beta times lexical and gamma times importance; ties by key."""
+    """Ranking by alpha times semantic score (1 - min(d/2, 1)), beta times lexical and gamma times importance; ties (to 12 digits, as sums have no order) by key."""
     semantic = 1 - F.least(F.col("distance") / 2, F.lit(1.0))
     out = candidates.join(lexical, [q, key], "left").join(weight, key, "left").withColumn("score", alpha * semantic + beta * F.coalesce("lexical", F.lit(0.0)) + gamma * F.coalesce("importance", F.lit(0.0)))
-    return out.select(q, key, "score", F.row_number().over(W.partitionBy(q).orderBy(F.desc("score"), key)).alias("rank"))
+    return out.select(q, key, "score", F.row_number().over(W.partitionBy(q).orderBy(F.desc(F.round("score", 12)), key)).alias("rank"))
 
 
 def _greedy(key: str, k: int, limit: float | None, balance: float | None):

@@ -103,7 +103,8 @@ def _hybrid(spark, d):
     texts = docs.select("doc_id", "text")
     # frequencies are those of all documents, weights only those of the candidates
     ids = near.select(F.col("query_id").alias("doc_id")).unionByName(near.select(F.col("vec_id").alias("doc_id"))).distinct()
-    own = r.weights(r.terms(texts.join(ids, "doc_id", "left_semi")), r.frequencies(texts, docs.count()))
+    # dealt by id: the vectors' ids are those of the first documents, which lie in a few parts of the file
+    own = r.weights(r.counted_terms(texts.join(ids, "doc_id", "left_semi").repartition("doc_id")), r.frequencies(texts, docs.count()))
     lex = r.candidate_scores(near, table(own, "discovery-weights").withColumnRenamed("doc_id", "id"), "query_id", "vec_id")
     return table(r.hybrid(near, lex, r.importance(docs).withColumnRenamed("doc_id", "vec_id"), "query_id", "vec_id"), "discovery-hybrid"), e
 
