@@ -5,9 +5,9 @@ fixed step for each coordinate, gives all coordinates. Documents with equal sets
 compared. Nodes that share a band meet in groups of bounded size, so that no task holds a bucket. A group first compares signatures and names
 the nodes with a likely partner; only their sets are brought, and only links that join what isn't joined yet come out.
 
-A bucket beyond ``BLOCK`` nodes goes in two rounds. First each node meets, in a block of the first such bucket that it has, that bucket's
-representative and the block's other nodes; of many near copies nearly all are then in one component. What is left is exact: every node outside a
-bucket's largest component meets all the bucket's nodes of other components and of a size that can link. So the work grows with the
+A bucket beyond ``BLOCK`` nodes goes in two rounds. First each node meets, in a block of the first and of the last such bucket that it has, that bucket's
+representative and the block's other nodes; of many near copies nearly all that link are then in one component. What is left is exact: of the nodes that share enough
+shingles with others of large buckets, every one outside a bucket's largest component meets all the bucket's nodes of other components and of a size that can link. So the work grows with the
 number of nodes times those that are left, not with the square of the bucket, and no pair is lost.
 """
 
@@ -113,6 +113,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
 
 
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [x for x in T.shingle_sets(*T.buffers(b.column("text"))) if len(x)]
+        of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        shingles = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.binary()).take(pa.array(of, pa.int64())), pa.array(shingles)], ["node", "shingle"])
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], key: str = "group") -> Iterator[pa.Table]:
     """Runs of equal keys of rows that come sorted by key; a run may go on in the next batch."""
     rest: pa.Table | None = None
@@ -154,18 +162,20 @@ def _rules(g: pa.Table) -> tuple[np.ndarray, np.ndarray, bool, int]:
     return side, comp, bool(side[0] >= 0), g.column("band")[0].as_py()
 
 
-def _likely(batches: Iterator[pa.RecordBatch], floor: float = LIKELY) -> Iterator[pa.RecordBatch]:
-    """The rows of nodes that have a likely partner here: one of another component and, if there are sides, of the other side. Where the
-    group belongs to a band, a pair counts in the first band that the two share."""
+def _likely(batches: Iterator[pa.RecordBatch], floor: float = LIKELY, percent: int = 85) -> Iterator[pa.RecordBatch]:
+    """The rows of nodes that have a likely partner here: one of another component, that the two sets' sizes and ``shared`` shingles admit, and, if
+    there are sides, of the other side. Where the group belongs to a band, a pair counts in the first band that the two share."""
     out: list[tuple] = []
     for g in _grouped(batches):
         if len(g) < 2:
             continue
         sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint32).reshape(len(g), -1)
         side, comp, apart, band = _rules(g)
+        n, shared = g.column("n_shingles").to_numpy(), g.column("shared").to_numpy()
         hit = np.zeros(len(g), bool)
         for i in range(len(g) - 1):
             ok = ((sig[i + 1 :] == sig[i]).mean(1) >= floor) & (comp[i + 1 :] != comp[i])
+            ok &= (100 + percent) * np.minimum(shared[i + 1 :], shared[i]) >= percent * (n[i + 1 :] + n[i])
             if apart:
                 ok &= side[i + 1 :] != side[i]
             if ok.any() and band >= 0:
@@ -218,15 +228,34 @@ def _by_group(df: DataFrame) -> DataFrame:
     return df.repartition("group").sortWithinPartitions("group", "node")
 
 
+def _texts(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a table of ids, documents with them), one id for each node."""
+    ids = table(nodes.select(F.col("least").alias("doc_id")).distinct(), "near-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return ids, docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+
+
+def _shared(hot: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The nodes of large buckets, with ``shared``: how many of a node's shingles another one of them has too.
+
+    No two of them have more in common, so a node with many shingles of its own is known to have no link here before it meets anyone.
+    """
+    own = table(nodes.join(hot.select("node"), "node", "left_semi").drop("shared"), "near-crowd")
+    _, whole = _texts(own, docs)
+    each = whole.mapInArrow(_owned, "node binary, shingle long").select("shingle", F.xxhash64("node").alias("owner"))
+    single = each.groupBy("shingle").agg(F.min("owner").alias("owner"), F.max("owner").alias("last")).filter("owner = last")
+    alone = single.groupBy("owner").agg(F.count(F.lit(1)).alias("alone"))
+    shared = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
+    return table(own.withColumn("owner", F.xxhash64("node")).join(alone, "owner", "left").select("node", "least", "sig", "n_shingles", shared.alias("shared")), "near-shared")
+
+
 def _links(groups: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) table of links within groups (columns of ``GROUP``)."""
+    """(a, b) table of links within groups (columns of ``GROUP``). Of a node's shingles at most ``shared`` are in any other set of its groups."""
     least_equal = floor(percent)
-    likely = _by_group(groups.join(nodes.select("node", "sig"), "node")).mapInArrow(lambda batches: _likely(batches, least_equal), GROUP)
+    likely = _by_group(groups.join(nodes.select("node", "sig", "n_shingles", "shared"), "node")).mapInArrow(lambda batches: _likely(batches, least_equal, percent), GROUP)
     likely = table(likely, "near-likely")
-    # whole sets of those nodes, one document each
-    ids = table(likely.select("node").distinct().join(nodes.select("node", "least"), "node").select(F.col("least").alias("doc_id")).distinct(), "near-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    whole = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    # whole sets of those nodes
+    ids, whole = _texts(nodes.join(likely.select("node"), "node", "left_semi"), docs)
     sets = whole.mapInArrow(_sets, "node binary, shingles binary")
     sets = sets.groupBy("node").agg(F.min("shingles").alias("shingles"))
     links = _by_group(likely.join(sets, "node")).mapInArrow(_linked(percent), "a binary, b binary")
@@ -236,12 +265,17 @@ def _links(groups: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -
 
 
 def _stars(hot: DataFrame, block: int) -> DataFrame:
-    """Groups of large buckets: each node in a block of its first one, with that bucket's representative."""
-    first = hot.groupBy("node").agg(F.min(F.struct("band", "bucket", "n", "rep")).alias("h")).select("node", "h.*")
-    cut = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / F.lit(block))).alias("cut")
-    members = first.select("bucket", cut, "node", "rep")
-    both = members.select("bucket", "cut", "node").unionByName(members.select("bucket", "cut", F.col("rep").alias("node")).distinct())
-    both = both.dropDuplicates(["bucket", "cut", "node"])
+    """Groups of large buckets: each node in a block of its first one and of its last one, with that bucket's representative.
+
+    That is the node which lies in the most large buckets: of many near copies, one with few changes, that most others link with.
+    """
+    mine = hot.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "bucket", "n"))).alias("own"))  # one a band at most
+    cuts = F.ceil(F.col("n") / F.lit(block))
+    reps = mine.select("node", F.size("own").alias("buckets"), F.explode("own").alias("h")).groupBy("h.bucket", "h.n").agg(F.max_by("node", F.struct("buckets", "node")).alias("node"))
+    reps = reps.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1)).alias("cut"), "node")
+    ends = F.array_distinct(F.array(F.element_at("own", 1), F.element_at("own", -1)))
+    members = mine.select("node", F.explode(ends).alias("h")).select("h.bucket", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("h.n") / F.lit(block))).alias("cut"), "node")
+    both = members.unionByName(reps).dropDuplicates(["bucket", "cut", "node"])
     return both.select(F.xxhash64("bucket", "cut", F.lit("star")).alias("group"), "node", F.lit(-1).alias("band"), F.lit(-1).alias("side"), F.col("node").alias("comp"))
 
 
@@ -286,9 +320,12 @@ def _across(hot: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     own = own.join(mixed, "bucket")
     right = own.select("bucket", "node", "band", "comp", "size")
     left = own.filter("comp <> largest").select("bucket", "node", "band", "comp", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
-    half = F.lit(max(1, block // 2))
-    lefts, rights = (df.groupBy("bucket", "size").agg(F.ceil(F.count(F.lit(1)) / half).alias(name)) for df, name in ((left, "lefts"), (right, "rights")))
-    counts = table(rights.join(lefts, ["bucket", "size"]), "near-counts")
+    half = max(1, block // 2)
+    lefts, rights = (df.groupBy("bucket", "size").agg(F.count(F.lit(1)).alias(name)) for df, name in ((left, "l"), (right, "r")))
+    # where few are left, a block takes more of the others instead
+    others = F.greatest(F.lit(1), F.lit(block) - F.least("l", F.lit(half)))
+    counts = rights.join(lefts, ["bucket", "size"]).select("bucket", "size", F.ceil(F.col("l") / F.lit(half)).alias("lefts"), F.ceil(F.col("r") / others).alias("rights"))
+    counts = table(counts, "near-counts")
 
     def dealt(rows: DataFrame, mine: str, other: str, side: int) -> DataFrame:
         rows = rows.join(counts, ["bucket", "size"]).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(2)), F.col(mine)))
@@ -312,13 +349,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = table(docs.mapInArrow(_sketch(ROWS * bands(percent)), "doc_id long, n_shingles long, node binary, sig binary"), "near-rows")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"))
-    nodes = table(nodes, "near-nodes")
+    nodes = table(nodes, "near-nodes").withColumn("shared", F.col("n_shingles"))
     # buckets of more than one node
     width = 4 * ROWS
     values = F.array(*[F.xxhash64(F.substring("sig", 1 + b * width, width), F.lit(b)) for b in range(bands(percent))])
     # a class of sizes goes along, so that the rows of large buckets needn't meet their nodes again
     banded = nodes.select("node", _size_class(percent).alias("size"), F.posexplode(values).alias("band", "bucket"))
-    crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep")).filter("n > 1")
+    crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = table(banded.join(crowded, "bucket"), "near-buckets")
     groups = met.filter(F.col("n") <= block).select(F.col("bucket").alias("group"), "node", "band", F.lit(-1).alias("side"), F.col("node").alias("comp"))
     hot = met.filter(F.col("n") > block)
@@ -327,7 +364,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     labels = components(links, "a", "b")
     if large:
         labels = table(labels, "near-first")
-        more = _links(_across(hot, labels, block), nodes, docs, percent)
+        crowd = _shared(hot, nodes, docs)
+        able = crowd.filter(100 * F.col("shared") >= percent * F.col("n_shingles")).select("node")
+        more = _links(_across(hot.join(able, "node", "left_semi"), labels, block), crowd, docs, percent)
         labels = labels if more.isEmpty() else _contracted(labels, more)
     gone(met)
     least = nodes.join(labels.withColumnRenamed("id", "node"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
