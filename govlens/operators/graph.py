@@ -511,25 +511,69 @@ def _forest(both: DataFrame, roots: DataFrame) -> list[DataFrame]:
         levels.append(found)
 
 
-def articulation_points(edges: DataFrame) -> DataFrame:
-    """id of the nodes whose loss splits their component, in either direction of the edges; loops don't count.
+#: Edges a node from which blocks are first looked for among some of the edges.
+DENSE = 8
+
+
+def _blocks(e: DataFrame, nodes: int) -> DataFrame:
+    """(id, parent, level, block) of all nodes but the roots of a forest, for undirected edges (a, b) of numbers, a table; block names that of the edge to the parent.
+
+    Of a dense graph some edges, chosen by hash, are taken first. An edge within one of their blocks changes no block and goes, and a block counts only by its nodes, so
+    each is replaced by edges from two of its nodes to all others. With the edges that are left, which are few, that graph has the blocks of the whole one.
+    """
+    many = e.count()
+    if many <= DENSE * nodes:
+        return _tree_blocks(e)
+    chosen = F.pmod(F.xxhash64("a", "b", F.lit("some")), F.lit(1 << 20)) < F.lit(int((nodes / many) ** 0.5 * (1 << 20)))
+    some = table(e.filter(chosen), "cut-some")
+    found = _tree_blocks(some)
+    top = found.groupBy("block").agg(F.min(F.struct("level", "parent")).alias("highest"), F.min("id").alias("second")).select("block", F.col("highest.parent").alias("top"), "second")
+    own = table(found.join(top, "block").select("id", "block", "top", "second"), "cut-own")
+    ends = [own.select(F.col("id").alias(x), F.col("block").alias(f"block_{x}"), F.col("top").alias(f"top_{x}")) for x in ("a", "b")]
+    within = (F.col("block_a") == F.col("block_b")) | (F.col("top_a") == F.col("b")) | (F.col("top_b") == F.col("a"))
+    left = e.filter(~chosen).join(ends[0], "a", "left").join(ends[1], "b", "left").filter(~F.coalesce(within, F.lit(False))).select("a", "b")
+    star = own.select(F.least("top", "id").alias("a"), F.greatest("top", "id").alias("b")).unionByName(own.filter("id <> second").select(F.least("second", "id").alias("a"), F.greatest("second", "id").alias("b")))
+    thin = table(star.unionByName(left), "cut-thin")
+    out = _tree_blocks(thin)
+    gone(some, found, own, thin)
+    return out
+
 
-    Every component gets a breadth-first tree. An edge beside the tree closes a cycle through the two ways up to where they meet, and the tree's edges
-    on one cycle can't be cut apart. So pairs of ways climb a level a round until they meet and link each tree edge (named by its lower node) with the
-    next; linked edges are blocks, and a node in more than one block is a point. All of it is joins; the rounds are the depth of the trees, and a round's rows
-    at most the edges.
+def _trees(e: DataFrame, both: DataFrame) -> list[DataFrame]:
+    """``_forest`` of all components: from the node with most edges, and if that doesn't reach all nodes, from such a node of every other component."""
+    degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    most = F.max(F.struct("degree", "src")).alias("root")
+    levels = _forest(both, degree.agg(most).filter("root is not null").select(F.col("root.src").alias("id")))
+    rest = table(e.join(together(*levels).select(F.col("id").alias("a")), "a", "left_anti").select("a", "b"), "forest-rest")
+    if not rest.isEmpty():
+        parts = components(rest, "a", "b")
+        more = _forest(both, degree.join(parts.withColumnRenamed("id", "src"), "src").groupBy("component").agg(most).select(F.col("root.src").alias("id")))
+        apart = levels, more
+        levels = [table(together(*[x[k] for x in apart if k < len(x)]), "forest-level") for k in range(max(map(len, apart)))]
+        gone(parts, *apart[0], *more)
+    gone(rest)
+    return levels
+
+
+def _tree_blocks(e: DataFrame) -> DataFrame:
+    """``_blocks`` by a breadth-first tree of every component, from its node with most edges.
+
+    An edge beside the tree closes a cycle through the two ways up to where they meet, and the tree's edges on one cycle can't be cut apart. So pairs of ways climb
+    a level a round until they meet and link each tree edge (named by its lower node) with the next; linked edges are blocks. All of it is joins; the rounds are the
+    depth of the trees, and a round's rows at most the edges.
     """
-    e = distinct_edges(edges).filter("src <> dst")
-    both = table(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "cut-edges")
-    levels = _forest(both, components(both).select(F.col("component").alias("id")).distinct())
+    both = table(e.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(e.select(F.col("b").alias("src"), F.col("a").alias("dst"))), "cut-edges")
+    levels = _trees(e, both)
     tree = levels[0].withColumn("level", F.lit(0))
     for k, level in enumerate(levels[1:], 1):
         tree = tree.unionByName(level.withColumn("level", F.lit(k)))
     tree = table(tree, "cut-tree")
-    up = tree.select(F.col("id").alias("src"), F.col("parent").alias("p"), F.col("level").alias("k"))
-    down = tree.select(F.col("id").alias("dst"), F.col("parent").alias("q"), F.col("level").alias("m"))
-    beside = both.join(up, "src").join(down, "dst").filter("k < m or (k = m and src < dst)").filter("src <> q")
-    beside = table(beside.select(F.col("src").alias("x"), F.col("dst").alias("y"), "q", "k", "m"), "cut-beside")
+    up = tree.select(F.col("id").alias("a"), F.col("parent").alias("p"), F.col("level").alias("k"))
+    down = tree.select(F.col("id").alias("b"), F.col("parent").alias("q"), F.col("level").alias("m"))
+    met = e.join(up, "a").join(down, "b").filter("not (p <=> b) and not (q <=> a)")
+    first = F.col("k") <= F.col("m")
+    met = met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("y"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("q"), F.least("k", "m").alias("k"), F.greatest("k", "m").alias("m"))
+    beside = table(met, "cut-beside")
     own = beside.filter("k < m").select("k", F.col("q").alias("x"), F.col("x").alias("y"))  # the lower end climbs first
     level_pairs = own.unionByName(beside.filter("k = m").select("k", "x", "y")).select("k", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     links = beside.select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(beside.filter("k < m").select(F.col("y").alias("src"), F.col("q").alias("dst")))
@@ -543,11 +587,23 @@ def articulation_points(edges: DataFrame) -> DataFrame:
         for lower, upper in (("x", "p"), ("y", "q")):
             links = links.unionByName(apart.select(F.col(lower).alias("src"), F.col(upper).alias("dst")).distinct())
         climbing = apart.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
-    blocks = components(links)
-    gone(*used)
-    lower = tree.filter("level > 0").join(blocks, "id", "left").select("id", "parent", F.coalesce("component", "id").alias("block"))
-    member = lower.select("id", "block").unionByName(lower.select(F.col("parent").alias("id"), "block")).distinct()
-    return member.groupBy("id").count().filter("count > 1").select("id")
+    linked = components(links)
+    out = table(tree.filter("level > 0").join(linked, "id", "left").select("id", "parent", "level", F.coalesce("component", "id").alias("block")), "cut-blocks")
+    gone(*used, tree, linked)
+    return out
+
+
+def articulation_points(edges: DataFrame) -> DataFrame:
+    """id of the nodes whose loss splits their component, in either direction of the edges; loops don't count. A node in more than one block is a point."""
+    raw = table(edges.select("src", "dst").filter("src <> dst"), "cut-raw")
+    names, k = _numbered(raw, "src", "dst")
+    u, v = F.xxhash64("src", F.lit(k)), F.xxhash64("dst", F.lit(k))
+    e = table(raw.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).distinct(), "cut-numbers")
+    lower = _blocks(e, names.count())
+    member = lower.select(F.col("id").alias("n"), "block").unionByName(lower.select(F.col("parent").alias("n"), "block")).distinct()
+    out = table(member.groupBy("n").count().filter("count > 1").join(names, "n").select("id"), "cut-points")
+    gone(raw, names, e, lower)
+    return out
 
 
 def failure_points(edges: DataFrame) -> DataFrame:
