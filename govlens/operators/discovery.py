@@ -52,8 +52,11 @@ for _c in b"abcdefghijklmnopqrstuvwxyz0123456789_":
     _FOLD[[_c, ord(chr(_c).upper())]] = _c
 
 
-def _counts(hold: int, keyed: bool):
-    """mapInArrow function over texts, ``hold`` bytes at a time: terms and how many of these texts have them, or with keys each text's terms and how often it has them."""
+def _counts(hold: int, keyed: bool, listed: bool = False):
+    """mapInArrow function over texts, ``hold`` bytes at a time: terms and how many of these texts have them, or with keys each text's terms and how often it has them.
+
+    Listed, a term comes once with the keys and counts of all of these texts that have it.
+    """
 
     def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The words of ``_worded`` and the number of each one's text; beyond ASCII, only the two signs whose lower case begins in ASCII count."""
@@ -76,7 +79,8 @@ def _counts(hold: int, keyed: bool):
         return words.filter(own), (np.searchsorted(off, starts, "right") - 1)[own.to_numpy(zero_copy_only=False)]
 
     def counted(keys: list[pa.Array], texts: list[pa.Array]) -> pa.RecordBatch:
-        words, of = words_of(pa.concat_arrays(texts))
+        texts_ = pa.concat_arrays(texts)
+        words, of = words_of(texts_)
         coded = words.dictionary_encode()
         known, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         near = of[1:] == of[:-1]
@@ -86,7 +90,15 @@ def _counts(hold: int, keyed: bool):
         left, right = np.divmod(term[single:] - len(known), max(1, len(known)))
         pairs = pc.binary_join_element_wise(known.take(pa.array(left)), known.take(pa.array(right)), " ")
         terms_ = pa.concat_arrays([known.take(pa.array(term[:single])), pairs])
-        places = np.sort(np.concatenate((of, of[1:][near])) * len(term) + at)
+        every = np.concatenate((of, of[1:][near]))
+        if listed:
+            places = np.sort(at * len(texts_) + every)
+            first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))[: len(places)])
+            own, text = np.divmod(places[first], max(1, len(texts_)))
+            docs = pa.StructArray.from_arrays([pa.concat_arrays(keys).take(pa.array(text)), pa.array(np.diff(np.append(first, len(places))))], ["key", "n"])
+            starts = np.searchsorted(own, np.arange(len(term) + 1)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([terms_, pa.ListArray.from_arrays(pa.array(starts), docs)], ["term", "docs"])
+        places = np.sort(every * len(term) + at)
         first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))[: len(places)])
         text, own = np.divmod(places[first], max(1, len(term)))
         if not keys:
@@ -139,16 +151,26 @@ def weights(tf: DataFrame, idfs: DataFrame, key: str = "doc_id") -> DataFrame:
 def asked_postings(docs: DataFrame, asked: DataFrame, n: int, max_df: float = 0.95, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(term, df, idf of the asked terms; key, term, w as of ``weights`` of those alone) of n documents.
 
-    Every term counts for a document's length, but only asked ones are handed on. So each term of a text is shuffled once, to where its term's frequency is
-    counted, and what comes back of all others is one sum a document and task.
+    Every term counts for a document's length, but only asked ones are handed on. So each term is shuffled once for some megabytes of texts, with the documents
+    that have it, to where its frequency is counted, and what comes back of all others is one sum a document and task.
     """
     asked = table(asked.select("term").distinct(), "asked-terms")
     known = asked.select("term", F.lit(True).alias("asked"))
     known = F.broadcast(known) if asked.count() <= BROADCAST_TERMS else known
-    dealt = _worded(docs, key, text=text).select(key, F.explode(_grams()).alias("term")).repartition("term")
-    tf = dealt.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("df", F.count(F.lit(1)).over(W.partitionBy("term"))).filter(F.col("df") <= n * max_df)
+    kind = docs.schema[key].dataType.simpleString()
+    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    # rows that share a key are one document, whose terms are summed up first
+    again = table(docs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("again")), "asked-again")
+    several = not again.isEmpty()
+    once = docs.join(again, F.col("key").eqNullSafe(F.col("again")), "left_anti") if several else docs
+    tf = once.mapInArrow(_counts(HOLD, True, listed=True), f"term string, docs array<struct<key:{kind},n:bigint>>")
+    if several:
+        more = docs.join(again, F.col("key").eqNullSafe(F.col("again")), "left_semi").mapInArrow(_counts(HOLD, True), f"key {kind}, term string, n long").groupBy("key", "term").agg(F.sum("n").alias("n"))
+        tf = tf.unionByName(more.select("term", F.array(F.struct("key", "n")).alias("docs")))
+    tf = tf.repartition("term").withColumn("df", F.sum(F.size("docs")).over(W.partitionBy("term"))).filter(F.col("df") <= n * max_df)
     idf_ = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
-    raw = tf.join(known, "term", "left").select(key, F.when(F.col("asked"), F.col("term")).alias("term"), "df", idf_.alias("idf"), (F.col("tf") * idf_).alias("raw"))
+    tf = tf.join(known, "term", "left").select(F.when(F.col("asked"), F.col("term")).alias("term"), "df", idf_.alias("idf"), F.explode("docs").alias("doc"))
+    raw = tf.select(F.col("doc.key").alias(key), "term", "df", "idf", (F.col("doc.n") * F.col("idf")).alias("raw"))
     own = table(raw.groupBy(key, "term").agg(F.sum(F.col("raw") * F.col("raw")).alias("square"), F.max("raw").alias("raw"), F.max("df").alias("df"), F.max("idf").alias("idf")), "asked-weights")
     norms = own.groupBy(key).agg(F.sqrt(F.sum("square")).alias("norm"))
     own = own.filter("term is not null")
@@ -219,6 +241,76 @@ def lexical_top(queries: DataFrame, postings: DataFrame, n: int, q: str = "item_
     return out if kinds is not None else out.drop("kind")
 
 
+#: Cells of documents and queries that a task scores at a time.
+CELLS = 2_000_000
+
+
+def _best_cells(n: int, queries: int, cells: int):
+    """mapInArrow function over postings in the order of their keys, with the numbers and weights of the queries that ask for the term: the n best keys of each query and kind of every few documents."""
+
+    def scored(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        key, kind, w, asks = (t.column(c).chunk(0) for c in ("key", "kind", "w", "asks"))
+        of_key = key.dictionary_encode()
+        row = of_key.indices.to_numpy()
+        kinds = kind.dictionary_encode(null_encoding="encode")
+        own = np.zeros(len(of_key.dictionary), np.int64)
+        own[row] = kinds.indices.to_numpy()
+        each, asks = pc.list_value_length(asks).to_numpy(), asks.flatten()
+        at = np.repeat(row.astype(np.int64) * queries, each) + asks.field("number").to_numpy()
+        size = len(own) * queries
+        score = np.bincount(at, np.repeat(w.to_numpy(), each) * asks.field("wq").to_numpy(), size).reshape(-1, queries)
+        met = (np.bincount(at, minlength=size) > 0).reshape(-1, queries)
+        rows, asked = [], []
+        for k in range(len(kinds.dictionary)):
+            mine = np.flatnonzero(own == k)
+            # rows are in the order of the keys, and so are ties
+            first = np.argsort(np.where(met[mine], -np.round(score[mine], 6), np.inf), axis=0, kind="stable")[:n]
+            q = np.broadcast_to(np.arange(queries), first.shape)[met[mine[first], np.arange(queries)]]
+            rows.append(mine[first[met[mine[first], np.arange(queries)]]])
+            asked.append(q)
+        rows, asked = np.concatenate(rows), np.concatenate(asked)
+        return pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), of_key.dictionary.take(pa.array(rows)), kinds.dictionary.take(pa.array(own[rows])), pa.array(score[rows, asked])], ["number", "key", "kind", "lexical"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most, left = max(1, cells // queries), None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
+            t = t.combine_chunks()
+            row = pa.concat_arrays(t.column("key").chunks).dictionary_encode().indices.to_numpy() if t.num_rows else np.zeros(0, np.int32)
+            # the last document may go on in the next batch
+            begin, done = 0, int(row[-1]) if len(row) else 0
+            for i in range(0, done, most):
+                end = int(np.searchsorted(row, min(i + most, done)))
+                yield scored(t.slice(begin, end - begin))
+                begin = end
+            left = t.slice(begin)
+        if left is not None and left.num_rows:
+            yield scored(left)
+
+    return run
+
+
+def lexical_best(queries: DataFrame, postings: DataFrame, n: int, kinds: DataFrame, q: str = "item_id", key: str = "doc_id", cells: int = CELLS) -> DataFrame:
+    """q, key, kind, lexical (to 6 digits), rank of the n best documents of each query and kind, as of ``lexical_top`` without a least score.
+
+    Kinds in which few documents come near a query leave no bound to cut candidates by. So all pairs are scored, but where a document's postings lie: a term carries
+    the queries that ask for it, a task sums up products in an array of some documents and all queries, and hands on its best only. Where
+    queries are too many to be broadcast, candidates are.
+    """
+    own = table(queries.select(q, "term", F.col("w").alias("wq")), "lexical-queries")
+    if own.count() > BROADCAST_TERMS:
+        return lexical_top(own.withColumnRenamed("wq", "w"), postings, n, q=q, key=key, kinds=kinds)
+    numbers = table(own.select(q).distinct().withColumn("number", F.row_number().over(W.orderBy(q)) - 1), "lexical-numbers")
+    asks = own.join(F.broadcast(numbers), q).groupBy("term").agg(F.collect_list(F.struct("number", "wq")).alias("asks"))
+    types = postings.schema[key].dataType.simpleString(), kinds.schema["kind"].dataType.simpleString()
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = postings.join(kinds, key).repartition(parts, key).join(F.broadcast(asks), "term").select(F.col(key).alias("key"), "kind", "w", "asks").sortWithinPartitions("key")
+    best = met.mapInArrow(_best_cells(n, max(1, numbers.count()), cells), f"number long, key {types[0]}, kind {types[1]}, lexical double")
+    best = best.join(F.broadcast(numbers.select(q, F.col("number").cast("long").alias("number"))), "number").select(q, F.col("key").alias(key), "kind", F.round("lexical", 6).alias("lexical"))
+    return best.withColumn("rank", F.row_number().over(W.partitionBy(q, "kind").orderBy(F.desc("lexical"), key))).filter(F.col("rank") <= n)
+
+
 def search(scored: DataFrame, q: str, key: str, score: str = "lexical", min_score: float = 0.3, n: int = 5) -> DataFrame:
     """The n best of each query with at least ``min_score``, with rank and relevance; ties by key."""
     own = scored.filter(F.col(score) >= min_score).withColumn("rank", F.row_number().over(W.partitionBy(q).orderBy(F.desc(score), key)))

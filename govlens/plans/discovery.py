@@ -49,7 +49,7 @@ def contexts(spark, d):
     """The beginnings (80 characters, the feature's own length) of the three best documents of each language for every item, as one text."""
     items, postings = _asked(spark, d)
     docs = read(spark, d, "documents").select("doc_id", "lang", F.substring("text", 1, 80).alias("text"))
-    best = r.lexical_top(items, postings, 3, kinds=docs.select("doc_id", F.col("lang").alias("kind"))).join(docs, "doc_id")
+    best = r.lexical_best(items, postings, 3, docs.select("doc_id", F.col("lang").alias("kind"))).join(docs, "doc_id")
     return contexts_of(best, "item_id", "lang", "text")
 
 
